@@ -47,3 +47,25 @@ commerce_query("seller_state_revenue", B.seller_state_revenue)
 commerce_query("avg_score_of_orders_with_category", B.avg_score_with_category)
 commerce_query("state_most_credit_card", B.state_most_card_payments)
 commerce_query("delivery_stats", B.delivery_stats)
+
+# ---- ETL rules over the driver tables --------------------------------------
+from kestrel.plans import etl as E  # noqa: E402
+from kestrel.plans import quality as Q  # noqa: E402
+from kestrel.plans.registry import register  # noqa: E402
+
+register("clean_customers")(E.clean_customers_driver)
+register("clean_sellers")(E.clean_sellers_driver)
+register("clean_orders")(E.clean_orders_driver)
+register("clean_items")(E.clean_items_driver)
+register("clean_payments")(E.clean_payments_driver)
+register("clean_reviews")(E.clean_reviews_driver)
+register("impute_dimensions")(E.impute_dimensions_driver)
+register("brand_rollup")(E.brand_rollup_driver)
+register("fk_filter")(E.fk_filter_summary)
+
+# ---- data quality ----------------------------------------------------------
+register("fk_report")(Q.fk_report_driver)
+register("profile_tables")(Q.profile_tables)
+register("pk_checks")(Q.pk_checks)
+register("length_checks")(Q.length_checks)
+register("load_validate")(Q.load_validate)

@@ -38,7 +38,37 @@ NO_CATEGORY_TYPE = "PROMO"
 NO_PAYMENT_TYPE = "error"
 
 
-class Commerce:
+class ModelBase:
+    """Derived per-order tables shared by every model implementation.
+
+    A model provides customers(), sellers(), products(), order_items() (with a
+    ``revenue`` column), orders_base(), orders(), payments() and reviews().
+    """
+
+    def order_items(self) -> DataFrame:  # pragma: no cover - interface
+        raise NotImplementedError
+
+    def reviews(self) -> DataFrame:  # pragma: no cover - interface
+        raise NotImplementedError
+
+    def order_facts(self) -> DataFrame:
+        """One row per order that has items: item count, item revenue, delivery date."""
+        return (self.order_items()
+                .groupBy("order_id")
+                .agg(F.count(F.lit(1)).alias("n_items"),
+                     F.sum("revenue").alias("items_revenue"),
+                     F.max("shipping_limit_date").alias("last_item_at")))
+
+    def review_stats(self) -> DataFrame:
+        """One row per reviewed order: review count, score sum/count, 5-star count."""
+        return (self.reviews().groupBy("order_id")
+                .agg(F.count(F.lit(1)).alias("n_reviews"),
+                     F.sum("review_score").alias("score_sum"),
+                     F.count("review_score").alias("score_n"),
+                     F.count_if(F.col("review_score") == 5).alias("n_five")))
+
+
+class Commerce(ModelBase):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
@@ -91,14 +121,6 @@ class Commerce:
             M.revenue(price, freight).alias("revenue"),
         )
 
-    def order_facts(self) -> DataFrame:
-        """One row per order that has items: item count, item revenue, delivery date."""
-        return (self.order_items()
-                .groupBy("order_id")
-                .agg(F.count(F.lit(1)).alias("n_items"),
-                     F.sum("revenue").alias("items_revenue"),
-                     F.max("shipping_limit_date").alias("delivered_at")))
-
     def orders_base(self) -> DataFrame:
         o = self.t.orders
         return o.select(
@@ -112,7 +134,8 @@ class Commerce:
     def orders(self, with_items_only: bool = False) -> DataFrame:
         """Orders with derived delivery columns (and their per-order item facts)."""
         how = "inner" if with_items_only else "left"
-        o = self.orders_base().join(self.order_facts(), "order_id", how)
+        o = (self.orders_base()
+             .join(self.order_facts().withColumnRenamed("last_item_at", "delivered_at"), "order_id", how))
         return o.select(
             "order_id", "customer_id", "order_status", "purchased_at", "estimated_at",
             "delivered_at",
@@ -143,11 +166,3 @@ class Commerce:
             (F.pmod(self._event_k(), F.lit(5)) + 1).alias("review_score"),
             F.col("ts").alias("review_creation_date"),
         )
-
-    def review_stats(self) -> DataFrame:
-        """One row per reviewed order: review count, score sum/count, 5-star count."""
-        return (self.reviews().groupBy("order_id")
-                .agg(F.count(F.lit(1)).alias("n_reviews"),
-                     F.sum("review_score").alias("score_sum"),
-                     F.count("review_score").alias("score_n"),
-                     F.count_if(F.col("review_score") == 5).alias("n_five")))
