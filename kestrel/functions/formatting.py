@@ -11,10 +11,15 @@ def _c(x) -> Column:
 
 
 def compact_brl(x) -> Column:
-    """``R$ 1.23M`` from 1e6, ``R$ 1.2K`` from 1e3, else ``R$ 1,234.56``."""
-    v = _c(x).cast("double")
-    return (F.when(v >= 1_000_000, F.format_string("R$ %.2fM", v / 1_000_000))
-             .when(v >= 1_000, F.format_string("R$ %.1fK", v / 1_000))
+    """``R$ 1.23M`` from 1e6, ``R$ 1.2K`` from 1e3, else ``R$ 1,234.56``.
+
+    Scaled values are rounded HALF_UP on exact decimals before formatting,
+    so the text never depends on binary floating-point ties."""
+    v = _c(x).cast("decimal(18,2)")
+    millions = F.round(v / F.lit(1_000_000).cast("decimal(7,0)"), 2)
+    thousands_ = F.round(v / F.lit(1_000).cast("decimal(4,0)"), 1)
+    return (F.when(v >= 1_000_000, F.concat(F.lit("R$ "), millions.cast("string"), F.lit("M")))
+             .when(v >= 1_000, F.concat(F.lit("R$ "), thousands_.cast("string"), F.lit("K")))
              .otherwise(F.concat(F.lit("R$ "), F.format_number(v, 2))))
 
 

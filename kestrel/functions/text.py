@@ -12,7 +12,7 @@ def _c(x) -> Column:
 
 def strip(x) -> Column:
     """Strip leading/trailing Unicode whitespace (``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+$", "")
 
 
 def title_case(x) -> Column:
@@ -44,16 +44,25 @@ def zfill(x, width: int = 5) -> Column:
     return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
 
 
+# What Python's str.split() treats as whitespace (Unicode
+# White_Space plus the ASCII separators 0x1C-0x1F), and ASCII punctuation.
+WHITESPACE_RUN = r"(?U)[\s\x{1C}-\x{1F}]+"
+ASCII_PUNCT = r"[!-/:-@\[-`{-~]"
+
+
+def collapse_ws(x) -> Column:
+    """Collapse whitespace runs to one space and trim (``" ".join(s.split())``)."""
+    return F.trim(F.regexp_replace(_c(x), WHITESPACE_RUN, " "))
+
+
 def question_key(x) -> Column:
     """Cache key of a question: lower, drop ASCII punctuation, collapse whitespace."""
-    lowered = F.lower(_c(x))
-    no_punct = F.regexp_replace(lowered, r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(no_punct, r"(?U)\s+", " "))
+    return collapse_ws(F.regexp_replace(F.lower(_c(x)), ASCII_PUNCT, ""))
 
 
 def normalize_answer(x) -> Column:
     """Collapse all Unicode whitespace to one space, then lower-case."""
-    return F.lower(F.trim(F.regexp_replace(_c(x), r"(?U)\s+", " ")))
+    return F.lower(collapse_ws(x))
 
 
 def redact(x) -> Column:

@@ -69,3 +69,22 @@ register("profile_tables")(Q.profile_tables)
 register("pk_checks")(Q.pk_checks)
 register("length_checks")(Q.length_checks)
 register("load_validate")(Q.load_validate)
+
+# ---- log analytics -----------------------------------------------------------
+from kestrel.plans import logs as LG  # noqa: E402
+
+register("session_last_n")(LG.session_last_n)
+register("session_seq")(LG.session_next_seq)
+register("session_prompt")(LG.session_prompts)
+register("session_forget")(LG.session_forget)
+register("cache_hits")(LG.cache_hits)
+register("recent_keys")(LG.recent_keys)
+register("question_keys")(LG.question_keys)
+register("latest_per_key")(LG.latest_per_user)
+register("latency_percentiles")(LG.latency_overall)
+register("latency_percentiles_by_type")(LG.latency_by_type)
+register("request_metrics")(LG.request_metrics)
+register("token_usage")(LG.token_usage_by_type)
+register("rate_limit_breaches")(LG.rate_limit_breaches)
+register("redact_users")(LG.redact_users)
+register("format_orders")(LG.format_orders)
