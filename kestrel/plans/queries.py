@@ -88,3 +88,19 @@ register("token_usage")(LG.token_usage_by_type)
 register("rate_limit_breaches")(LG.rate_limit_breaches)
 register("redact_users")(LG.redact_users)
 register("format_orders")(LG.format_orders)
+
+# ---- guarded SQL, lookups, shape hints ---------------------------------------
+from kestrel.plans import surface as SF  # noqa: E402
+from kestrel.streaming import streams as ST  # noqa: E402
+
+register("guarded_adhoc")(SF.guarded_adhoc)
+register("state_lookup")(SF.state_lookup)
+register("revenue_usd")(SF.revenue_usd)
+register("revenue_usd_asof")(SF.revenue_usd_asof)
+register("result_shape")(SF.result_shape)
+
+# ---- streaming twins -----------------------------------------------------------
+register("stream_rate_limit")(ST.stream_rate_limit)
+register("stream_metrics")(ST.stream_metrics)
+register("stream_session")(ST.stream_session)
+register("stream_dedupe")(ST.stream_dedupe)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.session import ensure_checkpoint_dir
 from kestrel.sources.model import Commerce
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,10 @@ def normalize_output(df: DataFrame) -> DataFrame:
 def register(name: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Zone-less timestamp maths and stream event times assume UTC.
+            if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ensure_checkpoint_dir(spark)
             return normalize_output(fn(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__

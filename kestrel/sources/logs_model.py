@@ -50,7 +50,11 @@ def response_json() -> F.Column:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Tables(spark, sf_dir).events
+    return request_log_from(Tables(spark, sf_dir).events)
+
+
+def request_log_from(e: DataFrame) -> DataFrame:
+    """The request-log mapping over an events DataFrame (batch or streaming)."""
     k = _k()
     et = F.col("event_type")
     log = e.select(
@@ -72,7 +76,10 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cv = Tables(spark, sf_dir).conversations
+    return session_lines_from(Tables(spark, sf_dir).conversations)
+
+
+def session_lines_from(cv: DataFrame) -> DataFrame:
     return cv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"),
                      F.concat(F.initcap(F.col("role")), F.lit(": "), F.col("text")).alias("line"),
                      "role", "text")
