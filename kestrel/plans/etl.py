@@ -41,8 +41,9 @@ def _money(c: str):
 
 
 def _place(df: DataFrame, prefix: str) -> DataFrame:
+    place = {f"{prefix}city", f"{prefix}state", f"{prefix}zip_code_prefix"}
     return df.select(
-        *[F.col(c) for c in df.columns if not c.startswith(prefix)],
+        *[F.col(c) for c in df.columns if c not in place],
         X.clean_city(F.col(f"{prefix}city")).alias("city"),
         X.clean_state(F.col(f"{prefix}state")).alias("state"),
         X.zfill(F.col(f"{prefix}zip_code_prefix"), 5).alias("zip_code_prefix"))
