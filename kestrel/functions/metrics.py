@@ -67,3 +67,38 @@ def month_start(ts) -> Column:
 
 def to_double(x) -> Column:
     return _c(x).cast("double")
+
+
+# Money travels through aggregations as integer cents (long): exact, and sums
+# stay on the fast fixed-width path (a decimal sum widens past 18 digits and
+# drops to BigDecimal arithmetic). Under ANSI mode an overflow raises.
+def _cents() -> Column:
+    return F.lit(100).cast("decimal(3,0)")
+
+
+def to_cents(money_col) -> Column:
+    """Exact cents of a 2-digit money value (at most 12 integer digits)."""
+    return (_c(money_col).cast("decimal(14,2)") * _cents()).cast("long")
+
+
+def cents_of(x) -> Column:
+    """Exact cents of a double amount, equal to ``to_cents(money(x))`` (HALF_UP).
+
+    Fast path: when x*100 lies within 1e-6 of an integer, HALF_UP rounding to
+    cents is that integer (far from any .5 tie), so ``rint`` on the double is
+    exact and stays in codegen'd primitive arithmetic. Any other value takes the
+    decimal cast."""
+    c = _c(x).cast("double") * 100.0
+    r = F.rint(c)
+    return F.when(F.abs(c - r) < 1e-6, r.cast("long")).otherwise(to_cents(money(x)))
+
+
+def freight_cents(price_cents, rate) -> Column:
+    """round(price x rate, 2) in cents, HALF_UP on integers (rate to 2 decimals first)."""
+    prod = _c(price_cents) * cents_of(rate)
+    return F.signum(prod).cast("long") * floor_div(F.abs(prod) + 50, F.lit(100))
+
+
+def from_cents(cents) -> Column:
+    """Cents back to exact money, decimal(38,2)."""
+    return (_c(cents).cast("decimal(20,0)") / _cents()).cast("decimal(38,2)")

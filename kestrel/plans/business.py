@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.functions import metrics as M
 from kestrel.functions.numeric import round_ratio
 from kestrel.functions.time import year_range
 from kestrel.operators.topk import desc_first, top_n
@@ -23,14 +24,14 @@ def total_orders(c: Commerce) -> DataFrame:
 
 
 def _revenue_per_product(c: Commerce) -> DataFrame:
-    return c.order_items().groupBy("product_id").agg(F.sum("revenue").alias("rev"))
+    return c.order_items().groupBy("product_id").agg(F.sum("revenue_cents").alias("rev"))
 
 
 def top_categories_raw(c: Commerce, n: int = 5) -> DataFrame:
     """Q2: top categories by revenue; the NULL category is kept as its own group."""
     prod = c.products().select("product_id", "category_name_en")
     per_cat = (_revenue_per_product(c).join(prod, "product_id")
-               .groupBy("category_name_en").agg(F.round(F.sum("rev"), 2).alias("revenue_brl")))
+               .groupBy("category_name_en").agg(M.from_cents(F.sum("rev")).alias("revenue_brl")))
     return top_n(per_cat, [desc_first("revenue_brl")], n,
                  [F.col("category_name_en").asc_nulls_first()])
 
@@ -120,9 +121,9 @@ def latest_year(c: Commerce) -> DataFrame:
 
 def seller_state_revenue(c: Commerce, n: int = 1) -> DataFrame:
     """Top seller state(s) by revenue of the items they sold."""
-    per_seller = c.order_items().groupBy("seller_id").agg(F.sum("revenue").alias("rev"))
+    per_seller = c.order_items().groupBy("seller_id").agg(F.sum("revenue_cents").alias("rev"))
     g = (per_seller.join(c.sellers().select("seller_id", "state"), "seller_id")
-         .groupBy("state").agg(F.round(F.sum("rev"), 2).alias("revenue_brl")))
+         .groupBy("state").agg(M.from_cents(F.sum("rev")).alias("revenue_brl")))
     return top_n(g, [desc_first("revenue_brl")], n, ["state"])
 
 

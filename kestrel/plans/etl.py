@@ -184,14 +184,15 @@ class CleanModel(ModelBase):
 
     def order_items(self):
         i = self.tables["order_items"]
-        return i.withColumn("revenue", M.revenue("price", "freight_value"))
+        return (i.withColumn("revenue", M.revenue("price", "freight_value"))
+                 .withColumn("revenue_cents", M.to_cents("price") + M.to_cents("freight_value")))
 
     def orders_base(self):
         return self.tables["orders"].withColumnRenamed("order_purchase_timestamp", "purchased_at")
 
     def orders(self, with_items_only: bool = False):
         how = "inner" if with_items_only else "left"
-        facts = self.order_facts().select("order_id", "n_items", "items_revenue")
+        facts = self.order_facts().select("order_id", "n_items", "items_revenue_cents")
         o = self.orders_base().join(facts, "order_id", how)
         return o.withColumn("n_items", F.coalesce(F.col("n_items"), F.lit(0)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.functions import metrics as M
 from kestrel.functions.numeric import round_ratio
 from kestrel.operators.topk import desc_first, top_n
 from kestrel.plans import marts
@@ -15,7 +16,7 @@ def kpi_row(c: Commerce) -> DataFrame:
     """One row: total_revenue, total_orders, total_customers, avg_delivery_days,
     latest_ts, avg_order_value. Each scalar is one aggregate pass over its table;
     the 1-row results are cross-joined (no data-sized side)."""
-    items = c.order_items().agg(F.round(F.sum("revenue"), 2).alias("total_revenue"))
+    items = c.order_facts().agg(M.from_cents(F.sum("items_revenue_cents")).alias("total_revenue"))
     orders = c.orders().agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.sum("delivery_days").alias("_dsum"),
@@ -85,7 +86,7 @@ def top_state_shares(c: Commerce, n: int = 10) -> DataFrame:
     """Top-n states by mart revenue with their share of KPI total revenue (%)."""
     states = top_n(marts.state_performance(c).select("state", "revenue_brl"),
                    [desc_first("revenue_brl")], n, ["state"])
-    total = c.order_items().agg(F.sum("revenue").alias("_total"))
+    total = c.order_facts().agg(M.from_cents(F.sum("items_revenue_cents")).alias("_total"))
     return states.crossJoin(total).select(
         "state", "revenue_brl",
         (F.col("revenue_brl").cast("double") / F.col("_total").cast("double") * 100.0).alias("share_pct"))

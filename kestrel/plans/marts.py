@@ -27,13 +27,17 @@ def revenue_by_month(c: Commerce) -> DataFrame:
     """
     o = c.orders(with_items_only=True).filter(F.col("purchased_at").isNotNull())
     per_cust_month = (o.groupBy(M.month_start("purchased_at").alias("month"), "customer_id")
-                       .agg(F.sum("items_revenue").alias("rev"), F.count(F.lit(1)).alias("n_orders")))
+                       .agg(F.sum("items_revenue_cents").alias("rev"), F.count(F.lit(1)).alias("n_orders")))
     cust = c.customers().select("customer_id", "customer_unique_id")
-    return (per_cust_month.join(cust, "customer_id")
-            .groupBy("month")
-            .agg(F.round(F.sum("rev"), 2).alias("revenue_brl"),
+    # Distinct customers per month as a second grouping level (one row per
+    # month and person), instead of an Expand-based distinct aggregate.
+    per_person = (per_cust_month.join(cust, "customer_id")
+                  .groupBy("month", "customer_unique_id")
+                  .agg(F.sum("rev").alias("rev"), F.sum("n_orders").alias("n_orders")))
+    return (per_person.groupBy("month")
+            .agg(M.from_cents(F.sum("rev")).alias("revenue_brl"),
                  F.sum("n_orders").alias("orders"),
-                 F.count_distinct("customer_unique_id").alias("unique_customers")))
+                 F.count(F.col("customer_unique_id")).alias("unique_customers")))
 
 
 def _item_review_weights(c: Commerce) -> DataFrame:
@@ -43,11 +47,11 @@ def _item_review_weights(c: Commerce) -> DataFrame:
     so revenue and counts are weighted by k, and score sums are per item.
     """
     rs = c.review_stats().select("order_id", "n_reviews", "score_sum", "score_n")
-    items = c.order_items().select("order_id", "product_id", "revenue")
+    items = c.order_items().select("order_id", "product_id", "revenue_cents")
     w = F.greatest(F.coalesce(F.col("n_reviews"), F.lit(0)), F.lit(1))
     return (items.join(rs, "order_id", "left")
                  .select("product_id",
-                         (F.col("revenue") * w).alias("w_revenue"),
+                         (F.col("revenue_cents") * w).alias("w_revenue"),
                          w.alias("w_items"),
                          F.coalesce(F.col("score_sum"), F.lit(0)).alias("score_sum"),
                          F.coalesce(F.col("score_n"), F.lit(0)).alias("score_n")))
@@ -62,7 +66,7 @@ def revenue_by_category(c: Commerce) -> DataFrame:
     cat = F.coalesce(F.col("category_name_en"), F.lit(UNCATEGORISED))
     return (per_product.join(prod, "product_id")
             .groupBy(cat.alias("category"))
-            .agg(F.round(F.sum("rev"), 2).alias("revenue_brl"),
+            .agg(M.from_cents(F.sum("rev")).alias("revenue_brl"),
                  F.sum("items").alias("items_sold"),
                  F.sum("ssum").alias("ssum"), F.sum("sn").alias("sn"))
             .select("category", "revenue_brl", "items_sold",
@@ -79,7 +83,7 @@ def state_performance(c: Commerce) -> DataFrame:
     n = F.col("n_items")
     per_cust = (o.groupBy("customer_id")
                 .agg(F.count(F.lit(1)).alias("orders"),
-                     F.sum("items_revenue").alias("rev"),
+                     F.sum("items_revenue_cents").alias("rev"),
                      F.sum(F.when(~F.col("is_late"), n).otherwise(0)).alias("on_time_items"),
                      F.sum(n).alias("rated_items"),
                      F.sum(n * F.col("delivery_days")).alias("day_sum"),
@@ -88,7 +92,7 @@ def state_performance(c: Commerce) -> DataFrame:
     per_state = (per_cust.join(cust, "customer_id")
                  .groupBy("state")
                  .agg(F.sum("orders").alias("orders"),
-                      F.round(F.sum("rev"), 2).alias("revenue_brl"),
+                      M.from_cents(F.sum("rev")).alias("revenue_brl"),
                       F.sum("on_time_items").alias("on_time_items"),
                       F.sum("rated_items").alias("rated_items"),
                       F.sum("day_sum").alias("day_sum"),

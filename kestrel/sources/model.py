@@ -52,11 +52,11 @@ class ModelBase:
         raise NotImplementedError
 
     def order_facts(self) -> DataFrame:
-        """One row per order that has items: item count, item revenue, delivery date."""
+        """One row per order that has items: item count, item revenue (cents), delivery date."""
         return (self.order_items()
                 .groupBy("order_id")
                 .agg(F.count(F.lit(1)).alias("n_items"),
-                     F.sum("revenue").alias("items_revenue"),
+                     F.sum("revenue_cents").alias("items_revenue_cents"),
                      F.max("shipping_limit_date").alias("last_item_at")))
 
     def review_stats(self) -> DataFrame:
@@ -119,6 +119,8 @@ class Commerce(ModelBase):
             price.alias("price"),
             freight.alias("freight_value"),
             M.revenue(price, freight).alias("revenue"),
+            (M.cents_of(F.col("l_extendedprice"))
+             + M.freight_cents(M.cents_of(F.col("l_extendedprice")), F.col("l_tax"))).alias("revenue_cents"),
         )
 
     def orders_base(self) -> DataFrame:
@@ -142,7 +144,7 @@ class Commerce(ModelBase):
             M.delivery_days("purchased_at", "delivered_at").alias("delivery_days"),
             M.is_late("delivered_at", "estimated_at").alias("is_late"),
             F.coalesce(F.col("n_items"), F.lit(0)).alias("n_items"),
-            "items_revenue",
+            "items_revenue_cents",
         )
 
     def _event_k(self) -> F.Column:

@@ -122,3 +122,13 @@ def test_exact_arithmetic_on_decimals(spark):
     r = df.select(F.round(a * b, 2).alias("m"), F.round(a / b, 2).alias("d")).collect()
     assert str(r[0]["m"]) == "1189665.13"
     assert str(r[1]["d"]) == "2.50"
+
+
+def test_fast_cents_equal_decimal_path(spark):
+    vals = [0.01, 2.345, 0.005, 1234.56, 99999.99, 1.0000001, 12.5, -3.455, 1e9 + 0.01, None]
+    taxes = [0.0, 0.08, 0.075, 0.05, 0.01, 0.02, 0.04, 0.06, 0.07, 0.03]
+    df = spark.createDataFrame(list(zip(vals, taxes)), "p double, t double")
+    fast = (M.cents_of("p") + M.freight_cents(M.cents_of("p"), "t")).alias("fast")
+    slow = (M.to_cents(M.money("p")) + M.to_cents(M.freight_from_rate("p", "t"))).alias("slow")
+    rows = df.select(fast, slow).collect()
+    assert [r["fast"] for r in rows] == [r["slow"] for r in rows]
