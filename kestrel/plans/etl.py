@@ -19,10 +19,10 @@ from kestrel.functions import text as X
 from kestrel.functions.time import lenient_timestamp
 from kestrel.operators.dedupe import keep_first
 from kestrel.operators.impute import impute_group_then_global
-from kestrel.operators.integrity import fk_cascade, validate_counts
+from kestrel.operators.integrity import fk_cascade
 from kestrel.operators.rollup import modal_rollup
 from kestrel.sources.model import ModelBase
-from kestrel.sources.raw import FILE_ORDER, read_raw, write_table
+from kestrel.sources.raw import FILE_ORDER, read_raw
 from kestrel.sources.tables import Tables
 
 DIM_COLS = ["product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"]
@@ -143,23 +143,15 @@ def build_all(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
     return fk_cascade(tables)
 
 
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
-    parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
-             for n, df in tables.items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def run_etl(spark: SparkSession, raw_dir: str, out_dir: str) -> DataFrame:
     """Build -> FK cascade -> write in dependency order -> validate -> views.
 
-    Each table is written once; the expected counts are taken from the written
-    files' source plans, the actual counts from reading the files back, so the
-    report shows any loss between the two. Returns the validation report."""
+    Each table is computed once: its expected row count is observed during the
+    write, the actual count read back from the files. Returns the report."""
+    from kestrel.plans.quality import write_and_validate
     tables = build_all(spark, raw_dir)
-    for name in LOAD_ORDER:
-        write_table(tables[name], os.path.join(out_dir, name))
+    report = write_and_validate(spark, {n: tables[n] for n in LOAD_ORDER}, out_dir)
     loaded = {n: spark.read.parquet(os.path.join(out_dir, n)) for n in LOAD_ORDER}
-    report = validate_counts(spark, _counts({n: tables[n] for n in LOAD_ORDER}), _counts(loaded))
     for n, df in loaded.items():
         df.createOrReplaceTempView(n)
     from kestrel.plans.marts import register_marts

@@ -6,7 +6,7 @@ import os
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.operators.integrity import fk_report, length_check, pk_check, profile, validate_counts
@@ -50,18 +50,28 @@ def fk_report_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the cleaned tables to the shared scratch folder, read back, compare counts."""
+    """Write the cleaned tables to the shared scratch folder, read back, compare counts.
+
+    The expected count of each table is observed while it is written
+    (``DataFrame.observe``), so every table is computed once."""
     builders = {
         "customers": etl.clean_customers_driver, "sellers": etl.clean_sellers_driver,
         "orders": etl.clean_orders_driver, "order_items": etl.clean_items_driver,
         "order_payments": etl.clean_payments_driver, "order_reviews": etl.clean_reviews_driver,
     }
     root = scratch_path(spark, f"load-{uuid.uuid4().hex[:12]}")
+    tables = {name: build(spark, sf_dir) for name, build in builders.items()}
+    return write_and_validate(spark, tables, root)
+
+
+def write_and_validate(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> DataFrame:
+    """Write each table (observing its row count), read it back, report OK/MISMATCH."""
     expected, actual = [], []
-    for name, build in builders.items():
-        df = build(spark, sf_dir)
-        path = write_table(df, os.path.join(root, name))
-        expected.append(df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
+    for name, df in tables.items():
+        obs = Observation(f"rows_{name}")
+        path = write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), os.path.join(root, name))
+        expected.append((name, int(obs.get["rows"])))
         back = spark.read.parquet(path)
         actual.append(back.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
-    return validate_counts(spark, reduce(DataFrame.unionByName, expected), reduce(DataFrame.unionByName, actual))
+    exp_df = spark.createDataFrame(expected, "table_name string, row_count long")
+    return validate_counts(spark, exp_df, reduce(DataFrame.unionByName, actual))
