@@ -36,11 +36,12 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = build_session(f"local[{cpus}]", cpus * 2, app_name="kestrel-bench",
-                          extra={"spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+                          extra={"spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     qs = all_queries()
+    names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     times: dict[str, float] = {}
-    for name in HEADLINE:
+    for name in names:
         runs = []
         for _ in range(repeat):
             t0 = time.perf_counter()

@@ -21,6 +21,14 @@ def floor_div(a, b) -> Column:
     return int_div(a - F.pmod(a, b), b)
 
 
+def round_ratio_spark_sql(num: str, den: str, digits: int = 2) -> str:
+    """Spark SQL text of :func:`round_ratio` for column references."""
+    scale = 10 ** digits
+    n, d = f"CAST({num} AS BIGINT)", f"nullif(CAST({den} AS BIGINT), 0L)"
+    return (f"(CAST(signum({n}) * ((abs({n}) * {2 * scale}L + {d}) div ({d} * 2L)) AS DOUBLE) "
+            f"/ {float(scale)}D)")
+
+
 def round_ratio(num, den, digits: int = 2) -> Column:
     """``round(num / den, digits)`` with HALF_UP (away from zero), exact.
 
@@ -29,6 +37,8 @@ def round_ratio(num, den, digits: int = 2) -> Column:
     rounded quotient on integers, then converts once to double. NULL when
     ``den`` is 0 or NULL (the NULLIF rule).
     """
+    if isinstance(num, str) and isinstance(den, str):
+        return F.expr(round_ratio_spark_sql(f"`{num}`", f"`{den}`", digits))
     num = _c(num).cast("long")
     den = F.nullif(_c(den).cast("long"), F.lit(0))
     scale = 10 ** digits

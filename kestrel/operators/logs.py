@@ -179,42 +179,46 @@ def rate_limit_breaches(log: DataFrame, ts: str, key: Column, limit: int,
 
 
 # ---- token usage from model responses -----------------------------------------
-def _num(json_col: Column, path: str) -> Column:
-    return F.coalesce(F.get_json_object(json_col, path).try_cast("long"), F.lit(0))
+# The response shapes read, parsed once per row into one struct.
+RESPONSE_SCHEMA = (
+    "struct<llm_output:struct<token_usage:map<string,string>,usage:map<string,string>>,"
+    "generations:array<array<struct<message:struct<usage_metadata:map<string,string>,"
+    "response_metadata:struct<token_usage:map<string,string>,usage:map<string,string>>>>>>>")
 
 
-def token_usage(json_col) -> tuple[Column, Column]:
+def token_usage_sql(json_ref: str) -> tuple[str, str]:
+    """Spark SQL text of (prompt, completion) tokens for a JSON column reference."""
+    p = f"from_json({json_ref}, '{RESPONSE_SCHEMA}')"
+
+    def present(m: str) -> str:
+        return f"(CASE WHEN size({m}) > 0 THEN {m} END)"
+
+    def num(m: str, k: str) -> str:
+        return f"coalesce(CAST(try_cast({m}['{k}'] AS DOUBLE) AS BIGINT), 0L)"
+
+    top = f"coalesce({present(p + '.llm_output.token_usage')}, {present(p + '.llm_output.usage')})"
+    rm = ("coalesce(" + present("g.message.response_metadata.token_usage") + ", "
+          + present("g.message.response_metadata.usage") + ")")
+
+    def per_generation(k_um: str, k_rm: str) -> str:
+        body = (f"CASE WHEN size(g.message.usage_metadata) > 0 THEN {num('g.message.usage_metadata', k_um)} "
+                f"ELSE {num(rm, k_rm)} END")
+        return f"coalesce(aggregate(flatten({p}.generations), 0L, (acc, g) -> acc + {body}), 0L)"
+
+    prompt = (f"CASE WHEN {top} IS NOT NULL THEN {num(top, 'prompt_tokens')} "
+              f"ELSE {per_generation('input_tokens', 'prompt_tokens')} END")
+    completion = (f"CASE WHEN {top} IS NOT NULL THEN {num(top, 'completion_tokens')} "
+                  f"ELSE {per_generation('output_tokens', 'completion_tokens')} END")
+    return prompt, completion
+
+
+def token_usage(json_col: str) -> tuple[Column, Column]:
     """(prompt, completion) tokens of one response JSON, first matching shape wins.
 
     1. ``llm_output.token_usage`` or else ``llm_output.usage`` (prompt_tokens / completion_tokens);
     2. otherwise per generation message: ``usage_metadata`` (input_tokens / output_tokens),
        else ``response_metadata.token_usage`` or ``.usage``; summed over generations.
-    Missing pieces count 0."""
-    j = F.col(json_col) if isinstance(json_col, str) else json_col
-    def present(path: str) -> Column:
-        v = F.get_json_object(j, path)
-        return F.when(~v.isin("{}", "null", "0", "\"\"", "[]"), v)
-
-    top = F.coalesce(present("$.llm_output.token_usage"), present("$.llm_output.usage"))
-    msg_schema = ("array<array<struct<message:struct<usage_metadata:map<string,string>,"
-                  "response_metadata:struct<token_usage:map<string,string>,usage:map<string,string>>>>>>")
-    gens = F.from_json(F.get_json_object(j, "$.generations"), msg_schema)
-    flat = F.flatten(F.coalesce(gens, F.array().cast(msg_schema)))
-
-    def per_msg(key_um: str, key_rm: str):
-        def f(g):
-            um = g["message"]["usage_metadata"]
-            rm = F.coalesce(F.when(F.size(g["message"]["response_metadata"]["token_usage"]) > 0,
-                                   g["message"]["response_metadata"]["token_usage"]),
-                            g["message"]["response_metadata"]["usage"])
-            v = F.when(F.size(um) > 0, um[key_um].try_cast("long")).otherwise(rm[key_rm].try_cast("long"))
-            return F.coalesce(v, F.lit(0).cast("long"))
-        return f
-
-    gen_p = F.aggregate(F.transform(flat, per_msg("input_tokens", "prompt_tokens")), F.lit(0).cast("long"),
-                        lambda a, b: a + b)
-    gen_c = F.aggregate(F.transform(flat, per_msg("output_tokens", "completion_tokens")), F.lit(0).cast("long"),
-                        lambda a, b: a + b)
-    prompt = F.when(top.isNotNull(), _num(top, "$.prompt_tokens")).otherwise(gen_p)
-    completion = F.when(top.isNotNull(), _num(top, "$.completion_tokens")).otherwise(gen_c)
-    return prompt, completion
+    Empty objects count as absent, missing pieces as 0. The JSON is parsed
+    once per row (``from_json``; the parse is shared by both outputs)."""
+    p, c = token_usage_sql(f"`{json_col}`")
+    return F.expr(p), F.expr(c)

@@ -35,8 +35,7 @@ def guarded_adhoc(spark: SparkSession, sf_dir: str, query: str = ADHOC_SQL,
 
 
 def rates_table(spark: SparkSession) -> DataFrame:
-    rows = [(F_date, f, t, r) for F_date, f, t, r in RATE_QUOTES]
-    return spark.createDataFrame(rows, "date string, from_ccy string, to_ccy string, rate double") \
+    return spark.createDataFrame(RATE_QUOTES, "date string, from_ccy string, to_ccy string, rate double") \
                 .withColumn("date", F.to_date("date"))
 
 

@@ -17,8 +17,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
-    # Broadcast only what is measured below 32 MB at runtime.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Static plans broadcast only below 10 MB of estimated (file-size based)
+    # input; AQE may convert a join to broadcast when the side it actually
+    # measured after a shuffle is below 32 MB.
+    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.operators.logs import token_usage
+from kestrel.operators.logs import token_usage_sql
 from kestrel.sources.tables import Tables
 
 # Response JSON templates per event type (k, k div 2).
@@ -37,16 +37,30 @@ NO_USAGE = "{}"
 SEQ_STRIDE = 1_000_000
 
 
+_K = "CAST(get_json_object(props, '$.k') AS INT)"
+
+
 def _k():
-    return F.get_json_object(F.col("props"), "$.k").cast("int")
+    return F.expr(_K)
 
 
-def response_json() -> F.Column:
-    k, half = _k(), F.floor(_k() / 2).cast("int")
-    expr = F.lit(NO_USAGE)
+def response_json_sql() -> str:
+    """SQL text building the response JSON per event (concat, not a formatter)."""
+    k, half = f"CAST({_K} AS STRING)", f"CAST(floor({_K} / 2) AS STRING)"
+    branches = []
     for et, tmpl in RESPONSE_SHAPES.items():
-        expr = F.when(F.col("event_type") == et, F.format_string(tmpl, k, half)).otherwise(expr)
-    return expr
+        a, b, c = tmpl.split("%d")
+        parts = ", ".join([_lit(a), k, _lit(b), half, _lit(c)])
+        branches.append(f"WHEN event_type = '{et}' THEN concat({parts})")
+    return f"CASE {' '.join(branches)} ELSE {_lit(NO_USAGE)} END"
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def response_json() -> F.Column:
+    return F.expr(response_json_sql())
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,24 +69,19 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_log_from(e: DataFrame) -> DataFrame:
     """The request-log mapping over an events DataFrame (batch or streaming)."""
-    k = _k()
-    et = F.col("event_type")
-    log = e.select(
-        "ts", F.col("event_id").alias("request_id"), "user_id", "event_type",
-        F.when(et.isin("view", "error"), F.lit(None)).otherwise(
-            F.concat(F.lit("key-"), F.col("user_id").cast("string"))).alias("api_key"),
-        F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 256).cast("string"), F.lit("."),
-                 F.pmod(F.col("user_id"), F.lit(256)).cast("string")).alias("ip"),
-        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),
-        (et == "error").alias("failed"),
-        (et == "view").alias("cached"),
-        ((et == "click") & (F.pmod(k, F.lit(10)) == 0)).alias("blocked"),
-        ((et == "error") & (F.pmod(k, F.lit(2)) == 1)).alias("sql_error"),
-        F.round(F.col("value")).cast("long").alias("latency_ms"),
-        response_json().alias("response"),
-    )
-    p, c = token_usage(F.col("response"))
-    return log.withColumn("prompt_tokens", p).withColumn("completion_tokens", c)
+    p, c = token_usage_sql("response")
+    log = e.selectExpr(
+        "ts", "event_id AS request_id", "user_id", "event_type",
+        "CASE WHEN event_type IN ('view', 'error') THEN NULL ELSE concat('key-', CAST(user_id AS STRING)) END AS api_key",
+        "concat('10.0.', CAST(floor(user_id / 256) AS STRING), '.', CAST(pmod(user_id, 256) AS STRING)) AS ip",
+        "concat('s', CAST(user_id AS STRING)) AS session_id",
+        "event_type = 'error' AS failed",
+        "event_type = 'view' AS cached",
+        f"event_type = 'click' AND pmod({_K}, 10) = 0 AS blocked",
+        f"event_type = 'error' AND pmod({_K}, 2) = 1 AS sql_error",
+        "CAST(round(value) AS BIGINT) AS latency_ms",
+        f"{response_json_sql()} AS response")
+    return log.selectExpr("*", f"{p} AS prompt_tokens", f"{c} AS completion_tokens")
 
 
 def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,11 +38,27 @@ NO_CATEGORY_TYPE = "PROMO"
 NO_PAYMENT_TYPE = "error"
 
 
+def memo(fn):
+    """Cache a model table per instance and arguments: one query builds each
+    derived DataFrame once, however many plans reuse it (same plan object, so
+    Spark can also reuse its exchanges)."""
+    def wrapper(self, *args, **kw):
+        cache = self.__dict__.setdefault("_memo", {})
+        key = (fn.__name__, args, tuple(sorted(kw.items())))
+        if key not in cache:
+            cache[key] = fn(self, *args, **kw)
+        return cache[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 class ModelBase:
     """Derived per-order tables shared by every model implementation.
 
-    A model provides customers(), sellers(), products(), order_items() (with a
-    ``revenue`` column), orders_base(), orders(), payments() and reviews().
+    A model provides customers(), sellers(), products(), order_items() (with
+    ``revenue`` and ``revenue_cents``), orders_base(), orders(), payments() and
+    reviews().
     """
 
     def order_items(self) -> DataFrame:  # pragma: no cover - interface
@@ -51,6 +67,7 @@ class ModelBase:
     def reviews(self) -> DataFrame:  # pragma: no cover - interface
         raise NotImplementedError
 
+    @memo
     def order_facts(self) -> DataFrame:
         """One row per order that has items: item count, item revenue (cents), delivery date."""
         return (self.order_items()
@@ -59,6 +76,7 @@ class ModelBase:
                      F.sum("revenue_cents").alias("items_revenue_cents"),
                      F.max("shipping_limit_date").alias("last_item_at")))
 
+    @memo
     def review_stats(self) -> DataFrame:
         """One row per reviewed order: review count, score sum/count, 5-star count."""
         return (self.reviews().groupBy("order_id")
@@ -68,103 +86,84 @@ class ModelBase:
                      F.count_if(F.col("review_score") == 5).alias("n_five")))
 
 
+_K = "CAST(get_json_object(props, '$.k') AS INT)"
+
+
 class Commerce(ModelBase):
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, tables=None):
+        """``tables`` overrides where the driver tables come from (e.g. the
+        bucketed catalog layout in kestrel.sources.layout)."""
         self.spark = spark
         self.sf_dir = sf_dir
-        self.t = Tables(spark, sf_dir)
+        self.t = tables if tables is not None else Tables(spark, sf_dir)
 
     # ---- dimensions -------------------------------------------------
+    @memo
     def nations(self) -> DataFrame:
-        return self.t.nation.select("n_nationkey", F.col("n_name").alias("state"))
+        return self.t.nation.selectExpr("n_nationkey", "n_name AS state")
 
+    @memo
     def customers(self) -> DataFrame:
         c = self.t.customer
         return (c.join(self.nations(), c.c_nationkey == F.col("n_nationkey"), "left")
-                 .select(F.col("c_custkey").alias("customer_id"),
-                         F.col("c_custkey").alias("customer_unique_id"),
-                         F.col("c_name").alias("city"),
-                         "state",
-                         F.col("c_mktsegment").alias("segment")))
+                 .selectExpr("c_custkey AS customer_id", "c_custkey AS customer_unique_id",
+                             "c_name AS city", "state", "c_mktsegment AS segment"))
 
+    @memo
     def sellers(self) -> DataFrame:
         s = self.t.supplier
         return (s.join(self.nations(), s.s_nationkey == F.col("n_nationkey"), "left")
-                 .select(F.col("s_suppkey").alias("seller_id"),
-                         F.col("s_name").alias("city"),
-                         "state"))
+                 .selectExpr("s_suppkey AS seller_id", "s_name AS city", "state"))
 
+    @memo
     def products(self) -> DataFrame:
-        p = self.t.part
-        return p.select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_type").alias("category_name_pt"),
-            F.nullif(F.col("p_type"), F.lit(NO_CATEGORY_TYPE)).alias("category_name_en"),
-            F.col("p_brand").alias("brand"),
-            F.col("p_size").alias("size"),
-            F.col("p_retailprice").alias("retail_price"),
-        )
+        return self.t.part.selectExpr(
+            "p_partkey AS product_id", "p_type AS category_name_pt",
+            f"nullif(p_type, '{NO_CATEGORY_TYPE}') AS category_name_en",
+            "p_brand AS brand", "p_size AS size", "p_retailprice AS retail_price")
 
     # ---- facts ------------------------------------------------------
+    @memo
     def order_items(self) -> DataFrame:
-        li = self.t.lineitem
-        price = M.money(F.col("l_extendedprice"))
-        freight = M.freight_from_rate(F.col("l_extendedprice"), F.col("l_tax"))
-        return li.select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("order_item_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("seller_id"),
-            F.col("l_shipdate").alias("shipping_limit_date"),
-            price.alias("price"),
-            freight.alias("freight_value"),
-            M.revenue(price, freight).alias("revenue"),
-            (M.cents_of(F.col("l_extendedprice"))
-             + M.freight_cents(M.cents_of(F.col("l_extendedprice")), F.col("l_tax"))).alias("revenue_cents"),
+        price_cents = M.cents_of_sql("l_extendedprice")
+        return self.t.lineitem.selectExpr(
+            "l_orderkey AS order_id", "l_linenumber AS order_item_id",
+            "l_partkey AS product_id", "l_suppkey AS seller_id",
+            "l_shipdate AS shipping_limit_date",
+            f"{M.money_sql('l_extendedprice')} AS price",
+            f"{M.freight_sql('l_extendedprice', 'l_tax')} AS freight_value",
+            f"{M.money_sql('l_extendedprice')} + {M.freight_sql('l_extendedprice', 'l_tax')} AS revenue",
+            f"{price_cents} + {M.freight_cents_sql(price_cents, 'l_tax')} AS revenue_cents",
         )
 
+    @memo
     def orders_base(self) -> DataFrame:
-        o = self.t.orders
-        return o.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderstatus").alias("order_status"),
-            F.col("o_orderdate").alias("purchased_at"),
-            M.estimated_delivery(F.col("o_orderdate")).alias("estimated_at"),
-        )
+        return self.t.orders.selectExpr(
+            "o_orderkey AS order_id", "o_custkey AS customer_id", "o_orderstatus AS order_status",
+            "o_orderdate AS purchased_at", f"{M.estimated_sql('o_orderdate')} AS estimated_at")
 
+    @memo
     def orders(self, with_items_only: bool = False) -> DataFrame:
         """Orders with derived delivery columns (and their per-order item facts)."""
         how = "inner" if with_items_only else "left"
         o = (self.orders_base()
              .join(self.order_facts().withColumnRenamed("last_item_at", "delivered_at"), "order_id", how))
-        return o.select(
-            "order_id", "customer_id", "order_status", "purchased_at", "estimated_at",
-            "delivered_at",
-            M.delivery_days("purchased_at", "delivered_at").alias("delivery_days"),
-            M.is_late("delivered_at", "estimated_at").alias("is_late"),
-            F.coalesce(F.col("n_items"), F.lit(0)).alias("n_items"),
-            "items_revenue_cents",
-        )
-
-    def _event_k(self) -> F.Column:
-        return F.get_json_object(F.col("props"), "$.k").cast("int")
+        return o.selectExpr(
+            "order_id", "customer_id", "order_status", "purchased_at", "estimated_at", "delivered_at",
+            f"{M.delivery_days_sql('purchased_at', 'delivered_at')} AS delivery_days",
+            f"{M.is_late_sql('delivered_at', 'estimated_at')} AS is_late",
+            "coalesce(n_items, 0L) AS n_items", "items_revenue_cents")
 
+    @memo
     def payments(self) -> DataFrame:
-        e = self.t.events
-        return e.select(
-            F.col("user_id").alias("order_id"),
-            F.col("event_id").alias("payment_sequential"),
-            F.nullif(F.col("event_type"), F.lit(NO_PAYMENT_TYPE)).alias("payment_type"),
-            (F.pmod(self._event_k(), F.lit(12)) + 1).alias("payment_installments"),
-            M.money(F.col("value")).alias("payment_value"),
-        )
+        return self.t.events.selectExpr(
+            "user_id AS order_id", "event_id AS payment_sequential",
+            f"nullif(event_type, '{NO_PAYMENT_TYPE}') AS payment_type",
+            f"pmod({_K}, 12) + 1 AS payment_installments",
+            f"{M.money_sql('value')} AS payment_value")
 
+    @memo
     def reviews(self) -> DataFrame:
-        e = self.t.events
-        return e.select(
-            F.col("event_id").alias("review_id"),
-            F.col("user_id").alias("order_id"),
-            (F.pmod(self._event_k(), F.lit(5)) + 1).alias("review_score"),
-            F.col("ts").alias("review_creation_date"),
-        )
+        return self.t.events.selectExpr(
+            "event_id AS review_id", "user_id AS order_id",
+            f"pmod({_K}, 5) + 1 AS review_score", "ts AS review_creation_date")
