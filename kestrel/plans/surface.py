@@ -14,7 +14,7 @@ from kestrel.sources.tables import register_views
 
 # The ad-hoc statement the guarded surface runs in the registered check.
 ADHOC_SQL = """
-SELECT n.n_name AS state, COUNT(*) AS orders, ROUND(SUM(o.o_totalprice), 2) AS order_value
+SELECT n.n_name AS state, COUNT(*) AS orders, ROUND(SUM(CAST(o.o_totalprice AS DECIMAL(12,2))), 2) AS order_value
 FROM orders o
 JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
