@@ -136,3 +136,12 @@ def test_request_metrics_and_cost(spark):
     assert (m["guardrail_blocks"], m["sql_errors"], m["total_tokens"]) == (1, 1, 165)
     assert float(m["cost"]) == round(110 / 1e6 * 0.05 + 55 / 1e6 * 0.10, 6)
     assert F is not None
+
+
+def test_duplicate_rows_exact(spark):
+    from kestrel.operators.integrity import duplicate_rows, profile
+    rows = [(1, "a", None), (1, "a", None), (1, "a", None), (None, "a", 1), (1, None, None), (2, "b", 3)]
+    df = spark.createDataFrame(rows, "x int, y string, z int")
+    assert duplicate_rows(df).collect()[0]["duplicate_rows"] == 2
+    p = profile(df, "t").collect()[0]
+    assert (p["rows"], p["cols"], p["null_cells"], p["duplicate_rows"]) == (6, 3, 6, 2)
