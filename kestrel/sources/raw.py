@@ -124,9 +124,23 @@ GOLDEN_SCHEMA = T.StructType([
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Golden cases from a JSON file whose top level is a list."""
-    df = spark.read.schema(GOLDEN_SCHEMA).option("multiLine", True).json(path)
-    return df
+    """Golden cases from a YAML or JSON file whose top level is a list.
+
+    The case file is a small configuration (tens of cases), read on the
+    driver and turned into a DataFrame that is joined to the answers."""
+    import json
+    with open(path, encoding="utf-8") as fh:
+        text = fh.read()
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+        data = yaml.safe_load(text) or []
+    else:
+        data = json.loads(text) if text.strip() else []
+    if not isinstance(data, list):
+        raise ValueError(f"{path} must contain a list at the top level")
+    rows = [(str(c["id"]), c.get("question"), [str(x) for x in (c.get("contains") or [])],
+             c.get("max_latency_ms")) for c in data]
+    return spark.createDataFrame(rows, GOLDEN_SCHEMA)
 
 
 def write_report(df: DataFrame, path: str) -> str:
