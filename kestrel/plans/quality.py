@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -64,14 +65,22 @@ def load_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_validate(spark, tables, root)
 
 
-def write_and_validate(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> DataFrame:
-    """Write each table (observing its row count), read it back, report OK/MISMATCH."""
-    expected, actual = [], []
-    for name, df in tables.items():
+def write_and_validate(spark: SparkSession, tables: dict[str, DataFrame], root: str,
+                       parallel: int = 4) -> DataFrame:
+    """Write each table (observing its row count), read it back, report OK/MISMATCH.
+
+    The tables are independent, so their write jobs are submitted from a few
+    driver threads at once and the scheduler overlaps them."""
+    def load(item):
+        name, df = item
         obs = Observation(f"rows_{name}")
         path = write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), os.path.join(root, name))
-        expected.append((name, int(obs.get["rows"])))
-        back = spark.read.parquet(path)
-        actual.append(back.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
+        return name, int(obs.get["rows"]), path
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(tables)))) as pool:
+        done = list(pool.map(load, tables.items()))
+    expected = [(name, rows) for name, rows, _ in done]
+    actual = [spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
+              .select(F.lit(name).alias("table_name"), "row_count") for name, _, path in done]
     exp_df = spark.createDataFrame(expected, "table_name string, row_count long")
     return validate_counts(spark, exp_df, reduce(DataFrame.unionByName, actual))
