@@ -109,3 +109,21 @@ def register_marts(c: Commerce) -> None:
     revenue_by_month(c).createOrReplaceTempView("mart_revenue_by_month")
     revenue_by_category(c).createOrReplaceTempView("mart_revenue_by_category")
     state_performance(c).createOrReplaceTempView("mart_state_performance")
+
+
+def materialize_marts(c, out_dir: str) -> dict:
+    """Write the three marts as Parquet (a materialised semantic layer) and
+    return them read back, registered as views. Refreshing is rerunning this
+    on the caller's schedule; readers see the last completed write."""
+    from kestrel.sources.raw import write_table
+    spark = c.spark if hasattr(c, "spark") else None
+    built = {"mart_revenue_by_month": revenue_by_month(c),
+             "mart_revenue_by_category": revenue_by_category(c),
+             "mart_state_performance": state_performance(c)}
+    out = {}
+    for name, df in built.items():
+        path = write_table(df, f"{out_dir}/{name}")
+        spark = spark or df.sparkSession
+        out[name] = spark.read.parquet(path)
+        out[name].createOrReplaceTempView(name)
+    return out

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.session import ensure_checkpoint_dir
@@ -21,17 +20,20 @@ _REGISTRY: dict[str, QueryFn] = {}
 
 
 def normalize_output(df: DataFrame) -> DataFrame:
-    cols = []
+    """One projection (a single ``selectExpr``) converting output types."""
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        ref = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
+            e = f"CAST({ref} AS DOUBLE)"
         elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            e = f"date_format({ref}, 'yyyy-MM-dd')"
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            e = f"date_format({ref}, 'yyyy-MM-dd HH:mm:ss')"
+        else:
+            e = ref
+        exprs.append(f"{e} AS {ref}")
+    return df.selectExpr(*exprs)
 
 
 def register(name: str):

@@ -151,3 +151,33 @@ def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> Da
           .select("user_id", "event_type"))
     out = _run_versioned(d, "dedupe", "append")
     return spark.read.parquet(out).select("user_id", "event_type").distinct()
+
+
+QUANTILES = (0.5, 0.95, 0.99)
+
+
+def _quantile_cols():
+    qs = F.percentile_approx("latency_ms", list(QUANTILES), 10000).alias("_q")
+    return [F.count(F.lit(1)).alias("requests"), qs]
+
+
+def _flatten_quantiles(df: DataFrame) -> DataFrame:
+    return df.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "requests",
+                     *[F.col("_q")[i].alias(f"p{int(q * 100)}_latency_ms") for i, q in enumerate(QUANTILES)])
+
+
+def latency_quantiles_batch(spark: SparkSession, sf_dir: str, window: str = "10 minutes") -> DataFrame:
+    """Batch twin: approximate latency quantiles per tumbling window."""
+    log = _event_time(LM.request_log(spark, sf_dir))
+    return _flatten_quantiles(log.groupBy(F.window("ts", window).alias("w")).agg(*_quantile_cols()))
+
+
+def stream_latency_quantiles(spark: SparkSession, sf_dir: str, window: str = "10 minutes") -> DataFrame:
+    """Per tumbling window: request count and p50/p95/p99 latency (``percentile_approx``,
+    whose buffer is a bounded sketch kept in the state store)."""
+    log = _event_time(LM.request_log_from(table_stream(spark, sf_dir, "events")))
+    per = log.withWatermark("ts", WATERMARK).groupBy(F.window("ts", window).alias("w")).agg(*_quantile_cols())
+    out = _run_versioned(_flatten_quantiles(per), "latency-quantiles", "update")
+    schema = T.StructType([T.StructField("window_start", T.TimestampNTZType()), T.StructField("requests", T.LongType())]
+                          + [T.StructField(f"p{int(q * 100)}_latency_ms", T.LongType()) for q in QUANTILES])
+    return _latest(spark, out, ["window_start"], schema)
