@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     child: str
@@ -67,13 +71,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     64-bit hashes) to find fingerprints seen more than once; phase 2 groups
     the full rows of just those candidates, so hash collisions cannot
     miscount. With few duplicates, phase 2 touches a sliver of the table."""
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    fp = df.select(F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2"), *cols)
-    dup_fp = (fp.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > 1).select("_h1", "_h2"))
+    refs = ", ".join(_q(c) for c in df.columns)
+    fp = df.selectExpr(f"xxhash64({refs}) AS _h1", f"hash({refs}) AS _h2", "*")
+    dup_fp = (fp.groupBy("_h1", "_h2").agg(F.expr("count(1) AS _n"))
+                .filter("_n > 1").select("_h1", "_h2"))
     candidates = fp.join(dup_fp, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
-    return (candidates.groupBy(*cols).count()
-            .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
+    return (candidates.groupBy(*df.columns).agg(F.expr("count(1) AS _c"))
+            .agg(F.expr("CAST(coalesce(sum(_c - 1), 0) AS BIGINT) AS duplicate_rows")))
 
 
 def profile(df: DataFrame, name: str) -> DataFrame:
@@ -81,9 +85,8 @@ def profile(df: DataFrame, name: str) -> DataFrame:
 
     Null cells come from one aggregate pass; duplicates from the fingerprint
     pass of :func:`duplicate_rows`."""
-    nulls = [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]
-    total_nulls = reduce(lambda a, b: a + b, nulls) if nulls else F.lit(0)
-    base = df.agg(F.count(F.lit(1)).alias("rows"), total_nulls.cast("long").alias("null_cells"))
+    nulls = " + ".join(f"count_if({_q(c)} IS NULL)" for c in df.columns) or "0"
+    base = df.agg(F.expr("count(1) AS rows"), F.expr(f"CAST({nulls} AS BIGINT) AS null_cells"))
     return base.crossJoin(duplicate_rows(df)).select(F.lit(name).alias("table_name"), "rows",
                                                      F.lit(len(df.columns)).alias("cols"), "null_cells",
                                                      "duplicate_rows")

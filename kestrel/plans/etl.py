@@ -154,6 +154,8 @@ def run_etl(spark: SparkSession, raw_dir: str, out_dir: str) -> DataFrame:
     loaded = {n: spark.read.parquet(os.path.join(out_dir, n)) for n in LOAD_ORDER}
     for n, df in loaded.items():
         df.createOrReplaceTempView(n)
+    # The driver-table views of the guarded surface are replaced now.
+    spark.conf.unset("kestrel.views.source")
     from kestrel.plans.marts import register_marts
     register_marts(CleanModel(loaded))
     return report
