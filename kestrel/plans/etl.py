@@ -49,22 +49,22 @@ def _place(df: DataFrame, prefix: str) -> DataFrame:
         X.zfill(F.col(f"{prefix}zip_code_prefix"), 5).alias("zip_code_prefix"))
 
 
-def build_customers(spark: SparkSession, raw_dir: str) -> DataFrame:
-    df = _place(read_raw(spark, raw_dir, "customers"), "customer_")
+def build_customers(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
+    df = _place(read_raw(spark, raw_dir, "customers", prefix), "customer_")
     df = keep_first(df, ["customer_id"], FILE_ORDER)
     return df.select("customer_id", "customer_unique_id", "zip_code_prefix", "city", "state")
 
 
-def build_sellers(spark: SparkSession, raw_dir: str) -> DataFrame:
-    df = _place(read_raw(spark, raw_dir, "sellers"), "seller_")
+def build_sellers(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
+    df = _place(read_raw(spark, raw_dir, "sellers", prefix), "seller_")
     df = keep_first(df, ["seller_id"], FILE_ORDER)
     return df.select("seller_id", "zip_code_prefix", "city", "state")
 
 
-def build_products(spark: SparkSession, raw_dir: str) -> DataFrame:
+def build_products(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
     """Translate categories (left lookup), impute dimensions, then keep-first on product_id."""
-    p = read_raw(spark, raw_dir, "products")
-    tr = read_raw(spark, raw_dir, "category_translation").select(
+    p = read_raw(spark, raw_dir, "products", prefix)
+    tr = read_raw(spark, raw_dir, "category_translation", prefix).select(
         "product_category_name", "product_category_name_english")
     df = p.join(tr, "product_category_name", "left")
     df = df.select("product_id", "product_category_name", "product_category_name_english",
@@ -76,9 +76,9 @@ def build_products(spark: SparkSession, raw_dir: str) -> DataFrame:
     return df.select("product_id", "category_name_pt", "category_name_en", *DIM_COLS)
 
 
-def build_geolocation(spark: SparkSession, raw_dir: str) -> DataFrame:
+def build_geolocation(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
     """~1M raw points -> one row per zip: mean lat/lng (6 digits), modal city/state, cleaned after the mode."""
-    g = read_raw(spark, raw_dir, "geolocation")
+    g = read_raw(spark, raw_dir, "geolocation", prefix)
     df = g.select(X.zfill(F.col("geolocation_zip_code_prefix"), 5).alias("zip_code_prefix"),
                   F.col("geolocation_lat").try_cast("double").alias("lat"),
                   F.col("geolocation_lng").try_cast("double").alias("lng"),
@@ -91,8 +91,8 @@ def build_geolocation(spark: SparkSession, raw_dir: str) -> DataFrame:
                     X.clean_city("city").alias("city"), X.clean_state("state").alias("state"))
 
 
-def build_orders(spark: SparkSession, raw_dir: str) -> DataFrame:
-    o = read_raw(spark, raw_dir, "orders")
+def build_orders(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
+    o = read_raw(spark, raw_dir, "orders", prefix)
     o = o.select("order_id", "customer_id", "order_status",
                  *[lenient_timestamp(c).alias(c) for c in ORDER_TS], *FILE_ORDER)
     o = o.withColumn("delivery_days", M.delivery_days("order_purchase_timestamp", "order_delivered_customer_date")) \
@@ -101,8 +101,8 @@ def build_orders(spark: SparkSession, raw_dir: str) -> DataFrame:
     return o.select("order_id", "customer_id", "order_status", *ORDER_TS, "delivery_days", "is_late")
 
 
-def build_order_items(spark: SparkSession, raw_dir: str) -> DataFrame:
-    i = read_raw(spark, raw_dir, "order_items")
+def build_order_items(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
+    i = read_raw(spark, raw_dir, "order_items", prefix)
     i = i.select("order_id", _int("order_item_id").alias("order_item_id"), "product_id", "seller_id",
                  lenient_timestamp("shipping_limit_date").alias("shipping_limit_date"),
                  _money("price").alias("price"), _money("freight_value").alias("freight_value"), *FILE_ORDER)
@@ -111,8 +111,8 @@ def build_order_items(spark: SparkSession, raw_dir: str) -> DataFrame:
                     "price", "freight_value")
 
 
-def build_order_payments(spark: SparkSession, raw_dir: str) -> DataFrame:
-    p = read_raw(spark, raw_dir, "order_payments")
+def build_order_payments(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
+    p = read_raw(spark, raw_dir, "order_payments", prefix)
     p = p.select("order_id", _int("payment_sequential").alias("payment_sequential"), "payment_type",
                  _int("payment_installments").alias("payment_installments"),
                  _money("payment_value").alias("payment_value"), *FILE_ORDER)
@@ -120,8 +120,8 @@ def build_order_payments(spark: SparkSession, raw_dir: str) -> DataFrame:
     return p.select("order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value")
 
 
-def build_order_reviews(spark: SparkSession, raw_dir: str) -> DataFrame:
-    r = read_raw(spark, raw_dir, "order_reviews")
+def build_order_reviews(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
+    r = read_raw(spark, raw_dir, "order_reviews", prefix)
     r = r.select("review_id", "order_id", _int("review_score").alias("review_score"),
                  "review_comment_title", "review_comment_message",
                  lenient_timestamp("review_creation_date").alias("review_creation_date"),
@@ -138,18 +138,19 @@ BUILDERS = {
 }
 
 
-def build_all(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
-    tables = {n: b(spark, raw_dir) for n, b in BUILDERS.items()}
+def build_all(spark: SparkSession, raw_dir: str, prefix: str = "") -> dict[str, DataFrame]:
+    """All clean tables after the FK cascade; ``prefix`` is the raw files' publisher prefix."""
+    tables = {n: b(spark, raw_dir, prefix) for n, b in BUILDERS.items()}
     return fk_cascade(tables)
 
 
-def run_etl(spark: SparkSession, raw_dir: str, out_dir: str) -> DataFrame:
+def run_etl(spark: SparkSession, raw_dir: str, out_dir: str, prefix: str = "") -> DataFrame:
     """Build -> FK cascade -> write in dependency order -> validate -> views.
 
     Each table is computed once: its expected row count is observed during the
     write, the actual count read back from the files. Returns the report."""
     from kestrel.plans.quality import write_and_validate
-    tables = build_all(spark, raw_dir)
+    tables = build_all(spark, raw_dir, prefix)
     report = write_and_validate(spark, {n: tables[n] for n in LOAD_ORDER}, out_dir)
     loaded = {n: spark.read.parquet(os.path.join(out_dir, n)) for n in LOAD_ORDER}
     for n, df in loaded.items():

@@ -13,33 +13,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Raw file names and the columns read from each.
+# Raw file base names and the columns read from each. The
+# public dataset's files carry a publisher prefix on every name except the
+# category translation; pass it as ``prefix`` (see UNPREFIXED).
+UNPREFIXED = {"category_translation"}
 RAW_FILES = {
-    "customers": ("olist_customers_dataset.csv",
+    "customers": ("customers_dataset.csv",
                   ["customer_id", "customer_unique_id", "customer_zip_code_prefix",
                    "customer_city", "customer_state"]),
-    "sellers": ("olist_sellers_dataset.csv",
+    "sellers": ("sellers_dataset.csv",
                 ["seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"]),
-    "products": ("olist_products_dataset.csv",
+    "products": ("products_dataset.csv",
                  ["product_id", "product_category_name", "product_name_lenght",
                   "product_description_lenght", "product_photos_qty", "product_weight_g",
                   "product_length_cm", "product_height_cm", "product_width_cm"]),
     "category_translation": ("product_category_name_translation.csv",
                              ["product_category_name", "product_category_name_english"]),
-    "geolocation": ("olist_geolocation_dataset.csv",
+    "geolocation": ("geolocation_dataset.csv",
                     ["geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng",
                      "geolocation_city", "geolocation_state"]),
-    "orders": ("olist_orders_dataset.csv",
+    "orders": ("orders_dataset.csv",
                ["order_id", "customer_id", "order_status", "order_purchase_timestamp",
                 "order_approved_at", "order_delivered_carrier_date",
                 "order_delivered_customer_date", "order_estimated_delivery_date"]),
-    "order_items": ("olist_order_items_dataset.csv",
+    "order_items": ("order_items_dataset.csv",
                     ["order_id", "order_item_id", "product_id", "seller_id",
                      "shipping_limit_date", "price", "freight_value"]),
-    "order_payments": ("olist_order_payments_dataset.csv",
+    "order_payments": ("order_payments_dataset.csv",
                        ["order_id", "payment_sequential", "payment_type",
                         "payment_installments", "payment_value"]),
-    "order_reviews": ("olist_order_reviews_dataset.csv",
+    "order_reviews": ("order_reviews_dataset.csv",
                       ["review_id", "order_id", "review_score", "review_comment_title",
                        "review_comment_message", "review_creation_date",
                        "review_answer_timestamp"]),
@@ -50,7 +53,12 @@ def string_schema(cols: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
 
 
-def read_raw(spark: SparkSession, raw_dir: str, name: str) -> DataFrame:
+def raw_path(raw_dir: str, name: str, prefix: str = "") -> str:
+    fname = RAW_FILES[name][0]
+    return os.path.join(raw_dir, fname if name in UNPREFIXED else prefix + fname)
+
+
+def read_raw(spark: SparkSession, raw_dir: str, name: str, prefix: str = "") -> DataFrame:
     """Read one raw CSV as strings, with its file-order columns.
 
     ``_file``, ``_block`` and ``_pos`` record where each row sat in its file
@@ -58,8 +66,8 @@ def read_raw(spark: SparkSession, raw_dir: str, name: str) -> DataFrame:
     orders by them. The header decides which columns exist; columns the
     code does not use are ignored.
     """
-    fname, cols = RAW_FILES[name]
-    path = os.path.join(raw_dir, fname)
+    cols = RAW_FILES[name][1]
+    path = raw_path(raw_dir, name, prefix)
     header = (spark.read.option("header", True).option("multiLine", True)
               .option("escape", '"').csv(path).columns)
     df = (spark.read.schema(string_schema(header))

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from kestrel.plans import etl, marts
 from kestrel.plans.kpis import on_time_rate, last_full_month
-from kestrel.sources.raw import RAW_FILES
+from kestrel.sources.raw import RAW_FILES, raw_path
+
+PREFIX = "pub_"  # publisher prefix on the raw file names
 
 
 def _write(d, name, rows):
-    fname, cols = RAW_FILES[name]
-    with open(os.path.join(d, fname), "w", newline="", encoding="utf-8") as fh:
+    cols = RAW_FILES[name][1]
+    with open(raw_path(d, name, PREFIX), "w", newline="", encoding="utf-8") as fh:
         w = csv.writer(fh, quoting=csv.QUOTE_MINIMAL)
         w.writerow(cols if name != "products" else
                    ["product_id", "product_category_name", "product_weight_g", "product_length_cm",
@@ -82,7 +84,7 @@ def raw_dir(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def tables(spark, raw_dir):
-    return {k: v.cache() for k, v in etl.build_all(spark, raw_dir).items()}
+    return {k: v.cache() for k, v in etl.build_all(spark, raw_dir, PREFIX).items()}
 
 
 def _by(df, key):
@@ -172,7 +174,7 @@ def test_last_full_month_edges(spark, tables):
 
 
 def test_run_etl_validates_and_registers(spark, raw_dir, tmpdir_path):
-    report = _by(etl.run_etl(spark, raw_dir, os.path.join(tmpdir_path, "clean")), "table_name")
+    report = _by(etl.run_etl(spark, raw_dir, os.path.join(tmpdir_path, "clean"), PREFIX), "table_name")
     assert {k: v["status"] for k, v in report.items()} == {k: "OK" for k in etl.LOAD_ORDER}
     assert spark.sql("SELECT COUNT(*) AS n FROM mart_state_performance").collect()[0]["n"] == 2
     assert spark.table("orders").filter(F.col("order_id") == "o6").count() == 0
