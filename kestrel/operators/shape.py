@@ -44,6 +44,9 @@ def chart_hint(df: DataFrame, cap: int = 1000) -> DataFrame:
 
 
 STEP = "struct<tool:string,tool_input:string,observation:string>"
+# A non-empty list of row tuples whose first row has at least two fields
+# (single-column results are not chartable).
+ROW_LIST = r"^\[\s*\((?:'[^']*'|\"[^\"]*\"|[^(),'\"])*,\s*[^)\s].*\)\s*\]$"
 
 
 def shape_trace(df: DataFrame, steps_col: str = "steps", input_chars: int = 500,
@@ -61,8 +64,7 @@ def last_sql_step(df: DataFrame, steps_col: str = "steps") -> DataFrame:
     Adds ``sql_text`` and ``sql_rows`` (the observation) per trace row; NULL if none."""
     indexed = F.transform(F.col(steps_col), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
     ok = F.filter(indexed, lambda e: (F.lower(e["s"]["tool"]).contains("sql") | F.lower(e["s"]["tool"]).contains("query"))
-                  & F.trim(e["s"]["observation"]).startswith("[")
-                  & F.trim(e["s"]["observation"]).rlike(r"^\[\s*\(.*\)\s*\]$"))
+                  & F.trim(e["s"]["observation"]).rlike(ROW_LIST))
     last = F.element_at(ok, -1)
     return df.withColumn("_last", F.when(F.size(ok) > 0, last)) \
              .withColumn("sql_text", F.col("_last")["s"]["tool_input"]) \

@@ -102,3 +102,10 @@ def test_trace_shaping_and_last_sql_step(spark):
     assert len(shaped[1]["tool_input"]) == 500 and len(shaped[1]["observation"]) == 1000
     r = SH.last_sql_step(df).collect()[0]
     assert (r["sql_text"], r["sql_rows"]) == ("SELECT 1", "[(1, 2), (3, 4)]")
+
+
+def test_last_sql_step_needs_two_columns(spark):
+    steps = [("sql_db_query", "SELECT a, b", "[('x', 1), ('y', 2)]"),
+             ("sql_db_query", "SELECT a", "[(1,), (2,)]")]
+    df = spark.createDataFrame([(1, steps)], f"trace_id int, steps array<{SH.STEP}>")
+    assert SH.last_sql_step(df).collect()[0]["sql_text"] == "SELECT a, b"
