@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.operators.scalars import with_scalars
+
 
 def impute_group_then_global(df: DataFrame, group: str, cols: list[str],
                              keep_null_group_values: bool = False) -> DataFrame:
@@ -17,8 +19,8 @@ def impute_group_then_global(df: DataFrame, group: str, cols: list[str],
 
     Medians are exact (interpolating ``percentile``); a fractional median is
     rounded HALF_UP when cast back to an integer column. The per-group medians
-    (one row per group) and the global medians (one row) are joined back;
-    only the group-median table scales with the number of groups.
+    (one row per group) are joined back; the global medians are a scalar
+    subquery. Only the group-median table scales with the number of groups.
     """
     g = F.col(group)
     med_g = df.filter(g.isNotNull()).groupBy(group).agg(
@@ -29,7 +31,7 @@ def impute_group_then_global(df: DataFrame, group: str, cols: list[str],
         j = j.withColumn(c, F.when(g.isNotNull(), filled).otherwise(
             F.col(c) if keep_null_group_values else F.lit(None)).cast("double"))
     med_all = j.agg(*[F.percentile(F.col(c), 0.5).alias(f"_am_{c}") for c in cols])
-    j = j.crossJoin(med_all)
+    j = with_scalars(j, med_all)
     out_types = {f.name: f.dataType for f in df.schema.fields}
     for c in cols:
         v = F.coalesce(F.col(c), F.col(f"_am_{c}"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.text import strip
+from kestrel.operators.scalars import with_scalars
 
 # Brazilian states (code, name, capital), the bundled dimension.
 BR_STATES = (
@@ -79,8 +80,8 @@ def latest_rate(rates: DataFrame, from_ccy: str = "BRL", to_ccy: str = "USD") ->
 
 
 def with_latest_rate(df: DataFrame, rates: DataFrame, **kw) -> DataFrame:
-    """Attach the single latest rate (a 1-row side) to every row."""
-    return df.crossJoin(F.broadcast(latest_rate(rates, **kw)))
+    """Attach the single latest rate (a one-row aggregate) to every row."""
+    return with_scalars(df, latest_rate(rates, **kw))
 
 
 def daily_rate_calendar(rates: DataFrame, start: str, end: str,
