@@ -30,10 +30,27 @@ def next_seq(lines: DataFrame, session: str, seq: str) -> DataFrame:
     return lines.groupBy(session).agg((F.coalesce(F.max(seq), F.lit(0)) + 1).alias("next_seq"))
 
 
-def assign_seq(log: DataFrame, session: str, ts: str, tiebreak: str) -> DataFrame:
-    """Dense 1-based sequence numbers per session in time order."""
-    w = Window.partitionBy(session).orderBy(F.col(ts), F.col(tiebreak))
-    return log.withColumn("seq", F.row_number().over(w))
+def assign_seq(log: DataFrame, session: str, ts: str, tiebreak: str, partitions: int | None = None) -> DataFrame:
+    """Dense 1-based sequence numbers per session in time order, skew-safe.
+
+    A per-session window would sort a huge session in one task. Instead the
+    log is range-partitioned on (session, ts, tiebreak), which cuts a huge
+    session into consecutive slices on many tasks; rows are numbered inside
+    each (slice, session) piece, and each piece is offset by the row counts of
+    the earlier slices of its session (a small table: one row per piece)."""
+    spark = log.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (log.repartitionByRange(n, F.col(session), F.col(ts), F.col(tiebreak))
+                 .withColumn("_slice", F.spark_partition_id()))
+    local = ranged.withColumn("_rn", F.row_number().over(
+        Window.partitionBy("_slice", session).orderBy(F.col(ts), F.col(tiebreak))))
+    before = Window.partitionBy(session).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("_slice", session).agg(F.count(F.lit(1)).alias("_n"))
+                     .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+                     .select("_slice", session, "_off"))
+    return (local.join(offsets, ["_slice", session])
+                 .withColumn("seq", F.col("_off") + F.col("_rn"))
+                 .drop("_slice", "_rn", "_off"))
 
 
 def build_prompts(lines: DataFrame, questions: DataFrame, session: str, seq: str,

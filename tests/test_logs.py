@@ -145,3 +145,13 @@ def test_duplicate_rows_exact(spark):
     assert duplicate_rows(df).collect()[0]["duplicate_rows"] == 2
     p = profile(df, "t").collect()[0]
     assert (p["rows"], p["cols"], p["null_cells"], p["duplicate_rows"]) == (6, 3, 6, 2)
+
+
+def test_assign_seq_dense_and_skew_safe(spark):
+    from pyspark.sql import Window
+    rows = [("hot", i // 3, i) for i in range(3000)] + [(f"s{i % 40}", i, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "session string, ts long, id long")
+    got = {(r["session"], r["id"]): r["seq"] for r in L.assign_seq(df, "session", "ts", "id", partitions=7).collect()}
+    w = Window.partitionBy("session").orderBy("ts", "id")
+    want = {(r["session"], r["id"]): r["seq"] for r in df.withColumn("seq", F.row_number().over(w)).collect()}
+    assert got == want
