@@ -12,32 +12,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions import metrics as M
-from kestrel.functions.numeric import round_ratio
-from kestrel.operators.topk import desc_first
+from kestrel.functions.numeric import round_ratio_spark_sql
 from kestrel.sources.model import Commerce
 
 UNCATEGORISED = "uncategorised"
 
 
+def _aggs(*sql: str):
+    """Aggregate expressions as SQL text (each parsed once on the JVM)."""
+    return [F.expr(x) for x in sql]
+
+
 def revenue_by_month(c: Commerce) -> DataFrame:
     """month, revenue_brl, orders, unique_customers (orders with items and a known customer).
 
     Orders are first reduced to (month, customer) rows, so the customer join
     sees one row per customer-month however many orders a customer placed.
     """
-    o = c.orders(with_items_only=True).filter(F.col("purchased_at").isNotNull())
-    per_cust_month = (o.groupBy(M.month_start("purchased_at").alias("month"), "customer_id")
-                       .agg(F.sum("items_revenue_cents").alias("rev"), F.count(F.lit(1)).alias("n_orders")))
+    o = c.orders(with_items_only=True).filter("purchased_at IS NOT NULL")
+    per_cust_month = (o.groupBy(F.expr(f"{M.month_start_sql('purchased_at')} AS month"), F.col("customer_id"))
+                       .agg(*_aggs("sum(items_revenue_cents) AS rev", "count(1) AS n_orders")))
     cust = c.customers().select("customer_id", "customer_unique_id")
     # Distinct customers per month as a second grouping level (one row per
     # month and person), instead of an Expand-based distinct aggregate.
     per_person = (per_cust_month.join(cust, "customer_id")
                   .groupBy("month", "customer_unique_id")
-                  .agg(F.sum("rev").alias("rev"), F.sum("n_orders").alias("n_orders")))
+                  .agg(*_aggs("sum(rev) AS rev", "sum(n_orders) AS n_orders")))
     return (per_person.groupBy("month")
-            .agg(M.from_cents(F.sum("rev")).alias("revenue_brl"),
-                 F.sum("n_orders").alias("orders"),
-                 F.count(F.col("customer_unique_id")).alias("unique_customers")))
+            .agg(*_aggs(f"{M.from_cents_sql('sum(rev)')} AS revenue_brl", "sum(n_orders) AS orders",
+                        "count(customer_unique_id) AS unique_customers")))
 
 
 def _item_review_weights(c: Commerce) -> DataFrame:
@@ -48,29 +51,24 @@ def _item_review_weights(c: Commerce) -> DataFrame:
     """
     rs = c.review_stats().select("order_id", "n_reviews", "score_sum", "score_n")
     items = c.order_items().select("order_id", "product_id", "revenue_cents")
-    w = F.greatest(F.coalesce(F.col("n_reviews"), F.lit(0)), F.lit(1))
+    w = "greatest(coalesce(n_reviews, 0), 1)"
     return (items.join(rs, "order_id", "left")
-                 .select("product_id",
-                         (F.col("revenue_cents") * w).alias("w_revenue"),
-                         w.alias("w_items"),
-                         F.coalesce(F.col("score_sum"), F.lit(0)).alias("score_sum"),
-                         F.coalesce(F.col("score_n"), F.lit(0)).alias("score_n")))
+                 .selectExpr("product_id", f"revenue_cents * {w} AS w_revenue", f"{w} AS w_items",
+                             "coalesce(score_sum, 0) AS score_sum", "coalesce(score_n, 0) AS score_n"))
 
 
 def revenue_by_category(c: Commerce) -> DataFrame:
     """category, revenue_brl, items_sold, avg_review_score (review fan-out kept)."""
     per_product = (_item_review_weights(c).groupBy("product_id")
-                   .agg(F.sum("w_revenue").alias("rev"), F.sum("w_items").alias("items"),
-                        F.sum("score_sum").alias("ssum"), F.sum("score_n").alias("sn")))
+                   .agg(*_aggs("sum(w_revenue) AS rev", "sum(w_items) AS items",
+                               "sum(score_sum) AS ssum", "sum(score_n) AS sn")))
     prod = c.products().select("product_id", "category_name_en")
-    cat = F.coalesce(F.col("category_name_en"), F.lit(UNCATEGORISED))
     return (per_product.join(prod, "product_id")
-            .groupBy(cat.alias("category"))
-            .agg(M.from_cents(F.sum("rev")).alias("revenue_brl"),
-                 F.sum("items").alias("items_sold"),
-                 F.sum("ssum").alias("ssum"), F.sum("sn").alias("sn"))
-            .select("category", "revenue_brl", "items_sold",
-                    round_ratio("ssum", "sn", 2).alias("avg_review_score")))
+            .groupBy(F.expr(f"coalesce(category_name_en, '{UNCATEGORISED}') AS category"))
+            .agg(*_aggs(f"{M.from_cents_sql('sum(rev)')} AS revenue_brl", "sum(items) AS items_sold",
+                        "sum(ssum) AS ssum", "sum(sn) AS sn"))
+            .selectExpr("category", "revenue_brl", "items_sold",
+                        f"{round_ratio_spark_sql('ssum', 'sn', 2)} AS avg_review_score"))
 
 
 def state_performance(c: Commerce) -> DataFrame:
@@ -80,28 +78,23 @@ def state_performance(c: Commerce) -> DataFrame:
     customer holding a third of all orders is still one row on each side.
     """
     o = c.orders(with_items_only=True)
-    n = F.col("n_items")
     per_cust = (o.groupBy("customer_id")
-                .agg(F.count(F.lit(1)).alias("orders"),
-                     F.sum("items_revenue_cents").alias("rev"),
-                     F.sum(F.when(~F.col("is_late"), n).otherwise(0)).alias("on_time_items"),
-                     F.sum(n).alias("rated_items"),
-                     F.sum(n * F.col("delivery_days")).alias("day_sum"),
-                     F.sum(F.when(F.col("delivery_days").isNotNull(), n)).alias("day_items")))
+                .agg(*_aggs("count(1) AS orders", "sum(items_revenue_cents) AS rev",
+                            "sum(CASE WHEN NOT is_late THEN n_items ELSE 0 END) AS on_time_items",
+                            "sum(n_items) AS rated_items",
+                            "sum(n_items * delivery_days) AS day_sum",
+                            "sum(CASE WHEN delivery_days IS NOT NULL THEN n_items END) AS day_items")))
     cust = c.customers().select("customer_id", "state")
     per_state = (per_cust.join(cust, "customer_id")
                  .groupBy("state")
-                 .agg(F.sum("orders").alias("orders"),
-                      M.from_cents(F.sum("rev")).alias("revenue_brl"),
-                      F.sum("on_time_items").alias("on_time_items"),
-                      F.sum("rated_items").alias("rated_items"),
-                      F.sum("day_sum").alias("day_sum"),
-                      F.sum("day_items").alias("day_items")))
-    return per_state.select(
-        "state", "orders", "revenue_brl",
-        round_ratio(F.col("on_time_items") * 100, "rated_items", 2).alias("on_time_pct"),
-        round_ratio("day_sum", "day_items", 1).alias("avg_delivery_days"),
-    ).orderBy(desc_first("revenue_brl"), "state")
+                 .agg(*_aggs("sum(orders) AS orders", f"{M.from_cents_sql('sum(rev)')} AS revenue_brl",
+                             "sum(on_time_items) AS on_time_items", "sum(rated_items) AS rated_items",
+                             "sum(day_sum) AS day_sum", "sum(day_items) AS day_items")))
+    return (per_state.selectExpr(
+                "state", "orders", "revenue_brl",
+                f"{round_ratio_spark_sql('on_time_items * 100', 'rated_items', 2)} AS on_time_pct",
+                f"{round_ratio_spark_sql('day_sum', 'day_items', 1)} AS avg_delivery_days")
+            .orderBy(F.col("revenue_brl").desc_nulls_first(), F.col("state")))
 
 
 def register_marts(c: Commerce) -> None:
