@@ -122,16 +122,18 @@ def upsert(current: DataFrame, updates: DataFrame, key: str, seq: str, values: l
 # ---- requests -------------------------------------------------------------------
 def request_metrics(log: DataFrame) -> DataFrame:
     """Totals, failures, token sums, cache hits/misses, guardrail blocks, SQL errors."""
-    return log.agg(
-        F.count(F.lit(1)).alias("queries_total"),
-        F.count_if(F.col("failed")).alias("queries_failed"),
-        F.coalesce(F.sum("prompt_tokens"), F.lit(0)).cast("long").alias("prompt_tokens_total"),
-        F.coalesce(F.sum("completion_tokens"), F.lit(0)).cast("long").alias("completion_tokens_total"),
-        F.count_if(F.col("cached")).alias("cache_hits"),
-        F.count_if(~F.col("cached")).alias("cache_misses"),
-        F.count_if(F.col("blocked")).alias("guardrail_blocks"),
-        F.count_if(F.col("sql_error")).alias("sql_errors"),
-    ).withColumn("total_tokens", F.col("prompt_tokens_total") + F.col("completion_tokens_total"))
+    aggs = [
+        "count(1) AS queries_total",
+        "count_if(failed) AS queries_failed",
+        "CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens_total",
+        "CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens_total",
+        "count_if(cached) AS cache_hits",
+        "count_if(NOT cached) AS cache_misses",
+        "count_if(blocked) AS guardrail_blocks",
+        "count_if(sql_error) AS sql_errors",
+    ]
+    return log.agg(*[F.expr(a) for a in aggs]).selectExpr(
+        "*", "prompt_tokens_total + completion_tokens_total AS total_tokens")
 
 
 # USD per one million tokens (prompt, completion).
@@ -149,8 +151,17 @@ def token_cost(prompt_tokens, completion_tokens,
     return F.round(cost, 6)
 
 
-def nearest_rank(sorted_values: Column, p: float) -> Column:
+def nearest_rank_sql(sorted_ref: str, p: float) -> str:
+    """SQL text of :func:`nearest_rank` for an array column reference."""
+    n = f"size({sorted_ref})"
+    idx = f"least(greatest(CAST(bround({p!r}D * ({n} - 1), 0) AS INT), 0), {n} - 1)"
+    return f"CASE WHEN {n} > 0 THEN element_at({sorted_ref}, {idx} + 1) ELSE 0 END"
+
+
+def nearest_rank(sorted_values, p: float) -> Column:
     """Nearest-rank percentile of a sorted array: index round-half-even(p*(n-1)), clamped; 0 if empty."""
+    if isinstance(sorted_values, str):
+        return F.expr(nearest_rank_sql(f"`{sorted_values}`", p))
     n = F.size(sorted_values)
     idx = F.least(F.greatest(F.bround(F.lit(p) * (n - 1), 0).cast("int"), F.lit(0)), n - 1)
     return F.when(n > 0, F.element_at(sorted_values, idx + 1)).otherwise(F.lit(0))
@@ -174,8 +185,8 @@ def latency_percentiles(log: DataFrame, ts: str, latency: str, tiebreak: str,
                     .filter(F.col("_rn") <= window)
         g = recent.groupBy(group).agg(F.array_sort(F.collect_list(latency)).alias("_s"))
         keys = [group]
-    cols = [nearest_rank(F.col("_s"), p).cast("long").alias(f"p{int(round(p * 100))}_latency_ms") for p in ps]
-    return g.select(*keys, *cols, F.size("_s").cast("long").alias("latency_samples"))
+    cols = [f"CAST({nearest_rank_sql('_s', p)} AS BIGINT) AS p{int(round(p * 100))}_latency_ms" for p in ps]
+    return g.selectExpr(*keys, *cols, "CAST(size(_s) AS BIGINT) AS latency_samples")
 
 
 def rate_limit_key(api_key, ip) -> Column:
