@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.operators.scalars import with_scalars
+from kestrel.operators.scalars import one_row
 
 
 def _q(name: str) -> str:
@@ -89,7 +89,7 @@ def profile(df: DataFrame, name: str) -> DataFrame:
     pass of :func:`duplicate_rows`."""
     nulls = " + ".join(f"count_if({_q(c)} IS NULL)" for c in df.columns) or "0"
     base = df.agg(F.expr("count(1) AS rows"), F.expr(f"CAST({nulls} AS BIGINT) AS null_cells"))
-    return with_scalars(base, duplicate_rows(df)).select(F.lit(name).alias("table_name"), "rows",
+    return one_row(base, duplicate_rows(df)).select(F.lit(name).alias("table_name"), "rows",
                                                      F.lit(len(df.columns)).alias("cols"), "null_cells",
                                                      "duplicate_rows")
 
@@ -103,7 +103,7 @@ def pk_check(df: DataFrame, keys: list[str], name: str) -> DataFrame:
                         F.count_if(F.col("n") > 1).alias("duplicate_keys"),
                         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("excess_rows"))
     base = k.agg(F.count(F.lit(1)).alias("key_rows"), F.count_if(null_key).alias("null_key_rows"))
-    return with_scalars(base, stats).select(F.lit(name).alias("table_name"), "key_rows", "distinct_keys",
+    return one_row(base, stats).select(F.lit(name).alias("table_name"), "key_rows", "distinct_keys",
                                         "duplicate_keys", "excess_rows", "null_key_rows")
 
 

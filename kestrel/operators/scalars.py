@@ -22,3 +22,17 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     packed = one_row.selectExpr(f"struct({', '.join(_q(c) for c in cols)}) AS {tmp}").scalar()
     return df.withColumn(tmp, packed).selectExpr(
         *[_q(c) for c in df.columns], *[f"{tmp}.{_q(c)} AS {_q(c)}" for c in cols])
+
+
+def one_row(*aggregates: DataFrame) -> DataFrame:
+    """Combine one-row aggregates into a single row, in one job and without a join.
+
+    The rows are unioned (each carries only its own columns, the others
+    NULL) and collapsed by a global aggregate; every column is non-NULL in at
+    most one input row, so ``first(ignorenulls)`` picks it deterministically."""
+    from functools import reduce
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aggregates)
+    cols = []
+    for df in aggregates:
+        cols += [c for c in df.columns if c not in cols]
+    return u.agg(*[F.expr(f"first({_q(c)}, true) AS {_q(c)}") for c in cols])

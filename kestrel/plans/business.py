@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import metrics as M
 from kestrel.functions.numeric import round_ratio
 from kestrel.functions.time import year_range
-from kestrel.operators.scalars import with_scalars
+from kestrel.operators.scalars import one_row
 from kestrel.operators.topk import desc_first, top_n
 from kestrel.plans import marts
 from kestrel.sources.model import Commerce
@@ -157,6 +157,6 @@ def delivery_stats(c: Commerce) -> DataFrame:
     p = c.payments().agg(F.count_distinct("payment_type").alias("payment_types"))
     cu = c.customers().agg(F.count_distinct("state").alias("states"),
                            F.count_distinct("customer_unique_id").alias("unique_customers"))
-    return with_scalars(with_scalars(o, p), cu).select(
+    return one_row(o, p, cu).select(
         "null_delivery_orders", round_ratio("_s", "_n", 1).alias("avg_delivery_days"),
         "payment_types", "states", "unique_customers")

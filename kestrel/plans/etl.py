@@ -21,7 +21,7 @@ from kestrel.operators.dedupe import keep_first
 from kestrel.operators.impute import impute_group_then_global
 from kestrel.operators.integrity import fk_cascade
 from kestrel.operators.rollup import modal_rollup
-from kestrel.operators.scalars import with_scalars
+from kestrel.operators.scalars import one_row
 from kestrel.sources.model import ModelBase
 from kestrel.sources.raw import FILE_ORDER, read_raw
 from kestrel.sources.tables import Tables
@@ -298,6 +298,6 @@ def fk_filter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n in ["orders", "order_items", "order_payments", "order_reviews"]:
         b = before[n].agg(F.count(F.lit(1)).alias("rows_in"))
         a = after[n].agg(F.count(F.lit(1)).alias("rows_kept"))
-        parts.append(with_scalars(b, a).select(F.lit(n).alias("table_name"), "rows_in", "rows_kept",
+        parts.append(one_row(b, a).select(F.lit(n).alias("table_name"), "rows_in", "rows_kept",
                                            (F.col("rows_in") - F.col("rows_kept")).alias("rows_dropped")))
     return reduce(DataFrame.unionByName, parts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import metrics as M
 from kestrel.functions.numeric import round_ratio
-from kestrel.operators.scalars import with_scalars
+from kestrel.operators.scalars import one_row, with_scalars
 from kestrel.operators.topk import desc_first, top_n
 from kestrel.plans import marts
 from kestrel.sources.model import Commerce
@@ -16,7 +16,7 @@ from kestrel.sources.model import Commerce
 def kpi_row(c: Commerce) -> DataFrame:
     """One row: total_revenue, total_orders, total_customers, avg_delivery_days,
     latest_ts, avg_order_value. Each scalar is one aggregate pass over its table;
-    the other 1-row results are attached as scalar subqueries."""
+    the one-row results are combined by ``one_row`` (no join)."""
     items = c.order_facts().agg(M.from_cents(F.sum("items_revenue_cents")).alias("total_revenue"))
     orders = c.orders().agg(
         F.count(F.lit(1)).alias("total_orders"),
@@ -24,7 +24,7 @@ def kpi_row(c: Commerce) -> DataFrame:
         F.count("delivery_days").alias("_dn"),
         F.max("purchased_at").alias("latest_ts"))
     custs = c.customers().agg(F.count_distinct("customer_unique_id").alias("total_customers"))
-    row = with_scalars(with_scalars(orders, items), custs)
+    row = one_row(items, orders, custs)
     aov = F.when(F.col("total_orders") > 0,
                  F.col("total_revenue").cast("double") / F.col("total_orders")).otherwise(F.lit(0.0))
     return row.select(

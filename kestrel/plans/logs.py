@@ -9,7 +9,7 @@ from kestrel.functions import formatting as FM
 from kestrel.functions import metrics as M
 from kestrel.functions.text import question_key, redact
 from kestrel.operators import logs as L
-from kestrel.operators.scalars import with_scalars
+from kestrel.operators.scalars import one_row
 from kestrel.sources import logs_model as LM
 from kestrel.sources.tables import Tables
 
@@ -76,7 +76,7 @@ def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = L.with_question_key(LM.question_log(spark, sf_dir), "question")
     sizes = q.agg(F.count_distinct("key").alias("cache_size"))
     sess = LM.session_lines(spark, sf_dir).agg(F.count_distinct("session_id").alias("session_count"))
-    return with_scalars(with_scalars(m, sizes), sess)
+    return one_row(m, sizes, sess)
 
 
 def token_usage_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
