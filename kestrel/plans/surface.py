@@ -25,12 +25,29 @@ GROUP BY n.n_name
 RATE_QUOTES = [("2025-01-15", "BRL", "USD", 0.1995)]
 
 
+_SURFACES: dict = {}
+
+
+def surface_session(spark: SparkSession, sf_dir: str) -> SparkSession:
+    """The session ad-hoc SQL runs in: a child session (same cluster, its own
+    temp views) holding only the allowed tables, so nothing else the caller
+    registered is reachable. One per parent session and data folder."""
+    key = (id(spark), sf_dir)
+    sess = _SURFACES.get(key)
+    if sess is None:
+        sess = spark.newSession()
+        sess.conf.set("spark.sql.session.timeZone", "UTC")
+        register_views(sess, sf_dir)
+        _SURFACES[key] = sess
+    return sess
+
+
 def guarded_adhoc(spark: SparkSession, sf_dir: str, query: str = ADHOC_SQL,
                   cap: int = DEFAULT_ROW_CAP) -> DataFrame:
-    register_views(spark, sf_dir)
-    res = guarded_sql(spark, query, cap)
+    sess = surface_session(spark, sf_dir)
+    res = guarded_sql(sess, query, cap)
     if isinstance(res, str):
-        return spark.createDataFrame([(res,)], "error string")
+        return sess.createDataFrame([(res,)], "error string")
     return res
 
 
