@@ -1,0 +1,23 @@
+"""Salted equi-join for a hot key when adaptive skew handling is unavailable."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16,
+                how: str = "inner") -> DataFrame:
+    """``big JOIN small USING keys`` with the hot keys spread over ``salts`` tasks.
+
+    Each big row gets a salt from a hash of its own columns (deterministic, so
+    a recomputed task salts the same way); each small row is copied once per
+    salt (``salts`` copies, bounded), and the join runs on (keys, salt). The
+    result equals the plain join for ``how`` in inner / left. With AQE on,
+    ``spark.sql.adaptive.skewJoin`` does this split at runtime instead."""
+    if how not in ("inner", "left"):
+        raise ValueError("salted_join supports inner and left joins")
+    cols = ", ".join("`" + c.replace("`", "``") + "`" for c in big.columns)
+    salted_big = big.withColumn("_salt", F.expr(f"pmod(xxhash64({cols}), {salts})"))
+    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
