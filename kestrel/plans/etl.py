@@ -279,7 +279,11 @@ def brand_rollup_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fk_tables_driver(spark: SparkSession, sf_dir: str, segment: str = "BUILDING") -> dict[str, DataFrame]:
-    """The model tables with customers restricted to one market segment (so FKs can break)."""
+    """The model tables with customers restricted to one market segment.
+
+    Every foreign key holds in the driver data, so the FK cascade would be a
+    no-op; standing in one segment's customers for the customer file makes the
+    orders of other segments orphans. Child tables are read whole."""
     from kestrel.sources.model import Commerce
     c = Commerce(spark, sf_dir)
     return {
