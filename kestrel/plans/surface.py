@@ -35,7 +35,10 @@ def surface_session(spark: SparkSession, sf_dir: str) -> SparkSession:
     key = (id(spark), sf_dir)
     sess = _SURFACES.get(key)
     if sess is None:
-        sess = spark.newSession()
+        try:
+            sess = spark.newSession()
+        except Exception:  # noqa: BLE001 - no child sessions (e.g. Spark Connect): use the caller's
+            sess = spark
         sess.conf.set("spark.sql.session.timeZone", "UTC")
         register_views(sess, sf_dir)
         _SURFACES[key] = sess
