@@ -15,6 +15,11 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _s(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     child: str
@@ -36,7 +41,7 @@ FOREIGN_KEYS = (
 
 def semi_filter(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Keep child rows whose ``column`` exists in the parent (EXISTS / left semi)."""
-    keys = parent.select(F.col(parent_column).alias(column))
+    keys = parent.selectExpr(f"{_q(parent_column)} AS {_q(column)}")
     return child.join(keys, column, "left_semi")
 
 
@@ -77,8 +82,10 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     fp = df.selectExpr(f"xxhash64({refs}) AS _h1", f"hash({refs}) AS _h2", "*")
     dup_fp = (fp.groupBy("_h1", "_h2").agg(F.expr("count(1) AS _n"))
                 .filter("_n > 1").select("_h1", "_h2"))
-    candidates = fp.join(dup_fp, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
-    return (candidates.groupBy(*df.columns).agg(F.expr("count(1) AS _c"))
+    candidates = fp.join(dup_fp, ["_h1", "_h2"], "left_semi")
+    # Grouping by one struct of all columns equals grouping by the columns
+    # (NULLs compare equal in both).
+    return (candidates.groupBy(F.expr(f"struct({refs}) AS _row")).agg(F.expr("count(1) AS _c"))
             .agg(F.expr("CAST(coalesce(sum(_c - 1), 0) AS BIGINT) AS duplicate_rows")))
 
 
@@ -89,9 +96,8 @@ def profile(df: DataFrame, name: str) -> DataFrame:
     pass of :func:`duplicate_rows`."""
     nulls = " + ".join(f"count_if({_q(c)} IS NULL)" for c in df.columns) or "0"
     base = df.agg(F.expr("count(1) AS rows"), F.expr(f"CAST({nulls} AS BIGINT) AS null_cells"))
-    return one_row(base, duplicate_rows(df)).select(F.lit(name).alias("table_name"), "rows",
-                                                     F.lit(len(df.columns)).alias("cols"), "null_cells",
-                                                     "duplicate_rows")
+    return one_row(base, duplicate_rows(df)).selectExpr(
+        f"{_s(name)} AS table_name", "rows", f"{len(df.columns)} AS cols", "null_cells", "duplicate_rows")
 
 
 def pk_check(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -103,8 +109,8 @@ def pk_check(df: DataFrame, keys: list[str], name: str) -> DataFrame:
                         F.count_if(F.col("n") > 1).alias("duplicate_keys"),
                         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("excess_rows"))
     base = k.agg(F.count(F.lit(1)).alias("key_rows"), F.count_if(null_key).alias("null_key_rows"))
-    return one_row(base, stats).select(F.lit(name).alias("table_name"), "key_rows", "distinct_keys",
-                                        "duplicate_keys", "excess_rows", "null_key_rows")
+    return one_row(base, stats).selectExpr(f"{_s(name)} AS table_name", "key_rows", "distinct_keys",
+                                           "duplicate_keys", "excess_rows", "null_key_rows")
 
 
 def length_check(df: DataFrame, limits: dict[str, int], name: str) -> DataFrame:
