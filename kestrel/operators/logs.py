@@ -92,13 +92,12 @@ def cache_effectiveness(log: DataFrame, key: str) -> DataFrame:
 
     Grouped per key (partial aggregation), so a key asked a billion times is
     one counter per map task, never a sorted group."""
-    per_key = log.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    a = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("questions"),
-                    F.count(F.lit(1)).alias("misses"))
-    hit_rate = F.when(F.col("questions") > 0, (F.col("questions") - F.col("misses")).cast("double")
-                      / F.col("questions").cast("double")).otherwise(F.lit(0.0))
-    return a.select("questions", (F.col("questions") - F.col("misses")).alias("hits"), "misses",
-                    hit_rate.alias("hit_rate"))
+    per_key = log.groupBy(key).agg(F.expr("count(1) AS n"))
+    a = per_key.agg(F.expr("CAST(coalesce(sum(n), 0) AS BIGINT) AS questions"), F.expr("count(1) AS misses"))
+    return a.selectExpr(
+        "questions", "questions - misses AS hits", "misses",
+        "CASE WHEN questions > 0 THEN CAST(questions - misses AS DOUBLE) / CAST(questions AS DOUBLE) "
+        "ELSE 0.0D END AS hit_rate")
 
 
 def recent_keys(log: DataFrame, key: str, seq: str, n: int) -> DataFrame:

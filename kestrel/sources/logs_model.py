@@ -89,13 +89,11 @@ def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_lines_from(cv: DataFrame) -> DataFrame:
-    return cv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"),
-                     F.concat(F.initcap(F.col("role")), F.lit(": "), F.col("text")).alias("line"),
-                     "role", "text")
+    return cv.selectExpr("conv_id AS session_id", "turn AS seq",
+                         "concat(initcap(role), ': ', text) AS line", "role", "text")
 
 
 def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cv = Tables(spark, sf_dir).conversations.filter(F.col("role") == "user")
-    return cv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn"),
-                     (F.col("conv_id") * SEQ_STRIDE + F.col("turn")).alias("seq"),
-                     F.col("text").alias("question"))
+    cv = Tables(spark, sf_dir).conversations.filter("role = 'user'")
+    return cv.selectExpr("conv_id AS session_id", "turn", f"conv_id * {SEQ_STRIDE} + turn AS seq",
+                         "text AS question")
