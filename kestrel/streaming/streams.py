@@ -39,13 +39,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
 
 
 def _run_versioned(stream: DataFrame, name: str, mode: str) -> str:
-    """Run to completion; every batch lands with ``_batch`` under a fresh folder."""
+    """Run to completion; batch ``b`` lands in ``<out>/_batch=b`` (read back with a ``_batch`` column)."""
     spark = stream.sparkSession
     root = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
     out = f"{root}/out"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+        # One folder per batch id, overwritten on a retry: a replayed batch
+        # replaces its own output instead of adding a second copy.
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", f"{root}/checkpoint")
