@@ -178,3 +178,23 @@ def test_run_etl_validates_and_registers(spark, raw_dir, tmpdir_path):
     assert {k: v["status"] for k, v in report.items()} == {k: "OK" for k in etl.LOAD_ORDER}
     assert spark.sql("SELECT COUNT(*) AS n FROM mart_state_performance").collect()[0]["n"] == 2
     assert spark.table("orders").filter(F.col("order_id") == "o6").count() == 0
+
+
+def test_month_edges_one_and_two_months(spark, tables):
+    # Keep only orders of the first month, then of the first two months.
+    for last_day, expect_na in (("2018-02-01", True), ("2018-03-01", True)):
+        t = dict(tables)
+        t["orders"] = tables["orders"].filter(F.col("order_purchase_timestamp") < F.lit(last_day).cast("timestamp_ntz"))
+        r = last_full_month(etl.CleanModel(t)).collect()
+        assert [(x["month"], x["revenue"], x["delta_pct"]) for x in r] == [("n/a", 0.0, 0.0)]
+
+
+def test_null_revenue_sorts_first_and_null_category_kept(spark, tables):
+    from kestrel.plans import business
+    t = dict(tables)
+    # Category 'beta' (p5) gets only NULL prices; the NULL category keeps its group.
+    t["order_items"] = tables["order_items"].withColumn(
+        "price", F.when(F.col("product_id") == "p5", F.lit(None)).otherwise(F.col("price")))
+    got = [(r["category_name_en"], r["revenue_brl"]) for r in business.top_categories_raw(etl.CleanModel(t), 5).collect()]
+    assert got[0] == ("beta", None)
+    assert (None, Decimal("330.00")) in got
