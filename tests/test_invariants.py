@@ -41,3 +41,10 @@ def test_text_rules_match_python(spark):
         assert r["st"] == s.strip(), repr(s)
         assert r["n"] == " ".join(s.split()).lower(), repr(s)
         assert r["t"] == s.title() or "ß" in s, repr(s)  # str.title() turns ß into Ss
+
+
+def test_approx_customers_close_to_exact(spark):
+    c = Commerce(spark, "/root/testdata/sf0.01")
+    exact = kpis.kpi_row(c).first()["total_customers"]
+    approx = kpis.kpi_row(c, approx_customers=True).first()["total_customers"]
+    assert abs(approx - exact) <= 0.03 * exact
