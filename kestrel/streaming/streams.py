@@ -74,8 +74,18 @@ def _event_time(df: DataFrame) -> DataFrame:
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str, limit: int = 1) -> DataFrame:
     """Clients over ``limit`` requests in a 1-minute window (twin: rate_limit_breaches)."""
-    log = _event_time(LM.request_log_from(table_stream(spark, sf_dir, "events")))
-    per = (log.withWatermark("ts", WATERMARK)
+    return rate_limit_over(table_stream(spark, sf_dir, "events"), limit)
+
+
+def rate_limit_over(events: DataFrame, limit: int = 1, watermark: str = WATERMARK) -> DataFrame:
+    """The rate-limit stream over any events stream; rows older than the
+    watermark (max event time seen minus ``watermark``) are dropped as late.
+    Spark applies a batch's watermark to late input from the following batch
+    on, so a row is dropped once the watermark was already past it when its
+    batch began."""
+    spark = events.sparkSession
+    log = _event_time(LM.request_log_from(events))
+    per = (log.withWatermark("ts", watermark)
               .groupBy(F.window("ts", "1 minute").alias("w"), rate_limit_key("api_key", "ip").alias("client"))
               .agg(F.count(F.lit(1)).alias("requests")))
     flagged = per.filter(F.col("requests") > limit).select(

@@ -26,3 +26,31 @@ def test_materialized_marts(spark, tmpdir_path):
     out = marts.materialize_marts(c, tmpdir_path)
     assert sorted(out["mart_state_performance"].collect()) == sorted(marts.state_performance(c).collect())
     assert spark.table("mart_revenue_by_month").count() == marts.revenue_by_month(c).count()
+
+
+def test_late_rows_beyond_the_watermark_are_dropped(spark, tmpdir_path):
+    import os
+    from datetime import datetime
+    src = os.path.join(tmpdir_path, "events")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    k = '{"k": 1}'
+    batches = [
+        [(1, datetime(2024, 1, 1, 0, 0, 5), 7, "click", 1.0, k), (2, datetime(2024, 1, 1, 0, 0, 9), 7, "click", 1.0, k),
+         (3, datetime(2024, 1, 1, 0, 30, 0), 8, "click", 1.0, k)],                 # watermark -> 00:20
+        [(5, datetime(2024, 1, 1, 0, 30, 10), 8, "click", 1.0, k)],                 # on time
+        [(4, datetime(2024, 1, 1, 0, 0, 30), 7, "click", 1.0, k)],                  # 30 min behind: late
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(os.path.join(src, "*")))
+    got = {(r["client"], r["requests"]) for r in ST.rate_limit_over(stream, limit=1, watermark="10 minutes").collect()}
+    # Stream: the late 00:00:30 row is dropped, so key-7's 00:00 minute keeps 2 requests.
+    assert got == {("apikey:key-7", 2), ("apikey:key-8", 2)}
+    # Batch over the same rows counts it.
+    from kestrel.operators.logs import rate_limit_breaches, rate_limit_key
+    from kestrel.sources import logs_model as LM
+    batch = LM.request_log_from(spark.createDataFrame([r for b in batches for r in b], schema))
+    want = {(r["client"], r["requests"]) for r in
+            rate_limit_breaches(batch, "ts", rate_limit_key("api_key", "ip"), 1).collect()}
+    assert want == {("apikey:key-7", 3), ("apikey:key-8", 2)}
