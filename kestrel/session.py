@@ -110,3 +110,24 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_mb: int = 25
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * mb),
     }
+
+
+def resilience_conf() -> dict:
+    """Settings that let jobs ride out executor loss on a cluster.
+
+    Lost tasks are retried and lost shuffle output is recomputed from lineage
+    by default; these additions migrate shuffle and cached blocks off
+    executors that are being decommissioned (spot/preemptible nodes), retry
+    fetches from a lost executor before failing a stage, and keep stage
+    retries bounded. Lineage stays short in these jobs: loads read back what
+    they wrote, and long chains can be cut with :func:`cut_lineage`."""
+    return {
+        "spark.decommission.enabled": "true",
+        "spark.storage.decommission.enabled": "true",
+        "spark.storage.decommission.shuffleBlocks.enabled": "true",
+        "spark.storage.decommission.rddBlocks.enabled": "true",
+        "spark.shuffle.io.maxRetries": "10",
+        "spark.shuffle.io.retryWait": "10s",
+        "spark.task.maxFailures": "8",
+        "spark.stage.maxConsecutiveAttempts": "8",
+    }
