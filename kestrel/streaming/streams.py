@@ -158,13 +158,20 @@ def stream_session(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
 
 def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
     """First sighting of each (user, event type) within the watermark delay; distinct keys seen."""
-    e = _event_time(table_stream(spark, sf_dir, "events"))
-    d = (e.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_type"])
-          .select("user_id", "event_type"))
-    out = _run_versioned(d, "dedupe", "append")
+    out = dedupe_sightings(table_stream(spark, sf_dir, "events"), delay)
     return spark.read.parquet(out).select("user_id", "event_type").distinct()
 
 
+def dedupe_sightings(events: DataFrame, delay: str = "1 hour") -> str:
+    """Emit each (user, event type) once per watermark delay: a repeat while the
+    key's state lives is dropped, a sighting after it expired is emitted again.
+    Returns the output folder (one ``_batch=b`` folder per micro-batch)."""
+    e = _event_time(events)
+    d = (e.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+          .select("user_id", "event_type", "ts"))
+    return _run_versioned(d, "dedupe", "append")
+
+
 QUANTILES = (0.5, 0.95, 0.99)
 
 

@@ -54,3 +54,25 @@ def test_late_rows_beyond_the_watermark_are_dropped(spark, tmpdir_path):
     want = {(r["client"], r["requests"]) for r in
             rate_limit_breaches(batch, "ts", rate_limit_key("api_key", "ip"), 1).collect()}
     assert want == {("apikey:key-7", 3), ("apikey:key-8", 2)}
+
+
+def test_dedupe_within_watermark(spark, tmpdir_path):
+    import os
+    from datetime import datetime
+    src = os.path.join(tmpdir_path, "events")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    k = '{"k": 1}'
+    batches = [
+        [(1, datetime(2024, 1, 1, 0, 0), 7, "click", 1.0, k), (2, datetime(2024, 1, 1, 0, 5), 7, "click", 1.0, k)],
+        [(3, datetime(2024, 1, 1, 0, 20), 7, "click", 1.0, k)],     # within 1 h of the first: dropped
+        [(4, datetime(2024, 1, 1, 3, 0), 8, "view", 1.0, k)],       # moves the watermark to 02:00
+        [(6, datetime(2024, 1, 1, 3, 10), 9, "view", 1.0, k)],      # that watermark evicts key-7's state
+        [(5, datetime(2024, 1, 1, 2, 30), 7, "click", 1.0, k)],     # key-7 seen again: emitted again
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    out = ST.dedupe_sightings(stream, "1 hour")
+    got = sorted((r["user_id"], str(r["ts"])) for r in spark.read.parquet(out).collect())
+    assert got == [(7, "2024-01-01 00:00:00"), (7, "2024-01-01 02:30:00"), (8, "2024-01-01 03:00:00"),
+                   (9, "2024-01-01 03:10:00")]
