@@ -38,8 +38,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = build_session(f"local[{cpus}]", cpus * 2, app_name="kestrel-bench",
-                          extra={"spark.ui.enabled": "false"})
+    extra = {"spark.ui.enabled": "false"}
+    if os.environ.get("BENCH_DRIVER_MEMORY"):
+        # Local mode runs every task in the driver JVM; size its heap.
+        extra["spark.driver.memory"] = os.environ["BENCH_DRIVER_MEMORY"]
+    spark = build_session(f"local[{cpus}]", cpus * 2, app_name="kestrel-bench", extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     qs = all_queries()
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
