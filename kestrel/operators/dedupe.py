@@ -17,13 +17,18 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column] | None
     payload = [c for c in df.columns if c not in keys]
     if not payload:
         return df.select(*keys).distinct()
-    row = F.struct(*[F.col(c) for c in payload])
-    if order:
-        ok = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-        picked = F.min_by(row, ok)
+    row = f"struct({', '.join(_q(c) for c in payload)})"
+    if order and all(isinstance(o, str) for o in order):
+        picked = F.expr(f"min_by({row}, struct({', '.join(_q(o) for o in order)})) AS _kept")
+    elif order:
+        picked = F.min_by(F.expr(row), F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])).alias("_kept")
     else:
-        picked = F.min(row)
-    return df.groupBy(*keys).agg(picked.alias("_kept")).select(*keys, "_kept.*")
+        picked = F.expr(f"min({row}) AS _kept")
+    return df.groupBy(*keys).agg(picked).selectExpr(*[_q(k) for k in keys], "_kept.*")
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def drop_helper_columns(df: DataFrame, prefix: str = "_") -> DataFrame:
