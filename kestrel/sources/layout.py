@@ -32,7 +32,10 @@ def write_layout(spark: SparkSession, sf_dir: str, database: str, buckets: int,
 
     ``path_root`` places the files under a given shared folder (external
     tables); by default they go to the warehouse."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    if path_root:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{path_root}/_db'")
+    else:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in tables:
         df = read_table(spark, sf_dir, name)
         w = df.write.mode("overwrite").format("parquet")
