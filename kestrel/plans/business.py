@@ -39,10 +39,10 @@ def top_categories_raw(c: Commerce, n: int = 5) -> DataFrame:
 
 def late_by_state(c: Commerce, n: int = 5) -> DataFrame:
     """Q3: states with most late orders."""
-    late = c.orders().filter(F.col("is_late"))
-    per_cust = late.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    late = c.orders().filter("is_late")
+    per_cust = late.groupBy("customer_id").agg(F.expr("count(1) AS n"))
     per_state = (per_cust.join(c.customers().select("customer_id", "state"), "customer_id")
-                 .groupBy("state").agg(F.sum("n").alias("late_delivery_count")))
+                 .groupBy("state").agg(F.expr("sum(n) AS late_delivery_count")))
     return top_n(per_state, [desc_first("late_delivery_count")], n, ["state"])
 
 
@@ -101,9 +101,9 @@ def most_common_payment(c: Commerce) -> DataFrame:
 
 
 def state_most_orders(c: Commerce) -> DataFrame:
-    per_cust = c.orders_base().groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    per_cust = c.orders_base().groupBy("customer_id").agg(F.expr("count(1) AS n"))
     g = (per_cust.join(c.customers().select("customer_id", "state"), "customer_id")
-         .groupBy("state").agg(F.sum("n").alias("orders")))
+         .groupBy("state").agg(F.expr("sum(n) AS orders")))
     return top_n(g, [desc_first("orders")], 1, ["state"])
 
 
