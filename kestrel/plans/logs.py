@@ -29,6 +29,12 @@ def session_next_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.next_seq(LM.session_lines(spark, sf_dir), "session_id", "seq")
 
 
+def session_assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense 1-based sequence per session in turn order (role breaks ties), skew-safe."""
+    lines = LM.session_lines(spark, sf_dir).selectExpr("session_id", "seq AS turn", "role")
+    return L.assign_seq(lines, "session_id", "turn", "role")
+
+
 def session_prompts(spark: SparkSession, sf_dir: str, n: int = SESSION_LINES_KEPT) -> DataFrame:
     lines = LM.session_lines(spark, sf_dir)
     questions = lines.filter(F.col("role") == "user").select("session_id", "seq", F.col("text").alias("question"))

@@ -75,6 +75,7 @@ from kestrel.plans import logs as LG  # noqa: E402
 
 register("session_last_n")(LG.session_last_n)
 register("session_seq")(LG.session_next_seq)
+register("session_assign_seq")(LG.session_assign_seq)
 register("session_prompt")(LG.session_prompts)
 register("session_forget")(LG.session_forget)
 register("cache_hits")(LG.cache_hits)
