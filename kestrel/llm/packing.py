@@ -99,7 +99,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 200_000) -
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "rid", "piece"], ascending=[False, True, True])
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=(rows["pack_group"].astype("int64") << 32) + bins, offset=offsets).drop(
+        return rows.assign(sequence_id=rows["pack_group"].astype("int64") * (1 << 32) + bins, offset=offsets).drop(
             columns="pack_group")
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
