@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import exact_dedup, packing, sharding, simhash
+from kestrel.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    toxicity,
+)
 from kestrel.llm.common import table
 from kestrel.session import ensure_checkpoint_dir
 
@@ -19,6 +28,49 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _remainder(n: int):
+    """crc32 of the doc_id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by hyperdimensional profiles, learnt from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs.filter(_remainder(3) != 1))
+    found = docs.select("doc_id", (_remainder(3) == 1).alias("held_out"),
+                        language_id.identify(F.col("text"), profiles).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by base patterns and a conditional random field."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", secrets.find_secrets(F.col("text"), secrets.train(docs)).alias("found"))
+    return found.select("doc_id", "found.n_assign", "found.n_access", "found.n_hex",
+                        F.sha2("found.base", 256).alias("base_sha256"), "found.spans")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fit on the labels that the contract allows."""
+    return toxicity.train(docs, labels.filter(_remainder(5) != 0))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of a counterfactual-regularised classifier."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", (_remainder(5) == 0).alias("held_out"),
+                       toxicity.score(F.col("text"), model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages found by an FM-index per training shard."""
+    return decontamination.contaminated_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous shards of near equal bytes (law ``bytes``)."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 16).select(
@@ -41,7 +93,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
-_QUERIES = [op5_shard_by_bytes, op6_simhash_near_dedup, op7_exact_dedup, op10_best_fit_packing]
+_QUERIES = [op2_language_id, op4_secret_scan, op5_shard_by_bytes, op6_simhash_near_dedup, op7_exact_dedup, op8_toxicity,
+            op9_benchmark_decontamination, op10_best_fit_packing]
 
 
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -59,6 +112,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def llm_oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
     folded = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = r"regexp_extract_all(folded, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return {
         "op7_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {folded} AS folded FROM documents)
@@ -68,4 +122,24 @@ def llm_oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER (PARTITION BY folded) AS kept,
                    sha256(folded) AS text_sha256
             FROM t""",
+        "op9_benchmark_decontamination": f"""
+            WITH d AS (SELECT doc_id, {words} AS w FROM (SELECT doc_id, {folded} AS folded FROM documents)),
+            b AS (SELECT item_id, {words} AS w FROM (SELECT item_id, {folded} AS folded FROM benchmark)),
+            phrase AS (
+              SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i:i + least(len(w), 10) - 1] AS p
+              FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+            place AS (
+              SELECT doc_id, i, n, w[i:i + n - 1] AS p
+              FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                    FROM d JOIN (SELECT DISTINCT n FROM phrase) ON len(w) >= n)),
+            hit AS (SELECT doc_id, i, n, item_id FROM place JOIN phrase USING (n, p)),
+            word AS (SELECT doc_id, count(DISTINCT k) AS n_hit
+                     FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+            item AS (SELECT doc_id, count(*) AS n_items,
+                            string_agg(item_id, ',' ORDER BY item_id) AS items
+                     FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+                   coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+                   coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
     }
