@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from kestrel.llm import (
     decontamination,
     exact_dedup,
+    html_extract,
     language_id,
     packing,
     secrets,
     sharding,
     simhash,
+    token_files,
     toxicity,
 )
-from kestrel.llm.common import table
+from kestrel.llm.common import scratch_folder, table
 from kestrel.session import ensure_checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
+VOCABULARY = 50257
 
 
 def tokenizer_path() -> str:
@@ -33,6 +36,13 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files by a context-mixing range coder, written and read back."""
+    path = scratch_folder(spark, "token-files")
+    token_files.write_corpus(table(spark, sf_dir, "documents"), path, tokenizer_path(), VOCABULARY, end_id=2)
+    return token_files.read_corpus(spark, path)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language by hyperdimensional profiles, learnt from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -42,6 +52,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of pages by nearest-URL page differencing."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets by base patterns and a conditional random field."""
     docs = table(spark, sf_dir, "documents")
@@ -93,8 +108,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
-_QUERIES = [op2_language_id, op4_secret_scan, op5_shard_by_bytes, op6_simhash_near_dedup, op7_exact_dedup, op8_toxicity,
-            op9_benchmark_decontamination, op10_best_fit_packing]
+_QUERIES = [op1_token_files, op2_language_id, op3_html_extraction, op4_secret_scan, op5_shard_by_bytes,
+            op6_simhash_near_dedup, op7_exact_dedup, op8_toxicity, op9_benchmark_decontamination, op10_best_fit_packing]
 
 
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
