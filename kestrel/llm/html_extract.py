@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 from kestrel.llm.common import materialize
 
 BLOCK, HALO = 256, 4
-SAME_PAGE = 0.8
+SAME_PAGE = 0.95
 PLAIN, INNER, FIRM = 0, 1, 2  # candidate line; short one in an article; heading or prose in an article
 
 _TAG = re.compile(

@@ -84,7 +84,8 @@ def _gather(spans: list[tuple[int, int]], top: bool) -> str:
     at = 64 - sum(w for _, w in spans) if top else 0
     parts = []
     for lo, width in spans:
-        parts.append(f"shiftleft(shiftrightunsigned(fp, {lo}) & {(1 << width) - 1}L, {at})")
+        mask = (1 << width) - 1 if width < 64 else -1
+        parts.append(f"shiftleft(shiftrightunsigned(fp, {lo}) & {mask}L, {at})")
         at += width
     return " | ".join(parts) if parts else "0L"
 
