@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import question_key
 from kestrel.operators.topk import top_n
+from kestrel.session import cut_lineage
 
 # ---- sessions ---------------------------------------------------------------
 # Fixed value: one turn is a user line plus an assistant line.
@@ -14,15 +15,30 @@ LINES_PER_TURN = 2
 DEFAULT_TURNS = 6
 
 
-def last_n_lines(lines: DataFrame, session: str, seq: str, n: int) -> DataFrame:
-    """The last ``n`` lines of every session (by ``seq``), as stored after pruning.
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+TRIM_SALTS = 32
 
-    ``row_number() <= n`` over a session window plans as WindowGroupLimit,
-    whose partial stage runs before the shuffle: each map task forwards at
-    most ``n`` rows per session, so a huge session is cut down map-side.
-    """
-    w = Window.partitionBy(session).orderBy(F.col(seq).desc())
-    return lines.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+def newest_rows(df: DataFrame, group: list[str], order: list[Column], n: int, salt: Column) -> DataFrame:
+    """The first ``n`` rows of every group by ``order``.
+
+    ``row_number() <= n`` plans as WindowGroupLimit, whose partial stage cuts
+    every group map-side, as long as ``n`` is within the planner's threshold.
+    Beyond it a huge group would be sorted whole in one task, so the rows are
+    first cut to ``n`` per group and salt, which spreads the group over
+    ``TRIM_SALTS`` tasks; the final cut then sees at most salts x n rows."""
+    def cut(rows: DataFrame, keys: list) -> DataFrame:
+        rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("_rn", rn).filter(F.col("_rn") <= n).drop("_rn")
+
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
+        df = cut(df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(TRIM_SALTS))), [*group, "_salt"]).drop("_salt")
+    return cut(df, group)
+
+
+def last_n_lines(lines: DataFrame, session: str, seq: str, n: int) -> DataFrame:
+    """The last ``n`` lines of every session (by ``seq``), as stored after pruning."""
+    return newest_rows(lines, [session], [F.col(seq).desc()], n, F.col(seq))
 
 
 def next_seq(lines: DataFrame, session: str, seq: str) -> DataFrame:
@@ -30,27 +46,32 @@ def next_seq(lines: DataFrame, session: str, seq: str) -> DataFrame:
     return lines.groupBy(session).agg((F.coalesce(F.max(seq), F.lit(0)) + 1).alias("next_seq"))
 
 
-def assign_seq(log: DataFrame, session: str, ts: str, tiebreak: str, partitions: int | None = None) -> DataFrame:
-    """Dense 1-based sequence numbers per session in time order, skew-safe.
-
-    A per-session window would sort a huge session in one task. Instead the
-    log is range-partitioned on (session, ts, tiebreak), which cuts a huge
-    session into consecutive slices on many tasks; rows are numbered inside
-    each (slice, session) piece, and each piece is offset by the row counts of
-    the earlier slices of its session (a small table: one row per piece)."""
-    spark = log.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (log.repartitionByRange(n, F.col(session), F.col(ts), F.col(tiebreak))
-                 .withColumn("_slice", F.spark_partition_id()))
-    local = ranged.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("_slice", session).orderBy(F.col(ts), F.col(tiebreak))))
-    before = Window.partitionBy(session).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy("_slice", session).agg(F.count(F.lit(1)).alias("_n"))
-                     .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                     .select("_slice", session, "_off"))
-    return (local.join(offsets, ["_slice", session])
-                 .withColumn("seq", F.col("_off") + F.col("_rn"))
-                 .drop("_slice", "_rn", "_off"))
+def running_sum(log: DataFrame, group: str, order: list[str], weight: Column, out: str) -> DataFrame:
+    """``log`` with the sum of ``weight`` over the rows of its group up to the row itself, skew-safe.
+
+    A window per group would sort a huge group in one task. Instead the rows
+    are range-partitioned on (group, order), which cuts a huge group into
+    consecutive slices, and written once with the number of their slice: the
+    slice bounds are sampled, so they must not be drawn twice. Sums inside each
+    (slice, group) piece are then offset by the totals of the group's earlier
+    slices (one row per piece)."""
+    keys = [F.col(c) for c in (group, *order)]
+    sliced = cut_lineage(log.withColumn("_weight", weight).repartitionByRange(*keys)
+                         .withColumn("_slice", F.spark_partition_id()))
+    inside = Window.partitionBy("_slice", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (sliced.groupBy("_slice", F.col(group).alias("_group")).agg(F.sum("_weight").alias("_n"))
+               .withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+               .select(F.col("_slice").alias("_at"), "_group", "_off"))
+    local = sliced.withColumn("_upto", F.sum("_weight").over(inside))
+    same = (local["_slice"] == offsets["_at"]) & local[group].eqNullSafe(offsets["_group"])
+    return local.join(offsets, same).withColumn(out, F.col("_off") + F.col("_upto")).drop(
+        "_weight", "_slice", "_upto", "_at", "_group", "_off")
+
+
+def assign_seq(log: DataFrame, session: str, ts: str, tiebreak: str) -> DataFrame:
+    """Dense 1-based sequence numbers per session in time order (a null session is one of its own)."""
+    return running_sum(log, session, [ts, tiebreak], F.lit(1).cast("long"), "seq")
 
 
 def build_prompts(lines: DataFrame, questions: DataFrame, session: str, seq: str,
@@ -58,23 +79,28 @@ def build_prompts(lines: DataFrame, questions: DataFrame, session: str, seq: str
     """Prompt text per question: the last ``n`` stored lines before it, then the question.
 
     ``Prior conversation:\\n<lines>\\n\\nCurrent question: <q>``; a question with
-    no history stays plain. Sequence numbers are dense per session (as the
-    store assigns them), so the lines before question ``q`` are ``q-n .. q-1``:
-    each line is copied to the ``n`` positions it precedes and joined on
-    (session, position). The join key spreads even one huge session across
-    all tasks, and each prompt gathers at most ``n`` lines.
+    no history stays plain. Sequence numbers may have gaps. Lines get their
+    rank in the session and questions the number of lines before them
+    (:func:`running_sum` over the narrow keys); a question then asks for the ``n``
+    ranks before it, narrow rows that spread over all tasks, and the texts are
+    joined to those alone.
     """
-    fan = lines.select(session, F.col(seq).alias("_src"), F.col(line).alias("_line"),
-                       F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k"))
-    fan = fan.select(session, (F.col("_src") + F.col("_k")).alias(seq), "_src", "_line")
-    hist = (fan.join(questions.select(session, seq), [session, seq], "left_semi")
-               .groupBy(session, seq)
-               .agg(F.array_sort(F.collect_list(F.struct(F.col("_src"), F.col("_line")))).alias("_h")))
-    q = questions.join(hist, [session, seq], "left")
-    prior = F.array_join(F.transform(F.col("_h"), lambda s: s["_line"]), "\n")
+    narrow = lines.select(F.col(session).alias("_s"), F.col(seq).alias("_q"), F.lit(1).alias("_is_line"), F.col(line).alias("_line"))
+    asked = questions.select(F.col(session).alias("_s"), F.col(seq).alias("_q"), F.lit(0).alias("_is_line"),
+                             F.lit(None).cast("string").alias("_line")).distinct()
+    # A question sorts before a line of the same number: only earlier lines count.
+    ranked = running_sum(narrow.unionByName(asked), "_s", ["_q", "_is_line", "_line"], F.col("_is_line").cast("long"), "_rank")
+    wanted = ranked.filter("_is_line = 0 AND _rank > 0").select(
+        F.col("_s").alias("_ws"), F.col("_q").alias("_wq"),
+        F.explode(F.sequence(F.greatest(F.col("_rank") - n + 1, F.lit(1)), F.col("_rank"))).alias("_wr"))
+    stored = ranked.filter("_is_line = 1")
+    hist = (wanted.join(stored, wanted["_ws"].eqNullSafe(stored["_s"]) & (wanted["_wr"] == stored["_rank"]))
+            .groupBy("_ws", "_wq").agg(F.array_sort(F.collect_list(F.struct("_wr", "_line"))).alias("_h")))
+    q = questions.join(hist, questions[session].eqNullSafe(hist["_ws"]) & (questions[seq] == hist["_wq"]), "left")
+    prior = F.array_join(F.transform(F.col("_h"), lambda x: x["_line"]), "\n")
     prompt = F.when(F.col("_h").isNull(), F.col(question)).otherwise(
         F.concat(F.lit("Prior conversation:\n"), prior, F.lit("\n\nCurrent question: "), F.col(question)))
-    return q.select(session, seq, prompt.alias("prompt"))
+    return q.select(questions[session], questions[seq], prompt.alias("prompt"))
 
 
 def forget_sessions(lines: DataFrame, forget: DataFrame, session: str) -> DataFrame:
@@ -172,16 +198,14 @@ def latency_percentiles(log: DataFrame, ts: str, latency: str, tiebreak: str,
     """p50/p95/p99 over the last ``window`` requests (overall, or per ``group``).
 
     The window is bounded (1,000 samples), so gathering it into one sorted
-    array per group is bounded too; per-group selection is a WindowGroupLimit
-    that trims each group map-side before the shuffle."""
+    array per group is bounded too; :func:`newest_rows` trims each group first."""
     if group is None:
         recent = top_n(log.select(ts, tiebreak, latency), [F.col(ts).desc()], window, [F.col(tiebreak).desc()])
         g = recent.agg(F.array_sort(F.collect_list(latency)).alias("_s"))
         keys = []
     else:
-        w = Window.partitionBy(group).orderBy(F.col(ts).desc(), F.col(tiebreak).desc())
-        recent = log.select(group, ts, tiebreak, latency).withColumn("_rn", F.row_number().over(w)) \
-                    .filter(F.col("_rn") <= window)
+        recent = newest_rows(log.select(group, ts, tiebreak, latency), [group],
+                             [F.col(ts).desc(), F.col(tiebreak).desc()], window, F.col(tiebreak))
         g = recent.groupBy(group).agg(F.array_sort(F.collect_list(latency)).alias("_s"))
         keys = [group]
     cols = [f"CAST({nearest_rank_sql('_s', p)} AS BIGINT) AS p{int(round(p * 100))}_latency_ms" for p in ps]

@@ -84,25 +84,21 @@ def with_latest_rate(df: DataFrame, rates: DataFrame, **kw) -> DataFrame:
     return with_scalars(df, latest_rate(rates, **kw))
 
 
-def daily_rate_calendar(rates: DataFrame, start: str, end: str,
-                        from_ccy: str = "BRL", to_ccy: str = "USD") -> DataFrame:
-    """One row per day in [start, end]: the last rate dated on or before it (fallback before the first).
-
-    The calendar has one row per day of the range, independent of the data
-    size, so joining facts to it is an equi-join on the date (no range join)."""
-    spark = rates.sparkSession
-    days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("date"))
-    r = rates.filter((F.col("from_ccy") == from_ccy) & (F.col("to_ccy") == to_ccy)) \
-             .groupBy("date").agg(F.max("rate").alias("rate"))
-    cal = days.join(r, "date", "left")
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.last("rate", ignorenulls=True).over(w)
-    return cal.select("date", F.coalesce(filled, F.lit(FALLBACK_RATE)).alias("rate"),
-                      filled.isNull().alias("is_fallback"))
-
-
-def as_of_rate(df: DataFrame, date_col: str, calendar: DataFrame) -> DataFrame:
-    """Rate as of each row's date via the daily calendar (equi-join on day)."""
-    keyed = df.withColumn("_day", F.to_date(F.col(date_col)))
-    cal = calendar.withColumnRenamed("date", "_day")
-    return keyed.join(cal, "_day", "left").drop("_day")
+def as_of_rate(df: DataFrame, date_col: str, rates: DataFrame, from_ccy: str = "BRL", to_ccy: str = "USD") -> DataFrame:
+    """``df`` with the last rate dated on or before each row's date (fallback, flagged, before the first quote).
+
+    The distinct days of ``df`` (combined map-side, so at most one row per
+    calendar day) are put in order with the quotes, each day takes the last
+    quote so far, and the rows join their day: an equi-join, whatever range
+    of dates the data has. A null date has no rate known, so the fallback."""
+    quotes = rates.filter((F.col("from_ccy") == from_ccy) & (F.col("to_ccy") == to_ccy)).groupBy("date").agg(
+        F.max("rate").alias("_quote"))
+    day = F.to_date(F.col(date_col))
+    days = df.select(day.alias("_day")).distinct().unionByName(quotes.select(F.col("date").alias("_day"))).distinct()
+    known = days.join(quotes.withColumnRenamed("date", "_day"), "_day", "left").select(
+        "_day", F.last("_quote", ignorenulls=True).over(
+            Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)).alias("_known"))
+    keyed = df.withColumn("_on", day)
+    return keyed.join(known, keyed["_on"].eqNullSafe(known["_day"]), "left").withColumns({
+        "rate": F.coalesce("_known", F.lit(FALLBACK_RATE)), "is_fallback": F.col("_known").isNull()}).drop(
+        "_on", "_day", "_known")

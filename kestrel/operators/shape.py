@@ -13,17 +13,17 @@ BAR_MAX_ROWS = 20
 LINE_MIN_ROWS = 3
 
 
-def chart_hint(df: DataFrame, cap: int = 1000) -> DataFrame:
+def chart_hint(df: DataFrame) -> DataFrame:
     """'line' | 'bar' | 'none' for a query result (first two columns).
 
     At least 2 rows and 2 columns with a numeric second column; 'line' when
     there are >= 3 rows and every first-column value is a date or date-like
     text (YYYY, YYYY-MM, YYYY-MM-DD); 'bar' when there are <= 20 rows of text
-    labels. One aggregate pass over the capped result."""
+    labels. One aggregate pass over the whole result (capping belongs to the
+    query surface)."""
     fields = df.schema.fields
-    capped = df.limit(cap) if cap > 0 else df
     if len(fields) < 2 or not isinstance(fields[1].dataType, NUMERIC):
-        return capped.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit("none").alias("chart"))
+        return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit("none").alias("chart"))
     x = F.col(f"`{fields[0].name}`")
     t0 = fields[0].dataType
     if isinstance(t0, (T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -34,7 +34,7 @@ def chart_hint(df: DataFrame, cap: int = 1000) -> DataFrame:
         datelike = F.lit(False)
     is_text = x.isNotNull() if isinstance(t0, T.StringType) else F.lit(False)
     y_num = F.col(f"`{fields[1].name}`").isNotNull()
-    a = capped.agg(F.count(F.lit(1)).alias("rows"), F.bool_and(datelike).alias("_dates"),
+    a = df.agg(F.count(F.lit(1)).alias("rows"), F.bool_and(datelike).alias("_dates"),
                    F.bool_and(is_text).alias("_text"), F.bool_and(y_num).alias("_num"))
     chart = (F.when((F.col("rows") < 2) | ~F.col("_num"), F.lit("none"))
               .when((F.col("rows") >= LINE_MIN_ROWS) & F.col("_dates"), F.lit("line"))

@@ -77,21 +77,37 @@ def build_products(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataF
     return df.select("product_id", "category_name_pt", "category_name_en", *DIM_COLS)
 
 
-def build_geolocation(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
-    """~1M raw points -> one row per zip: mean lat/lng (6 digits), modal city/state, cleaned after the mode."""
-    g = read_raw(spark, raw_dir, "geolocation", prefix)
-    df = g.select(X.zfill(F.col("geolocation_zip_code_prefix"), 5).alias("zip_code_prefix"),
-                  F.col("geolocation_lat").try_cast("double").alias("lat"),
-                  F.col("geolocation_lng").try_cast("double").alias("lng"),
-                  F.col("geolocation_city").alias("city"),
-                  F.col("geolocation_state").alias("state"))
-    r = modal_rollup(df, "zip_code_prefix", ["lat", "lng"], ["city", "state"])
+def rollup_places(points: DataFrame) -> DataFrame:
+    """Raw points (zip_code_prefix, lat, lng, city, state) -> one row per zip.
+
+    Mean lat/lng (6 digits), modal city/state, cleaned after the mode."""
+    r = modal_rollup(points, "zip_code_prefix", ["lat", "lng"], ["city", "state"])
     return r.select("zip_code_prefix",
                     F.col("lat").cast("decimal(10,6)").alias("lat"),
                     F.col("lng").cast("decimal(10,6)").alias("lng"),
                     X.clean_city("city").alias("city"), X.clean_state("state").alias("state"))
 
 
+def build_geolocation(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
+    g = read_raw(spark, raw_dir, "geolocation", prefix)
+    return rollup_places(g.select(
+        X.zfill(F.col("geolocation_zip_code_prefix"), 5).alias("zip_code_prefix"),
+        F.col("geolocation_lat").try_cast("double").alias("lat"),
+        F.col("geolocation_lng").try_cast("double").alias("lng"),
+        F.col("geolocation_city").alias("city"),
+        F.col("geolocation_state").alias("state")))
+
+
+# Stand-in points: one per customer; 997 zip prefixes, so that a zip has several points and modes can tie.
+GEO_POINTS = ("CAST(c_custkey % 997 AS STRING) AS zip", "c_acctbal AS lat", "-c_acctbal AS lng",
+              "concat('  ', lower(c_mktsegment)) AS city", "concat(char(97 + c_nationkey), 'x') AS state")
+
+
+def geolocation_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = Tables(spark, sf_dir).customer.selectExpr(*GEO_POINTS)
+    return rollup_places(points.select(X.zfill(F.col("zip"), 5).alias("zip_code_prefix"), "lat", "lng", "city", "state"))
+
+
 def build_orders(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataFrame:
     o = read_raw(spark, raw_dir, "orders", prefix)
     o = o.select("order_id", "customer_id", "order_status",

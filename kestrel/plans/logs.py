@@ -31,12 +31,13 @@ def session_next_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense 1-based sequence per session in turn order (role breaks ties), skew-safe."""
-    lines = LM.session_lines(spark, sf_dir).selectExpr("session_id", "seq AS turn", "role")
+    lines = LM.session_lines(spark, sf_dir).selectExpr("session_id", "seq AS turn", "role", "line")
     return L.assign_seq(lines, "session_id", "turn", "role")
 
 
 def session_prompts(spark: SparkSession, sf_dir: str, n: int = SESSION_LINES_KEPT) -> DataFrame:
-    lines = LM.session_lines(spark, sf_dir)
+    # Every fifth turn is taken out, so that the stored numbers have gaps.
+    lines = LM.session_lines(spark, sf_dir).filter("seq % 5 <> 2 AND line IS NOT NULL")
     questions = lines.filter(F.col("role") == "user").select("session_id", "seq", F.col("text").alias("question"))
     return L.build_prompts(lines.select("session_id", "seq", "line"), questions,
                            "session_id", "seq", "line", "question", n)

@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.operators import lookups as LK
-from kestrel.operators.guard import DEFAULT_ROW_CAP, guarded_sql
+from kestrel.operators.guard import DEFAULT_ROW_CAP, SURFACE_TABLES, guarded_sql
 from kestrel.operators.shape import chart_hint
 from kestrel.plans import kpis, marts
 from kestrel.sources.model import Commerce
-from kestrel.sources.tables import register_views
+from kestrel.sources.tables import Tables
 
-# The ad-hoc statement the guarded surface runs in the registered check.
+# The ad-hoc statement the guarded surface runs in the registered check: a table joined to a mart.
 ADHOC_SQL = """
-SELECT n.n_name AS state, COUNT(*) AS orders, ROUND(SUM(CAST(o.o_totalprice AS DECIMAL(12,2))), 2) AS order_value
-FROM orders o
-JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN nation n ON c.c_nationkey = n.n_nationkey
-GROUP BY n.n_name
+SELECT m.state, m.orders, m.revenue_brl, count(*) AS customers
+FROM mart_state_performance m
+JOIN customers c ON c.state = m.state
+GROUP BY m.state, m.orders, m.revenue_brl
 """
 
-# Rate quotes (parameters): the one BRL->USD quote the original tests pin.
-RATE_QUOTES = [("2025-01-15", "BRL", "USD", 0.1995)]
+# Rate quotes (parameters); the last is the one the original tests pin.
+RATE_QUOTES = [("1996-07-01", "BRL", "USD", 0.9950), ("1998-03-10", "BRL", "USD", 0.8812),
+               ("1999-02-01", "BRL", "USD", 0.5236), ("2025-01-15", "BRL", "USD", 0.1995)]
 
 
 _SURFACES: dict = {}
@@ -30,28 +30,26 @@ _SURFACES: dict = {}
 
 def surface_session(spark: SparkSession, sf_dir: str) -> SparkSession:
     """The session ad-hoc SQL runs in: a child session (same cluster, its own
-    temp views) holding only the allowed tables, so nothing else the caller
-    registered is reachable. One per parent session and data folder."""
-    key = (id(spark), sf_dir)
-    sess = _SURFACES.get(key)
-    if sess is None:
-        try:
-            sess = spark.newSession()
-        except Exception:  # noqa: BLE001 - no child sessions (e.g. Spark Connect): use the caller's
-            sess = spark
-        sess.conf.set("spark.sql.session.timeZone", "UTC")
-        register_views(sess, sf_dir)
-        _SURFACES[key] = sess
-    return sess
+    temp views) that holds the eight tables and three marts and nothing else the
+    caller registered. One per Spark application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SURFACES:
+        child = spark.newSession()
+        child.conf.set("spark.sql.session.timeZone", "UTC")
+        c = Commerce(child, sf_dir)
+        tables = {"customers": c.customers(), "sellers": c.sellers(), "products": c.products(),
+                  "geolocation": c.geolocation(), "orders": c.orders(), "order_items": c.order_items(),
+                  "order_payments": c.payments(), "order_reviews": c.reviews()}
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        marts.register_marts(c)
+        _SURFACES[key] = child
+    return _SURFACES[key]
 
 
 def guarded_adhoc(spark: SparkSession, sf_dir: str, query: str = ADHOC_SQL,
                   cap: int = DEFAULT_ROW_CAP) -> DataFrame:
-    sess = surface_session(spark, sf_dir)
-    res = guarded_sql(sess, query, cap)
-    if isinstance(res, str):
-        return sess.createDataFrame([(res,)], "error string")
-    return res
+    return guarded_sql(surface_session(spark, sf_dir), query, SURFACE_TABLES, cap)
 
 
 def rates_table(spark: SparkSession) -> DataFrame:
@@ -60,9 +58,17 @@ def rates_table(spark: SparkSession) -> DataFrame:
 
 
 def state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State dimension lookup for every customer state code."""
-    states = Commerce(spark, sf_dir).customers().select("state").distinct()
-    return LK.lookup_states(states, "state")
+    """State dimension lookup of every customer's code.
+
+    Stand-in codes: nation k has the k-th code of the dimension (counted from
+    0), in lower case with a leading blank; every ninth nation has 'zz' and its
+    number, which no state has."""
+    codes = ", ".join(f"'{code.lower()}'" for code, _, _ in LK.BR_STATES)
+    code = (f"CASE WHEN c_nationkey % 9 = 8 THEN concat('zz', c_nationkey) "
+            f"ELSE concat(' ', element_at(array({codes}), c_nationkey + 1)) END")
+    customers = Tables(spark, sf_dir).customer.selectExpr(f"{code} AS state")
+    per_code = customers.groupBy("state").agg(F.count(F.lit(1)).alias("customers"))
+    return LK.lookup_states(per_code, "state")
 
 
 def revenue_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +82,7 @@ def revenue_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def revenue_usd_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly revenue converted at the rate known on each month's first day."""
     m = marts.revenue_by_month(Commerce(spark, sf_dir)).select("month", "revenue_brl")
-    cal = LK.daily_rate_calendar(rates_table(spark), "1990-01-01", "2030-12-31")
-    j = LK.as_of_rate(m, "month", cal)
+    j = LK.as_of_rate(m, "month", rates_table(spark))
     usd = F.round(F.col("revenue_brl") * F.col("rate").cast("decimal(10,4)"), 2)
     return j.select("month", "revenue_brl", "rate", "is_fallback", usd.alias("revenue_usd"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,12 +48,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when unset.
+    """Return the shared checkpoint folder, setting a local one only for a local master.
 
     On a cluster ``spark.checkpoint.dir`` names a shared filesystem folder and
-    is used as-is. Only a session without it (a test run) gets a fresh folder
-    under the system temp dir. Works without a SparkContext handle (Spark
-    Connect) by falling back to the session conf.
+    is used as-is; without it this raises, since other machines would not see
+    a local folder. Only a session on a ``local`` master (a test run) gets a
+    fresh folder under the system temp dir. Works without a SparkContext handle
+    (Spark Connect) by falling back to the session conf.
     """
     try:
         sc = spark.sparkContext
@@ -65,6 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master or ""):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="kestrel-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", conf_dir)

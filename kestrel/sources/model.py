@@ -122,6 +122,12 @@ class Commerce(ModelBase):
             f"nullif(p_type, '{NO_CATEGORY_TYPE}') AS category_name_en",
             "p_brand AS brand", "p_size AS size", "p_retailprice AS retail_price")
 
+    @memo
+    def geolocation(self) -> DataFrame:
+        """Stand-in places: one point per customer, rolled up to the zip prefix."""
+        from kestrel.plans.etl import geolocation_driver
+        return geolocation_driver(self.spark, self.sf_dir)
+
     # ---- facts ------------------------------------------------------
     @memo
     def order_items(self) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +61,10 @@ def _latest(spark: SparkSession, out: str, keys: list[str], schema: T.StructType
     """Latest emitted version of each key (max batch id)."""
     try:
         rows = spark.read.schema(schema.add("_batch", T.LongType())).parquet(out)
-    except Exception:  # noqa: BLE001 - nothing was emitted
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # nothing was emitted
     payload = [c for c in rows.columns if c not in keys and c != "_batch"]
     latest = F.max_by(F.struct(*[F.col(c) for c in payload]), F.col("_batch"))
     return rows.groupBy(*keys).agg(latest.alias("_v")).select(*keys, "_v.*")

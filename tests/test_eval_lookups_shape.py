@@ -71,12 +71,12 @@ def test_latest_rate_and_fallback(spark):
 
 def test_as_of_rate(spark):
     rates = _rates(spark, [(date(2020, 1, 10), "BRL", "USD", 0.25), (date(2020, 3, 1), "BRL", "USD", 0.21)])
-    cal = LK.daily_rate_calendar(rates, "2020-01-01", "2020-12-31")
-    facts = spark.createDataFrame([(date(2020, 1, 5),), (date(2020, 1, 10),), (date(2020, 2, 28),), (date(2020, 6, 1),)],
-                                  "d date")
-    got = [(r["d"], r["rate"], r["is_fallback"]) for r in LK.as_of_rate(facts, "d", cal).orderBy("d").collect()]
+    facts = spark.createDataFrame([(date(2020, 1, 5),), (date(2020, 1, 10),), (date(2020, 2, 28),), (date(2020, 6, 1),),
+                                   (date(2147, 6, 1),)], "d date")
+    got = [(r["d"], r["rate"], r["is_fallback"]) for r in LK.as_of_rate(facts, "d", rates).orderBy("d").collect()]
     assert got == [(date(2020, 1, 5), 0.20, True), (date(2020, 1, 10), 0.25, False),
-                   (date(2020, 2, 28), 0.25, False), (date(2020, 6, 1), 0.21, False)]
+                   (date(2020, 2, 28), 0.25, False), (date(2020, 6, 1), 0.21, False),
+                   (date(2147, 6, 1), 0.21, False)]
 
 
 def test_chart_hint(spark):

@@ -147,11 +147,33 @@ def test_duplicate_rows_exact(spark):
     assert (p["rows"], p["cols"], p["null_cells"], p["duplicate_rows"]) == (6, 3, 6, 2)
 
 
-def test_assign_seq_dense_and_skew_safe(spark):
+def test_assign_seq_numbers_every_row_with_its_payload(spark):
     from pyspark.sql import Window
-    rows = [("hot", i // 3, i) for i in range(3000)] + [(f"s{i % 40}", i, i) for i in range(600)]
-    df = spark.createDataFrame(rows, "session string, ts long, id long")
-    got = {(r["session"], r["id"]): r["seq"] for r in L.assign_seq(df, "session", "ts", "id", partitions=7).collect()}
+    rows = spark.range(600_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 1001 = 1 THEN NULL ELSE concat('s', id % 40) END AS session",
+        "id DIV 7 AS ts", "id", "concat('line ', id, repeat('x', CAST(id % 50 AS INT))) AS line").repartition(16)
     w = Window.partitionBy("session").orderBy("ts", "id")
-    want = {(r["session"], r["id"]): r["seq"] for r in df.withColumn("seq", F.row_number().over(w)).collect()}
-    assert got == want
+    want = rows.withColumn("seq", F.row_number().over(w).cast("long"))
+    for _ in range(2):
+        got = L.assign_seq(rows, "session", "ts", "id")
+        assert got.columns == ["session", "ts", "id", "line", "seq"] and got.count() == 600_000
+        assert got.exceptAll(want).isEmpty()
+
+
+def test_prompts_take_the_last_lines_whatever_their_numbers(spark):
+    lines = spark.createDataFrame([("a", 1, "l1"), ("a", 5, "l5"), ("a", 7, "l7"), ("a", 10, "q10"), ("b", 3, "x")],
+                                  "s string, seq long, line string")
+    asked = spark.createDataFrame([("a", 10, "q"), ("a", 1, "first"), ("c", 4, "none"), ("a", 90, "late")],
+                                  "s string, seq long, question string")
+    got = {(r.s, r.seq): r.prompt for r in L.build_prompts(lines, asked, "s", "seq", "line", "question", 2).collect()}
+    head, tail = "Prior conversation:\n", "\n\nCurrent question: "
+    assert got == {("a", 10): f"{head}l5\nl7{tail}q", ("a", 1): "first", ("c", 4): "none",
+                   ("a", 90): f"{head}l7\nq10{tail}late"}
+
+
+def test_long_windows_are_trimmed_in_two_steps(spark):
+    rows = spark.range(20_000).selectExpr("'hot' AS s", "id AS seq", "concat('l', id) AS line")
+    got = L.last_n_lines(rows, "s", "seq", 3000)
+    assert {r.seq for r in got.collect()} == set(range(17_000, 20_000))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") >= 2 and "_salt" in plan
