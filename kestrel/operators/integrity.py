@@ -45,16 +45,15 @@ def semi_filter(child: DataFrame, column: str, parent: DataFrame, parent_column:
     return child.join(keys, column, "left_semi")
 
 
-def fk_cascade(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def fk_cascade(tables: dict[str, DataFrame], orders: DataFrame | None = None) -> dict[str, DataFrame]:
     """Defensive FK filtering, parents first: orders by customers; items by the
-    filtered orders, products and sellers; payments and reviews by the filtered orders."""
+    filtered orders, products and sellers; payments and reviews by the filtered
+    orders. ``orders`` gives the filtered orders, already computed."""
     t = dict(tables)
-    t["orders"] = semi_filter(t["orders"], "customer_id", t["customers"], "customer_id")
-    items = semi_filter(t["order_items"], "order_id", t["orders"], "order_id")
-    items = semi_filter(items, "product_id", t["products"], "product_id")
-    t["order_items"] = semi_filter(items, "seller_id", t["sellers"], "seller_id")
-    t["order_payments"] = semi_filter(t["order_payments"], "order_id", t["orders"], "order_id")
-    t["order_reviews"] = semi_filter(t["order_reviews"], "order_id", t["orders"], "order_id")
+    t["orders"] = orders if orders is not None else semi_filter(t["orders"], "customer_id", t["customers"], "customer_id")
+    for fk in FOREIGN_KEYS:
+        if fk.child != "orders":
+            t[fk.child] = semi_filter(t[fk.child], fk.column, t[fk.parent], fk.parent_column)
     return t
 
 
@@ -74,8 +73,8 @@ def fk_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: full-row duplicates beyond the first, exact.
 
-    Phase 1 shuffles only a 128-bit fingerprint per row (two independent
-    64-bit hashes) to find fingerprints seen more than once; phase 2 groups
+    Phase 1 shuffles only a 96-bit fingerprint per row (a 64-bit and a
+    32-bit hash) to find fingerprints seen more than once; phase 2 groups
     the full rows of just those candidates, so hash collisions cannot
     miscount. With few duplicates, phase 2 touches a sliver of the table."""
     refs = ", ".join(_q(c) for c in df.columns)

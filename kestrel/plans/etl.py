@@ -8,7 +8,7 @@ functions apply the same rules to the driver tables for the registered checks.
 
 from __future__ import annotations
 
-import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +19,13 @@ from kestrel.functions import text as X
 from kestrel.functions.time import lenient_timestamp
 from kestrel.operators.dedupe import keep_first
 from kestrel.operators.impute import impute_group_then_global
-from kestrel.operators.integrity import fk_cascade
+from kestrel.operators.integrity import FOREIGN_KEYS, fk_cascade, semi_filter
 from kestrel.operators.rollup import modal_rollup
 from kestrel.operators.scalars import one_row
 from kestrel.sources.model import ModelBase
+from kestrel.session import cut_lineage, scratch_path
 from kestrel.sources.raw import FILE_ORDER, read_raw
+from kestrel.sources.raw_model import write_raw
 from kestrel.sources.tables import Tables
 
 DIM_COLS = ["product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"]
@@ -34,11 +36,13 @@ LOAD_ORDER = ["customers", "sellers", "products", "geolocation", "orders", "orde
 
 
 def _int(c: str):
-    return F.col(c).try_cast("double").cast("int")
+    """Whole part of a number text; what is no number, or too large, becomes NULL."""
+    return F.col(c).try_cast("decimal(20,6)").try_cast("int")
 
 
 def _money(c: str):
-    return F.round(F.col(c).try_cast("double"), 2).cast("decimal(10,2)")
+    """Text straight to an exact amount, rounded half up to cents; NULL as in :func:`_int`."""
+    return F.round(F.col(c).try_cast("decimal(20,8)"), 2).try_cast("decimal(10,2)")
 
 
 def _place(df: DataFrame, prefix: str) -> DataFrame:
@@ -161,21 +165,52 @@ def build_all(spark: SparkSession, raw_dir: str, prefix: str = "") -> dict[str,
     return fk_cascade(tables)
 
 
-def run_etl(spark: SparkSession, raw_dir: str, out_dir: str, prefix: str = "") -> DataFrame:
-    """Build -> FK cascade -> write in dependency order -> validate -> views.
-
-    Each table is computed once: its expected row count is observed during the
-    write, the actual count read back from the files. Returns the report."""
-    from kestrel.plans.quality import write_and_validate
-    tables = build_all(spark, raw_dir, prefix)
-    report = write_and_validate(spark, {n: tables[n] for n in LOAD_ORDER}, out_dir)
-    loaded = {n: spark.read.parquet(os.path.join(out_dir, n)) for n in LOAD_ORDER}
-    for n, df in loaded.items():
-        df.createOrReplaceTempView(n)
-    # The driver-table views of the guarded surface are replaced now.
-    spark.conf.unset("kestrel.views.source")
-    from kestrel.plans.marts import register_marts
-    register_marts(CleanModel(loaded))
+# What may be written at once: a table's parents are in an earlier step.
+LOAD_STEPS = (("customers", "sellers", "products", "geolocation"), ("orders",),
+              ("order_items", "order_payments", "order_reviews"))
+
+
+def run_etl(spark: SparkSession, raw_dir: str, out_dir: str, prefix: str = "", register_views: bool = True) -> DataFrame:
+    """Build, filter and write the tables, parents first; validate; register the views. Returns the load report.
+
+    Every raw file is parsed once: a child is filtered against the written
+    files of its parents, not against their plans. A table's expected row count
+    is observed during its write, the actual count read back from the files."""
+    from kestrel.plans.quality import load_report, write_tables
+    loaded: dict[str, DataFrame] = {}
+    counts: dict[str, int] = {}
+    for step in LOAD_STEPS:
+        built = {n: BUILDERS[n](spark, raw_dir, prefix) for n in step}
+        for fk in FOREIGN_KEYS:
+            if fk.child in built:
+                built[fk.child] = semi_filter(built[fk.child], fk.column, loaded[fk.parent], fk.parent_column)
+        counts |= write_tables(built, out_dir)
+        loaded |= {n: spark.read.schema(built[n].schema).parquet(f"{out_dir}/{n}") for n in step}
+    if register_views:
+        from kestrel.plans.marts import register_marts
+        for n, df in loaded.items():
+            df.createOrReplaceTempView(n)
+        register_marts(CleanModel(loaded))
+    return load_report(spark, counts, loaded)
+
+
+def etl_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over the driver tables: raw CSV files, eight clean tables, foreign keys, validation, marts.
+
+    One row per table (expected and loaded rows) and per mart (its rows)."""
+    root = scratch_path(spark, f"etl-{uuid.uuid4().hex[:12]}")
+    write_raw(spark, sf_dir, f"{root}/raw")
+    return etl_report(spark, f"{root}/raw", f"{root}/clean")
+
+
+def etl_report(spark: SparkSession, raw_dir: str, out_dir: str) -> DataFrame:
+    from kestrel.plans.marts import revenue_by_category, revenue_by_month, state_performance
+    report = run_etl(spark, raw_dir, out_dir, register_views=False)
+    model = CleanModel({n: spark.read.parquet(f"{out_dir}/{n}") for n in LOAD_ORDER})
+    for name, mart in (("month", revenue_by_month), ("category", revenue_by_category), ("state", state_performance)):
+        n = mart(model).agg(F.count(F.lit(1)).alias("actual"), F.sum("revenue_brl").alias("revenue_brl"))
+        report = report.unionByName(n.select(F.lit(f"mart_{name}").alias("table_name"), F.lit(None).cast("long").alias("expected"),
+                                             "actual", F.lit("OK").alias("status"), "revenue_brl"), allowMissingColumns=True)
     return report
 
 
@@ -235,13 +270,17 @@ def clean_sellers_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_orders_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders through the text-timestamp path: format, lenient parse, derive, dedupe."""
+    """Orders through the text-timestamp path: format, lenient parse, derive, dedupe.
+
+    Every 97th order has 'not a date' as its purchase text and every 89th a date without time: both become NULL."""
     t = Tables(spark, sf_dir)
     facts = (t.lineitem.groupBy(F.col("l_orderkey").alias("order_id"))
              .agg(F.max("l_shipdate").alias("delivered")))
     o = t.orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
                         F.col("o_orderstatus").alias("order_status"),
-                        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("purchase_text"))
+                        F.expr("CASE WHEN o_orderkey % 97 = 0 THEN 'not a date' "
+                               "WHEN o_orderkey % 89 = 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') "
+                               "ELSE date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') END AS purchase_text"))
     o = o.join(facts, "order_id", "left").select(
         "order_id", "customer_id", "order_status",
         lenient_timestamp("purchase_text").alias("order_purchase_timestamp"),
@@ -294,26 +333,33 @@ def brand_rollup_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "p_brand", ["p_retailprice"], ["p_type", "p_name"])
 
 
-def fk_tables_driver(spark: SparkSession, sf_dir: str, segment: str = "BUILDING") -> dict[str, DataFrame]:
-    """The model tables with customers restricted to one market segment.
+def _orphaned(df: DataFrame, **rules: str) -> DataFrame:
+    """``df`` with the key negated (no parent has a negative key) where the rule holds."""
+    return df.withColumns({c: F.expr(f"CASE WHEN {rule} THEN -{c} ELSE {c} END") for c, rule in rules.items()})
+
+
+def fk_tables_driver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The model tables, whole, with orphans of every foreign key.
 
-    Every foreign key holds in the driver data, so the FK cascade would be a
-    no-op; standing in one segment's customers for the customer file makes the
-    orders of other segments orphans. Child tables are read whole."""
+    Every foreign key holds in the driver data, so key arithmetic makes
+    orphans: a fixed share of each child's rows gets a key that no parent has."""
     from kestrel.sources.model import Commerce
     c = Commerce(spark, sf_dir)
     return {
-        "customers": c.customers().filter(F.col("segment") == segment),
-        "sellers": c.sellers(), "products": c.products(),
-        "orders": c.orders_base(), "order_items": c.order_items(),
-        "order_payments": c.payments(), "order_reviews": c.reviews(),
+        "customers": c.customers(), "sellers": c.sellers(), "products": c.products(),
+        "orders": _orphaned(c.orders_base(), customer_id="order_id % 13 = 0"),
+        "order_items": _orphaned(c.order_items(), order_id="product_id % 23 = 0", product_id="order_id % 17 = 0",
+                                 seller_id="order_id % 19 = 0"),
+        "order_payments": _orphaned(c.payments(), order_id="payment_sequential % 29 = 0"),
+        "order_reviews": _orphaned(c.reviews(), order_id="review_id % 31 = 0"),
     }
 
 
 def fk_filter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows kept and dropped per table by the FK cascade."""
+    """Rows kept and dropped per table by the FK cascade (the filtered orders are computed once)."""
     before = fk_tables_driver(spark, sf_dir)
-    after = fk_cascade(before)
+    kept = semi_filter(before["orders"], "customer_id", before["customers"], "customer_id").select("order_id")
+    after = fk_cascade(before, orders=cut_lineage(kept))
     parts = []
     for n in ["orders", "order_items", "order_payments", "order_reviews"]:
         b = before[n].agg(F.expr("count(1) AS rows_in"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -37,13 +36,19 @@ def pk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [pk_check(df, k, n) for df, k, n in checks])
 
 
-# Declared text lengths checked (VARCHAR(n) of the clean schema).
-LENGTH_LIMITS = {"city": 64, "state": 2, "zip_code_prefix": 5}
+# Limits of the stand-in texts, per table: raw columns, before any cleaning cuts them.
+LENGTH_LIMITS = {
+    "customer": {"c_name": 12, "c_mktsegment": 9}, "supplier": {"s_name": 10}, "nation": {"n_name": 8, "state": 2},
+    "part": {"p_name": 12, "p_type": 6, "p_brand": 8}, "orders": {"o_orderstatus": 1, "o_orderpriority": 6},
+    "lineitem": {"l_returnflag": 1, "l_linestatus": 1}, "events": {"event_type": 5},
+}
 
 
 def length_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = etl.clean_customers_driver(spark, sf_dir)
-    return length_check(c, LENGTH_LIMITS, "customers")
+    """Rows whose text is longer than its declared length, for every text column, on the raw text."""
+    t = Tables(spark, sf_dir)
+    raw = {n: getattr(t, n) for n in LENGTH_LIMITS} | {"nation": t.nation.selectExpr("n_name", "n_name AS state")}
+    return reduce(DataFrame.unionByName, [length_check(raw[n], limits, n) for n, limits in LENGTH_LIMITS.items()])
 
 
 def fk_report_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,22 +70,30 @@ def load_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_validate(spark, tables, root)
 
 
-def write_and_validate(spark: SparkSession, tables: dict[str, DataFrame], root: str,
-                       parallel: int = 4) -> DataFrame:
-    """Write each table (observing its row count), read it back, report OK/MISMATCH.
+def write_tables(tables: dict[str, DataFrame], root: str, parallel: int = 4) -> dict[str, int]:
+    """Write independent tables, observing their row counts.
 
-    The tables are independent, so their write jobs are submitted from a few
-    driver threads at once and the scheduler overlaps them."""
+    The write jobs are submitted from a few driver threads at once and the
+    scheduler overlaps them."""
     def load(item):
         name, df = item
         obs = Observation(f"rows_{name}")
-        path = write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), os.path.join(root, name))
-        return name, int(obs.get["rows"]), path
+        write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), f"{root}/{name}")
+        return name, int(obs.get["rows"])
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(tables)))) as pool:
-        done = list(pool.map(load, tables.items()))
-    expected = [(name, rows) for name, rows, _ in done]
-    actual = [spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
-              .select(F.lit(name).alias("table_name"), "row_count") for name, _, path in done]
-    exp_df = spark.createDataFrame(expected, "table_name string, row_count long")
+        return dict(pool.map(load, tables.items()))
+
+
+def load_report(spark: SparkSession, expected: dict[str, int], loaded: dict[str, DataFrame]) -> DataFrame:
+    """table_name, expected, actual, status of written tables."""
+    actual = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+              for name, df in loaded.items()]
+    exp_df = spark.createDataFrame(list(expected.items()), "table_name string, row_count long")
     return validate_counts(spark, exp_df, reduce(DataFrame.unionByName, actual))
+
+
+def write_and_validate(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> DataFrame:
+    """Write each table, read it back, report OK/MISMATCH."""
+    expected = write_tables(tables, root)
+    return load_report(spark, expected, {n: spark.read.schema(df.schema).parquet(f"{root}/{n}") for n, df in tables.items()})

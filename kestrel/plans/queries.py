@@ -61,6 +61,7 @@ register("clean_payments")(E.clean_payments_driver)
 register("clean_reviews")(E.clean_reviews_driver)
 register("impute_dimensions")(E.impute_dimensions_driver)
 register("brand_rollup")(E.brand_rollup_driver)
+register("etl_full")(E.etl_full)
 register("geolocation")(E.geolocation_driver)
 register("fk_filter")(E.fk_filter_summary)
 

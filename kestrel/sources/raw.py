@@ -2,7 +2,7 @@
 
 Every raw file is read with an explicit all-string schema (no inference,
 so ids keep their leading zeros) and cast afterwards. Free text may hold
-quoted commas, doubled quotes and newlines: ``multiLine`` + ``escape='"'``.
+quoted commas, doubled quotes and newlines (``escape='"'``; see MULTI_LINE).
 """
 
 from __future__ import annotations
@@ -58,8 +58,15 @@ def raw_path(raw_dir: str, name: str, prefix: str = "") -> str:
     return os.path.join(raw_dir, fname if name in UNPREFIXED else prefix + fname)
 
 
+# Texts that stand for no value in the raw files.
+NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+              "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+# Only these files have free text with quoted newlines; every other file can be split.
+MULTI_LINE = {"order_reviews"}
+
+
 def read_raw(spark: SparkSession, raw_dir: str, name: str, prefix: str = "") -> DataFrame:
-    """Read one raw CSV as strings, with its file-order columns.
+    """Read one raw CSV (a file or a folder of parts) as strings, null words as null, with its file-order columns.
 
     ``_file``, ``_block`` and ``_pos`` record where each row sat in its file
     (path, split start, position inside the split): the keep-first dedupe
@@ -68,15 +75,11 @@ def read_raw(spark: SparkSession, raw_dir: str, name: str, prefix: str = "") ->
     """
     cols = RAW_FILES[name][1]
     path = raw_path(raw_dir, name, prefix)
-    header = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').csv(path).columns)
-    df = (spark.read.schema(string_schema(header))
-          .option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"')
-          .option("nullValue", "").option("enforceSchema", False)
-          .csv(path))
-    keep = [c for c in cols if c in header]
-    return df.select(*keep,
+    options = {"header": True, "multiLine": name in MULTI_LINE, "quote": '"', "escape": '"'}
+    header = spark.read.options(**options).csv(path).columns
+    df = spark.read.schema(string_schema(header)).options(**options, nullValue="", enforceSchema=False).csv(path)
+    words = ", ".join(f"'{w}'" for w in NULL_WORDS)
+    return df.select(*[F.expr(f"CASE WHEN `{c}` NOT IN ({words}) THEN `{c}` END AS `{c}`") for c in cols if c in header],
                      F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_pos"))
@@ -152,5 +155,5 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> str:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path)
     return path
