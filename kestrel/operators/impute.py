@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.operators.scalars import with_scalars
+from kestrel.operators.scalars import one_row, with_scalars
+
+
+def medians(df: DataFrame, col: str, group: list[str] | None = None) -> DataFrame:
+    """The exact interpolating median of ``col`` (per group), nulls ignored.
+
+    The windows run over (group, value) counts, one row per distinct value; the
+    middle is the mean of the values at the two middle places."""
+    keys = group or []
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.select(*keys, "_v", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    low = F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) / 2), F.col("_v")))
+    high = F.min(F.when(F.col("_upto") > F.ceil((F.col("_all") - 1) / 2), F.col("_v")))
+    return placed.groupBy(*keys).agg(((low + high) / 2).alias("median"))
 
 
 def impute_group_then_global(df: DataFrame, group: str, cols: list[str],
@@ -17,21 +32,23 @@ def impute_group_then_global(df: DataFrame, group: str, cols: list[str],
     the global median is taken over the already group-filled column, so it
     sees only rows with a group. Set ``keep_null_group_values`` to keep them.
 
-    Medians are exact (interpolating ``percentile``); a fractional median is
-    rounded HALF_UP when cast back to an integer column. The per-group medians
-    (one row per group) are joined back; the global medians are a scalar
-    subquery. Only the group-median table scales with the number of groups.
+    Medians are exact; a fractional median is rounded HALF_UP when cast back to
+    an integer column. Values are counted first (a distributed aggregation with
+    map-side combine), and the middle is picked from the counts: no task ever
+    gathers a column. The per-group medians (one row per group) are joined back;
+    the global medians are a scalar subquery.
     """
     g = F.col(group)
-    med_g = df.filter(g.isNotNull()).groupBy(group).agg(
-        *[F.percentile(F.col(c), 0.5).alias(f"_gm_{c}") for c in cols])
+    med_g = None
+    for c in cols:
+        of_c = medians(df.filter(g.isNotNull()), c, [group]).withColumnRenamed("median", f"_gm_{c}")
+        med_g = of_c if med_g is None else med_g.join(of_c, group, "full")
     j = df.join(med_g, group, "left")
     for c in cols:
         filled = F.coalesce(F.col(c), F.col(f"_gm_{c}"))
         j = j.withColumn(c, F.when(g.isNotNull(), filled).otherwise(
             F.col(c) if keep_null_group_values else F.lit(None)).cast("double"))
-    med_all = j.agg(*[F.percentile(F.col(c), 0.5).alias(f"_am_{c}") for c in cols])
-    j = with_scalars(j, med_all)
+    j = with_scalars(j, one_row(*[medians(j, c).withColumnRenamed("median", f"_am_{c}") for c in cols]))
     out_types = {f.name: f.dataType for f in df.schema.fields}
     for c in cols:
         v = F.coalesce(F.col(c), F.col(f"_am_{c}"))

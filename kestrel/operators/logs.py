@@ -237,9 +237,13 @@ RESPONSE_SCHEMA = (
     "response_metadata:struct<token_usage:map<string,string>,usage:map<string,string>>>>>>>")
 
 
-def token_usage_sql(json_ref: str) -> tuple[str, str]:
-    """Spark SQL text of (prompt, completion) tokens for a JSON column reference."""
-    p = f"from_json({json_ref}, '{RESPONSE_SCHEMA}')"
+def parsed_response_sql(json_ref: str) -> str:
+    """SQL text that parses a response; project it as a column of its own, so that it is parsed once per row."""
+    return f"from_json({json_ref}, '{RESPONSE_SCHEMA}')"
+
+
+def token_usage_sql(p: str) -> tuple[str, str]:
+    """Spark SQL text of (prompt, completion) tokens for a parsed response column."""
 
     def present(m: str) -> str:
         return f"(CASE WHEN size({m}) > 0 THEN {m} END)"
@@ -263,13 +267,13 @@ def token_usage_sql(json_ref: str) -> tuple[str, str]:
     return prompt, completion
 
 
-def token_usage(json_col: str) -> tuple[Column, Column]:
-    """(prompt, completion) tokens of one response JSON, first matching shape wins.
+def with_token_usage(df: DataFrame, json_col: str) -> DataFrame:
+    """``df`` with prompt_tokens and completion_tokens of the response JSON; the first matching shape wins.
 
     1. ``llm_output.token_usage`` or else ``llm_output.usage`` (prompt_tokens / completion_tokens);
     2. otherwise per generation message: ``usage_metadata`` (input_tokens / output_tokens),
        else ``response_metadata.token_usage`` or ``.usage``; summed over generations.
-    Empty objects count as absent, missing pieces as 0. The JSON is parsed
-    once per row (``from_json``; the parse is shared by both outputs)."""
-    p, c = token_usage_sql(f"`{json_col}`")
-    return F.expr(p), F.expr(c)
+    Empty objects count as absent, missing pieces as 0."""
+    prompt, completion = token_usage_sql("_parsed")
+    return df.selectExpr("*", f"{parsed_response_sql(f'`{json_col}`')} AS _parsed").selectExpr(
+        "*", f"{prompt} AS prompt_tokens", f"{completion} AS completion_tokens").drop("_parsed")

@@ -57,13 +57,15 @@ def payment_totals(c: Commerce) -> DataFrame:
 def sellers_five_star(c: Commerce, n: int = 5) -> DataFrame:
     """Q5: sellers by count of 5-star review rows, item-weighted.
 
-    A 5-star review counts once per item of its order; the reviews are
-    reduced to one 5-star count per order before meeting the items."""
+    A 5-star review counts once per item of its order; reviews are reduced to
+    one 5-star count per order, and items to one count per order and seller,
+    before they meet."""
     five = (c.review_stats().filter(F.col("n_five") > 0)
             .join(c.orders_base().select("order_id"), "order_id", "left_semi")
             .select("order_id", "n_five"))
-    per_seller = (c.order_items().select("order_id", "seller_id").join(five, "order_id")
-                  .groupBy("seller_id").agg(F.sum("n_five").alias("five_star_count")))
+    items = c.order_items().groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("n"))
+    per_seller = items.join(five, "order_id").groupBy("seller_id").agg(
+        F.sum(F.col("n") * F.col("n_five")).alias("five_star_count"))
     return top_n(per_seller, [desc_first("five_star_count")], n, ["seller_id"])
 
 
@@ -131,11 +133,12 @@ def seller_state_revenue(c: Commerce, n: int = 1) -> DataFrame:
 def avg_score_with_category(c: Commerce, category: str = GOLDEN_CATEGORY) -> DataFrame:
     """Average review score over orders holding at least one item of a category.
 
-    EXISTS semantics (left semi join), so an order with many such items counts once."""
+    EXISTS semantics, so an order with many such items counts once: order ids are made
+    distinct and reviews reduced to sums per order before the semi join."""
     cat_parts = c.products().filter(F.col("category_name_en") == category).select("product_id")
     cat_orders = c.order_items().select("order_id", "product_id").join(cat_parts, "product_id", "left_semi")
-    r = c.reviews().join(cat_orders.select("order_id"), "order_id", "left_semi")
-    a = r.agg(F.sum("review_score").alias("s"), F.count("review_score").alias("n"))
+    r = c.review_stats().join(cat_orders.select("order_id").distinct(), "order_id", "left_semi")
+    a = r.agg(F.sum("score_sum").alias("s"), F.sum("score_n").alias("n"))
     return a.select(F.lit(category).alias("category"), round_ratio("s", "n", 2).alias("avg_review_score"))
 
 

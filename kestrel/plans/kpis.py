@@ -13,11 +13,16 @@ from kestrel.plans import marts
 from kestrel.sources.model import Commerce
 
 
+def total_revenue(c: Commerce, name: str = "total_revenue") -> DataFrame:
+    """One row: revenue of all items, summed on the scan (no shuffle but one partial sum per task)."""
+    return c.order_items().agg(M.from_cents(F.sum("revenue_cents")).alias(name))
+
+
 def kpi_row(c: Commerce, approx_customers: bool = False) -> DataFrame:
     """One row: total_revenue, total_orders, total_customers, avg_delivery_days,
     latest_ts, avg_order_value. Each scalar is one aggregate pass over its table;
     the one-row results are combined by ``one_row`` (no join)."""
-    items = c.order_facts().agg(M.from_cents(F.sum("items_revenue_cents")).alias("total_revenue"))
+    items = total_revenue(c)
     orders = c.orders().agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.sum("delivery_days").alias("_dsum"),
@@ -91,8 +96,7 @@ def top_state_shares(c: Commerce, n: int = 10) -> DataFrame:
     """Top-n states by mart revenue with their share of KPI total revenue (%)."""
     states = top_n(marts.state_performance(c).select("state", "revenue_brl"),
                    [desc_first("revenue_brl")], n, ["state"])
-    total = c.order_facts().agg(M.from_cents(F.sum("items_revenue_cents")).alias("_total"))
-    return with_scalars(states, total).select(
+    return with_scalars(states, total_revenue(c, "_total")).select(
         "state", "revenue_brl",
         (F.col("revenue_brl").cast("double") / F.col("_total").cast("double") * 100.0).alias("share_pct"))
 

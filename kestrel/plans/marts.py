@@ -47,14 +47,17 @@ def _item_review_weights(c: Commerce) -> DataFrame:
     """Items with the multiplicity the item-to-review LEFT JOIN gives them.
 
     An order with k reviews repeats each of its items k times (at least once),
-    so revenue and counts are weighted by k, and score sums are per item.
+    so revenue and counts are weighted by k, and score sums are per item. Items
+    are first reduced to one row per order and product, so a hot order meets
+    the join with as many rows as it has products.
     """
     rs = c.review_stats().select("order_id", "n_reviews", "score_sum", "score_n")
-    items = c.order_items().select("order_id", "product_id", "revenue_cents")
+    items = c.order_items().groupBy("order_id", "product_id").agg(
+        *_aggs("sum(revenue_cents) AS cents", "count(1) AS n"))
     w = "greatest(coalesce(n_reviews, 0), 1)"
     return (items.join(rs, "order_id", "left")
-                 .selectExpr("product_id", f"revenue_cents * {w} AS w_revenue", f"{w} AS w_items",
-                             "coalesce(score_sum, 0) AS score_sum", "coalesce(score_n, 0) AS score_n"))
+                 .selectExpr("product_id", f"cents * {w} AS w_revenue", f"n * {w} AS w_items",
+                             "n * coalesce(score_sum, 0) AS score_sum", "n * coalesce(score_n, 0) AS score_n"))
 
 
 def revenue_by_category(c: Commerce) -> DataFrame:

@@ -73,8 +73,7 @@ def state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def revenue_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KPI total revenue converted with the latest known BRL->USD rate (fallback flagged)."""
-    total = kpis.kpi_row(Commerce(spark, sf_dir)).select("total_revenue")
-    j = LK.with_latest_rate(total, rates_table(spark))
+    j = LK.with_latest_rate(kpis.total_revenue(Commerce(spark, sf_dir)), rates_table(spark))
     usd = F.round(F.col("total_revenue") * F.col("rate").cast("decimal(10,4)"), 2)
     return j.select("total_revenue", F.col("rate"), "is_fallback", usd.alias("total_revenue_usd"))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.operators.logs import token_usage_sql
+from kestrel.operators.logs import with_token_usage
 from kestrel.sources.tables import Tables
 
 # Response JSON templates per event type (k, k div 2).
@@ -69,7 +69,6 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_log_from(e: DataFrame) -> DataFrame:
     """The request-log mapping over an events DataFrame (batch or streaming)."""
-    p, c = token_usage_sql("response")
     log = e.selectExpr(
         "ts", "event_id AS request_id", "user_id", "event_type",
         "CASE WHEN event_type IN ('view', 'error') THEN NULL ELSE concat('key-', CAST(user_id AS STRING)) END AS api_key",
@@ -81,7 +80,7 @@ def request_log_from(e: DataFrame) -> DataFrame:
         f"event_type = 'error' AND pmod({_K}, 2) = 1 AS sql_error",
         "CAST(round(value) AS BIGINT) AS latency_ms",
         f"{response_json_sql()} AS response")
-    return log.selectExpr("*", f"{p} AS prompt_tokens", f"{c} AS completion_tokens")
+    return with_token_usage(log, "response")
 
 
 def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

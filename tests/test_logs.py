@@ -86,8 +86,7 @@ def test_upsert_latest_value(spark):
 
 def _usage(spark, payloads):
     df = spark.createDataFrame([(json.dumps(p) if p is not None else None,) for p in payloads], "j string")
-    p, c = L.token_usage("j")
-    return [(r[0], r[1]) for r in df.select(p, c).collect()]
+    return [tuple(r) for r in L.with_token_usage(df, "j").select("prompt_tokens", "completion_tokens").collect()]
 
 
 def test_token_usage_shapes(spark):
