@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +44,21 @@ def chart_hint(df: DataFrame) -> DataFrame:
 
 
 STEP = "struct<tool:string,tool_input:string,observation:string>"
-# A non-empty list of row tuples whose first row has at least two fields
-# (single-column results are not chartable).
-ROW_LIST = r"^\[\s*\((?:'[^']*'|\"[^\"]*\"|[^(),'\"])*,\s*[^)\s].*\)\s*\]$"
+# A Python literal inside a row; in the text of an observation each is replaced by one letter.
+_ATOM = (r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'|\"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+\""
+         r"|[-+]?(?:\d++\.?\d*+|\.\d++)(?:[eE][-+]?\d++)?|\b(?:None|True|False)\b")
+_ROW = r"(?:\(\s*+v(?:\s*+,\s*+v)*+\s*+,?\s*+\)|\[\s*+v(?:\s*+,\s*+v)*+\s*+,?\s*+\])"
+_ROW_LIST = rf"^\s*+\[\s*+{_ROW}(?:\s*+,\s*+{_ROW})*+\s*+,?\s*+\]\s*+$"
+
+
+def is_row_list(text: Column) -> Column:
+    """Whether a text is a list of rows (tuples or lists of literals), all of one width, of two columns or more."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?<![\w'\"])v|v(?![\w'\"])", "?"), _ATOM, "v")
+    inner = F.regexp_replace(bare, r"^\s*+\[|\]\s*+$", "")
+    widths = F.transform(F.regexp_extract_all(inner, F.lit(f"({_ROW})"), 1),
+                         lambda r: F.length(F.regexp_replace(r, "[^v]", "")))
+    return F.coalesce(bare.rlike(_ROW_LIST) & (F.array_min(widths) == F.array_max(widths)) & (F.array_min(widths) > 1),
+                      F.lit(False))
 
 
 def shape_trace(df: DataFrame, steps_col: str = "steps", input_chars: int = 500,
@@ -64,7 +76,7 @@ def last_sql_step(df: DataFrame, steps_col: str = "steps") -> DataFrame:
     Adds ``sql_text`` and ``sql_rows`` (the observation) per trace row; NULL if none."""
     indexed = F.transform(F.col(steps_col), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
     ok = F.filter(indexed, lambda e: (F.lower(e["s"]["tool"]).contains("sql") | F.lower(e["s"]["tool"]).contains("query"))
-                  & F.trim(e["s"]["observation"]).rlike(ROW_LIST))
+                  & is_row_list(e["s"]["observation"]))
     last = F.element_at(ok, -1)
     return df.withColumn("_last", F.when(F.size(ok) > 0, last)) \
              .withColumn("sql_text", F.col("_last")["s"]["tool_input"]) \

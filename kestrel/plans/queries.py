@@ -102,6 +102,19 @@ register("revenue_usd")(SF.revenue_usd)
 register("revenue_usd_asof")(SF.revenue_usd_asof)
 register("result_shape")(SF.result_shape)
 
+# ---- service checks ------------------------------------------------------------
+from kestrel.plans import service as SV  # noqa: E402
+
+register("sql_audit")(SV.sql_audit)
+register("sql_error_triage")(SV.sql_error_triage)
+register("eval_scores")(SV.eval_scores)
+register("eval_summary")(SV.eval_summary)
+register("trace_shapes")(SV.trace_shapes)
+register("last_sql_steps")(SV.last_sql_steps)
+register("request_log_json")(SV.request_log_json)
+register("exact_amounts")(SV.exact_amounts)
+register("normalized_answers")(SV.normalized_answers)
+
 # ---- streaming twins -----------------------------------------------------------
 register("stream_rate_limit")(ST.stream_rate_limit)
 register("stream_metrics")(ST.stream_metrics)

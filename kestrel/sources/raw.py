@@ -137,11 +137,11 @@ GOLDEN_SCHEMA = T.StructType([
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden cases from a YAML or JSON file whose top level is a list.
 
-    The case file is a small configuration (tens of cases), read on the
-    driver and turned into a DataFrame that is joined to the answers."""
+    The case file is a small configuration (tens of cases): Spark reads its
+    text, wherever it lies, and the parsed cases become a DataFrame that is
+    joined to the answers."""
     import json
-    with open(path, encoding="utf-8") as fh:
-        text = fh.read()
+    text = spark.read.text(path, wholetext=True).first()[0]
     if path.endswith((".yaml", ".yml")):
         import yaml
         data = yaml.safe_load(text) or []

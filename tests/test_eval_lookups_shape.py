@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 """Golden scoring, state and rate lookups, chart hints and trace shaping."""
 
 from datetime import date
@@ -109,3 +110,22 @@ def test_last_sql_step_needs_two_columns(spark):
              ("sql_db_query", "SELECT a", "[(1,), (2,)]")]
     df = spark.createDataFrame([(1, steps)], f"trace_id int, steps array<{SH.STEP}>")
     assert SH.last_sql_step(df).collect()[0]["sql_text"] == "SELECT a, b"
+
+
+def test_row_lists(spark):
+    cases = {
+        "[('a', 1), ('b', 2)]": True, " [[1, 2], [3, 4], ] ": True, "[('it\\'s', None), (\"q(,)\", -1.5e-3)]": True,
+        "[('a', 1)]": True, "[(1, 2,), (3, 4)]": True, "[('a', 1), ('b', 2, 3)]": False, "[(1,), (2,)]": False,
+        "[1, 2]": False, "[]": False, "('a', 1)": False, "[(v, 1)]": False, "[(a, 1)]": False, "[('a', 1)": False,
+        "[(date(2020, 1), 1)]": False, "Error: [('a', 1)]": False, "": False, "[('v', 'v')]": True,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.ok for r in rows.select("t", SH.is_row_list(F.col("t")).alias("ok")).collect()}
+    assert got == cases
+    long = "[('" + "x" * 200_000 + "', 1)]"
+    assert spark.createDataFrame([(long,)], "t string").select(SH.is_row_list(F.col("t")).alias("ok")).first().ok
+
+
+def test_chart_hint_reports_every_row(spark):
+    rows = spark.range(5000).selectExpr("CAST(id AS STRING) AS x", "id AS y")
+    assert SH.chart_hint(rows).first()["rows"] == 5000
