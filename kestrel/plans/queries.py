@@ -120,3 +120,5 @@ register("stream_rate_limit")(ST.stream_rate_limit)
 register("stream_metrics")(ST.stream_metrics)
 register("stream_session")(ST.stream_session)
 register("stream_dedupe")(ST.stream_dedupe)
+register("stream_questions")(ST.stream_questions)
+register("stream_latency_quantiles")(ST.stream_latency_quantiles)

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from kestrel.operators.logs import rate_limit_key
+from kestrel.functions.text import question_key
+from kestrel.operators.logs import last_n_lines, rate_limit_key
 from kestrel.session import scratch_path
 from kestrel.sources import logs_model as LM
 from kestrel.sources.tables import table_path
@@ -119,50 +118,70 @@ def stream_metrics(spark: SparkSession, sf_dir: str, window: str = "10 minutes")
     return _latest(spark, out, ["window_start"], schema)
 
 
-SESSION_OUT = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()),
-                            T.StructField("line", T.StringType()), T.StructField("version", T.LongType())])
-SESSION_STATE = T.StructType([T.StructField("seqs", T.ArrayType(T.LongType())),
-                              T.StructField("lines", T.ArrayType(T.StringType())),
-                              T.StructField("version", T.LongType())])
-
-
-def _keep_last_n(n: int):
-    def step(key, batches, state):
-        if state.exists:
-            seqs, lines, version = state.get
-            seqs, lines = list(seqs), list(lines)
-        else:
-            seqs, lines, version = [], [], 0
-        for pdf in batches:
-            pdf = pdf.sort_values("seq")
-            seqs.extend(int(s) for s in pdf["seq"])
-            lines.extend(pdf["line"].tolist())
-            # Bound the state to the n newest lines after every chunk.
-            order = sorted(range(len(seqs)), key=lambda i: seqs[i])[-n:]
-            seqs, lines = [seqs[i] for i in order], [lines[i] for i in order]
-        version += 1
-        state.update((seqs, lines, version))
-        yield pd.DataFrame({"session_id": [key[0]] * len(seqs), "seq": seqs, "line": lines,
-                            "version": [version] * len(seqs)})
-    return step
+def keep_session_tails(lines: DataFrame, n: int, idle_batches: int = 50) -> DataFrame:
+    """The last ``n`` lines of every session of a stream (session_id, seq, line).
+
+    Every micro-batch is cut to ``n`` lines per session, joined to the stored
+    tails, cut again and stored as the new tails: DataFrame operations only, and
+    a huge session is trimmed before any shuffle. A session that is silent for
+    more than ``idle_batches`` batches is closed: its tail moves to the closed
+    sessions, so the stored tails hold no more than the active ones. Batch ``b``
+    writes its own folders, overwritten on a replay."""
+    spark = lines.sparkSession
+    root = scratch_path(spark, f"stream-session-{uuid.uuid4().hex[:12]}")
+    schema = T.StructType([*lines.schema.fields, T.StructField("seen", T.LongType())])
+
+    def step(batch: DataFrame, b: int) -> None:
+        rows = last_n_lines(batch, "session_id", "seq", n).withColumn("seen", F.lit(b).cast("long"))
+        if b:
+            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{root}/tails/{b - 1}"))
+        latest = rows.groupBy("session_id").agg(F.max("seen").alias("_last"))
+        tails = last_n_lines(rows, "session_id", "seq", n).join(latest, "session_id").withColumn("seen", F.col("_last")).drop("_last")
+        silent = F.col("seen") < b - idle_batches
+        tails.filter(silent).select(*schema.names).write.mode("overwrite").parquet(f"{root}/closed/batch={b}")
+        tails.filter(~silent).select(*schema.names).write.mode("overwrite").parquet(f"{root}/tails/{b}")
+        last[0] = b
+
+    last: list[int | None] = [None]
+    query = (lines.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    if last[0] is None:
+        return spark.createDataFrame([], lines.schema)
+    closed = spark.read.schema(schema).parquet(*[f"{root}/closed/batch={b}" for b in range(last[0] + 1)])
+    stored = spark.read.schema(schema).parquet(f"{root}/tails/{last[0]}")
+    return last_n_lines(closed.unionByName(stored).drop("seen").distinct(), "session_id", "seq", n)
 
 
 def stream_session(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
-    """Per-session memory kept as streaming state: the last ``n`` lines (twin: session_last_n)."""
-    lines = LM.session_lines_from(table_stream(spark, sf_dir, "conversations")).select("session_id", "seq", "line")
-    st = lines.groupBy("session_id").applyInPandasWithState(
-        _keep_last_n(n), SESSION_OUT, SESSION_STATE, "update", GroupStateTimeout.NoTimeout)
-    out = _run_versioned(st, "session", "update")
-    rows = spark.read.parquet(out)
-    w = Window.partitionBy("session_id")
-    last = rows.withColumn("_mv", F.max("version").over(w)).filter(F.col("version") == F.col("_mv"))
-    return last.select("session_id", "seq", "line")
-
-
-def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
-    """First sighting of each (user, event type) within the watermark delay; distinct keys seen."""
-    out = dedupe_sightings(table_stream(spark, sf_dir, "events"), delay)
-    return spark.read.parquet(out).select("user_id", "event_type").distinct()
+    """Per-session memory kept over micro-batches: the last ``n`` lines (twin: session_last_n)."""
+    return keep_session_tails(
+        LM.session_lines_from(table_stream(spark, sf_dir, "conversations")).select("session_id", "seq", "line"), n)
+
+
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sighting of each (user, event type) in every hour, with its time and the repeats that were dropped."""
+    e = _event_time(table_stream(spark, sf_dir, "events"))
+    seen = (e.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 hour").alias("w"), "user_id", "event_type")
+            .agg(F.min("ts").alias("first_ts"), (F.count(F.lit(1)) - 1).alias("dropped"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "user_id", "event_type",
+                    F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "dropped"))
+    out = _run_versioned(seen, "dedupe-hourly", "update")
+    return _latest(spark, out, ["window_start", "user_id", "event_type"], seen.schema)
+
+
+def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each normalised question once per hour: who asked first and how often it was asked.
+
+    Stand-in time of a turn: a minute per conversation and a second per turn."""
+    q = table_stream(spark, sf_dir, "conversations").filter("role = 'user'").select(
+        F.expr("timestamp_seconds(conv_id * 60 + turn)").alias("ts"),
+        F.expr(f"conv_id * {LM.SEQ_STRIDE} + turn").alias("seq"), question_key(F.col("text")).alias("key"))
+    asked = (q.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "1 hour").alias("w"), "key")
+             .agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("asked"))
+             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "key", "first_seq", "asked"))
+    out = _run_versioned(asked, "questions", "update")
+    return _latest(spark, out, ["window_start", "key"], asked.schema)
 
 
 def dedupe_sightings(events: DataFrame, delay: str = "1 hour") -> str:

@@ -76,3 +76,34 @@ def test_dedupe_within_watermark(spark, tmpdir_path):
     got = sorted((r["user_id"], str(r["ts"])) for r in spark.read.parquet(out).collect())
     assert got == [(7, "2024-01-01 00:00:00"), (7, "2024-01-01 02:30:00"), (8, "2024-01-01 03:00:00"),
                    (9, "2024-01-01 03:10:00")]
+
+
+def _lines_in_batches(spark, folder, batches):
+    import os
+    schema = "session_id long, seq long, line string"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(folder, f"b{i}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(folder, "*"))
+
+
+def test_session_tails_over_batches_with_silent_and_late_sessions(spark, tmpdir_path):
+    batches = [[(1, i, f"a{i}") for i in range(5)] + [(2, 1, "b1")], [(3, 1, "c1")], [(3, 2, "c2"), (1, 9, "a9")],
+               [(3, 3, "c3")], [(2, 7, "b7"), (3, 4, "c4"), (1, 3, "late a3")], [(2, 8, "b8")]]
+    rows = [r for b in batches for r in b]
+    for idle in (0, 1, 50):
+        stream = _lines_in_batches(spark, f"{tmpdir_path}/idle{idle}", batches)
+        got = sorted((r.session_id, r.seq) for r in ST.keep_session_tails(stream, 2, idle_batches=idle).collect())
+        want = sorted((s, q) for s, q, _ in rows
+                      if sum(s2 == s and q2 > q for s2, q2, _ in rows) < 2 and not (s == 1 and q == 3))
+        assert got == want
+
+
+def test_missing_stream_output_is_empty_but_other_errors_are_raised(spark, tmpdir_path):
+    import pytest
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.LongType())])
+    assert ST._latest(spark, f"{tmpdir_path}/nothing", ["k"], schema).count() == 0
+    path = f"{tmpdir_path}/bad/_batch=0"
+    spark.range(3).selectExpr("CAST(id AS STRING) AS k", "'x' AS v").write.parquet(path)
+    with pytest.raises(Exception, match="PARQUET_COLUMN_DATA_TYPE_MISMATCH"):
+        ST._latest(spark, f"{tmpdir_path}/bad", ["k"], schema).collect()
