@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kestrel.functions.numeric import floor_div
-
 MONEY = "decimal(12,2)"
 RATE = "decimal(4,2)"
 # Fixed stand-in rule: the estimated delivery date is 60 days after purchase.
@@ -23,53 +21,61 @@ ESTIMATE_DAYS = 60
 MICROS_PER_DAY = 86_400_000_000
 
 
-def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.col(x)
-
-
-def _names(*xs) -> bool:
-    return all(isinstance(x, str) for x in xs)
-
-
 def q(name: str) -> str:
     """SQL reference to a column name."""
     return "`" + name.replace("`", "``") + "`"
 
 
-# ---- SQL text of the formulas (one expression, parsed once on the JVM) ----
+# ---- the formulas, as SQL text over column references --------------------------
 def money_sql(x: str) -> str:
+    """Exact money (2 digits, HALF_UP) before any arithmetic."""
     return f"CAST({x} AS {MONEY})"
 
 
 def freight_sql(price: str, rate: str) -> str:
+    """Freight of an item as price x rate, rounded to cents on decimals."""
     return f"ROUND(CAST({price} AS {MONEY}) * CAST({rate} AS {RATE}), 2)"
 
 
+# Money travels through aggregations as integer cents (long): exact, and sums
+# stay on the fast fixed-width path (a decimal sum widens past 18 digits and
+# drops to BigDecimal arithmetic). Under ANSI mode an overflow raises.
 def to_cents_sql(m: str) -> str:
+    """Exact cents of a 2-digit money value (at most 12 integer digits)."""
     return f"CAST(CAST({m} AS DECIMAL(14,2)) * 100BD AS BIGINT)"
 
 
 def cents_of_sql(x: str) -> str:
+    """Exact cents of a double amount, equal to the cents of its money value (HALF_UP).
+
+    Fast path: when x*100 lies within 1e-6 of an integer, HALF_UP rounding to
+    cents is that integer (far from any .5 tie), so ``rint`` on the double is
+    exact and stays in codegen'd primitive arithmetic. Any other value takes the
+    decimal cast."""
     c = f"(CAST({x} AS DOUBLE) * 100.0D)"
     return (f"(CASE WHEN abs({c} - rint({c})) < 0.000001D THEN CAST(rint({c}) AS BIGINT) "
             f"ELSE {to_cents_sql(money_sql(x))} END)")
 
 
 def freight_cents_sql(price_cents: str, rate: str) -> str:
+    """round(price x rate, 2) in cents, HALF_UP on integers (rate to 2 decimals first)."""
     prod = f"(({price_cents}) * {cents_of_sql(rate)})"
     return f"(CAST(signum({prod}) AS BIGINT) * ((abs({prod}) + 50) div 100))"
 
 
 def from_cents_sql(cents: str) -> str:
+    """Cents back to exact money, decimal(38,2)."""
     return f"CAST(CAST({cents} AS DECIMAL(20,0)) / 100BD AS DECIMAL(38,2))"
 
 
 def delivery_days_sql(purchased: str, delivered: str) -> str:
+    """Floored whole days of elapsed time (23:00 -> 01:00 next day is 0; -6 h is -1)."""
     d = f"timestampdiff(MICROSECOND, {purchased}, {delivered})"
     return f"CAST(({d} - pmod({d}, {MICROS_PER_DAY}L)) div {MICROS_PER_DAY}L AS INT)"
 
 
 def is_late_sql(delivered: str, estimated: str) -> str:
+    """Never NULL: a missing delivery or estimate compares as not late."""
     return f"coalesce({delivered} > {estimated}, false)"
 
 
@@ -78,101 +84,35 @@ def estimated_sql(purchased: str) -> str:
 
 
 def month_start_sql(ts: str) -> str:
+    """Month of a timestamp as a DATE (first day)."""
     return f"trunc(CAST({ts} AS DATE), 'month')"
 
 
-def money(x) -> Column:
-    """Cast to exact money (2 digits, HALF_UP) before any arithmetic."""
-    if _names(x):
-        return F.expr(money_sql(q(x)))
-    return _c(x).cast(MONEY)
+# ---- the same for column names ----------------------------------------------------
+def money(x: str) -> Column:
+    return F.expr(money_sql(q(x)))
 
 
-def freight_from_rate(price, rate) -> Column:
-    """Freight of an item as price x rate, rounded to cents on decimals."""
-    if _names(price, rate):
-        return F.expr(freight_sql(q(price), q(rate)))
-    return F.round(money(price) * _c(rate).cast(RATE), 2)
-
-
-def revenue(price, freight) -> Column:
-    """Revenue of one item: price + freight (NULL if either is NULL)."""
-    return _c(price) + _c(freight)
+def freight_from_rate(price: str, rate: str) -> Column:
+    return F.expr(freight_sql(q(price), q(rate)))
 
 
-def elapsed_micros(start, end) -> Column:
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+def to_cents(money_col: str) -> Column:
+    return F.expr(to_cents_sql(q(money_col)))
 
 
-def delivery_days(purchased, delivered) -> Column:
-    """Floored whole days of elapsed time (23:00 -> 01:00 next day is 0; -6 h is -1)."""
-    if _names(purchased, delivered):
-        return F.expr(delivery_days_sql(q(purchased), q(delivered)))
-    return floor_div(elapsed_micros(purchased, delivered), F.lit(MICROS_PER_DAY)).cast("int")
+def delivery_days(purchased: str, delivered: str) -> Column:
+    return F.expr(delivery_days_sql(q(purchased), q(delivered)))
 
 
-def is_late(delivered, estimated) -> Column:
-    """Never NULL: a missing delivery or estimate compares as not late."""
-    if _names(delivered, estimated):
-        return F.expr(is_late_sql(q(delivered), q(estimated)))
-    return F.coalesce(_c(delivered) > _c(estimated), F.lit(False))
+def is_late(delivered: str, estimated: str) -> Column:
+    return F.expr(is_late_sql(q(delivered), q(estimated)))
 
 
-def estimated_delivery(purchased) -> Column:
-    if _names(purchased):
-        return F.expr(estimated_sql(q(purchased)))
-    return _c(purchased) + F.expr(f"INTERVAL {ESTIMATE_DAYS} DAYS")
+def estimated_delivery(purchased: str) -> Column:
+    return F.expr(estimated_sql(q(purchased)))
 
 
-def month_start(ts) -> Column:
-    """Month of a timestamp as a DATE (first day)."""
-    if _names(ts):
-        return F.expr(month_start_sql(q(ts)))
-    return F.trunc(_c(ts).cast("date"), "month")
-
-
-def to_double(x) -> Column:
-    return _c(x).cast("double")
-
-
-# Money travels through aggregations as integer cents (long): exact, and sums
-# stay on the fast fixed-width path (a decimal sum widens past 18 digits and
-# drops to BigDecimal arithmetic). Under ANSI mode an overflow raises.
-def _cents() -> Column:
-    return F.lit(100).cast("decimal(3,0)")
-
-
-def to_cents(money_col) -> Column:
-    """Exact cents of a 2-digit money value (at most 12 integer digits)."""
-    if _names(money_col):
-        return F.expr(to_cents_sql(q(money_col)))
-    return (_c(money_col).cast("decimal(14,2)") * _cents()).cast("long")
-
-
-def cents_of(x) -> Column:
-    """Exact cents of a double amount, equal to ``to_cents(money(x))`` (HALF_UP).
-
-    Fast path: when x*100 lies within 1e-6 of an integer, HALF_UP rounding to
-    cents is that integer (far from any .5 tie), so ``rint`` on the double is
-    exact and stays in codegen'd primitive arithmetic. Any other value takes the
-    decimal cast."""
-    if _names(x):
-        return F.expr(cents_of_sql(q(x)))
-    c = _c(x).cast("double") * 100.0
-    r = F.rint(c)
-    return F.when(F.abs(c - r) < 1e-6, r.cast("long")).otherwise(to_cents(money(x)))
-
-
-def freight_cents(price_cents, rate) -> Column:
-    """round(price x rate, 2) in cents, HALF_UP on integers (rate to 2 decimals first)."""
-    if _names(price_cents, rate):
-        return F.expr(freight_cents_sql(q(price_cents), q(rate)))
-    prod = _c(price_cents) * cents_of(rate)
-    return F.signum(prod).cast("long") * floor_div(F.abs(prod) + 50, F.lit(100))
-
-
-def from_cents(cents) -> Column:
-    """Cents back to exact money, decimal(38,2)."""
-    if _names(cents):
-        return F.expr(from_cents_sql(q(cents)))
-    return (_c(cents).cast("decimal(20,0)") / _cents()).cast("decimal(38,2)")
+def revenue(price: str, freight: str) -> Column:
+    """Revenue of one item: price + freight (NULL if either is NULL)."""
+    return F.col(price) + F.col(freight)

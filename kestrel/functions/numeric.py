@@ -6,48 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.col(x)
-
-
-def int_div(a, b) -> Column:
-    """Integral division (SQL ``div``): truncates toward zero, exact on longs."""
-    return F.call_function("div", _c(a), _c(b))
-
-
-def floor_div(a, b) -> Column:
-    """Floor division on integers, exact (``div`` alone truncates toward zero)."""
-    a, b = _c(a), _c(b)
-    return int_div(a - F.pmod(a, b), b)
-
-
 def round_ratio_spark_sql(num: str, den: str, digits: int = 2) -> str:
-    """Spark SQL text of :func:`round_ratio` for column references."""
+    """SQL text of ``round(num / den, digits)`` with HALF_UP (away from zero), exact, for integer references.
+
+    Rounding a double average first and then to ``digits`` can round twice;
+    this computes the rounded quotient on integers, then converts once to
+    double. NULL when ``den`` is 0 or NULL (the NULLIF rule)."""
     scale = 10 ** digits
     n, d = f"CAST({num} AS BIGINT)", f"nullif(CAST({den} AS BIGINT), 0L)"
     return (f"(CAST(signum({n}) * ((abs({n}) * {2 * scale}L + {d}) div ({d} * 2L)) AS DOUBLE) "
             f"/ {float(scale)}D)")
 
 
-def round_ratio(num, den, digits: int = 2) -> Column:
-    """``round(num / den, digits)`` with HALF_UP (away from zero), exact.
-
-    ``num`` and ``den`` are integer columns. Rounding a double average
-    first and then to ``digits`` can round twice; this computes the
-    rounded quotient on integers, then converts once to double. NULL when
-    ``den`` is 0 or NULL (the NULLIF rule).
-    """
-    if isinstance(num, str) and isinstance(den, str):
-        return F.expr(round_ratio_spark_sql(f"`{num}`", f"`{den}`", digits))
-    num = _c(num).cast("long")
-    den = F.nullif(_c(den).cast("long"), F.lit(0))
-    scale = 10 ** digits
-    q = int_div(F.abs(num) * F.lit(2 * scale) + den, den * F.lit(2))
-    return (F.signum(num) * q).cast("double") / F.lit(float(scale))
-
-
-def round_ratio_sql(num: str, den: str, digits: int = 2) -> str:
-    """ANSI/DuckDB text of :func:`round_ratio` (used by the oracle)."""
-    scale = 10 ** digits
-    return (f"(sign({num}) * ((abs({num}) * {2 * scale} + nullif({den}, 0)) // "
-            f"(nullif({den}, 0) * 2)))::double / {float(scale)}")
+def round_ratio(num: str, den: str, digits: int = 2) -> Column:
+    """:func:`round_ratio_spark_sql` for column names."""
+    return F.expr(round_ratio_spark_sql(f"`{num}`", f"`{den}`", digits))

@@ -30,11 +30,3 @@ def year_range(ts, year: int) -> Column:
 
 def year_month(x) -> Column:
     return F.date_format(_c(x), "yyyy-MM")
-
-
-def iso_date(x) -> Column:
-    return F.date_format(_c(x), "yyyy-MM-dd")
-
-
-def iso_ts(x) -> Column:
-    return F.date_format(_c(x), "yyyy-MM-dd HH:mm:ss")

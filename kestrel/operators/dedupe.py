@@ -29,7 +29,3 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column] | None
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
-
-
-def drop_helper_columns(df: DataFrame, prefix: str = "_") -> DataFrame:
-    return df.select(*[c for c in df.columns if not c.startswith(prefix)])

@@ -138,12 +138,6 @@ def latest_per_key(log: DataFrame, key: str, seq: str, values: list[str]) -> Dat
     return log.groupBy(key).agg(latest.alias("_v"), F.max(seq).alias(seq)).select(key, seq, "_v.*")
 
 
-def upsert(current: DataFrame, updates: DataFrame, key: str, seq: str, values: list[str]) -> DataFrame:
-    """Incremental merge: union the new rows, keep the latest per key."""
-    cols = [key, seq, *values]
-    return latest_per_key(current.select(*cols).unionByName(updates.select(*cols)), key, seq, values)
-
-
 # ---- requests -------------------------------------------------------------------
 def request_metrics(log: DataFrame) -> DataFrame:
     """Totals, failures, token sums, cache hits/misses, guardrail blocks, SQL errors."""

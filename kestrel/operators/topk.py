@@ -24,11 +24,3 @@ def top_n(df: DataFrame, order: list, n: int, tiebreak: list | None = None) -> D
     """
     keys = list(order) + [asc_last(t) if isinstance(t, str) else t for t in (tiebreak or [])]
     return df.orderBy(*keys).limit(n)
-
-
-def rank_top_per_group(df: DataFrame, group: list[str], order: list, n: int,
-                       col: str = "rank") -> DataFrame:
-    """Top ``n`` rows within each group via ``row_number`` (one shuffle on the group)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(col, F.row_number().over(w)).filter(F.col(col) <= n)

@@ -32,7 +32,7 @@ def top_categories_raw(c: Commerce, n: int = 5) -> DataFrame:
     """Q2: top categories by revenue; the NULL category is kept as its own group."""
     prod = c.products().select("product_id", "category_name_en")
     per_cat = (_revenue_per_product(c).join(prod, "product_id")
-               .groupBy("category_name_en").agg(M.from_cents(F.sum("rev")).alias("revenue_brl")))
+               .groupBy("category_name_en").agg(F.expr(M.from_cents_sql("sum(rev)")).alias("revenue_brl")))
     return top_n(per_cat, [desc_first("revenue_brl")], n,
                  [F.col("category_name_en").asc_nulls_first()])
 
@@ -126,7 +126,7 @@ def seller_state_revenue(c: Commerce, n: int = 1) -> DataFrame:
     """Top seller state(s) by revenue of the items they sold."""
     per_seller = c.order_items().groupBy("seller_id").agg(F.sum("revenue_cents").alias("rev"))
     g = (per_seller.join(c.sellers().select("seller_id", "state"), "seller_id")
-         .groupBy("state").agg(M.from_cents(F.sum("rev")).alias("revenue_brl")))
+         .groupBy("state").agg(F.expr(M.from_cents_sql("sum(rev)")).alias("revenue_brl")))
     return top_n(g, [desc_first("revenue_brl")], n, ["state"])
 
 

@@ -15,7 +15,7 @@ from kestrel.sources.model import Commerce
 
 def total_revenue(c: Commerce, name: str = "total_revenue") -> DataFrame:
     """One row: revenue of all items, summed on the scan (no shuffle but one partial sum per task)."""
-    return c.order_items().agg(M.from_cents(F.sum("revenue_cents")).alias(name))
+    return c.order_items().agg(F.expr(M.from_cents_sql("sum(revenue_cents)")).alias(name))
 
 
 def kpi_row(c: Commerce, approx_customers: bool = False) -> DataFrame:

@@ -98,13 +98,6 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return path
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, props: dict | None = None,
-               batch_size: int = 5000, mode: str = "overwrite") -> None:
-    """Optional relational sink in 5,000-row batches (needs a JDBC driver jar)."""
-    (df.write.mode(mode).option("batchsize", batch_size)
-       .jdbc(url, table, properties=props or {}))
-
-
 # Schema of the JSON-lines request log the log analytics read.
 REQUEST_LOG_SCHEMA = T.StructType([
     T.StructField("ts", T.TimestampType()),

@@ -38,19 +38,3 @@ class Tables:
         if name in TABLES:
             return read_table(self.spark, self.sf_dir, name)
         raise AttributeError(name)
-
-
-_VIEWS_CONF = "kestrel.views.source"
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES, refresh: bool = False) -> None:
-    """Expose the tables as temp views for SQL callers (the guarded SQL surface).
-
-    Registered once per session and data folder (a long-running service keeps
-    its catalog); ``refresh`` re-registers, e.g. after new files arrive."""
-    marker = f"{os.path.abspath(sf_dir)}|{','.join(names)}"
-    if not refresh and spark.conf.get(_VIEWS_CONF, "") == marker:
-        return
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)
-    spark.conf.set(_VIEWS_CONF, marker)

@@ -77,13 +77,6 @@ def test_cache_effectiveness(spark):
     assert (r["questions"], r["hits"], r["misses"]) == (5, 3, 2)
 
 
-def test_upsert_latest_value(spark):
-    cur = spark.createDataFrame([("k1", 1, "old"), ("k2", 2, "keep")], "key string, seq long, value string")
-    upd = spark.createDataFrame([("k1", 5, "new")], "key string, seq long, value string")
-    got = {r["key"]: r["value"] for r in L.upsert(cur, upd, "key", "seq", ["value"]).collect()}
-    assert got == {"k1": "new", "k2": "keep"}
-
-
 def _usage(spark, payloads):
     df = spark.createDataFrame([(json.dumps(p) if p is not None else None,) for p in payloads], "j string")
     return [tuple(r) for r in L.with_token_usage(df, "j").select("prompt_tokens", "completion_tokens").collect()]

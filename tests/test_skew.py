@@ -109,14 +109,3 @@ def test_hot_key_operators(spark):
     got = {r["seq"]: r["prompt"] for r in build_prompts(lines, qs, "s", "seq", "line", "question", 3).collect()}
     assert got[0] == "q"
     assert got[1000] == "Prior conversation:\nv9\nv10\nv11\n\nCurrent question: q"
-
-
-def test_salted_join_equals_plain_join(spark):
-    from kestrel.operators.skew import salted_join
-    big = spark.createDataFrame([("hot", i) for i in range(2000)] + [(f"k{i}", i) for i in range(300)]
-                                + [("orphan", 1)], "k string, v long")
-    small = spark.createDataFrame([("hot", "H")] + [(f"k{i}", f"x{i}") for i in range(300)], "k string, w string")
-    for how in ("inner", "left"):
-        got = sorted(salted_join(big, small, ["k"], salts=8, how=how).collect())
-        want = sorted(big.join(small, ["k"], how).collect())
-        assert got == want
