@@ -8,11 +8,12 @@ penalised, so that the mere mention of a group cannot carry a verdict.
 
 Training data is a bounded sample of labelled rows, chosen by a hash of the
 doc_id (at most about ``per_label`` rows of either label; more changes little,
-as the terms recur). Only their feature hashes reach the driver. The intercept
-is set back to the labels' true proportion. Scoring is a column over all texts:
+as the terms recur). Feature counts of the sample are a Spark aggregation; only
+its telling features (see ``_telling``) reach the driver. The intercept is set
+for equally many texts of either label (``share``). Scoring is a column over all texts:
 no shuffle, and memory bounded by the model and a table of recent words. Null
-and empty texts get the score of no evidence. A table without labels of both
-kinds gives a model that scores their share (0 without any label).
+and empty texts get the score of no evidence. Without labels of both kinds
+the model scores what there is (0 without any label).
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from kestrel.llm.common import materialize
 from kestrel.llm.decontamination import words_of
 
 # Terms that only name a group, by kind; a swap stays within a kind and language.
@@ -105,31 +107,18 @@ class _Rows:
         return np.bincount(self.at, self.value * r[self.row], minlength=self.width)
 
 
-def _telling(rows: list[np.ndarray], labels: np.ndarray, least_rows: int, least_z: float) -> np.ndarray:
-    """Features whose share of rows differs between the labels by ``least_z`` standard errors."""
-    one = [np.unique(r) for r in rows]
-    columns, at = np.unique(np.concatenate(one), return_inverse=True)
-    of = np.repeat(labels, [len(r) for r in one])
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    c1 = np.bincount(at, of, minlength=len(columns))
-    c = np.bincount(at, minlength=len(columns))
-    p = c / (n1 + n0)
-    z = np.abs(c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    return columns[(c >= least_rows) & (z >= least_z)]
-
-
-def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, share: float | None = None,
+def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, share: float = 0.5,
         fairness: float = 10.0, sparsity: float = 1e-5, rounds: int = 800) -> Model:
     """Sparse logistic regression; ``swapped`` has the counterfactual of a row or None.
 
     Accelerated proximal gradient on mean log-loss + fairness * mean squared
-    change under a swap + sparsity * sum of absolute weights."""
+    change under a swap + sparsity * sum of absolute weights. The intercept is
+    set for ``share`` toxic texts."""
     labels = np.asarray(labels, np.float64)
-    share = float(labels.mean()) if share is None and len(labels) else share or 0.0
     if not len(labels) or labels.min() == labels.max():
-        limited = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(math.log(limited / (1 - limited)))
-    columns = _telling(rows, labels, least_rows=3, least_z=4.0)
+        only = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-6), 1 - 1e-6)
+        return Model(math.log(only / (1 - only)))
+    columns = np.unique(np.concatenate(rows))
     x = _Rows(rows, columns)
     paired = [(a, b) for a, b in zip(rows, swapped, strict=True) if b is not None]
     change = _Rows([np.concatenate(p) for p in paired], columns,
@@ -155,7 +144,6 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nda
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead, b_ahead = new + (t - 1) / t_new * (new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = new, b_new, t_new
-    share = min(max(share, 1e-6), 1 - 1e-6)
     b += math.log(share / (1 - share)) - math.log(labels.mean() / (1 - labels.mean()))
     return Model(float(b), {int(h): float(x) for h, x in zip(columns, w, strict=True) if x})
 
@@ -168,8 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 6000, identity=ID
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("label"))
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    if not total:
+    if not counts:
         return Model(math.log(1e-6))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     wanted = F.when(F.col("label") == 1, per_label / counts.get(1, 1)).otherwise(per_label / counts.get(0, 1))
@@ -180,17 +167,46 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 6000, identity=ID
         for batch in batches:
             words = [set(words_of(t)) for t in batch["text"]]
             other = [{swap.get(w, w) for w in ws} if not swap.keys().isdisjoint(ws) else None for ws in words]
+            own = [features(ws) for ws in words]
             yield pd.DataFrame({
-                "label": batch["label"],
-                "own": [features(ws) for ws in words],
-                "other": [features(ws) if ws is not None else None for ws in other],
+                "label": batch["label"].to_numpy(),
+                "least": [str(sorted(set(f))[:6]) for f in own],
+                "own": pd.Series(own, dtype=object),
+                "other": pd.Series([features(ws) if ws is not None else None for ws in other], dtype=object),
             })
 
-    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-            .mapInPandas(read, "label int, own array<long>, other array<long>").toPandas())
-    return fit([np.asarray(r, np.int64) for r in rows["own"]],
-               [None if r is None else np.asarray(r, np.int64) for r in rows["other"]],
-               rows["label"].to_numpy(), counts.get(1, 0) / total, fairness)
+    # Texts with the same smallest hashes are (near) copies and count once, or their chance words would look telling.
+    rows = materialize(
+        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+        .mapInPandas(read, "label int, least string, own array<long>, other array<long>").dropDuplicates(["least"]),
+        "toxicity-sample")
+    kept = np.array(sorted(r.h for r in _telling(rows).collect()), np.int64)
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in ("own", "other"):
+                batch[name] = pd.Series([None if r is None else r[np.isin(r, kept)] for r in batch[name]], dtype=object)
+            yield batch
+
+    few = rows.select("label", "own", "other").mapInPandas(
+        narrow, "label int, own array<long>, other array<long>").toPandas()
+    return fit([np.asarray(r, np.int64) for r in few["own"]],
+               [None if r is None else np.asarray(r, np.int64) for r in few["other"]],
+               few["label"].to_numpy(), fairness=fairness)
+
+
+def _telling(rows: DataFrame, least_rows: int = 5, least_z: float = 4.0) -> DataFrame:
+    """Features (h) in at least ``least_rows`` rows whose share differs between the labels by ``least_z`` standard errors."""
+    size = rows.agg(F.count("*").alias("n"), F.sum("label").alias("n1")).first()
+    n, n1 = size.n, size.n1 or 0
+    if not 0 < n1 < n:
+        return rows.select(F.explode("own").alias("h")).limit(0)
+    counted = rows.select("label", F.explode(F.array_distinct("own")).alias("h")).groupBy("h").agg(
+        F.count("*").alias("c"), F.sum("label").alias("c1"))
+    p = F.col("c") / n
+    gap = F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / (n - n1))
+    return counted.filter((F.col("c") >= least_rows)
+                          & (gap >= least_z * F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))) & (gap > 0)).select("h")
 
 
 def score(text: Column, model: Model) -> Column:
