@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.operators.scalars import one_row, with_scalars
+from kestrel.operators.scalars import with_scalars
 
 
-def medians(df: DataFrame, col: str, group: list[str] | None = None) -> DataFrame:
-    """The exact interpolating median of ``col`` (per group), nulls ignored.
+def medians(df: DataFrame, cols: list[str], group: list[str] | None = None) -> DataFrame:
+    """The exact interpolating median of every column (per group), nulls ignored; columns keep their names.
 
-    The windows run over (group, value) counts, one row per distinct value; the
-    middle is the mean of the values at the two middle places."""
+    Values of all columns are counted in one pass; the windows run over
+    (group, column, value) counts, one row per distinct value, and the middle is
+    the mean of the values at the two middle places."""
     keys = group or []
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.select(*keys, "_v", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
-    low = F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) / 2), F.col("_v")))
-    high = F.min(F.when(F.col("_upto") > F.ceil((F.col("_all") - 1) / 2), F.col("_v")))
-    return placed.groupBy(*keys).agg(((low + high) / 2).alias("median"))
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    counts = (df.select(*keys, F.expr(f"stack({len(cols)}, {pairs}) AS (_c, _v)")).filter("_v IS NOT NULL")
+              .groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    own = Window.partitionBy(*keys, "_c")
+    placed = counts.withColumn("_upto", F.sum("_n").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))) \
+                   .withColumn("_all", F.sum("_n").over(own))
+
+    def middle(c: str) -> Column:
+        reached = [F.min(F.when((F.col("_c") == c) & (F.col("_upto") > place), F.col("_v")))
+                   for place in (F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2))]
+        return ((reached[0] + reached[1]) / 2).alias(c)
+
+    return placed.groupBy(*keys).agg(*[middle(c) for c in cols])
 
 
 def impute_group_then_global(df: DataFrame, group: str, cols: list[str],
@@ -39,16 +46,13 @@ def impute_group_then_global(df: DataFrame, group: str, cols: list[str],
     the global medians are a scalar subquery.
     """
     g = F.col(group)
-    med_g = None
-    for c in cols:
-        of_c = medians(df.filter(g.isNotNull()), c, [group]).withColumnRenamed("median", f"_gm_{c}")
-        med_g = of_c if med_g is None else med_g.join(of_c, group, "full")
+    med_g = medians(df.filter(g.isNotNull()), cols, [group]).withColumnsRenamed({c: f"_gm_{c}" for c in cols})
     j = df.join(med_g, group, "left")
     for c in cols:
         filled = F.coalesce(F.col(c), F.col(f"_gm_{c}"))
         j = j.withColumn(c, F.when(g.isNotNull(), filled).otherwise(
             F.col(c) if keep_null_group_values else F.lit(None)).cast("double"))
-    j = with_scalars(j, one_row(*[medians(j, c).withColumnRenamed("median", f"_am_{c}") for c in cols]))
+    j = with_scalars(j, medians(j, cols).withColumnsRenamed({c: f"_am_{c}" for c in cols}))
     out_types = {f.name: f.dataType for f in df.schema.fields}
     for c in cols:
         v = F.coalesce(F.col(c), F.col(f"_am_{c}"))

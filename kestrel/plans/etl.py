@@ -74,6 +74,7 @@ def build_products(spark: SparkSession, raw_dir: str, prefix: str = "") -> DataF
     df = p.join(tr, "product_category_name", "left")
     df = df.select("product_id", "product_category_name", "product_category_name_english",
                    *[_int(c).alias(c) for c in DIM_COLS], *FILE_ORDER)
+    df = cut_lineage(df)  # the medians read it twice more; the file is parsed once
     df = impute_group_then_global(df, "product_category_name", DIM_COLS)
     df = (df.withColumnRenamed("product_category_name", "category_name_pt")
             .withColumnRenamed("product_category_name_english", "category_name_en"))
