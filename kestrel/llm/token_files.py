@@ -46,7 +46,8 @@ BLOCK_IDS = 2_000_000
 MOST_LANES = 4096
 LEAST_STEPS = 256          # a lane of fewer ids would cost more than it saves
 MIX = 1 << 12              # sum of the mixing weights
-ORDER0 = 1 << 18           # sum of the order-0 frequencies, about
+ORDER0 = 1 << 18           # sum of the order-0 frequencies
+_SHIFT = np.uint64(30)     # MIX * ORDER0 = 2 ** 30
 _LOW_END = np.uint64(1 << 40)
 _WORD = np.uint64(16)
 _TOP = np.uint64(48)
@@ -72,8 +73,8 @@ class Model:
         """Order-0 frequencies, renewed whenever a tenth more ids (at most 100,000) have been seen."""
         spare = ORDER0 - self.vocabulary
         self.freq = 1 + self.seen * spare // max(1, self.total)
+        self.freq[self.seen.argmax()] += ORDER0 - int(self.freq.sum())
         self.upto = np.concatenate([[0], np.cumsum(self.freq)])
-        self.sum = int(self.upto[-1])
         self.refresh_at = self.total + min(100_000, self.total // 10 + 1000)
 
     def predict(self, two: np.ndarray, one: np.ndarray):
@@ -82,10 +83,9 @@ class Model:
         self.one = one
         self.p2, self.p1 = self.next2[self.slot], self.next1[one]
         self.kind = self.sure2[self.slot].astype(np.int64) * 8 + self.sure1[one]
-        hits = self.hits[self.kind]
-        weights = 1 + (MIX - 3) * hits // hits.sum(axis=1, keepdims=True)
+        weights = 1 + (MIX - 3) * self.hits // self.hits.sum(axis=1, keepdims=True)
         weights[:, 2] += MIX - weights.sum(axis=1)
-        return self.p2, self.p1, weights[:, 0], weights[:, 1], weights[:, 2]
+        return self.p2, self.p1, weights[self.kind, 0], weights[self.kind, 1], weights[self.kind, 2]
 
     def learn(self, ids: np.ndarray) -> None:
         hit2, hit1 = ids == self.p2, ids == self.p1
@@ -132,9 +132,9 @@ def code(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         x = table[t, :n]
         p2, p1, w2, w1, w0 = model.predict(two[:n], one[:n])
         size, start = model.freq[x] * w0, model.upto[x] * w0
-        size += model.sum * (w2 * (x == p2) + w1 * (x == p1))
-        start += model.sum * (w2 * (p2 < x) + w1 * (p1 < x))
-        unit = span[:n] // np.uint64(MIX * model.sum)
+        size += ORDER0 * (w2 * (x == p2) + w1 * (x == p1))
+        start += ORDER0 * (w2 * (p2 < x) + w1 * (p1 < x))
+        unit = span[:n] >> _SHIFT
         lo, sp = low[:n] + unit * start.astype(np.uint64), unit * size.astype(np.uint64)
         out, sp = _settled(lo, sp)
         while out.any():
@@ -179,26 +179,24 @@ def decode(per_lane: np.ndarray, words: np.ndarray, n_ids: int, vocabulary: int)
         if not n:
             break
         p2, p1, w2, w1, w0 = model.predict(two[:n], one[:n])
-        unit = span[:n] // np.uint64(MIX * model.sum)
-        place = np.minimum((value[:n] - low[:n]) // unit, np.uint64(MIX * model.sum - 1)).astype(np.int64)
-        # Undo what the two predicted ids add to all ids behind them, the smaller id first.
-        first, second = np.minimum(p1, p2), np.maximum(p1, p2)
-        extra1 = model.sum * np.where(p1 <= p2, w1, w2)
-        extra2 = model.sum * np.where(p1 <= p2, w2, w1)
-        x = np.full(n, -1)
-        for p, extra in ((first, extra1), (second, extra2)):
-            start = model.upto[p] * w0
-            reach = start + model.freq[p] * w0 + extra
-            # Equal predictions share one id: the second's share lies behind the first's.
-            x = np.where((x < 0) & (place >= start) & (place < reach), p, x)
-            place = np.where((x < 0) & (place >= reach), place - extra, place)
-        both = (x < 0) & (first == second) & (place >= model.upto[first] * w0) & (place < (model.upto[first] + model.freq[first]) * w0)
-        x = np.where(both, first, x)
-        x = np.where(x < 0, np.searchsorted(model.upto, place // w0, side="right") - 1, x)
+        unit = span[:n] >> _SHIFT
+        place = np.minimum((value[:n] - low[:n]) // unit, np.uint64(MIX * ORDER0 - 1)).astype(np.int64)
+        # Either predicted id is hit, or what they add to all ids behind them is taken off.
+        extra2, extra1 = ORDER0 * w2, ORDER0 * w1
+        start2 = model.upto[p2] * w0 + extra1 * (p1 < p2)
+        start1 = model.upto[p1] * w0 + extra2 * (p2 < p1)
+        same = p1 == p2
+        hit2 = (place >= start2) & (place < start2 + model.freq[p2] * w0 + extra2 + extra1 * same)
+        hit1 = (place >= start1) & (place < start1 + model.freq[p1] * w0 + extra1 + extra2 * same)
+        x = np.where(hit2, p2, p1)
+        miss = np.flatnonzero(~(hit2 | hit1))
+        at0 = place[miss]
+        at0 = at0 - extra2[miss] * (at0 >= start2[miss]) - extra1[miss] * (at0 >= start1[miss])
+        x[miss] = np.searchsorted(model.upto, at0 // w0[miss], side="right") - 1
         table[t, :n] = x
         size, start = model.freq[x] * w0, model.upto[x] * w0
-        size += model.sum * (w2 * (x == p2) + w1 * (x == p1))
-        start += model.sum * (w2 * (p2 < x) + w1 * (p1 < x))
+        size += ORDER0 * (w2 * (x == p2) + w1 * (x == p1))
+        start += ORDER0 * (w2 * (p2 < x) + w1 * (p1 < x))
         lo, sp = low[:n] + unit * start.astype(np.uint64), unit * size.astype(np.uint64)
         out, sp = _settled(lo, sp)
         while out.any():

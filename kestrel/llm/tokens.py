@@ -18,7 +18,8 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-KEPT_PIECES = 300_000
+KEPT_PIECES = 400_000
+BPE_CACHE = 100_000
 LONGEST_KEPT = 48
 # White space beside blank and line feed, on some of which libraries differ: such a text is encoded uncut.
 _RARE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e]")
@@ -34,6 +35,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_ID_BYTES = [i.to_bytes(4, "little") for i in range(1 << 16)]  # a vocabulary of at most 65,536 ids
 
 
 @lru_cache(maxsize=2)
@@ -49,14 +51,16 @@ class _Pieces(dict):
         self._bpe = model.tokenize
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            parts = (" " + word,)
-        elif word[:-1].isalpha() and word[-1] in ".,":
-            parts = (" " + word[:-1], word[-1])
+        if word.isascii():
+            if word.isalpha():
+                parts = ("\u0120" + word,)
+            elif word[:-1].isalpha() and word[-1] in ".,":
+                parts = ("\u0120" + word[:-1], word[-1])
+            else:
+                parts = [p.translate(_LETTERS) for p in _WORDS.findall(" " + word)]
         else:
-            parts = _WORDS.findall(" " + word)
-        ids = array("I", [t.id for p in parts
-                          for t in self._bpe(p.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+            parts = [p.encode().decode("latin-1").translate(_LETTERS) for p in _WORDS.findall(" " + word)]
+        ids = b"".join([_ID_BYTES[t.id] for p in parts for t in self._bpe(p)])
         if len(word) <= LONGEST_KEPT:
             self[word] = ids
         return ids
@@ -68,7 +72,10 @@ class Encoder:
     def __init__(self, path: str):
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
-        self._kept = _Pieces(self._tok.model)
+        model = self._tok.model
+        if hasattr(model, "_resize_cache"):  # words inside pieces recur more often than pieces
+            model._resize_cache(BPE_CACHE)
+        self._kept = _Pieces(model)
 
     def _whole(self, text: str) -> list[int]:
         return self._tok.encode(text, add_special_tokens=False).ids
