@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -157,15 +156,28 @@ def _forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray):
     return node, pair
 
 
-def fit(chains: list[tuple[list[list[str]], list[int]]], epochs: int = 5, rate: float = 0.1, decay: float = 1e-4,
-        batch: int = 64, least: int = 5) -> Field:
-    """Penalised maximum likelihood by Adagrad, on features seen ``least`` times.
+def token_chain(tokens: list[str], whole: tuple[str, ...]) -> list[list[str]]:
+    """Feature names of every token of a stretch."""
+    of = [token_features(t) for t in tokens]
+    own = [f"own|{f}" for f in whole]
+    return [[f"{p}|{f}" for p, k in zip(PLACES, (0, -1, -2, -3, 1), strict=True) if 0 <= t + k < len(of)
+             for f in of[t + k]] + own for t in range(len(of))]
 
-    A chain: the features of each token, and its labels."""
-    seen = Counter(f for tokens, _ in chains for token in tokens for f in token)
-    names = {f: k for k, f in enumerate(f for f, n in seen.items() if n >= least)}
-    coded = [([np.array([names[f] for f in token if f in names], np.int64) for token in tokens],
-              np.array(labels)) for tokens, labels in chains]
+
+Window = tuple[list[str], list[int], tuple[str, ...]]  # tokens, labels, file features
+
+
+def fit(windows: list[Window], epochs: int = 5, rate: float = 0.1, decay: float = 1e-4, batch: int = 64,
+        least: int = 5) -> Field:
+    """Penalised maximum likelihood by Adagrad, on features seen ``least`` times."""
+    names: dict[str, int] = {}
+    coded = [([np.array([names.setdefault(f, len(names)) for f in token], np.int64)
+               for token in token_chain(tokens, whole)], np.array(labels)) for tokens, labels, whole in windows]
+    flat = [f for chain, _ in coded for f in chain]
+    seen = np.bincount(np.concatenate(flat), minlength=len(names)) if flat else np.zeros(0, np.int64)
+    number = np.cumsum(seen >= least) - 1
+    names = {f: int(number[k]) for f, k in names.items() if seen[k] >= least}
+    coded = [([number[f[seen[f] >= least]] for f in chain], labels) for chain, labels in coded]
     weights, trans = np.zeros((len(names), 3)), np.zeros((3, 3))
     g_w, g_t = np.full_like(weights, 1e-6), np.full_like(trans, 1e-6)
     rng = np.random.default_rng(0)
@@ -330,7 +342,7 @@ def _random_secret(rng) -> str:
     return ("", "", "", "sk_live_", "ghp_", "xoxb-")[rng.integers(6)] + body
 
 
-def training_windows(text: str, seed: int, side: int = 12, random_windows: int = 3) -> list[tuple[list[list[str]], list[int]]]:
+def training_windows(text: str, seed: int, side: int = 12, random_windows: int = 3) -> list[Window]:
     """Labelled token windows of one text: around its base matches, some elsewhere, some with inserted forms."""
     rng = np.random.default_rng([seed, len(text)])
     spans = [(m.start(2), m.end(2)) if kind == "assign" else m.span()
@@ -344,18 +356,12 @@ def training_windows(text: str, seed: int, side: int = 12, random_windows: int =
         i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
         labels[i:j] = INSIDE
         labels[i:i + 1] = BEGIN
-    whole = [f"own|{f}" for f in file_features(text)]
-
-    def window(words: list[str], tags: list[int]):
-        of = [token_features(w) for w in words]
-        return [[f"{p}|{f}" for p, k in zip(PLACES, (0, -1, -2, -3, 1), strict=True) if 0 <= t + k < len(of)
-                 for f in of[t + k]] + whole for t in range(len(of))], tags
-
+    whole = file_features(text)
     out, centres = [], [int(i) for i in np.flatnonzero(labels == BEGIN)[:4]]
     centres += [int(i) for i in rng.integers(0, max(1, len(tokens)), random_windows)] if tokens else []
     for c in centres:
         a, b = max(0, c - side), c + side
-        out.append(window(tokens[a:b], labels[a:b].tolist()))
+        out.append((tokens[a:b], labels[a:b].tolist(), whole))
     if tokens:
         c = int(rng.integers(0, len(tokens)))
         a, b = max(0, c - side), c + side
@@ -363,11 +369,11 @@ def training_windows(text: str, seed: int, side: int = 12, random_windows: int =
         secret = _TOKEN.findall(_random_secret(rng))
         cue = _TOKEN.findall(_CUES[rng.integers(len(_CUES))])
         quote = ['"'] if rng.integers(2) else []
-        out.append(window([*left[0], *cue, *quote, *secret, *quote, *right[0]],
-                          left[1] + [OUT] * (len(cue) + len(quote)) + [BEGIN] + [INSIDE] * (len(secret) - 1)
-                          + [OUT] * len(quote) + right[1]))
+        out.append(([*left[0], *cue, *quote, *secret, *quote, *right[0]],
+                    left[1] + [OUT] * (len(cue) + len(quote)) + [BEGIN] + [INSIDE] * (len(secret) - 1)
+                    + [OUT] * len(quote) + right[1], whole))
         other = _TOKEN.findall(_LOOKALIKES[rng.integers(len(_LOOKALIKES))])
-        out.append(window([*left[0], *other, *right[0]], left[1] + [OUT] * len(other) + right[1]))
+        out.append(([*left[0], *other, *right[0]], left[1] + [OUT] * len(other) + right[1], whole))
     return out
 
 
@@ -380,14 +386,14 @@ def train(docs: DataFrame, sample_docs: int = 1000, text_col: str = "text") -> F
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [w for text in batch["text"] for w in training_windows(text, seed=11)]
-            yield pd.DataFrame({"tokens": [[list(t) for t in tokens] for tokens, _ in rows],
-                                "labels": [tags for _, tags in rows]})
+            yield pd.DataFrame({name: pd.Series([list(w[k]) for w in rows], dtype=object)
+                                for k, name in enumerate(("tokens", "labels", "whole"))})
 
     sample = texts.filter(part < min(1.0, sample_docs / total)).distinct()
-    rows = sample.mapInPandas(windows, "tokens array<array<string>>, labels array<int>").toPandas()
-    rows = sorted(((t.tolist() if hasattr(t, "tolist") else t, list(y)) for t, y in
-                   zip(rows["tokens"], rows["labels"], strict=True)), key=lambda r: str(r[0])[:400])
-    return fit(rows)
+    rows = sample.mapInPandas(windows, "tokens array<string>, labels array<int>, whole array<string>").toPandas()
+    rows = [(list(t), [int(x) for x in y], tuple(f))
+            for t, y, f in zip(rows["tokens"], rows["labels"], rows["whole"], strict=True)]
+    return fit(sorted(rows))
 
 
 _RESULT = T.StructType([
