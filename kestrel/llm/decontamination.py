@@ -14,8 +14,8 @@ occurrences are located from the sampled positions, and the spans they cover
 are merged per document.
 
 The benchmark is dealt into blocks whose size is checked before they are
-broadcast; every block is searched against every document, so the operator has
-no shuffle of documents at all. Null or empty texts have no words and no hits;
+broadcast; every block is searched against every document. With one block (the
+usual case) there is no shuffle at all; with more, only hits are shuffled. Null or empty texts have no words and no hits;
 an empty benchmark leaves everything clean; copies and repeated rows are each
 found. An item without an item_id takes part in the hits, not in item lists.
 """
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from kestrel.llm.common import fresh
+from kestrel.llm.common import fresh, materialize
 
 SAMPLE = 16
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -240,18 +240,19 @@ def _search_column(text: Column, block) -> Column:
 
 
 @pandas_udf(_RESULT)
-def _merge(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-    def flat(a, b):
-        both = [*a, *b]
-        return [x for s in merged(list(zip(both[::2], both[1::2], strict=True))) for x in s]
+def _merge(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """One result of a document's results per block (a struct, and an array of further ones or null)."""
+    def flat(lists):
+        return [x for s in merged([(a, b) for x in lists for a, b in zip(x[::2], x[1::2], strict=True)]) for x in s]
 
-    for one, two in batches:
-        yield pd.DataFrame({
-            "n_words": one["n_words"],
-            "words": [flat(a, b) for a, b in zip(one["words"], two["words"], strict=True)],
-            "chars": [flat(a, b) for a, b in zip(one["chars"], two["chars"], strict=True)],
-            "items": [sorted({*a, *b}) for a, b in zip(one["items"], two["items"], strict=True)],
-        })
+    for one, many in batches:
+        rows = []
+        for n, words, chars, items, others in zip(one["n_words"], one["words"], one["chars"], one["items"], many, strict=True):
+            others = [] if others is None else list(others)
+            rows.append((n, flat([list(words), *(list(o["words"]) for o in others)]),
+                         flat([list(chars), *(list(o["chars"]) for o in others)]),
+                         sorted({*items, *(x for o in others for x in o["items"])})))
+        yield pd.DataFrame(rows, columns=["n_words", "words", "chars", "items"])
 
 
 def blocks_of(benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, id_col: str = "item_id",
@@ -276,11 +277,22 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, window: int = 10
     """``docs`` with a column ``name``: struct of n_words, words and chars (merged spans of hit words and their
     code points, flat start, end, ...), items (item_ids as sorted strings)."""
     sc = docs.sparkSession.sparkContext
-    found = None
-    for phrases in blocks_of(benchmark, window, block_bytes):
-        column = _search_column(F.col(text_col), sc.broadcast(phrases))
-        found = column if found is None else _merge(found, column)
-    return docs.withColumn(name, found)
+    blocks = blocks_of(benchmark, window, block_bytes)
+    first, more = next(blocks), next(blocks, None)
+    if more is None:
+        return docs.withColumn(name, _search_column(F.col(text_col), sc.broadcast(first)))
+    # Further blocks are searched one after the other in numbered rows; only their hits are kept and joined back.
+    rid = fresh(docs, "row")
+    rows = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    hits = None
+    for phrases in chain([more], blocks):
+        found = rows.select(F.col(rid).alias("hit_row"), _search_column(F.col(text_col), sc.broadcast(phrases)).alias("hit"))
+        found = materialize(found.filter(F.size("hit.words") > 0), "block-hits")
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("hit_row").agg(F.collect_list("hit").alias("hits"))  # at most one per block
+    out = rows.withColumn(name, _search_column(F.col(text_col), sc.broadcast(first)))
+    out = out.join(hits, out[rid] == hits["hit_row"], "left")
+    return out.select(*[out[c] for c in docs.columns], _merge(out[name], hits["hits"]).alias(name))
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, **blocks) -> DataFrame:
@@ -295,29 +307,60 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int =
                        (F.size("found.words") > 0).alias("contaminated"), F.col("found.chars").alias("spans"))
 
 
+def cut_spans(text: str, flat: list[int]) -> str:
+    """The text without the spans (code points, flat), its parts stripped and joined by line feeds."""
+    edges = [0, *flat, len(text)]
+    return "\n".join(p for p in (text[a:b].strip() for a, b in zip(edges[::2], edges[1::2], strict=True)) if p)
+
+
+_LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("stays", T.BooleanType())])
+
+
+def _remaining_column(text: Column, block) -> Column:
+    """struct(text without the block's passages, whether the document stays), searched, cut and searched again in one go."""
+    @pandas_udf(_LEFT)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        phrases = block.value
+        for batch in batches:
+            texts = batch.tolist()
+            _, hits = search_shard(texts, phrases)
+            for k, (spans, _) in hits.items():
+                texts[k] = cut_spans(texts[k], _char_spans(texts[k], spans))
+            _, again = search_shard([texts[k] for k in hits], phrases)
+            gone = {k for n, k in enumerate(hits) if n in again or not texts[k]}
+            yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "stays": [k not in gone for k in range(len(texts))]})
+
+    return of(text)
+
+
 @pandas_udf(T.StringType())
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    def kept(text, flat):
-        edges = [0, *flat, len(text)]
-        return "\n".join(p for p in (text[a:b].strip() for a, b in zip(edges[::2], edges[1::2], strict=True)) if p)
-
-    return pd.Series([kept(t, s) if t is not None and len(s) else t for t, s in zip(texts, spans, strict=True)])
+    return pd.Series([cut_spans(t, list(s)) if t is not None and len(s) else t for t, s in zip(texts, spans, strict=True)],
+                     dtype=object)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text",
-                         **blocks) -> DataFrame:
+                         block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` without the passages of the benchmark; columns as they were.
 
     The merged spans are cut out of the text and a line feed joins what is
     left. A document of which nothing is left goes, and so does one whose
     remainder, searched again, forms a phrase anew; one without hits stays
-    untouched."""
-    found, again, before = fresh(docs, "found"), fresh(docs, "again"), docs.columns
-    rows = with_hits(docs, benchmark, found, window, text_col=text_col, **blocks)
-    hit = F.size(f"{found}.words") > 0
-    left = fresh(rows, "left")
-    rows = rows.withColumn(left, F.when(hit, _cut(F.col(text_col), F.col(f"{found}.chars"))))
-    rows = with_hits(rows, benchmark, again, window, text_col=left, **blocks)  # null where nothing was cut
-    clean = ~hit | ((F.length(left) > 0) & (F.size(f"{again}.words") == 0))
-    return rows.filter(clean).withColumn(text_col, F.coalesce(F.col(left), F.col(text_col))).select(
-        *[f"`{c}`" for c in before])
+    untouched. A benchmark of one block takes a single pass; one of more blocks
+    merges the spans of all blocks before it cuts."""
+    left, before = fresh(docs, "left"), docs.columns
+    blocks = blocks_of(benchmark, window, block_bytes)
+    first, more = next(blocks), next(blocks, None)
+    if more is None:
+        one = docs.sparkSession.sparkContext.broadcast(first)
+        rows = docs.withColumn(left, _remaining_column(F.col(text_col), one))
+        clean, new = F.col(f"{left}.stays"), F.col(f"{left}.text")
+    else:
+        found, again = fresh(docs, "found"), fresh(docs, "again")
+        rows = with_hits(docs, benchmark, found, window, block_bytes, text_col)
+        hit = F.size(f"{found}.words") > 0
+        rows = rows.withColumn(left, F.when(hit, _cut(F.col(text_col), F.col(f"{found}.chars"))))
+        rows = with_hits(rows, benchmark, again, window, block_bytes, left)  # null where nothing was cut
+        clean = ~hit | ((F.length(left) > 0) & (F.size(f"{again}.words") == 0))
+        new = F.coalesce(F.col(left), F.col(text_col))
+    return rows.filter(clean).withColumn(text_col, new).select(*[f"`{c}`" for c in before])

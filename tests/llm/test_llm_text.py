@@ -233,6 +233,7 @@ def test_removal_leaves_no_passage_and_no_clean_change(spark):
     out = decontamination.remove_contamination(docs, benchmark)
     assert out.columns == docs.columns
     got = out.collect()
+    assert sorted(map(str, got)) == sorted(map(str, decontamination.remove_contamination(docs, benchmark, block_bytes=300).collect()))
     assert all(brute_hits(r.text, items, 10)[1] == 0 for r in got)
     clean = [(d, t) for d, t in rows if not brute_hits(t, items, 10)[1]]
     changed = {501, 502, 503, 504, 505, 506, 507, 500, 600}
