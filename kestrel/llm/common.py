@@ -32,6 +32,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+ROWS_PER_BATCH = 2000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches() -> None:
+    """Let Python tasks get at most ``ROWS_PER_BATCH`` rows at once: whole texts are long."""
+    spark = SparkSession.getActiveSession()
+    now = int(spark.conf.get(_BATCH_CONF))
+    if now <= 0 or now > ROWS_PER_BATCH:
+        spark.conf.set(_BATCH_CONF, str(ROWS_PER_BATCH))
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder below the shared checkpoint folder."""
     return scratch_path(spark, f"{label}-{uuid.uuid4().hex}")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from kestrel.llm.common import fresh, materialize
+from kestrel.llm.common import bounded_batches, fresh, materialize
 
 SAMPLE = 16
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -236,6 +236,7 @@ def _search_column(text: Column, block) -> Column:
                              sorted(items)))
             yield pd.DataFrame(rows, columns=["n_words", "words", "chars", "items"])
 
+    bounded_batches()
     return of(text)
 
 
@@ -330,6 +331,7 @@ def _remaining_column(text: Column, block) -> Column:
             gone = {k for n, k in enumerate(hits) if n in again or not texts[k]}
             yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "stays": [k not in gone for k in range(len(texts))]})
 
+    bounded_batches()
     return of(text)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kestrel.llm.common import materialize
+from kestrel.llm.common import bounded_batches, materialize
 
 BLOCK, HALO = 256, 4
 SAME_PAGE = 0.95
@@ -290,6 +290,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages(page_id, url, html)``."""
+    bounded_batches()
     rows = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("key"))
     gone = materialize(find_deletions(rows), "deletions")
     same = rows["page_id"].eqNullSafe(gone["page_id"]) & (rows["key"] == gone["key"])

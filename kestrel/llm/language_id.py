@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from kestrel.llm.common import bounded_batches
+
 DIMENSIONS = 1024
 SEED = 7
 ROWS_AT_ONCE = 2048
@@ -143,6 +145,7 @@ def learn(docs: DataFrame, per_language: int = 4000, dimensions: int = DIMENSION
         for lang, total in sums.items():
             yield pd.DataFrame({"lang": lang, "dim": np.arange(dimensions), "total": total})
 
+    bounded_batches()
     sums = (rows.filter(part < share).select("lang", "text").mapInPandas(add_up, "lang string, dim int, total double")
             .groupBy("lang", "dim").agg(F.sum("total").alias("total")).toPandas())
     table = sums.pivot(index="lang", columns="dim", values="total").sort_index()
@@ -159,4 +162,5 @@ def identify(text: Column, profiles: Profiles) -> Column:
         for texts in batches:
             yield pd.DataFrame(profiles.predict(texts.tolist()), columns=["lang", "score"])
 
+    bounded_batches()
     return of(text)

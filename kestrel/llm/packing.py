@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import materialize
+from kestrel.llm.common import bounded_batches, materialize
 from kestrel.llm.tokens import encoded
 
 _PIECES = "doc_id {id}, rid long, piece int, start long, length long, ids_crc32 long"
@@ -83,6 +83,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: in
             rows = batch[["doc_id", "rid"]].iloc[doc].reset_index(drop=True)
             yield rows.assign(piece=piece, start=start, length=length, ids_crc32=crc)
 
+    bounded_batches()
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"),
                         F.col(text_col).alias("text"))

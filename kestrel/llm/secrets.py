@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from kestrel.llm.common import bounded_batches
+
 # Kind, pattern, group whose length counts, least length.
 BASE = (
     ("assign", re.compile(r"(?ia)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"),
@@ -416,4 +418,5 @@ def find_secrets(text: Column, field: Field) -> Column:
                     for base, every in scanner.scan(texts.tolist())]
             yield pd.DataFrame(rows, columns=_RESULT.names)
 
+    bounded_batches()
     return of(text)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kestrel.llm.common import materialize
+from kestrel.llm.common import bounded_batches, materialize
 from kestrel.llm.components import connected_components
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -68,6 +68,7 @@ def fingerprint(text: Column, shingle: int = 4) -> Column:
         for texts in batches:
             yield pd.Series(np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64))
 
+    bounded_batches()
     return of(text)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kestrel.llm.common import materialize
+from kestrel.llm.common import bounded_batches, materialize
 from kestrel.llm.tokens import encoded
 
 MAGIC = b"KTK1"
@@ -269,6 +269,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
         if held:
             yield row()
 
+    bounded_batches()
     order = ["doc_id", F.xxhash64("text")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())

@@ -18,7 +18,7 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 BPE_CACHE = 100_000
 LONGEST_KEPT = 48
 # White space beside blank and line feed, on some of which libraries differ: such a text is encoded uncut.

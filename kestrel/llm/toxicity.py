@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from kestrel.llm.common import materialize
+from kestrel.llm.common import bounded_batches, materialize
 from kestrel.llm.decontamination import words_of
 
 # Terms that only name a group, by kind; a swap stays within a kind and language.
@@ -162,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 6000, identity=ID
     wanted = F.when(F.col("label") == 1, per_label / counts.get(1, 1)).otherwise(per_label / counts.get(0, 1))
     sample = known.filter(part < wanted)  # about 2 * per_label rows at most
     swap = swaps(identity)
+    bounded_batches()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -219,4 +220,5 @@ def score(text: Column, model: Model) -> Column:
             odds = [model.intercept + math.fsum(map(evidence.__getitem__, set(words_of(t)))) for t in texts]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(odds, np.float64), -700, 700))))
 
+    bounded_batches()
     return of(text)
