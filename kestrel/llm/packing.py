@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import bounded_batches, materialize
-from kestrel.llm.tokens import encoded
+from kestrel.llm.tokens import Encoder, encoded
 
 _PIECES = "doc_id {id}, rid long, piece int, start long, length long, ids_crc32 long"
 
@@ -68,9 +68,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: in
     """One row per piece: doc_id, rid, piece, start, length, ids_crc32 (unsigned, little-endian 32-bit ids)."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(tokenizer)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for k, ids in enumerate(encoded(batch["text"], tokenizer)):
+            for k, ids in enumerate(encoded(batch["text"], encoder)):
                 data = memoryview(np.append(ids, np.uint32(end_id)).astype("<u4")).cast("B")
                 at = 0
                 for p, n in enumerate(cut_lengths(len(ids) + 1, capacity)):

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kestrel.llm.common import bounded_batches, materialize
-from kestrel.llm.tokens import encoded
+from kestrel.llm.tokens import Encoder, encoded
 
 MAGIC = b"KTK1"
 _HEAD = struct.Struct("<4sIIQII")
@@ -256,9 +256,9 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
         def row() -> pd.DataFrame:
             return pd.DataFrame({"part": [part], "block": [number], "n_ids": [size], "data": [write_block(held, vocabulary)]})
 
-        part = 0
+        part, encoder = 0, Encoder(tokenizer)
         for batch in batches:
-            for doc, slice_no, ids in zip(batch["doc_id"].astype(object), batch["part"], encoded(batch["text"], tokenizer),
+            for doc, slice_no, ids in zip(batch["doc_id"].astype(object), batch["part"], encoded(batch["text"], encoder),
                                           strict=True):
                 part = int(slice_no)
                 held.append((None if pd.isna(doc) else int(doc), np.append(ids, np.uint32(end_id))))

@@ -3,7 +3,7 @@
 A text is cut before every single space between two non-space characters: for
 a byte-level BPE no pre-token crosses such a cut, so the ids of the pieces
 joined are the ids of the text. Pieces recur, so each task keeps their ids in
-a bounded table; the BPE of a new piece is the tokenizers library's.
+a bounded table, which ends with the task; the BPE of a new piece is the tokenizers library's.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-KEPT_PIECES = 200_000
-BPE_CACHE = 100_000
+KEPT_PIECES = 150_000
+BPE_CACHE = 30_000
 LONGEST_KEPT = 48
 # White space beside blank and line feed, on some of which libraries differ: such a text is encoded uncut.
 _RARE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e]")
@@ -38,11 +37,6 @@ _LETTERS = _byte_letters()
 _ID_BYTES = [i.to_bytes(4, "little") for i in range(1 << 16)]  # a vocabulary of at most 65,536 ids
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 class _Pieces(dict):
     """word -> ids, as bytes, of a blank and the word; filled on demand."""
 
@@ -95,7 +89,6 @@ class Encoder:
         return np.frombuffer(first + b"".join(map(self._kept.__getitem__, rest)), np.uint32)
 
 
-def encoded(texts: Iterable[str | None], path: str) -> Iterator[np.ndarray]:
+def encoded(texts: Iterable[str | None], encoder: Encoder) -> Iterator[np.ndarray]:
     """Ids of each text (null: empty) in order."""
-    enc = encoder(path)
-    return (enc.encode(t or "") for t in texts)
+    return (encoder.encode(t or "") for t in texts)

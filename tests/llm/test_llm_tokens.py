@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from kestrel.llm import packing, token_files
 from kestrel.llm.queries import VOCABULARY, llm_queries, tokenizer_path
-from kestrel.llm.tokens import encoder
+from kestrel.llm.tokens import Encoder
 
 
 def library_ids(text):
@@ -24,7 +24,7 @@ ODD_TEXTS = ["", " ", "  a  b ", "a\n b\tc  \n\n d", "it's  <|endoftext|> x", "
 
 @pytest.mark.parametrize("text", ODD_TEXTS)
 def test_pieces_encode_like_the_library(text):
-    assert encoder(tokenizer_path()).encode(text).tolist() == library_ids(text)
+    assert Encoder(tokenizer_path()).encode(text).tolist() == library_ids(text)
 
 
 @pytest.mark.parametrize("n,vocabulary", [(0, 5), (1, 5), (5, 3), (255, 2), (256, 3), (257, 7), (1000, 50257), (5000, 4), (40_000, 300)])
