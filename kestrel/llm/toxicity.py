@@ -170,16 +170,19 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 6000, identity=ID
             other = [{swap.get(w, w) for w in ws} if not swap.keys().isdisjoint(ws) else None for ws in words]
             own = [features(ws) for ws in words]
             yield pd.DataFrame({
+                "doc_id": batch["doc_id"].to_numpy(),
                 "label": batch["label"].to_numpy(),
                 "least": [str(sorted(set(f))[:6]) for f in own],
                 "own": pd.Series(own, dtype=object),
                 "other": pd.Series([features(ws) if ws is not None else None for ws in other], dtype=object),
             })
 
-    # Texts with the same smallest hashes are (near) copies and count once, or their chance words would look telling.
+    # Texts with the same smallest hashes are (near) copies; the one with the smallest doc_id (as text) counts, or their chance
+    # words would look telling.
     rows = materialize(
-        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-        .mapInPandas(read, "label int, least string, own array<long>, other array<long>").dropDuplicates(["least"]),
+        docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(sample.withColumn("doc_id", F.col("doc_id").cast("string"))), "doc_id").select("doc_id", "text", "label")
+        .mapInPandas(read, "doc_id string, label int, least string, own array<long>, other array<long>")
+        .groupBy("least").agg(F.min(F.struct("doc_id", "label", "own", "other")).alias("one")).select("one.*"),
         "toxicity-sample")
     kept = np.array(sorted(r.h for r in _telling(rows).collect()), np.int64)
 
@@ -189,8 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 6000, identity=ID
                 batch[name] = pd.Series([None if r is None else r[np.isin(r, kept)] for r in batch[name]], dtype=object)
             yield batch
 
-    few = rows.select("label", "own", "other").mapInPandas(
-        narrow, "label int, own array<long>, other array<long>").toPandas()
+    few = rows.mapInPandas(narrow, "doc_id string, label int, own array<long>, other array<long>").toPandas()
+    few = few.sort_values(["doc_id", "label"], kind="stable")  # the same sums whatever the order of partitions
     return fit([np.asarray(r, np.int64) for r in few["own"]],
                [None if r is None else np.asarray(r, np.int64) for r in few["other"]],
                few["label"].to_numpy(), fairness=fairness)
