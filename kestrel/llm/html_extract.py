@@ -8,15 +8,26 @@
    an article stays (it holds the headline). If a page has article (else main)
    elements, only their lines are candidates, else all lines are.
 2. Pages of a host are put in order of their URL path, and every page is paired
-   with the nearest page on either side that is not (nearly) a copy of it.
+   with the nearest page on either side that is not (nearly) a copy of it,
+   however far away. Nearly a copy: the shared lines hold at least 0.95 of the
+   characters of the smaller page. A page next to a copy of it goes on from
+   where that copy's search ended, so a run of copies costs one comparison each.
+   If a page has no such partner on either side of the whole host, pages of
+   another path count that are nearly copies but, like it, hold a line whose
+   words are not those of a line of the other: short texts in a long template.
 3. The lines of a pair are aligned by longest common subsequence, and lines that
    they share are deleted: template text. Inside an explicit article a shared
    line goes only if both partners share it and it is no heading and no prose
    (fewer than 8 words, no sentence end), as passages recur between articles.
-
-Only hashes of lines are put in order and paired, dealt in blocks of
-consecutive pages, each with a few pages of the next blocks on either side; so a
-host of any size spreads over all tasks. The deletions (page key and line
+   With partners that are nearly copies, a line goes only if all of them share it.
+
+Only hashes of lines are put in order and compared, in blocks of consecutive
+pages. A search that comes to the edge of its block goes on among the ends of
+blocks: of every block its first and last page with the partners of these, 64
+blocks in a block of the next level, until one block is left. So a host of any
+size spreads over all tasks. A partner that shares no line is passed over inside
+a block; beyond its edge the partner of the block's outermost page is taken.
+The deletions (page key and line
 numbers) are joined back to the pages; the planner broadcasts them when small.
 A page row is known by page_id and a hash of url and html, so null or repeated
 ids do no harm and repeated rows get the same text. Null or empty html gives an
@@ -26,13 +37,15 @@ empty text; a null url belongs to the host without name.
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
+import zlib
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,7 +54,7 @@ from pyspark.sql.window import Window
 
 from kestrel.llm.common import bounded_batches, materialize
 
-BLOCK, HALO = 256, 4
+BLOCK, ENDS = 256, 64  # pages of a block; blocks of which the ends make a block of the next level
 SAME_PAGE = 0.95
 PLAIN, INNER, FIRM = 0, 1, 2  # candidate line; short one in an article; heading or prose in an article
 
@@ -49,6 +62,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
     re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_WORD = re.compile(r"[^\W\d_]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template svg math iframe object canvas textarea title xmp audio video".split())
 _CLOSED_BY_NEXT = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -201,30 +215,99 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def deletions(pages: list[tuple[str, list[int], list[int], list[int]]], first: int, last: int) -> Iterator[tuple[int, list[int]]]:
-    """Lines to delete of pages ``first`` to ``last`` - 1 of an ordered run.
+COPY, SIMILAR, OTHER, APART = range(4)  # (nearly) the same; that, but with own text; sharing lines; sharing none
 
-    A page: host, line hashes, line lengths, kinds."""
-    for i in range(first, last):
-        host, own, length, kind = pages[i]
-        if not own:
-            continue
-        found: list[set[int]] = []
-        for step in (-1, 1):
-            for k in range(1, HALO + 1):
-                j = i + step * k
-                if not 0 <= j < len(pages) or pages[j][0] != host:
-                    break
-                shared = common_lines(own, pages[j][1])
-                weight = sum(length[x] for x in shared)
-                if weight < SAME_PAGE * min(sum(length), sum(pages[j][2])) or not weight:
-                    found.append(set(shared))
-                    break
-        if found:
-            both = set.intersection(*found) if len(found) == 2 else set()
-            gone = [x for x in sorted(set.union(*found)) if kind[x] == PLAIN or kind[x] == INNER and x in both]
-            if gone:
-                yield i, gone
+
+@dataclass
+class Page:
+    host: str
+    path: str
+    lines: list[int]
+    sizes: list[int]
+    kinds: list[int]
+    words: list[tuple[int, ...]]  # smallest word hashes of each line
+
+    def __post_init__(self):
+        self.known, self.total = frozenset(self.lines), sum(self.sizes)
+
+
+def line_words(text: str) -> tuple[int, ...]:
+    """The 4 smallest hashes of the words of a line; digits do not count."""
+    return tuple(sorted({zlib.crc32(w.encode()) for w in _WORD.findall(text.lower())})[:4])
+
+
+def _own_text(a: list[tuple[int, ...]], b: list[tuple[int, ...]]) -> bool:
+    """Whether a line of ``a`` has other words than every line of ``b``."""
+    return any(x and all(y and 2 * len({*x} & {*y}) < min(len(x), len(y)) for y in b) for x in a)
+
+
+def compare(a: Page, b: Page) -> tuple[int, list[int]]:
+    """How ``b`` relates to ``a``, and the places of shared lines in ``a``."""
+    if a.lines == b.lines:
+        return COPY, []
+    if a.known.isdisjoint(b.known):
+        return APART, []
+    shared = common_lines(a.lines, b.lines)
+    if sum(a.sizes[x] for x in shared) < SAME_PAGE * min(a.total, b.total):
+        return OTHER, shared
+    if a.path != b.path:
+        places, left = set(shared), Counter(a.lines[x] for x in shared)
+        mine = [w for x, w in enumerate(a.words) if x not in places]
+        theirs = []
+        for h, w in zip(b.lines, b.words, strict=True):
+            if left[h]:
+                left[h] -= 1
+            else:
+                theirs.append(w)
+        if mine and theirs and _own_text(mine, theirs) and _own_text(theirs, mine):
+            return SIMILAR, shared
+    return COPY, shared
+
+
+def partners(pages: list[Page], step: int) -> list[tuple[int | None, int | None, bool]]:
+    """For each page of an ordered run, going by ``step``: the nearest page that is no near copy, the nearest similar
+    one before it, and whether the search came to the edge of the run."""
+    out: list[tuple[int | None, int | None, bool]] = [(None, None, False)] * len(pages)
+    for i in range(len(pages)) if step < 0 else range(len(pages) - 1, -1, -1):
+        other = similar = None
+        j, edge = i + step, False
+        while True:
+            if not 0 <= j < len(pages):
+                edge = True
+                break
+            if pages[j].host != pages[i].host:
+                break
+            relation = compare(pages[i], pages[j])[0]
+            if relation == OTHER:
+                other = j
+                break
+            if relation == APART:
+                j += step
+                continue
+            if similar is None and relation == SIMILAR:
+                similar = j
+            beyond, alike, edge = out[j]
+            if similar is None and alike is not None and compare(pages[i], pages[alike])[0] == SIMILAR:
+                similar = alike
+            if beyond is None:
+                break
+            j, edge = beyond, False
+        out[i] = other, similar, edge
+    return out
+
+
+def gone_lines(page: Page, found: list[Page]) -> list[int]:
+    """Lines that go, of a page with its partners (other or similar pages)."""
+    pairs = [compare(page, f) for f in found]
+    sets = [set(shared) for relation, shared in pairs if relation == OTHER]
+    if sets:
+        both = set.intersection(*sets) if len(sets) == 2 else set()
+        some = set.union(*sets)
+    else:
+        sets = [set(shared) for relation, shared in pairs if relation == SIMILAR]
+        some = set.intersection(*sets) if sets else set()
+        both = some if len(sets) == 2 else set()
+    return [x for x in sorted(some) if page.kinds[x] == PLAIN or page.kinds[x] == INNER and x in both]
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -240,42 +323,137 @@ def _outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for url, page in zip(batch["url"], batch["html"], strict=True):
-            lines = page_lines(page)
-            rows.append((*url_key(url), [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines],
-                         [len(t) for t, _ in lines], [k for _, k in lines]))
+            lines, (host, path) = page_lines(page), url_key(url)
+            rows.append((host, path, pickle.dumps((
+                host, path, [xxhash.xxh64_intdigest(t) for t, _ in lines], [len(t) for t, _ in lines],
+                [k for _, k in lines], [line_words(t) for t, _ in lines])) if lines else None))
         yield pd.concat([batch[["page_id", "key"]].reset_index(drop=True),
-                         pd.DataFrame(rows, columns=["host", "path", "lines", "sizes", "kinds"])], axis=1)
-
-
-def _block_deletions(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("pos")
-    pages = [(h, a.tolist(), b.tolist(), c.tolist()) for h, a, b, c in
-             zip(rows["host"], rows["lines"], rows["sizes"], rows["kinds"], strict=True)]
-    own = np.flatnonzero((rows["pos"] // BLOCK == rows["block"]).to_numpy())
-    found = list(deletions(pages, int(own[0]), int(own[-1]) + 1)) if len(own) else []
-    out = rows.iloc[[i for i, _ in found]][["page_id", "key"]]
-    return out.assign(gone=pd.Series([g for _, g in found], index=out.index, dtype=object))
+                         pd.DataFrame(rows, columns=["host", "path", "page"])], axis=1)
+
+
+def _read(packed: bytes) -> Page:
+    return Page(*pickle.loads(packed))
+
+
+def _ends(pages: list[Page], left: list[tuple], right: list[tuple]) -> list[int]:
+    """Places of the first and the last page and of the partners that these have inside the run."""
+    return sorted({0, len(pages) - 1, *(x for x in (*right[0][:2], *left[-1][:2]) if x is not None)})
+
+
+# Of a block: rows to keep as its ends (role ``end``), and what a search found (role ``found``; open: it goes on beyond the block).
+_FOUND = ("role string, block long, part long, side int, pos long, page binary, other binary, similar binary, open boolean")
+
+
+def _first_level(kind: str):
+    """Schema and function: the deletions of a block's pages, the searches that leave it, and its ends."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos").reset_index(drop=True)
+        packed = rows["page"].tolist()
+        pages = [_read(p) for p in packed]
+        left, right = partners(pages, -1), partners(pages, 1)
+        out = []
+        for i, page in enumerate(pages):
+            own = [(side, x) for side in (left[i], right[i]) for x in side[:2] if x is not None]
+            if left[i][2] or right[i][2]:
+                out.append(("page", i, None, packed[i], pickle.dumps([packed[x] for _, x in own]), left[i][2], right[i][2]))
+            elif gone := gone_lines(page, [pages[x] for _, x in own]):
+                out.append(("gone", i, gone, None, None, False, False))
+        out += [("end", i, None, packed[i], None, False, False) for i in _ends(pages, left, right)]
+        names = ["role", "row", "gone", "page", "near", "to_left", "to_right"]
+        got = pd.DataFrame(out, columns=names)
+        got["gone"] = got["gone"].astype(object)
+        return pd.concat([rows.loc[got["row"], ["page_id", "key", "block", "pos"]].reset_index(drop=True),
+                          got.drop(columns="row")], axis=1)[_names(schema)]
+
+    schema = (f"role string, page_id {kind}, key long, block long, pos long, gone array<int>, page binary, near binary, "
+              "to_left boolean, to_right boolean")
+    return run, schema
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _next_level(rows: pd.DataFrame) -> pd.DataFrame:
+    """Ends of ``ENDS`` blocks (``part``): what the first page of each finds to the left and the last to the right."""
+    rows = rows.sort_values(["part", "pos"])
+    block, parts, packed, pos = int(rows["block"].iloc[0]), rows["part"].tolist(), rows["page"].tolist(), rows["pos"].tolist()
+    pages = [_read(p) for p in packed]
+    left, right = partners(pages, -1), partners(pages, 1)
+    out = []
+    for i, part in enumerate(parts):
+        for side, found, outer in ((-1, left, i - 1), (1, right, i + 1)):
+            if not 0 <= outer < len(parts) or parts[outer] != part:
+                other, similar, edge = found[i]
+                out.append(("found", block, part, side, pos[i], None, None if other is None else packed[other],
+                            None if similar is None else packed[similar], edge))
+    out += [("end", block, part, 0, pos[i], packed[i], None, None, False)
+            for i in _ends(pages, left, right) for part in (parts[i],)]
+    return pd.DataFrame(out, columns=_names(_FOUND))
+
+
+def _gone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Deletions of pages whose search left their block."""
+    for batch in batches:
+        gone = []
+        for page, near, *far in zip(*(batch[c] for c in ("page", "near", "other_l", "similar_l", "other_r", "similar_r")), strict=True):
+            found = [_read(p) for p in (*pickle.loads(near), *far) if p is not None]
+            gone.append(gone_lines(_read(page), found))
+        yield batch[["page_id", "key"]].assign(gone=pd.Series(gone, index=batch.index, dtype=object))
+
+
+def _far_partners(ends: DataFrame, blocks: int) -> DataFrame:
+    """part (block of the first level), side, other, similar: partners beyond the edges of the blocks."""
+    levels = []
+    while True:
+        blocks = -(-blocks // ENDS)
+        level = materialize(ends.withColumn("block", F.floor(F.col("part") / ENDS)).groupBy("block").applyInPandas(
+            _next_level, _FOUND), "block-ends")
+        levels.append(level.filter("role = 'found'").select("block", "part", "side", "other", "similar", "open"))
+        if blocks <= 1:
+            break
+        ends = level.filter("role = 'end'").select(F.col("block").alias("part"), "pos", "page")
+    found = levels.pop()
+    while levels:
+        up = found.select(F.col("part").alias("up_part"), F.col("side").alias("up_side"), F.col("other").alias("up_other"),
+                          F.col("similar").alias("up_similar"))
+        low = levels.pop()
+        same = F.col("open") & (F.col("block") == F.col("up_part")) & (F.col("side") == F.col("up_side"))
+        found = low.join(up, same, "left").select("part", "side", F.coalesce("other", "up_other").alias("other"),
+                                                  F.coalesce("similar", "up_similar").alias("similar"))
+    return found.select("part", "side", "other", "similar")
 
 
 def find_deletions(rows: DataFrame) -> DataFrame:
     """page_id, key, gone (line numbers) of the pages of which shared lines go."""
     kind = rows.schema["page_id"].dataType.simpleString()
     order = ["host", "path", "page_id", "key"]
-    outline = rows.mapInPandas(_outline, f"page_id {kind}, key long, host string, path string, lines array<long>, "
-                                         "sizes array<int>, kinds array<int>").dropDuplicates(["page_id", "key"])
+    outline = rows.mapInPandas(_outline, f"page_id {kind}, key long, host string, path string, page binary").filter(
+        "page IS NOT NULL").dropDuplicates(["page_id", "key"])
     placed = materialize(
         outline.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("slice", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()), "page-order")
     # One row per slice, that is at most spark.sql.shuffle.partitions rows.
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = placed.groupBy("slice").agg(F.count("*").alias("n"), F.min("nth").alias("least")).select(
-        "slice", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    placed = placed.join(F.broadcast(materialize(slices, "page-slices")), "slice").withColumn(
-        "pos", F.col("before") + F.col("nth") - F.col("least"))
-    block = F.floor(F.col("pos") / BLOCK)
-    blocks = F.array_distinct(F.array(block, F.floor((F.col("pos") - HALO) / BLOCK), F.floor((F.col("pos") + HALO) / BLOCK)))
-    return (placed.select("page_id", "key", "host", "pos", "lines", "sizes", "kinds", F.explode(blocks).alias("block"))
-            .groupBy("block").applyInPandas(_block_deletions, f"page_id {kind}, key long, gone array<int>"))
+    slices = materialize(placed.groupBy("slice").agg(F.count("*").alias("n"), F.min("nth").alias("least")).select(
+        "slice", "least", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "page-slices")
+    blocks = -(-(slices.agg(F.sum("n")).first()[0] or 0) // BLOCK)
+    placed = placed.join(F.broadcast(slices), "slice").withColumn("pos", F.col("before") + F.col("nth") - F.col("least"))
+    run, schema = _first_level(kind)
+    near = materialize(placed.select("page_id", "key", "pos", "page", F.floor(F.col("pos") / BLOCK).alias("block"))
+                       .groupBy("block").applyInPandas(run, schema), "block-partners")
+    gone = near.filter("role = 'gone'").select("page_id", "key", "gone")
+    far = _far_partners(near.filter("role = 'end'").select(F.col("block").alias("part"), "pos", "page"), blocks)
+    far = materialize(far, "far-partners")
+    left, right = (far.filter(F.col("side") == side).select(F.col("part").alias(f"part_{n}"), F.col("other").alias(f"other_{n}"),
+                                                            F.col("similar").alias(f"similar_{n}"))
+                   for side, n in ((-1, "l"), (1, "r")))
+    at_edge = near.filter("role = 'page'")
+    at_edge = at_edge.join(left, F.col("to_left") & (F.col("block") == F.col("part_l")), "left").join(
+        right, F.col("to_right") & (F.col("block") == F.col("part_r")), "left")
+    return gone.unionByName(
+        at_edge.select("page_id", "key", "page", "near", "other_l", "similar_l", "other_r", "similar_r")
+        .mapInPandas(_gone, f"page_id {kind}, key long, gone array<int>").filter(F.size("gone") > 0))
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

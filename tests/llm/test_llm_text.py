@@ -312,3 +312,36 @@ def test_main_text_query_reads_whole_table(spark, tmp_path):
     folder = f"file://{tmp_path}"
     write_tables(spark, folder, docs_frame(spark, []), pages=PAGES)
     assert llm_queries()["op3_html_extraction"](spark, folder).count() == len(PAGES)
+
+
+def long_template(body):
+    menu = "".join(f"<p>Section {fold(prose(3, 40 + i))} of the site</p>" for i in range(60))
+    return f"<html><body><div>{menu}</div>{body}<p>All rights reserved by Acme</p></body></html>"
+
+
+@pytest.mark.parametrize("block, ends", [(256, 64), (4, 2)])
+def test_partner_beyond_a_run_of_near_copies(spark, monkeypatch, block, ends):
+    monkeypatch.setattr(html_extract, "BLOCK", block)
+    monkeypatch.setattr(html_extract, "ENDS", ends, raising=False)
+    story = "".join(f"<p>Long story, paragraph {i}: {prose(30, 500 + i)}.</p>" for i in range(8))
+    pages = [(0, "http://run.example/a", template("<p>First of all.</p>")), (90, "http://run.example/z", template("<p>Last of all.</p>"))]
+    pages += [(i, f"http://run.example/m?view={i}", template(f"{story}<p>Seen {i} times</p>")) for i in range(1, 21)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == "First of all." and got[90] == "Last of all."
+    for i in range(1, 21):
+        assert got[i].startswith("Long story, paragraph 0") and got[i].endswith(f"Seen {i} times") and "Acme" not in got[i]
+        assert got[i].count("\n") == 8
+
+
+@pytest.mark.parametrize("block, ends", [(256, 64), (4, 2)])
+def test_short_articles_in_a_long_template(spark, monkeypatch, block, ends):
+    monkeypatch.setattr(html_extract, "BLOCK", block)
+    monkeypatch.setattr(html_extract, "ENDS", ends, raising=False)
+    word = [f"{a}{b}" for a in "abcdef" for b in "vwxyz"]
+    text = {i: " ".join(f"{word[i]}{c}" for c in ("one", "two", "three", "four")) for i in range(30)}
+    pages = [(i, f"http://short.example/n/{i:02}", long_template(f"<p>{t}</p>")) for i, t in text.items()]
+    # Copies of one text under other addresses, differing in a number, keep it.
+    pages += [(100 + i, f"http://same.example/n/{i:02}", long_template(f"<p>The one text of all.</p><p>Seen {i} times</p>")) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in text} == text
+    assert all("The one text of all." in got[100 + i] for i in range(6))
