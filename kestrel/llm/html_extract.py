@@ -3,9 +3,13 @@
 1. Each page is read into lines: a line is the text of a block (inline tags
    join, ``br`` and block tags separate), with character references decoded and
    white space made single. Scripts, styles, comments, forms, navigation,
-   headers, footers, sidebars, hidden parts and elements whose class, id or
-   role says notice, advert, comment and the like give no lines; a header inside
-   an article stays (it holds the headline). If a page has article (else main)
+   headers, footers, sidebars, hidden parts and elements whose role or a whole
+   class (outside of articles also id) says notice, advert, comment and the like
+   give no lines; ``cookie-notice`` is such a class, as all its parts are such
+   words. Where only a part is (``ad-hoc``, ``search-algorithms``), or the id of
+   an element inside an article, page differencing decides as for a page without
+   article; on headings, paragraphs and inline elements it says nothing. A header
+   inside an article stays (it holds the headline). If a page has article (else main)
    elements, only their lines are candidates, else all lines are.
 2. Pages of a host are put in order of their URL path, and every page is paired
    with the nearest page on either side that is not (nearly) a copy of it,
@@ -56,7 +60,7 @@ from kestrel.llm.common import bounded_batches, materialize
 
 BLOCK, ENDS = 256, 64  # pages of a block; blocks of which the ends make a block of the next level
 SAME_PAGE = 0.95
-PLAIN, INNER, FIRM = 0, 1, 2  # candidate line; short one in an article; heading or prose in an article
+PLAIN, INNER, FIRM = 0, 1, 2  # candidate line, or one of a doubtful element; short one in an article; heading or prose in an article
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
@@ -89,21 +93,31 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
-def _is_frame(name: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is no part of the article, whatever it holds."""
+STAYS, DOUBTFUL, FRAME = range(3)
+
+
+def _standing(name: str, attributes: dict[str, str], inside: bool) -> int:
+    """Whether an element is no part of the article, whatever it holds (FRAME), or page differencing decides (DOUBTFUL)."""
     if name in _FRAME or name == "header" and not inside:
-        return True
+        return FRAME
     if name in ("html", "body"):
-        return False
+        return STAYS
     if ("hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
             or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I)
             or attributes.get("role", "").lower() in _ROLES):
-        return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+        return FRAME
+    classes, ids = attributes.get("class", "").lower().split(), attributes.get("id", "").lower().split()
     if name in ("article", "main"):
-        return not _MARKS.isdisjoint(names)
-    parts = {p for n in names for p in re.split(r"[-_]+", n)} | set(names)
-    return not _MARKS.isdisjoint(parts) or not inside and not _HEADER_MARKS.isdisjoint(parts)
+        return STAYS if _MARKS.isdisjoint(classes + ids) else FRAME
+    text = name in _HEADINGS or name == "p" or name in _INLINE
+    parts = {n: {p for p in re.split(r"[-_]+", n) if p} for n in (classes if text else classes + ids)}
+    if any(parts[n] and parts[n] <= _MARKS for n in (classes if text or inside else parts)):
+        return FRAME
+    if text:
+        return STAYS
+    if not inside and any(not p.isdisjoint(_HEADER_MARKS) for p in parts.values()):
+        return FRAME
+    return DOUBTFUL if any(not p.isdisjoint(_MARKS) for p in parts.values()) else STAYS
 
 
 def page_lines(page: str | None) -> list[Line]:
@@ -111,16 +125,17 @@ def page_lines(page: str | None) -> list[Line]:
     page = page or ""
     open_names: list[str] = []
     frames: list[int] = []      # depths at which a frame element opened
+    doubtful: list[int] = []    # depths at which a doubtful element opened
     regions: dict[str, list[int]] = {"article": [], "main": []}
     parts: list[str] = []
-    every: list[tuple[str, bool, bool, bool]] = []  # text, in article, in main, heading
+    every: list[tuple[str, bool, bool, bool, bool]] = []  # text, in article, in main, doubtful, heading
 
     def end_line() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                every.append((text, bool(regions["article"]), bool(regions["main"]),
+                every.append((text, bool(regions["article"]), bool(regions["main"]), bool(doubtful),
                               any(n in _HEADINGS for n in open_names[-4:])))
 
     def close(depth: int) -> None:
@@ -132,6 +147,8 @@ def page_lines(page: str | None) -> list[Line]:
             at = len(open_names)
             if frames and frames[-1] == at:
                 frames.pop()
+            if doubtful and doubtful[-1] == at:
+                doubtful.pop()
             if name in regions and regions[name] and regions[name][-1] == at:
                 regions[name].pop()
 
@@ -172,9 +189,9 @@ def page_lines(page: str | None) -> list[Line]:
             continue
         inside = bool(regions["article"] or regions["main"])
         attributes = _attributes(text) if len(text) > 1 else {}
-        if not frames and _is_frame(name, attributes, inside):
+        if not frames and (standing := _standing(name, attributes, inside)) != STAYS:
             end_line()
-            frames.append(len(open_names))
+            (frames if standing == FRAME else doubtful).append(len(open_names))
         if not frames:
             if name in regions:
                 regions[name].append(len(open_names))
@@ -184,7 +201,8 @@ def page_lines(page: str | None) -> list[Line]:
     end_line()
     for k in (1, 2):  # article elements, else main
         if any(line[k] for line in every):
-            return [(t, FIRM if heading or _is_prose(t) else INNER) for t, *where, heading in every if where[k - 1]]
+            return [(t, PLAIN if doubt else FIRM if heading or _is_prose(t) else INNER)
+                    for t, *where, doubt, heading in every if where[k - 1]]
     return [(t, PLAIN) for t, *_ in every]
 
 

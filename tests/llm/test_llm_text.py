@@ -345,3 +345,18 @@ def test_short_articles_in_a_long_template(spark, monkeypatch, block, ends):
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert {i: got[i] for i in text} == text
     assert all("The one text of all." in got[100 + i] for i in range(6))
+
+
+def test_marks_drop_no_article_text(spark):
+    def page(i):
+        return (f'<article><h1 id="social">Title {i}</h1><h2 id="related-work">Related work {i}</h2><p class="ad-hoc">An ad hoc text {i}.</p>'
+                f'<section id="search-algorithms"><h3 id="skip-lists">Skip lists {i}</h3><p id="notice">Text of lists {i}.</p>'
+                f'<p>See <span id="share" class="menu-item">item {i}</span></p></section><div id="comment">Remark {i}</div>'
+                '<div class="ad-slot">Buy now</div><div class="ad">Advert</div><div class="cookie-notice">Cookies</div></article>')
+
+    pages = [(i, f"http://marks.example/{i}", page(i)) for i in range(4)]
+    pages += [(10 + i, f"http://bare.example/{i}", page(i).replace("article", "div")) for i in range(4)]
+    for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        i = r.page_id % 10
+        lines = [f"Title {i}", f"Related work {i}", f"An ad hoc text {i}.", f"Skip lists {i}", f"Text of lists {i}.", f"See item {i}"]
+        assert r.text.split("\n") == lines + ([f"Remark {i}"] if r.page_id < 10 else []), r.page_id
