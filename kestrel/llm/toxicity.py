@@ -9,8 +9,11 @@ penalised, so that the mere mention of a group cannot carry a verdict.
 Training data is a bounded sample of labelled rows, chosen by a hash of the
 doc_id (at most about ``per_label`` rows of either label; more changes little,
 as the terms recur). Feature counts of the sample are a Spark aggregation; only
-its telling features (see ``_telling``) reach the driver. The intercept is set
-for equally many texts of either label (``share``). Scoring is a column over all texts:
+its telling features (see ``_telling``) reach the driver; the fewer rows a
+feature is in, the larger its penalty (one row alone teaches nothing). The
+intercept is set for equally many texts of either label (``share``) as far as
+the model tells the training rows apart (less for very few rows); the rest is the share of toxic labels
+(at most 0.45), which is also the score where nothing is telling. Scoring is a column over all texts:
 no shuffle, and memory bounded by the model and a table of recent words. Null
 and empty texts get the score of no evidence. Without labels of both kinds
 the model scores what there is (0 without any label).
@@ -67,6 +70,9 @@ def features(words: set[bytes]) -> list[int]:
     return [h for w in words for h in features_of(w)]
 
 
+MOST_UNKNOWN = 0.45  # largest score where nothing is known of a text
+
+
 @dataclass
 class Model:
     intercept: float = 0.0
@@ -108,17 +114,22 @@ class _Rows:
 
 
 def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, share: float = 0.5,
-        fairness: float = 10.0, sparsity: float = 1e-5, rounds: int = 800) -> Model:
+        fairness: float = 10.0, sparsity: float = 1e-5, rounds: int = 800, known: float | None = None) -> Model:
     """Sparse logistic regression; ``swapped`` has the counterfactual of a row or None.
 
     Accelerated proximal gradient on mean log-loss + fairness * mean squared
-    change under a swap + sparsity * sum of absolute weights. The intercept is
-    set for ``share`` toxic texts."""
+    change under a swap + a sum of absolute weights, each times sparsity or, if
+    larger, 2 / its number of rows / the number of all rows. The intercept is
+    set for ``share`` toxic texts; ``known`` is the share in all labels."""
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         only = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-6), 1 - 1e-6)
         return Model(math.log(only / (1 - only)))
+    known = min(float(labels.mean()) if known is None else known, MOST_UNKNOWN)
+    unknown = math.log(known / (1 - known))
     columns = np.unique(np.concatenate(rows))
+    if not len(columns):
+        return Model(unknown)
     x = _Rows(rows, columns)
     paired = [(a, b) for a, b in zip(rows, swapped, strict=True) if b is not None]
     change = _Rows([np.concatenate(p) for p in paired], columns,
@@ -132,6 +143,8 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nda
         v = u / max(curve, 1e-12)
         v /= max(float(np.linalg.norm(v)), 1e-12)
     step = 1 / (1.1 * curve + 0.5)
+    seen = np.unique(x.row * np.int64(x.width) + x.at) % x.width  # a row counts once
+    penalty = np.maximum(sparsity, 2 / np.maximum(np.bincount(seen, minlength=x.width), 1) / n)
     w = ahead = np.zeros(len(columns))
     b = b_ahead = math.log(labels.mean() / (1 - labels.mean()))
     t = 1.0
@@ -139,12 +152,17 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nda
         error = 1 / (1 + np.exp(-np.clip(x.times(ahead) + b_ahead, -30, 30))) - labels
         slope = x.back(error) / n + 2 * fairness * change.back(change.times(ahead)) / m
         new = ahead - step * slope
-        new = np.sign(new) * np.maximum(np.abs(new) - step * sparsity, 0)
+        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         b_new = b_ahead - step * error.mean()
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead, b_ahead = new + (t - 1) / t_new * (new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = new, b_new, t_new
     b += math.log(share / (1 - share)) - math.log(labels.mean() / (1 - labels.mean()))
+    called = x.times(w) + b >= math.log(share / (1 - share))
+    apart = max(0.0, float(called[labels == 1].mean() - called[labels == 0].mean()))
+    fewer = min(labels.sum(), n - labels.sum())
+    apart *= fewer / (fewer + 2)  # a few rows are told apart by chance words too
+    b = apart * b + (1 - apart) * unknown
     return Model(float(b), {int(h): float(x) for h, x in zip(columns, w, strict=True) if x})
 
 
@@ -196,21 +214,26 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 6000, identity=ID
     few = few.sort_values(["doc_id", "label"], kind="stable")  # the same sums whatever the order of partitions
     return fit([np.asarray(r, np.int64) for r in few["own"]],
                [None if r is None else np.asarray(r, np.int64) for r in few["other"]],
-               few["label"].to_numpy(), fairness=fairness)
+               few["label"].to_numpy(), fairness=fairness, known=counts.get(1, 0) / sum(counts.values()))
+
 
+def _telling(rows: DataFrame, least_z: float = 4.0) -> DataFrame:
+    """Features (h) of which the rows are toxic more or less often than all rows, by ``least_z`` standard errors.
 
-def _telling(rows: DataFrame, least_rows: int = 5, least_z: float = 4.0) -> DataFrame:
-    """Features (h) in at least ``least_rows`` rows whose share differs between the labels by ``least_z`` standard errors."""
+    Signed root of the likelihood ratio, which holds for few rows too: with one toxic row in a thousand, two rows are enough."""
     size = rows.agg(F.count("*").alias("n"), F.sum("label").alias("n1")).first()
     n, n1 = size.n, size.n1 or 0
     if not 0 < n1 < n:
         return rows.select(F.explode("own").alias("h")).limit(0)
     counted = rows.select("label", F.explode(F.array_distinct("own")).alias("h")).groupBy("h").agg(
-        F.count("*").alias("c"), F.sum("label").alias("c1"))
-    p = F.col("c") / n
-    gap = F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / (n - n1))
-    return counted.filter((F.col("c") >= least_rows)
-                          & (gap >= least_z * F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))) & (gap > 0)).select("h")
+        F.count("*").alias("c"), F.sum("label").alias("c1")).withColumn("c0", F.col("c") - F.col("c1"))
+
+    def part(k, share):
+        return F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (F.col("c") * share))).otherwise(0.0)
+
+    # For features of most rows, the rows without it are as few: the spread of c1 is less by their share.
+    ratio = 2 * (part("c1", n1 / n) + part("c0", 1 - n1 / n)) / F.greatest(1 - F.col("c") / n, F.lit(0.5 / n))
+    return counted.filter(ratio >= least_z ** 2).select("h")
 
 
 def score(text: Column, model: Model) -> Column:

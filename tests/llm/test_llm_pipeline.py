@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version, and the shape of its stages."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -99,3 +100,20 @@ def test_toxicity_learns_only_from_allowed_labels(spark, tmp_path):
     two = toxicity.train(docs, labels.filter(labels.doc_id.isin(allowed)))
     assert np.isclose(one.intercept, two.intercept) and one.weights.keys() == two.weights.keys()
     assert library_ids("") == []
+
+
+def test_few_or_random_toxic_labels_keep_the_corpus(spark, tmp_path):
+    r = random.Random(3)
+    docs = [(i, prose(40, 900 + i) + (" vermin filth" if i < 8 else "")) for i in range(300)]
+    frame = docs_frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars")
+    named = [d for d in range(300) if remainder(d, 5) != 0]
+    toxic = [d for d in named if d < 8]
+    kept = {}
+    for n in (1, 2, 3, 4, "random"):
+        marked = {d for d in named if r.random() < 0.3} if n == "random" else set(toxic[:n])
+        folder = f"file://{tmp_path}/{n}"
+        labels = [(d, 1, int(d in marked)) for d in named if n == "random" or d >= 8 or d in marked]
+        write_tables(spark, folder, frame, labels=labels)
+        kept[n] = {x.doc_id for x in corpus_pipeline.drop_toxic(spark, frame, folder).collect()}
+    assert all(len([d for d in kept[n] if d >= 8]) >= 285 for n in kept), {n: len(k) for n, k in kept.items()}
+    assert not kept[4] & set(toxic)  # a term of 4 rows is learnt
