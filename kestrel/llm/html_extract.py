@@ -21,8 +21,8 @@
    words are not those of a line of the other: short texts in a long template.
 3. The lines of a pair are aligned by longest common subsequence, and lines that
    they share are deleted: template text. Inside an explicit article a shared
-   line goes only if both partners share it and it is no heading and no prose
-   (fewer than 8 words, no sentence end), as passages recur between articles.
+   line goes only if both partners share it and it is no heading and no long
+   paragraph (fewer than 30 words), as passages recur between articles.
    With partners that are nearly copies, a line goes only if all of them share it.
 
 Only hashes of lines are put in order and compared, in blocks of consecutive
@@ -60,7 +60,8 @@ from kestrel.llm.common import bounded_batches, materialize
 
 BLOCK, ENDS = 256, 64  # pages of a block; blocks of which the ends make a block of the next level
 SAME_PAGE = 0.95
-PLAIN, INNER, FIRM = 0, 1, 2  # candidate line, or one of a doubtful element; short one in an article; heading or prose in an article
+LONG = 30  # words of a paragraph that stays in an article though shared
+PLAIN, INNER, FIRM = 0, 1, 2  # candidate line, or one of a doubtful element; other one in an article; heading or long paragraph in an article
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
@@ -141,9 +142,10 @@ def page_lines(page: str | None) -> list[Line]:
     def close(depth: int) -> None:
         """Close all elements from that depth on."""
         while len(open_names) > depth:
-            name = open_names.pop()
+            name = open_names[-1]
             if name not in _INLINE:
-                end_line()
+                end_line()  # while a heading is still open
+            open_names.pop()
             at = len(open_names)
             if frames and frames[-1] == at:
                 frames.pop()
@@ -201,13 +203,13 @@ def page_lines(page: str | None) -> list[Line]:
     end_line()
     for k in (1, 2):  # article elements, else main
         if any(line[k] for line in every):
-            return [(t, PLAIN if doubt else FIRM if heading or _is_prose(t) else INNER)
+            return [(t, PLAIN if doubt else FIRM if heading or _is_long(t) else INNER)
                     for t, *where, doubt, heading in every if where[k - 1]]
     return [(t, PLAIN) for t, *_ in every]
 
 
-def _is_prose(text: str) -> bool:
-    return text.count(" ") >= 7 or text[-1] in ".!?…:;"
+def _is_long(text: str) -> bool:
+    return text.count(" ") >= LONG - 1
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:

@@ -360,3 +360,14 @@ def test_marks_drop_no_article_text(spark):
         i = r.page_id % 10
         lines = [f"Title {i}", f"Related work {i}", f"An ad hoc text {i}.", f"Skip lists {i}", f"Text of lists {i}.", f"See item {i}"]
         assert r.text.split("\n") == lines + ([f"Remark {i}"] if r.page_id < 10 else []), r.page_id
+
+
+def test_sentences_on_all_pages_leave_articles(spark):
+    plea = "Sign up to our letter and never miss a story again."
+    law = f"{prose(40, 3)}."
+    pages = [(i, f"http://plea.example/{i}", f"<article><h2>Summary</h2><p>{fold(prose(12, i))}.</p><p>{plea}</p><p>{law}</p></article>")
+             for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    # The first and the last page have one partner only.
+    assert {i for i in got if plea in got[i]} == {0, 3}
+    assert all(t.startswith("Summary\n") and law in t and fold(prose(12, i)) in t for i, t in got.items())
