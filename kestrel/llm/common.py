@@ -60,3 +60,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BATCH_BYTES = 16 << 20
+_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python tasks get at most about ``BATCH_BYTES`` at once (one row, if it is longer)."""
+    now = spark.conf.get(_BYTES_CONF)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BYTES_CONF, str(BATCH_BYTES))
