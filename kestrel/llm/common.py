@@ -49,16 +49,18 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return scratch_path(spark, f"{label}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, row_group: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs no recomputation of what went
     before), fixes values that depend on partitioning, and gives the planner
     the true size, so that a join broadcasts the table only when it is small.
+    ``row_group``: bytes of a Parquet row group, for tables of few, long rows.
     """
     spark = df.sparkSession
     path = scratch_folder(spark, label)
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -48,7 +48,8 @@ from xxhash import xxh3_64_intdigest
 
 from kestrel.llm.common import materialize, small_batches
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
+ROW_GROUP_BYTES = 16 << 20  # so that a reader holds few chunks at once
 RANGE_BYTES = 16 << 20     # of text for each hash range
 BROADCAST_BYTES = 32 << 20
 _PIECE = 4 << 20
@@ -301,7 +302,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """One row per document: doc_id, n_words, n_removed, spans (removed words, flat start, end, ...), kept (the
     words that stay, joined by one blank)."""
     small_batches(docs.sparkSession)
-    chunks = materialize(_chunked(docs, id_col, text_col, chunk_bytes), "chunks")
+    chunks = materialize(_chunked(docs, id_col, text_col, chunk_bytes), "chunks", row_group=ROW_GROUP_BYTES)
     size = chunks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // range_bytes + 1)
     kind = docs.schema[id_col].dataType.simpleString()
