@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from kestrel.functions import formatting as FM
 from kestrel.functions import metrics as M
 from kestrel.functions.text import question_key, redact
 from kestrel.operators import logs as L
+from kestrel.operators.merge import create_store, merge_delta, read_store
+from kestrel.operators.rolling import rolling_percentiles
 from kestrel.operators.scalars import one_row
+from kestrel.session import scratch_path
 from kestrel.sources import logs_model as LM
 from kestrel.sources.tables import Tables
 
@@ -66,6 +71,19 @@ def latest_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.latest_per_key(e, "user_id", "event_id", ["event_type", "value"])
 
 
+def latest_merged(spark: SparkSession, sf_dir: str, buckets: int = 16) -> DataFrame:
+    """The latest event type and value per user, by an initial load and two deltas merged into a stored table.
+
+    The events are dealt into the three loads by their ids, so later loads bring older and newer rows of known users and new users."""
+    e = Tables(spark, sf_dir).events.select("user_id", "event_id", "event_type", M.money("value").alias("value"))
+    path = scratch_path(spark, f"latest-{uuid.uuid4().hex}")
+    loads = [e.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k) for k in range(3)]
+    create_store(loads[0], path, ["user_id"], "event_id", buckets)
+    for delta in loads[1:]:
+        merge_delta(delta, path, ["user_id"], "event_id", buckets)
+    return read_store(spark, path, e.schema)
+
+
 def latency_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = LM.request_log(spark, sf_dir)
     return L.latency_percentiles(log, "ts", "latency_ms", "request_id", LATENCY_WINDOW)
@@ -76,6 +94,13 @@ def latency_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.latency_percentiles(log, "ts", "latency_ms", "request_id", LATENCY_WINDOW, group="event_type")
 
 
+def latency_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latency percentiles over the last ``LATENCY_WINDOW`` requests of its type, at every request."""
+    log = LM.request_log(spark, sf_dir).select("request_id", "event_type", "ts", "latency_ms")
+    out = rolling_percentiles(log, "event_type", ["ts", "request_id"], "latency_ms", LATENCY_WINDOW)
+    return out.drop("ts", "latency_ms")
+
+
 def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters, token totals and cost, plus live sizes (cache keys, sessions)."""
     m = L.request_metrics(LM.request_log(spark, sf_dir))

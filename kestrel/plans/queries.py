@@ -84,6 +84,8 @@ register("cache_hits")(LG.cache_hits)
 register("recent_keys")(LG.recent_keys)
 register("question_keys")(LG.question_keys)
 register("latest_per_key")(LG.latest_per_user)
+register("latest_merged")(LG.latest_merged)
+register("latency_rolling")(LG.latency_rolling)
 register("latency_percentiles")(LG.latency_overall)
 register("latency_percentiles_by_type")(LG.latency_by_type)
 register("request_metrics")(LG.request_metrics)
