@@ -5,13 +5,16 @@ from __future__ import annotations
 from kestrel.plans import business as B
 from kestrel.plans import kpis as K
 from kestrel.plans import marts
-from kestrel.plans.registry import commerce_query
+from kestrel.plans.mart_refresh import marts_incremental
+from kestrel.plans.registry import commerce_query, register
 
 # ---- marts -----------------------------------------------------------------
 commerce_query("revenue_by_month", marts.revenue_by_month)
 commerce_query("revenue_by_category", marts.revenue_by_category)
 commerce_query("state_performance", marts.state_performance)
 
+register("marts_incremental")(marts_incremental)
+
 # ---- KPIs ------------------------------------------------------------------
 commerce_query("kpi_row", K.kpi_row)
 commerce_query("on_time_rate", K.on_time_rate)
@@ -51,7 +54,6 @@ commerce_query("delivery_stats", B.delivery_stats)
 # ---- ETL rules over the driver tables --------------------------------------
 from kestrel.plans import etl as E  # noqa: E402
 from kestrel.plans import quality as Q  # noqa: E402
-from kestrel.plans.registry import register  # noqa: E402
 
 register("clean_customers")(E.clean_customers_driver)
 register("clean_sellers")(E.clean_sellers_driver)
