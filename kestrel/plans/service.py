@@ -18,7 +18,7 @@ from kestrel.sources.tables import Tables
 # Stand-in SQL log: a statement per conversation turn, so that every verdict occurs.
 _NOTE = "translate(text, '''\\\\', '  ')"
 STATEMENT = f"""
-CASE pmod(conv_id + turn, 10)
+CASE pmod(conv_id + turn, 12)
   WHEN 0 THEN split_part(text, ' ', 1)
   WHEN 1 THEN concat('SELECT ''', {_NOTE}, '; drop it'' AS note FROM orders')
   WHEN 2 THEN concat('SELECT * FROM orders; SELECT ', conv_id)
@@ -28,6 +28,8 @@ CASE pmod(conv_id + turn, 10)
   WHEN 6 THEN concat('WITH gone AS (DELETE FROM orders) SELECT ', turn)
   WHEN 7 THEN '  '
   WHEN 8 THEN concat('SELECT ''\\\\'''', string_agg(city), '''' FROM customers -- ', conv_id)
+  WHEN 10 THEN concat('SELECT * FROM Identifier (''parquet.`/data/', conv_id, '`'')')
+  WHEN 11 THEN concat('SELECT approx_top_k(city, ', conv_id, ') FROM customers')
 END"""
 
 # Stand-in error messages: one per part, so that every hint occurs.
