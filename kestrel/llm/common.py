@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +41,9 @@ _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded_batches() -> None:
-    """Let Python tasks get at most ``ROWS_PER_BATCH`` rows at once: whole texts are long."""
+    """Let Python tasks get at most ``ROWS_PER_BATCH`` rows and ``BATCH_BYTES`` at once: whole texts are long."""
     spark = SparkSession.getActiveSession()
+    small_batches(spark)
     now = int(spark.conf.get(_BATCH_CONF))
     if now <= 0 or now > ROWS_PER_BATCH:
         spark.conf.set(_BATCH_CONF, str(ROWS_PER_BATCH))
@@ -73,3 +78,20 @@ def small_batches(spark: SparkSession) -> None:
     now = spark.conf.get(_BYTES_CONF)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BYTES_CONF, str(BATCH_BYTES))
+
+
+def releasing(task):
+    """A Python task (a generator function over batches) that gives its memory back to the system when it ends.
+
+    Workers live on between tasks and stages, and keep what they grew to otherwise."""
+    @functools.wraps(task)
+    def run(*args):
+        try:
+            yield from task(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+    return run

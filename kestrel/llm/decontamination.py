@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from kestrel.llm.common import bounded_batches, fresh, materialize
+from kestrel.llm.common import bounded_batches, fresh, materialize, releasing
 
 SAMPLE = 16
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -224,6 +224,7 @@ def _char_spans(text: str, spans: list[tuple[int, int]]) -> list[int]:
 
 def _search_column(text: Column, block) -> Column:
     @pandas_udf(_RESULT)
+    @releasing
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         phrases = block.value
         for texts in batches:
@@ -314,22 +315,22 @@ def cut_spans(text: str, flat: list[int]) -> str:
     return "\n".join(p for p in (text[a:b].strip() for a, b in zip(edges[::2], edges[1::2], strict=True)) if p)
 
 
-_LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("stays", T.BooleanType())])
-
-
 def _remaining_column(text: Column, block) -> Column:
-    """struct(text without the block's passages, whether the document stays), searched, cut and searched again in one go."""
-    @pandas_udf(_LEFT)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The text without the block's passages (null: as it was), searched and cut again until none is left."""
+    @pandas_udf(T.StringType())
+    @releasing
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         phrases = block.value
         for batch in batches:
-            texts = batch.tolist()
-            _, hits = search_shard(texts, phrases)
-            for k, (spans, _) in hits.items():
-                texts[k] = cut_spans(texts[k], _char_spans(texts[k], spans))
-            _, again = search_shard([texts[k] for k in hits], phrases)
-            gone = {k for n, k in enumerate(hits) if n in again or not texts[k]}
-            yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "stays": [k not in gone for k in range(len(texts))]})
+            texts, out = batch.tolist(), [None] * len(batch)
+            todo = list(range(len(texts)))
+            while todo:
+                _, hits = search_shard([texts[k] for k in todo], phrases)
+                for n, (spans, _) in hits.items():
+                    k = todo[n]
+                    out[k] = texts[k] = cut_spans(texts[k], _char_spans(texts[k], spans))
+                todo = [todo[n] for n in hits]
+            yield pd.Series(out, dtype=object)
 
     bounded_batches()
     return of(text)
@@ -346,23 +347,25 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """``docs`` without the passages of the benchmark; columns as they were.
 
     The merged spans are cut out of the text and a line feed joins what is
-    left. A document of which nothing is left goes, and so does one whose
-    remainder, searched again, forms a phrase anew; one without hits stays
-    untouched. A benchmark of one block takes a single pass; one of more blocks
-    merges the spans of all blocks before it cuts."""
-    left, before = fresh(docs, "left"), docs.columns
+    left; where that forms a phrase anew, it is searched and cut again until none is
+    left. A document of which nothing is left goes; one without hits stays untouched.
+    A benchmark of one block takes a single pass. With more blocks a round merges the spans of
+    all blocks before it cuts, and only documents that were cut go into the next round."""
     blocks = blocks_of(benchmark, window, block_bytes)
     first, more = next(blocks), next(blocks, None)
     if more is None:
+        left = fresh(docs, "left")
         one = docs.sparkSession.sparkContext.broadcast(first)
         rows = docs.withColumn(left, _remaining_column(F.col(text_col), one))
-        clean, new = F.col(f"{left}.stays"), F.col(f"{left}.text")
-    else:
-        found, again = fresh(docs, "found"), fresh(docs, "again")
-        rows = with_hits(docs, benchmark, found, window, block_bytes, text_col)
+        return rows.filter(F.col(left).isNull() | (F.length(left) > 0)).withColumn(
+            text_col, F.coalesce(F.col(left), F.col(text_col))).drop(left)
+    found, clean, todo = fresh(docs, "found"), None, docs
+    while True:
+        rows = materialize(with_hits(todo, benchmark, found, window, block_bytes, text_col), "searched")
         hit = F.size(f"{found}.words") > 0
-        rows = rows.withColumn(left, F.when(hit, _cut(F.col(text_col), F.col(f"{found}.chars"))))
-        rows = with_hits(rows, benchmark, again, window, block_bytes, left)  # null where nothing was cut
-        clean = ~hit | ((F.length(left) > 0) & (F.size(f"{again}.words") == 0))
-        new = F.coalesce(F.col(left), F.col(text_col))
-    return rows.filter(clean).withColumn(text_col, new).select(*[f"`{c}`" for c in before])
+        untouched = rows.filter(~hit).drop(found)
+        clean = untouched if clean is None else clean.unionByName(untouched)
+        if rows.filter(hit).isEmpty():
+            return clean
+        cut = rows.withColumn(text_col, F.when(hit, _cut(F.col(text_col), F.col(f"{found}.chars"))))
+        todo = cut.filter(hit & (F.length(text_col) > 0)).drop(found)

@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import bounded_batches, materialize
-from kestrel.llm.tokens import Encoder, encoded
+from kestrel.llm.common import bounded_batches, materialize, releasing
+from kestrel.llm.tokens import Encoder, encoded, frequent_pieces
 
 _PIECES = "doc_id {id}, rid long, piece int, start long, length long, ids_crc32 long"
 
@@ -67,8 +67,11 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: in
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, rid, piece, start, length, ids_crc32 (unsigned, little-endian 32-bit ids)."""
 
+    known = frequent_pieces(docs, tokenizer, text_col)
+
+    @releasing
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, known.value)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             for k, ids in enumerate(encoded(batch["text"], encoder)):

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kestrel.llm.common import materialize, small_batches
+from kestrel.llm.common import materialize, releasing, small_batches
 from kestrel.llm.decontamination import words_of
 
 CELLS = 1 << 22            # sketch places, or looked-up cells, held at once
@@ -230,6 +230,7 @@ def collection_statistics(docs: DataFrame, items: Items) -> tuple[int, int, dict
     """Documents with a term, terms with repeats, and for each term of the items the documents that hold it."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(items.terms))
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, holding, n, total = shared.value, Counter(), 0, 0
         for batch in batches:
@@ -279,6 +280,7 @@ def rank_documents(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str
 
 
 def _searcher(shared, k: int):
+    @releasing
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         best = Best(len(items.numbers), k)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kestrel.llm.common import bounded_batches, materialize
+from kestrel.llm.common import bounded_batches, materialize, releasing
 from kestrel.llm.components import connected_components
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -64,6 +64,7 @@ def fingerprint(text: Column, shingle: int = 4) -> Column:
     """Fingerprint column (the unsigned value's bits in a signed long)."""
 
     @pandas_udf("long")
+    @releasing
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64))
@@ -187,6 +188,7 @@ def _forest(max_bits: int):
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": fp[linked].view(np.int64), "b": fp[label[linked]].view(np.int64)})
 
+    @releasing
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         n = 0

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from kestrel.llm.common import materialize, small_batches
+from kestrel.llm.common import materialize, releasing, small_batches
 
 CHUNK_BYTES = 2 << 20
 ROW_GROUP_BYTES = 16 << 20  # so that a reader holds few chunks at once
@@ -245,6 +245,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> D
     """One row per chunk: chunk, ids, texts."""
     kind = docs.schema[id_col].dataType
 
+    @releasing
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, task = 0, None
@@ -307,6 +308,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // range_bytes + 1)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @releasing
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, chunk in enumerate(batch["chunk"].to_pylist()):
@@ -323,6 +325,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     hits = materialize(asked.groupBy("part").applyInArrow(_answer_probes, "chunk long, part int, bits binary"), "block-hits")
     struck = _met(chunks, hits, "hits", broadcast_bytes)
 
+    @releasing
     def extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, chunk in enumerate(batch["chunk"].to_pylist()):
@@ -339,6 +342,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         extensions, "chunk long, part int, pairs binary, twice binary")
     repeats = materialize(wide.groupBy("part").applyInArrow(_answer_extensions, "chunk long, part int, bits binary"), "repeats")
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):

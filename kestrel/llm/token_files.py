@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kestrel.llm.common import bounded_batches, materialize
-from kestrel.llm.tokens import Encoder, encoded
+from kestrel.llm.common import bounded_batches, materialize, releasing
+from kestrel.llm.tokens import Encoder, encoded, frequent_pieces
 
 MAGIC = b"KTK1"
 _HEAD = struct.Struct("<4sIIQII")
@@ -249,6 +249,9 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
                  block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts and write them to ``path`` in ascending order of doc_id."""
 
+    known = frequent_pieces(docs, tokenizer, text_col)
+
+    @releasing
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int | None, np.ndarray]] = []
         size = number = 0
@@ -256,7 +259,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
         def row() -> pd.DataFrame:
             return pd.DataFrame({"part": [part], "block": [number], "n_ids": [size], "data": [write_block(held, vocabulary)]})
 
-        part, encoder = 0, Encoder(tokenizer)
+        part, encoder = 0, Encoder(tokenizer, known.value)
         for batch in batches:
             for doc, slice_no, ids in zip(batch["doc_id"].astype(object), batch["part"], encoded(batch["text"], encoder),
                                           strict=True):
@@ -281,6 +284,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files at ``path``: doc_id, start (ids of all documents before it), n_tokens,
     ids_crc32 (unsigned, of the ids as little-endian 32-bit integers)."""
 
+    @releasing
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, block, data in zip(batch["part"], batch["block"], batch["data"], strict=True):

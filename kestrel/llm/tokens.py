@@ -2,26 +2,36 @@
 
 A text is cut before every single space between two non-space characters: for
 a byte-level BPE no pre-token crosses such a cut, so the ids of the pieces
-joined are the ids of the text. Pieces recur, so each task keeps their ids in
-a bounded table, which ends with the task; the BPE of a new piece is the tokenizers library's.
+joined are the ids of the text. Texts with a special string of the tokenizer, or with rare
+white space, go through the library uncut.
+
+Pieces recur. The most frequent ones of a sample of the documents are encoded
+once and shared with all tasks (:func:`frequent_pieces`); each task keeps the ids
+of further pieces in a bounded table of its own, which falls back to the shared one
+when it is full and ends with the task. Both change only the speed: the BPE of every
+piece is the tokenizers library's.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 KEPT_PIECES = 150_000
-BPE_CACHE = 30_000
+FREQUENT_PIECES = 100_000
+SAMPLE_ROWS = 8_000         # about so many documents are sampled for the frequent pieces
 LONGEST_KEPT = 48
 # White space beside blank and line feed, on some of which libraries differ: such a text is encoded uncut.
 _RARE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e]")
+# Bytes that such white space contains or begins with: a quick test before the exact one.
+_SUSPECT = bytes(1 if b in (9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3) else 0 for b in range(256))
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _WORDS = regex.compile(public_tokenizers.PATTERN)
 
@@ -40,8 +50,8 @@ _ID_BYTES = [i.to_bytes(4, "little") for i in range(1 << 16)]  # a vocabulary of
 class _Pieces(dict):
     """word -> ids, as bytes, of a blank and the word; filled on demand."""
 
-    def __init__(self, model):
-        super().__init__()
+    def __init__(self, model, known: dict[str, bytes]):
+        super().__init__(known)
         self._bpe = model.tokenize
 
     def __missing__(self, word: str) -> bytes:
@@ -61,32 +71,55 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE file; special strings in a text are ordinary text."""
+    """Ids of texts by a byte-level BPE file, as the library's ``encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: dict[str, bytes] | None = None):
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
-        model = self._tok.model
-        if hasattr(model, "_resize_cache"):  # words inside pieces recur more often than pieces
-            model._resize_cache(BPE_CACHE)
-        self._kept = _Pieces(model)
+        self._special = [t.content for t in self._tok.get_added_tokens_decoder().values() if t.content]
+        self._model = self._tok.model
+        if hasattr(self._model, "_resize_cache"):  # pieces are kept here
+            self._model._resize_cache(0)
+        self._known = known or {}
+        self._kept = _Pieces(self._model, self._known)
 
-    def _whole(self, text: str) -> list[int]:
-        return self._tok.encode(text, add_special_tokens=False).ids
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _head(self, text: str) -> bytes:
+        """Ids of a piece without a blank before it."""
+        parts = [p.encode().decode("latin-1").translate(_LETTERS) for p in _WORDS.findall(text)]
+        return b"".join([_ID_BYTES[t.id] for p in parts for t in self._model.tokenize(p)])
 
     def encode(self, text: str) -> np.ndarray:
         """uint32 ids of the text."""
-        if _RARE.search(text):
-            return np.array(self._whole(text), np.uint32)
-        if len(self._kept) > KEPT_PIECES:
-            self._kept.clear()
+        if any(s in text for s in self._special) or 1 in text.encode().translate(_SUSPECT) and _RARE.search(text):
+            return np.frombuffer(self._whole(text), "<u4")
+        if len(self._kept) > len(self._known) + KEPT_PIECES:
+            self._kept = _Pieces(self._model, self._known)
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
             head, *rest = _CUT.split(text)
             rest = [w[1:] for w in rest]
         else:
             head, *rest = text.split(" ")
-        first = array("I", self._whole(head)).tobytes()
-        return np.frombuffer(first + b"".join(map(self._kept.__getitem__, rest)), np.uint32)
+        return np.frombuffer(self._head(head) + b"".join(map(self._kept.__getitem__, rest)), "<u4")
+
+    def table(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of a blank and each word."""
+        return {w: self._kept[w] for w in words if len(w) <= LONGEST_KEPT}
+
+
+def frequent_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", rows: int = SAMPLE_ROWS,
+                    pieces: int = FREQUENT_PIECES):
+    """A broadcast table of the ids of at most ``pieces`` pieces: the most frequent of a sample of about ``rows`` rows."""
+    total = docs.count()
+    text = F.col(f"`{text_col}`")
+    words = (docs.select(text.alias("t")).sample(min(1.0, rows / max(1, total)), 7).filter(F.col("t").isNotNull())
+             .select(F.explode(F.split("t", " ", -1)).alias("w"))
+             .filter(F.length("w").between(1, LONGEST_KEPT) & ~F.col("w").rlike(r"[\s\x1c-\x1f\x85\xa0]")))
+    top = words.groupBy("w").count().filter("count > 1").orderBy(F.desc("count"), "w").limit(pieces).collect()
+    encoder = Encoder(tokenizer)
+    return docs.sparkSession.sparkContext.broadcast(encoder.table(
+        r["w"] for r in top if not _RARE.search(r["w"]) and not any(s in r["w"] for s in encoder._special)))
 
 
 def encoded(texts: Iterable[str | None], encoder: Encoder) -> Iterator[np.ndarray]:

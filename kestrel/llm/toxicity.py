@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from kestrel.llm.common import bounded_batches, materialize
+from kestrel.llm.common import bounded_batches, materialize, releasing
 from kestrel.llm.decontamination import words_of
 
 # Terms that only name a group, by kind; a swap stays within a kind and language.
@@ -53,6 +53,7 @@ IDENTITY_TERMS = (
 )
 PREFIXES = (4, 5, 6)
 KEPT_WORDS = 200_000
+LEAST_HASHES = 16  # so many smallest feature hashes tell whether two training texts are (near) copies
 
 
 def swaps(terms: tuple[tuple[str, ...], ...]) -> dict[bytes, bytes]:
@@ -182,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 6000, identity=ID
     swap = swaps(identity)
     bounded_batches()
 
+    @releasing
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = [set(words_of(t)) for t in batch["text"]]
@@ -190,17 +192,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 6000, identity=ID
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].to_numpy(),
                 "label": batch["label"].to_numpy(),
-                "least": [str(sorted(set(f))[:6]) for f in own],
+                "least": [str(sorted(set(f))[:LEAST_HASHES]) for f in own],
                 "own": pd.Series(own, dtype=object),
                 "other": pd.Series([features(ws) if ws is not None else None for ws in other], dtype=object),
             })
 
-    # Texts with the same smallest hashes are (near) copies; the one with the smallest doc_id (as text) counts, or their chance
-    # words would look telling.
+    # Texts of one label with the same smallest hashes are (near) copies; the one with the smallest doc_id (as text) counts, or
+    # their chance words would look telling.
     rows = materialize(
         docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(sample.withColumn("doc_id", F.col("doc_id").cast("string"))), "doc_id").select("doc_id", "text", "label")
         .mapInPandas(read, "doc_id string, label int, least string, own array<long>, other array<long>")
-        .groupBy("least").agg(F.min(F.struct("doc_id", "label", "own", "other")).alias("one")).select("one.*"),
+        .groupBy("least", "label").agg(F.min(F.struct("doc_id", "own", "other")).alias("one")).select("one.doc_id", "label", "one.own", "one.other"),
         "toxicity-sample")
     kept = np.array(sorted(r.h for r in _telling(rows).collect()), np.int64)
 
@@ -240,6 +242,7 @@ def score(text: Column, model: Model) -> Column:
     """Probability that the text is toxic."""
 
     @pandas_udf(T.DoubleType())
+    @releasing
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         evidence = _Evidence(model)
         for texts in batches:

@@ -86,7 +86,7 @@ def test_queries_are_registered():
 
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == list(llm_queries())
-    assert [int(n[2:].split("_")[0]) for n in llm_queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in llm_queries()] == list(range(1, 14))
     assert "pipeline" in names and "pipeline" not in entry.oracle_sql()
 
 

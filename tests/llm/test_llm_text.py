@@ -371,3 +371,13 @@ def test_sentences_on_all_pages_leave_articles(spark):
     # The first and the last page have one partner only.
     assert {i for i in got if plea in got[i]} == {0, 3}
     assert all(t.startswith("Summary\n") and law in t and fold(prose(12, i)) in t for i, t in got.items())
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_bytes": 100}])
+def test_a_passage_that_cutting_forms_anew_is_cut_again(spark, blocks):
+    clean = prose(60, 3)
+    benchmark = spark.createDataFrame([(1, "two words"), (2, "three more words here"), (3, prose(40, 8))], "item_id long, text string")
+    texts = [f"{clean} two two words words {clean}", "two two two words words words", f"three three more words here more words here {clean}", clean]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text.split() for r in decontamination.remove_contamination(docs, benchmark, **blocks).collect()}
+    assert got == {0: clean.split() * 2, 2: clean.split(), 3: clean.split()}

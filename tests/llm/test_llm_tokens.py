@@ -9,12 +9,11 @@ from tokenizers import Tokenizer
 
 from kestrel.llm import packing, token_files
 from kestrel.llm.queries import VOCABULARY, llm_queries, tokenizer_path
-from kestrel.llm.tokens import Encoder
+from kestrel.llm.tokens import Encoder, frequent_pieces
 
 
 def library_ids(text):
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -25,6 +24,19 @@ ODD_TEXTS = ["", " ", "  a  b ", "a\n b\tc  \n\n d", "it's  <|endoftext|> x", "
 @pytest.mark.parametrize("text", ODD_TEXTS)
 def test_pieces_encode_like_the_library(text):
     assert Encoder(tokenizer_path()).encode(text).tolist() == library_ids(text)
+    known = Encoder(tokenizer_path()).table(["b", "x", "y", "12", "we'll", "é"])
+    assert Encoder(tokenizer_path(), known).encode(text).tolist() == library_ids(text)
+
+
+def test_special_string_is_one_id():
+    assert Encoder(tokenizer_path()).encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+def test_frequent_pieces_of_odd_rows(spark):
+    rows = odd_rows() + list(enumerate(ODD_TEXTS, 1000))
+    known = frequent_pieces(docs_frame(spark, rows), tokenizer_path(), rows=10**6).value
+    assert len(known) > 500 and all(np.frombuffer(v, "<u4").tolist() == library_ids(" " + w) for w, v in known.items())
+    assert frequent_pieces(docs_frame(spark, []), tokenizer_path()).value == {}
 
 
 @pytest.mark.parametrize("n,vocabulary", [(0, 5), (1, 5), (5, 3), (255, 2), (256, 3), (257, 7), (1000, 50257), (5000, 4), (40_000, 300)])
