@@ -29,6 +29,9 @@ from pyspark.sql.window import Window
 
 from kestrel.llm.common import fold_case, fresh, materialize
 
+KEY_BYTES = 128             # of a (digest, doc_id) pair in a broadcast table, generously
+BROADCAST_BYTES = 64 << 20
+
 
 def digest(col):
     return F.sha2(fold_case(col), 256)
@@ -90,11 +93,13 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sp
     )
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **split) -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    broadcast_bytes: int = BROADCAST_BYTES, **split) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
     Rows are removed by an anti-join against the losing (digest, doc_id)
-    pairs, which the planner broadcasts only when their table is small. Rows
+    pairs. They are counted, and broadcast if they take ``broadcast_bytes`` or
+    less, so that no text is shuffled; beyond that the join shuffles. Rows
     that tie with a winner in text and doc_id share its key; only such keys
     (normally none) take the grouped path that leaves one row of each."""
     verdicts = decide(docs, id_col, text_col, **split).groupBy("text_sha256", "doc_id").agg(
@@ -107,6 +112,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (rows[name] == other["text_sha256"]) & rows[id_col].eqNullSafe(other["doc_id"])
 
     losers = keys.filter(~F.col("wins"))
+    if losers.count() * KEY_BYTES <= broadcast_bytes:
+        losers = F.broadcast(losers)
     tied = keys.filter("wins")
     out = rows.join(losers, same(losers), "left_anti")
     if not tied.isEmpty():
