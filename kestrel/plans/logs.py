@@ -41,8 +41,8 @@ def session_assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_prompts(spark: SparkSession, sf_dir: str, n: int = SESSION_LINES_KEPT) -> DataFrame:
-    # Every fifth turn is taken out, so that the stored numbers have gaps.
-    lines = LM.session_lines(spark, sf_dir).filter("seq % 5 <> 2 AND line IS NOT NULL")
+    # All turns, renumbered so that the stored numbers have gaps.
+    lines = LM.session_lines(spark, sf_dir).withColumn("seq", F.expr("seq * 2 + seq DIV 5"))
     questions = lines.filter(F.col("role") == "user").select("session_id", "seq", F.col("text").alias("question"))
     return L.build_prompts(lines.select("session_id", "seq", "line"), questions,
                            "session_id", "seq", "line", "question", n)
