@@ -20,9 +20,10 @@
    another path count that are nearly copies but, like it, hold a line whose
    words are not those of a line of the other: short texts in a long template.
 3. The lines of a pair are aligned by longest common subsequence, and lines that
-   they share are deleted: template text. Inside an explicit article a shared
-   line goes only if both partners share it and it is no heading and no long
-   paragraph (fewer than 30 words), as passages recur between articles.
+   they share are deleted: template text. Inside an explicit article, where
+   passages recur between articles, a line goes only if both partners share it,
+   more than half of the pages of the host share it with a partner, and it is no
+   heading and no long paragraph (fewer than 30 words).
    With partners that are nearly copies, a line goes only if all of them share it.
 
 Only hashes of lines are put in order and compared, in blocks of consecutive
@@ -31,6 +32,9 @@ blocks: of every block its first and last page with the partners of these, 64
 blocks in a block of the next level, until one block is left. So a host of any
 size spreads over all tasks. A partner that shares no line is passed over inside
 a block; beyond its edge the partner of the block's outermost page is taken.
+How many pages of a host share a
+line is a count by host and line hash, combined map-side; its result meets the
+doubtful lines by a salted join, as one line may be on a third of all pages.
 The deletions (page key and line
 numbers) are joined back to the pages; the planner broadcasts them when small.
 A page row is known by page_id and a hash of url and html, so null or repeated
@@ -61,6 +65,7 @@ from kestrel.llm.common import bounded_batches, materialize
 BLOCK, ENDS = 256, 64  # pages of a block; blocks of which the ends make a block of the next level
 SAME_PAGE = 0.95
 LONG = 30  # words of a paragraph that stays in an article though shared
+SALTS = 16  # parts of the rows of one line of a host
 PLAIN, INNER, FIRM = 0, 1, 2  # candidate line, or one of a doubtful element; other one in an article; heading or long paragraph in an article
 
 _TAG = re.compile(
@@ -316,8 +321,9 @@ def partners(pages: list[Page], step: int) -> list[tuple[int | None, int | None,
     return out
 
 
-def gone_lines(page: Page, found: list[Page]) -> list[int]:
-    """Lines that go, of a page with its partners (other or similar pages)."""
+def shared_lines(page: Page, found: list[Page]) -> tuple[list[int], list[int], list[int]]:
+    """Of a page with its partners (other or similar pages): the lines that go, those in its article that go if most
+    pages of the host share them, and all those in its article that a partner shares."""
     pairs = [compare(page, f) for f in found]
     sets = [set(shared) for relation, shared in pairs if relation == OTHER]
     if sets:
@@ -327,7 +333,23 @@ def gone_lines(page: Page, found: list[Page]) -> list[int]:
         sets = [set(shared) for relation, shared in pairs if relation == SIMILAR]
         some = set.intersection(*sets) if sets else set()
         both = some if len(sets) == 2 else set()
-    return [x for x in sorted(some) if page.kinds[x] == PLAIN or page.kinds[x] == INNER and x in both]
+    inner = [x for x in sorted(some) if page.kinds[x] == INNER]
+    return [x for x in sorted(some) if page.kinds[x] == PLAIN], [x for x in inner if x in both], inner
+
+
+# What is known of the shared lines of a page: numbers of lines that go, numbers and hashes of doubtful ones, hashes that count.
+_SHARED = "host string, gone array<int>, doubt array<int>, doubt_hash array<long>, counted array<long>"
+
+
+def _shared_row(page: Page, found: list[Page]) -> tuple | None:
+    gone, doubt, inner = shared_lines(page, found)
+    if not gone and not inner:
+        return None
+    return page.host, gone, doubt, [_signed(page.lines[x]) for x in doubt], sorted({_signed(page.lines[x]) for x in inner})
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -375,17 +397,18 @@ def _first_level(kind: str):
         for i, page in enumerate(pages):
             own = [(side, x) for side in (left[i], right[i]) for x in side[:2] if x is not None]
             if left[i][2] or right[i][2]:
-                out.append(("page", i, None, packed[i], pickle.dumps([packed[x] for _, x in own]), left[i][2], right[i][2]))
-            elif gone := gone_lines(page, [pages[x] for _, x in own]):
-                out.append(("gone", i, gone, None, None, False, False))
-        out += [("end", i, None, packed[i], None, False, False) for i in _ends(pages, left, right)]
-        names = ["role", "row", "gone", "page", "near", "to_left", "to_right"]
-        got = pd.DataFrame(out, columns=names)
-        got["gone"] = got["gone"].astype(object)
+                out.append(("page", i, *no_lines, packed[i], pickle.dumps([packed[x] for _, x in own]), left[i][2], right[i][2]))
+            elif shared := _shared_row(page, [pages[x] for _, x in own]):
+                out.append(("gone", i, *shared, None, None, False, False))
+        out += [("end", i, *no_lines, packed[i], None, False, False) for i in _ends(pages, left, right)]
+        got = pd.DataFrame(out, columns=["role", "row", *lines, "page", "near", "to_left", "to_right"])
+        got[lines] = got[lines].astype(object)
         return pd.concat([rows.loc[got["row"], ["page_id", "key", "block", "pos"]].reset_index(drop=True),
                           got.drop(columns="row")], axis=1)[_names(schema)]
 
-    schema = (f"role string, page_id {kind}, key long, block long, pos long, gone array<int>, page binary, near binary, "
+    lines = _names(_SHARED)
+    no_lines = [None] * len(lines)
+    schema = (f"role string, page_id {kind}, key long, block long, pos long, {_SHARED}, page binary, near binary, "
               "to_left boolean, to_right boolean")
     return run, schema
 
@@ -413,13 +436,14 @@ def _next_level(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _gone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Deletions of pages whose search left their block."""
+    """Shared lines of pages whose search left their block."""
     for batch in batches:
-        gone = []
+        rows, names = [], _names(_SHARED)
         for page, near, *far in zip(*(batch[c] for c in ("page", "near", "other_l", "similar_l", "other_r", "similar_r")), strict=True):
             found = [_read(p) for p in (*pickle.loads(near), *far) if p is not None]
-            gone.append(gone_lines(_read(page), found))
-        yield batch[["page_id", "key"]].assign(gone=pd.Series(gone, index=batch.index, dtype=object))
+            rows.append(_shared_row(_read(page), found) or (None,) * len(names))
+        yield pd.concat([batch[["page_id", "key"]].reset_index(drop=True),
+                         pd.DataFrame(rows, columns=names).astype(object)], axis=1)
 
 
 def _far_partners(ends: DataFrame, blocks: int) -> DataFrame:
@@ -444,6 +468,20 @@ def _far_partners(ends: DataFrame, blocks: int) -> DataFrame:
     return found.select("part", "side", "other", "similar")
 
 
+def deletions(shared: DataFrame, hosts: DataFrame) -> DataFrame:
+    """page_id, key, gone: of ``shared`` (page_id, key and ``_SHARED``) the lines that go for certain and the doubtful
+    ones that more than half of the pages of the host share; ``hosts``: host, n_pages."""
+    pages = shared.select("host", F.explode("counted").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    usual = pages.join(hosts, "host").filter(2 * F.col("n") > F.col("n_pages")).select("host", "hash", salted.alias("salt"))
+    doubt = shared.select("page_id", "key", "host", F.pmod(F.xxhash64("page_id", "key"), F.lit(SALTS)).cast("int").alias("salt"),
+                          F.explode(F.arrays_zip("doubt", "doubt_hash")).alias("line"))
+    doubt = doubt.select("page_id", "key", "host", "salt", F.col("line.doubt").alias("gone"), F.col("line.doubt_hash").alias("hash"))
+    lines = doubt.join(usual, ["host", "hash", "salt"], "left_semi").select("page_id", "key", "gone")
+    certain = shared.select("page_id", "key", F.explode("gone").alias("gone"))
+    return certain.unionByName(lines).groupBy("page_id", "key").agg(F.collect_list("gone").alias("gone"))
+
+
 def find_deletions(rows: DataFrame) -> DataFrame:
     """page_id, key, gone (line numbers) of the pages of which shared lines go."""
     kind = rows.schema["page_id"].dataType.simpleString()
@@ -462,7 +500,8 @@ def find_deletions(rows: DataFrame) -> DataFrame:
     run, schema = _first_level(kind)
     near = materialize(placed.select("page_id", "key", "pos", "page", F.floor(F.col("pos") / BLOCK).alias("block"))
                        .groupBy("block").applyInPandas(run, schema), "block-partners")
-    gone = near.filter("role = 'gone'").select("page_id", "key", "gone")
+    names = ["page_id", "key", *_names(_SHARED)]
+    shared = near.filter("role = 'gone'").select(names)
     far = _far_partners(near.filter("role = 'end'").select(F.col("block").alias("part"), "pos", "page"), blocks)
     far = materialize(far, "far-partners")
     left, right = (far.filter(F.col("side") == side).select(F.col("part").alias(f"part_{n}"), F.col("other").alias(f"other_{n}"),
@@ -471,9 +510,10 @@ def find_deletions(rows: DataFrame) -> DataFrame:
     at_edge = near.filter("role = 'page'")
     at_edge = at_edge.join(left, F.col("to_left") & (F.col("block") == F.col("part_l")), "left").join(
         right, F.col("to_right") & (F.col("block") == F.col("part_r")), "left")
-    return gone.unionByName(
-        at_edge.select("page_id", "key", "page", "near", "other_l", "similar_l", "other_r", "similar_r")
-        .mapInPandas(_gone, f"page_id {kind}, key long, gone array<int>").filter(F.size("gone") > 0))
+    beyond = at_edge.select("page_id", "key", "page", "near", "other_l", "similar_l", "other_r", "similar_r").mapInPandas(
+        _gone, f"page_id {kind}, key long, {_SHARED}").filter("host IS NOT NULL")
+    shared = materialize(shared.unionByName(beyond), "shared-lines")
+    return deletions(shared, placed.groupBy("host").agg(F.count("*").alias("n_pages")))
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 """Language ID (2), secret scan (4), toxicity (8), decontamination (9), HTML extraction (3)."""
 
 import hashlib
+import html
 import itertools
 import random
 import re
@@ -373,6 +374,34 @@ def test_sentences_on_all_pages_leave_articles(spark):
     assert all(t.startswith("Summary\n") and law in t and fold(prose(12, i)) in t for i, t in got.items())
 
 
+def article_blocks(page):
+    """Texts of the blocks of the article element of a test page, as they stand there."""
+    inside = re.sub(r"(?s)<(aside|nav|form|script|style|button)\b.*?</\1>|<!--.*?-->", " ", re.search(r"(?s)<article.*?</article>", page)[0])
+    inside = re.sub(r'(?s)<div class="(?:ad|comment|comments)">.*?</div>', " ", inside)
+    blocks = re.findall(r"(?s)<(?:p|h1|h2|h3)\b[^>]*>(.*?)</(?:p|h1|h2|h3)>", inside)
+    lines = [line for b in blocks for line in re.split(r"<br\b[^>]*>", b)]
+    return [t for line in lines if (t := " ".join(html.unescape(re.sub(r"<[^>]*>", "", line)).split()))]
+
+
+def test_no_article_paragraph_is_lost_on_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    texts = {r.page_id: r.text.split("\n") for r in html_extract.main_text(pages).collect()}
+    lost = [(r.page_id, t) for r in pages.filter("html LIKE '%<article%'").collect() for t in article_blocks(r.html) if t not in texts[r.page_id]]
+    assert not lost
+
+
+@pytest.mark.parametrize("block, ends", [(256, 64), (4, 2)])
+def test_passages_of_neighbours_stay_in_articles(spark, monkeypatch, block, ends):
+    monkeypatch.setattr(html_extract, "BLOCK", block)
+    monkeypatch.setattr(html_extract, "ENDS", ends)
+    quote, plea = "A sentence that three neighbours quote.", "Sign up to our letter and never miss a story again."
+    pages = [(i, f"http://quote.example/{i:02}", f"<article><h1>Head {i}</h1><p>{fold(prose(12, i))}.</p>"
+              f"{f'<p>{quote}</p>' if 4 <= i <= 6 else ''}<p>{plea}</p></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i for i in got if quote in got[i]} == {4, 5, 6}
+    assert {i for i in got if plea in got[i]} == {0, 11}  # these have one partner only
+
+
 @pytest.mark.parametrize("blocks", [{}, {"block_bytes": 100}])
 def test_a_passage_that_cutting_forms_anew_is_cut_again(spark, blocks):
     clean = prose(60, 3)
