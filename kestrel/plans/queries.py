@@ -126,3 +126,4 @@ register("stream_session")(ST.stream_session)
 register("stream_dedupe")(ST.stream_dedupe)
 register("stream_questions")(ST.stream_questions)
 register("stream_latency_quantiles")(ST.stream_latency_quantiles)
+register("stream_sliding")(ST.stream_sliding)

@@ -107,3 +107,126 @@ def test_missing_stream_output_is_empty_but_other_errors_are_raised(spark, tmpdi
     spark.range(3).selectExpr("CAST(id AS STRING) AS k", "'x' AS v").write.parquet(path)
     with pytest.raises(Exception, match="PARQUET_COLUMN_DATA_TYPE_MISMATCH"):
         ST._latest(spark, f"{tmpdir_path}/bad", ["k"], schema).collect()
+
+
+SESSION_BATCHES = [  # session, seq, line, seconds
+    [(1, i, f"a{i}", i) for i in range(5)] + [(2, 1, "b1", 3), (None, 1, "n1", 4)],
+    [(3, 1, "c1", 500), (3, None, "c-null", 500)],
+    [(3, 2, "c2", 9000), (3, 2, "c2", 9000), (3, 2, None, 9000)],    # the watermark moves on: 1, 2 and null are closed
+    [(2, 7, "b7", 9100), (4, 1, "d1", 9100)],                        # 2 comes back
+    [(1, 3, "late a3", 20), (2, 8, "b8", 9200)],                     # behind the watermark
+    [(4, 2, "d2", 30000)], [(5, 1, "e1", 30001)], [(2, 9, "b9", 30002)],
+]
+
+
+def _session_stream(spark, folder, batches, first=0):
+    schema = "session_id long, seq long, line string, at long"
+    for i, rows in enumerate(batches, first):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/b{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return stream.selectExpr("session_id", "seq", "line", "timestamp_seconds(at) AS ts")
+
+
+def _last_lines(batches, n, late=("late a3",)):
+    rows = [(s, q, t) for b in batches for s, q, t, _ in b if t not in late]
+    out = []
+    for session in {s for s, _, _ in rows}:
+        mine = sorted((r for r in rows if r[0] == session), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or ""))
+        out += mine[-n:]
+    return sorted(out, key=str)
+
+
+def test_session_memory_equals_batch_over_many_batches(spark, tmpdir_path):
+    for n in (1, 2, 4):
+        root = f"{tmpdir_path}/n{n}"
+        got = ST.session_memory(_session_stream(spark, f"{root}/in", SESSION_BATCHES), n, idle_seconds=600, root=f"{root}/run")
+        assert got.columns == ["session_id", "seq", "line"]
+        assert sorted(map(tuple, got.collect()), key=str) == _last_lines(SESSION_BATCHES, n)
+    out = spark.read.parquet(f"{tmpdir_path}/n4/run/out")
+    # Only sessions that a batch touches or closes are written, and idle ones are closed by time.
+    per_batch = {b: {r.session_id for r in out.filter(f"_batch = {b} AND NOT closed").collect()} for b in range(len(SESSION_BATCHES))}
+    assert per_batch[1] == {"3"} and per_batch[3] == {"2", "4"} and per_batch[5] == {"4"}
+    closed = {r.session_id for r in out.filter("closed").collect()}
+    assert {"1", "2", None} <= closed
+
+
+def test_session_memory_of_a_huge_session_and_no_rows(spark, tmpdir_path):
+    many = [(7, i * 7919 % 5000, f"t{i * 7919 % 5000}", i) for i in range(5000)]
+    got = ST.session_memory(_session_stream(spark, f"{tmpdir_path}/big", [many]), 3)
+    assert sorted(r.seq for r in got.collect()) == [4997, 4998, 4999]
+    assert ST.session_memory(_session_stream(spark, f"{tmpdir_path}/none", [[]]), 3).count() == 0
+
+
+def test_streams_resume_from_their_folder(spark, tmpdir_path):
+    folder, root = f"{tmpdir_path}/in", f"{tmpdir_path}/run"
+    for upto in range(1, len(SESSION_BATCHES) + 1):
+        stream = _session_stream(spark, folder, SESSION_BATCHES[upto - 1:upto], upto - 1)
+        got = ST.session_memory(stream, 2, idle_seconds=600, root=root)
+        assert sorted(map(tuple, got.collect()), key=str) == _last_lines(SESSION_BATCHES[:upto], 2)
+    # Nothing new: the same answer.
+    again = ST.session_memory(_session_stream(spark, folder, []), 2, idle_seconds=600, root=root)
+    assert sorted(map(tuple, again.collect()), key=str) == _last_lines(SESSION_BATCHES, 2)
+
+
+def _request_rows(n, spread=7200):
+    import random
+    from datetime import datetime, timedelta
+    r, start = random.Random(n), datetime(2024, 1, 1)
+    return [(i, start + timedelta(seconds=r.randrange(spread)), r.randrange(9), r.choice(["click", "view", "error"]),
+             r.choice([None, float(r.randrange(10 ** 6))]), f'{{"k": {r.randrange(50)}}}') for i in range(n)]
+
+
+EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _request_stream(spark, folder, parts, first=0):
+    from kestrel.sources import logs_model as LM
+    for i, rows in enumerate(parts, first):
+        spark.createDataFrame(rows, EVENT_SCHEMA).coalesce(1).write.parquet(f"{folder}/b{i}")
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return ST._event_time(LM.request_log_from(stream))
+
+
+def test_sliding_windows_are_merged_panes_and_resume(spark, tmpdir_path):
+    from datetime import timedelta
+    rows = _request_rows(600)
+    folder, root = f"{tmpdir_path}/in", f"{tmpdir_path}/run"
+    ST.sliding_over(_request_stream(spark, folder, [rows[:200]]), "10 minutes", 3, "1 day", root)
+    got = ST.sliding_over(_request_stream(spark, folder, [rows[200:400], rows[400:]], 1), "10 minutes", 3, "1 day", root)
+    got = {r.window_start: r for r in got.collect()}
+    starts = {r[1].replace(minute=r[1].minute // 10 * 10, second=0) - timedelta(minutes=10 * b) for r in rows for b in range(3)}
+    assert set(got) == starts
+    for start, r in got.items():
+        mine = [x for x in rows if start <= x[1] < start + timedelta(minutes=30)]
+        values = sorted(round(x[4]) for x in mine if x[4] is not None)
+        assert (r.requests, r.failed, r.cache_hits) == (len(mine), sum(x[3] == "error" for x in mine), sum(x[3] == "view" for x in mine))
+        for q, v in ((50, r.p50_latency_ms), (95, r.p95_latency_ms), (99, r.p99_latency_ms)):
+            assert v == (values[max(0, -(-q * len(values) // 100) - 1)] if values else None)
+    # An event is in one pane of the state only.
+    last = spark.read.parquet(f"{root}/out").groupBy("pane").agg({"requests": "max"}).collect()
+    assert sum(r[1] for r in last) == len(rows)
+
+
+def test_sketched_quantiles_stay_within_the_rank_error(spark, tmpdir_path):
+    from bisect import bisect_left, bisect_right
+    rows = _request_rows(20000, spread=1800)
+    got = ST.sliding_over(_request_stream(spark, f"{tmpdir_path}/in", [rows]), "10 minutes", 3, "1 day").collect()
+    full = max(got, key=lambda r: r.requests)
+    values = sorted(round(x[4]) for x in rows if x[4] is not None)
+    assert full.requests == len(rows)
+    for q, v in ((0.5, full.p50_latency_ms), (0.95, full.p95_latency_ms), (0.99, full.p99_latency_ms)):
+        low, high = bisect_left(values, v) / len(values), bisect_right(values, v) / len(values)
+        assert low - 0.005 <= q <= high + 0.005
+
+
+def test_rate_limit_resumes(spark, tmpdir_path):
+    rows = _request_rows(300, spread=300)
+    folder, root = f"{tmpdir_path}/in", f"{tmpdir_path}/run"
+
+    def run(part, first):
+        spark.createDataFrame(part, EVENT_SCHEMA).coalesce(1).write.parquet(f"{folder}/b{first}")
+        return ST.rate_limit_over(spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/*"), 1, root=root)
+    run(rows[:150], 0)
+    got = {(r.client, r.window_start, r.requests) for r in run(rows[150:], 1).collect()}
+    whole = ST.rate_limit_over(spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/*"), 1)
+    assert got == {(r.client, r.window_start, r.requests) for r in whole.collect()} and got
