@@ -58,15 +58,25 @@ def fk_cascade(tables: dict[str, DataFrame], orders: DataFrame | None = None) ->
 
 
 def fk_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
-    """child_table, child_column, parent_table, parent_column, orphan_rows (left anti counts)."""
-    parts = []
+    """child_table, child_column, parent_table, parent_column, orphan_rows (rows whose key is not null and has no parent).
+
+    One exchange per key domain: the keys of a parent and of all tables that
+    refer to it are tagged, united and grouped once, combined map-side, so that a
+    key on a third of all rows is one counter per map task."""
+    domains: dict[tuple[str, str], list[ForeignKey]] = {}
     for fk in fks:
-        child = tables[fk.child].select(F.col(fk.column).alias("_k")).filter(F.col("_k").isNotNull())
-        parent = tables[fk.parent].select(F.col(fk.parent_column).alias("_k"))
-        n = child.join(parent, "_k", "left_anti").agg(F.count(F.lit(1)).alias("orphan_rows"))
-        parts.append(n.select(F.lit(fk.child).alias("child_table"), F.lit(fk.column).alias("child_column"),
-                              F.lit(fk.parent).alias("parent_table"),
-                              F.lit(fk.parent_column).alias("parent_column"), "orphan_rows"))
+        domains.setdefault((fk.parent, fk.parent_column), []).append(fk)
+    parts = []
+    for (parent, column), children in domains.items():
+        keyed = [(tables[parent], column), *[(tables[fk.child], fk.column) for fk in children]]
+        tagged = [df.selectExpr(f"{_q(c)} AS _k", f"{tag} AS _tag").filter("_k IS NOT NULL") for tag, (df, c) in enumerate(keyed)]
+        counts = [F.expr(f"count_if(_tag = {tag}) AS _n{tag}") for tag in range(1, len(keyed))]
+        per_key = reduce(DataFrame.unionAll, tagged).groupBy("_k").agg(F.expr("bool_or(_tag = 0) AS _known"), *counts)
+        orphans = per_key.agg(*[F.expr(f"CAST(coalesce(sum(IF(_known, 0, _n{tag})), 0) AS BIGINT) AS _n{tag}")
+                                for tag in range(1, len(keyed))])
+        rows = ", ".join(f"{_s(fk.child)}, {_s(fk.column)}, _n{tag}" for tag, fk in enumerate(children, 1))
+        parts.append(orphans.selectExpr(f"stack({len(children)}, {rows}) AS (child_table, child_column, orphan_rows)").selectExpr(
+            "child_table", "child_column", f"{_s(parent)} AS parent_table", f"{_s(column)} AS parent_column", "orphan_rows"))
     return reduce(DataFrame.unionByName, parts)
 
 

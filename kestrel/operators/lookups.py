@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.functions import metrics as M
 from kestrel.functions.text import strip
 from kestrel.operators.scalars import with_scalars
 
@@ -70,6 +71,23 @@ def lookup_states(df: DataFrame, code_col: str, out: str = "state_info") -> Data
     return j.select(*[keyed[c] for c in df.columns], F.coalesce(found, missing).alias(out))
 
 
+def sql_functions(rate: float) -> dict[str, tuple[str, str, str]]:
+    """name -> (parameters, result type, body) of the SQL functions: state text, rate conversion and business terms.
+
+    A null code has the text of no state, null amounts give null, and what has a null time is not late."""
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    states = ", ".join(f"{text(code)}, {text(f'{code} = {name} (capital: {capital})')}" for code, name, capital in BR_STATES)
+    code = "substring(upper(trim(BOTH ' \\t\\n\\r' FROM coalesce(code, ''))), 1, 2)"
+    missing = f"concat('No Brazilian state found for code \\'', {code}, '\\'.')"
+    return {
+        "state_info": ("code STRING", "STRING", f"coalesce(try_element_at(map({states}), {code}), {missing})"),
+        "to_usd": ("amount DECIMAL(38,2)", "DECIMAL(38,2)", f"CAST(round(amount * CAST({rate!r} AS DECIMAL(10,4)), 2) AS DECIMAL(38,2))"),
+        "item_revenue": ("price DECIMAL(38,2), freight DECIMAL(38,2)", "DECIMAL(38,2)", "CAST(price + freight AS DECIMAL(38,2))"),
+        "delivered_late": ("delivered TIMESTAMP_NTZ, estimated TIMESTAMP_NTZ", "BOOLEAN", M.is_late_sql("delivered", "estimated")),
+    }
+
+
 def latest_rate(rates: DataFrame, from_ccy: str = "BRL", to_ccy: str = "USD") -> DataFrame:
     """One row: the last known rate (max_by date) or the flagged fallback."""
     r = rates.filter((F.col("from_ccy") == from_ccy) & (F.col("to_ccy") == to_ccy))

@@ -12,6 +12,7 @@ from kestrel.functions import metrics as M
 from kestrel.functions.text import question_key, redact
 from kestrel.operators import logs as L
 from kestrel.operators.merge import create_store, merge_delta, read_store
+from kestrel.operators.numbering import NumberedLog
 from kestrel.operators.rolling import rolling_percentiles
 from kestrel.operators.scalars import one_row
 from kestrel.session import scratch_path
@@ -40,6 +41,17 @@ def session_assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.assign_seq(lines, "session_id", "turn", "role")
 
 
+def session_appended_seq(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
+    """Sequence numbers over three appended parts of the session log (earlier, middle and later turns), numbered part by part."""
+    lines = LM.session_lines(spark, sf_dir).selectExpr("session_id", "seq AS turn", "role", "line")
+    last = lines.groupBy("session_id").agg(F.max("turn").alias("_last"))
+    dealt = lines.join(last, "session_id").withColumn("_part", F.expr(f"least({parts - 1}, turn * {parts} DIV (_last + 1))"))
+    log = NumberedLog(spark, scratch_path(spark, f"numbered-{uuid.uuid4().hex}"), lines.schema, "session_id", "turn", "role", 16).create()
+    for k in range(parts):
+        log.append(k, dealt.filter(F.col("_part") == k).drop("_last", "_part"))
+    return log.read()
+
+
 def session_prompts(spark: SparkSession, sf_dir: str, n: int = SESSION_LINES_KEPT) -> DataFrame:
     # All turns, renumbered so that the stored numbers have gaps.
     lines = LM.session_lines(spark, sf_dir).withColumn("seq", F.expr("seq * 2 + seq DIV 5"))

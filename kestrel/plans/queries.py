@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kestrel.operators.catalog import catalog_listing
 from kestrel.plans import business as B
 from kestrel.plans import kpis as K
 from kestrel.plans import marts
@@ -41,6 +42,7 @@ commerce_query("top5_states_revenue", B.top_states_revenue)
 # ---- golden-set data questions ---------------------------------------------
 commerce_query("table_counts", B.table_counts)
 commerce_query("catalog_overview", B.catalog_overview)
+register("catalog_listing")(catalog_listing)
 commerce_query("most_common_payment", B.most_common_payment)
 commerce_query("state_most_orders", B.state_most_orders)
 commerce_query("max_score", B.max_score)
@@ -80,6 +82,7 @@ from kestrel.plans import logs as LG  # noqa: E402
 register("session_last_n")(LG.session_last_n)
 register("session_seq")(LG.session_next_seq)
 register("session_assign_seq")(LG.session_assign_seq)
+register("session_appended_seq")(LG.session_appended_seq)
 register("session_prompt")(LG.session_prompts)
 register("session_forget")(LG.session_forget)
 register("cache_hits")(LG.cache_hits)
@@ -101,6 +104,7 @@ from kestrel.plans import surface as SF  # noqa: E402
 from kestrel.streaming import streams as ST  # noqa: E402
 
 register("guarded_adhoc")(SF.guarded_adhoc)
+register("guarded_functions")(SF.guarded_functions)
 register("state_lookup")(SF.state_lookup)
 register("revenue_usd")(SF.revenue_usd)
 register("revenue_usd_asof")(SF.revenue_usd_asof)

@@ -43,10 +43,34 @@ def surface_session(spark: SparkSession, sf_dir: str) -> SparkSession:
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
         marts.register_marts(c)
+        register_functions(child, rates_table(child))
         _SURFACES[key] = child
     return _SURFACES[key]
 
 
+def register_functions(session: SparkSession, rates: DataFrame) -> None:
+    """The lookup, rate and business terms as SQL functions that statements of the session can call.
+
+    ``to_usd`` converts with the latest rate known when they are registered (one row is read)."""
+    rate = LK.latest_rate(rates).first()["rate"]
+    for name, (parameters, result, body) in LK.sql_functions(rate).items():
+        session.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+
+
+# The statement that calls them in the registered check; some states are given codes of the dimension, as users type them.
+FUNCTIONS_SQL = """
+SELECT m.state, state_info(CASE WHEN m.state LIKE '%1' THEN ' sp' WHEN m.state LIKE '%2' THEN 'Rj ' ELSE m.state END) AS state_text,
+       to_usd(m.revenue_brl) AS revenue_usd, item_revenue(m.revenue_brl, 0.50) AS with_fee,
+       (SELECT count(*) FROM orders o WHERE delivered_late(o.delivered_at, o.estimated_at)) AS late_orders
+FROM mart_state_performance m
+"""
+
+
+def guarded_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A guarded statement that calls the surface's functions."""
+    return guarded_adhoc(spark, sf_dir, FUNCTIONS_SQL)
+
+
 def guarded_adhoc(spark: SparkSession, sf_dir: str, query: str = ADHOC_SQL,
                   cap: int = DEFAULT_ROW_CAP) -> DataFrame:
     return guarded_sql(surface_session(spark, sf_dir), query, SURFACE_TABLES, cap)
