@@ -35,8 +35,8 @@ def tokenizer_path() -> str:
 
 
 def _remainder(n: int):
-    """crc32 of the doc_id as text, modulo ``n``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    """crc32 of the doc_id as text (a null one: empty text), modulo ``n``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,17 +9,22 @@ spread of characters), the words or shapes of three tokens before and one
 after, and features of the whole file (density of ``=``, of line breaks, of
 upper case).
 
-The field is trained here, on a bounded sample of at most about
-``sample_docs`` documents chosen by a hash of the text: base matches of the
-sample are the weak labels, and seeded random secrets and look-alikes (numbers,
-paths, addresses, versions) set between its words teach the forms that no
-pattern has. Only windows of tokens reach the driver.
+The field is trained here, on a bounded sample: about half of ``sample_docs``
+documents are drawn from those with a base match and half from the others, by a
+hash of the text, so that rare matches are learnt too. Base matches, all of a
+chosen document, are the weak labels, and seeded random secrets and look-alikes
+(numbers, paths, addresses, versions) set between its words teach the forms that
+no pattern has. Windows of tokens reach the driver, at most about
+``sample_windows``, drawn by their hash if there are more.
 
 Scanning is a column over whole texts, without a shuffle. Viterbi is exact: a
 token whose evidence for outside beats any gain that its neighbours' labels
 could bring is outside on every best path, so the chain is decoded between such
 tokens, all pieces of a batch side by side. Offsets are code points, ends
-exclusive. Null and empty texts have no spans.
+exclusive. Null and empty texts have no spans; equal texts, in repeated rows or
+not, have equal spans; very long texts are tagged whole, one at a time. Base
+spans of several kinds at one place all stay, in the order listed; a span of the
+field that meets a base span goes. Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from kestrel.llm.common import bounded_batches
+from kestrel.llm.common import bounded_batches, materialize
 
 # Kind, pattern, group whose length counts, least length.
 BASE = (
@@ -52,6 +57,10 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 PLACES = ("own", "l1", "l2", "l3", "r1")
 KEPT_TOKENS = 200_000
 TOKENS_AT_ONCE = 400_000
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+# Whether a text has a base match, for drawing the sample (Java and Python alike).
+_ANY_BASE = (r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
+             r"[A-Za-z0-9+/_.=-]{12}")
 
 Span = tuple[int, int, str]
 
@@ -107,11 +116,12 @@ def token_features(token: str) -> tuple[str, ...]:
 
 
 def file_features(text: str) -> tuple[str, ...]:
+    """Densities over the whole text."""
     n = max(1, len(text))
-    some = text[::max(1, n // 1000)]
+    upper = sum(map(text.count, _LETTERS.upper())) / n
     return (f"file.eq={_bucket(1000 * text.count('=') / n, .1, 2, 10)}",
             f"file.lines={_bucket(1000 * text.count(chr(10)) / n, 1, 10, 30)}",
-            f"file.upper={_bucket(sum(map(str.isupper, some)) / len(some), .1, .5) if some else 0}")
+            f"file.upper={_bucket(upper, .1, .5)}")
 
 
 # -- the field ---------------------------------------------------------------
@@ -329,7 +339,6 @@ def _spans(text: str, labels: np.ndarray) -> list[tuple[int, int]]:
 
 # -- training data -----------------------------------------------------------
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = _LETTERS + _LETTERS.upper() + "0123456789"
 _CUES = ("password is", "passwd:", "secret =", "token:", "api key", "apikey =", "bearer", "Authorization: Bearer",
          "access key:", "client_secret:", "private key", "auth_token =", "credential:", "pwd =", "pass:")
@@ -359,7 +368,7 @@ def training_windows(text: str, seed: int, side: int = 12, random_windows: int =
         labels[i:j] = INSIDE
         labels[i:i + 1] = BEGIN
     whole = file_features(text)
-    out, centres = [], [int(i) for i in np.flatnonzero(labels == BEGIN)[:4]]
+    out, centres = [], [int(i) for i in np.flatnonzero(labels == BEGIN)]
     centres += [int(i) for i in rng.integers(0, max(1, len(tokens)), random_windows)] if tokens else []
     for c in centres:
         a, b = max(0, c - side), c + side
@@ -379,11 +388,13 @@ def training_windows(text: str, seed: int, side: int = 12, random_windows: int =
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = 1000, text_col: str = "text") -> Field:
-    """Fit the field on windows of about ``sample_docs`` documents (all, if there are fewer)."""
+def train(docs: DataFrame, sample_docs: int = 1000, text_col: str = "text", sample_windows: int = 20_000) -> Field:
+    """Fit the field on windows of about ``sample_docs`` documents, half of them with a base match (all, if there are fewer)."""
     texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    total = max(1, texts.count())
+    has = F.col("text").rlike(_ANY_BASE)
+    n = texts.agg(F.count_if(has).alias("with_base"), F.count_if(~has).alias("without")).first()
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    share = [min(1.0, sample_docs / 2 / max(1, k)) for k in (n.with_base, n.without)]
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -391,8 +402,10 @@ def train(docs: DataFrame, sample_docs: int = 1000, text_col: str = "text") -> F
             yield pd.DataFrame({name: pd.Series([list(w[k]) for w in rows], dtype=object)
                                 for k, name in enumerate(("tokens", "labels", "whole"))})
 
-    sample = texts.filter(part < min(1.0, sample_docs / total)).distinct()
-    rows = sample.mapInPandas(windows, "tokens array<string>, labels array<int>, whole array<string>").toPandas()
+    sample = texts.filter(part < max(share)).filter(part < F.when(has, share[0]).otherwise(share[1])).distinct()
+    found = materialize(sample.mapInPandas(windows, "tokens array<string>, labels array<int>, whole array<string>"), "secret-windows")
+    share = min(1.0, sample_windows / max(1, found.count()))
+    rows = found.filter(F.pmod(F.xxhash64("tokens"), F.lit(1 << 30)) / float(1 << 30) < share).toPandas()
     rows = [(list(t), [int(x) for x in y], tuple(f))
             for t, y, f in zip(rows["tokens"], rows["labels"], rows["whole"], strict=True)]
     return fit(sorted(rows))

@@ -90,6 +90,53 @@ def test_field_finds_what_no_pattern_has(field):
     assert [x for _, x in scanner.scan(plain)] == [[], []]
 
 
+def planted(texts, seed):
+    """Texts with one secret set between two words, with a form and lead-in that training does not insert, and its span."""
+    r = random.Random(seed)
+    leads = ("my login key:", "use credentials", "session cookie =", "license code", "signing material:", "deploy key")
+    for text in texts:
+        at = r.choice([m.start() for m in re.finditer(" ", text)])
+        body = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(r.randrange(18, 40)))
+        secret = r.choice(["", "pat-", "AIza", "glsa_"]) + body
+        lead = f"{text[:at]} {r.choice(leads)} "
+        yield lead + secret + text[at:], (len(lead), len(lead) + len(secret))
+
+
+def test_field_finds_unseen_forms_in_held_out_documents(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) > 200")
+    field = secrets.train(docs.filter("doc_id % 2 = 0"), sample_docs=400)
+    texts = [r.text for r in docs.filter("doc_id % 2 = 1 AND length(text) < 20000").orderBy("doc_id").limit(300).collect() if " " in r.text]
+    cases = list(planted(texts, 4))
+    found = [[(a, b) for a, b, _ in every] for _, every in secrets.Scanner(field).scan([t for t, _ in cases])]
+    hits = sum(any(a < e and s < b for s, e in spans) for spans, (_, (a, b)) in zip(found, cases, strict=True))
+    right = sum(a < e and s < b for spans, (_, (a, b)) in zip(found, cases, strict=True) for s, e in spans)
+    base = sum(len(secrets.base_spans(t)) for t in texts)
+    print("recall", hits / len(cases), "precision", right / (sum(map(len, found)) - base), len(cases))
+    assert hits >= 0.9 * len(cases)
+    assert right >= 0.9 * (sum(map(len, found)) - base)
+
+
+def test_training_draws_documents_with_and_without_a_match_apart(spark):
+    rare = [(i, f"{prose(40, i)} token = a1B2c3D4e5F6g7{i:03} {prose(30, i + 7)}") for i in range(5)]
+    docs = docs_frame(spark, rare + [(100 + i, prose(60, 100 + i)) for i in range(600)])
+    field = secrets.train(docs, sample_docs=60)
+    assert any(f.startswith("l1|mark==") for f in field.weights)  # what stands before the rare matches is learnt
+    long = " ".join(f"token = {'abc123XYZ' * 2}{i:04}" for i in range(50))
+    assert sum(w[1].count(secrets.BEGIN) > 0 for w in secrets.training_windows(long, 11)) >= 50  # every match has a window
+    assert secrets.file_features("a" * 5000 + "B" * 5000)[2] == "file.upper=2"
+
+
+@pytest.mark.parametrize("name", ["op2_language_id", "op4_secret_scan", "op8_toxicity"])
+def test_queries_over_null_and_repeated_ids(spark, tmp_path, name):
+    rows = [(i, prose(30, i)) for i in range(40)] + [(None, prose(30, 1)), (None, None), (3, prose(30, 3)), (3, None), (5, "")]
+    folder = f"file://{tmp_path}"
+    write_tables(spark, folder, docs_frame(spark, rows))
+    out = llm_queries()[name](spark, folder).collect()
+    assert len(out) == len(rows)
+    if name != "op4_secret_scan":
+        assert all(r.held_out is not None for r in out)
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(5)
     for n in range(1, 8):
