@@ -131,3 +131,4 @@ register("stream_dedupe")(ST.stream_dedupe)
 register("stream_questions")(ST.stream_questions)
 register("stream_latency_quantiles")(ST.stream_latency_quantiles)
 register("stream_sliding")(ST.stream_sliding)
+register("stream_sightings")(ST.stream_sightings)

@@ -243,6 +243,13 @@ def dedupe_sightings(events: DataFrame, delay: str = "1 hour", root: str | None
     return _run_versioned(d, "dedupe", "append", root)
 
 
+def stream_sightings(spark: SparkSession, sf_dir: str, delay: str = "1 hour", root: str | None = None) -> DataFrame:
+    """Every (user, event type) that the deduplicated stream emitted, once; see :func:`dedupe_sightings`."""
+    out = dedupe_sightings(table_stream(spark, sf_dir, "events"), delay, root)
+    schema = T.StructType.fromDDL("user_id long, event_type string, ts timestamp")
+    return _versions(spark, out, schema).select("user_id", "event_type").distinct()
+
+
 QUANTILES = (0.5, 0.95, 0.99)
 
 
