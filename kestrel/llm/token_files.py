@@ -47,10 +47,16 @@ MOST_LANES = 4096
 LEAST_STEPS = 256          # a lane of fewer ids would cost more than it saves
 MIX = 1 << 12              # sum of the mixing weights
 ORDER0 = 1 << 18           # sum of the order-0 frequencies
+BITS2 = 20                 # of the hash of the two ids before
 _SHIFT = np.uint64(30)     # MIX * ORDER0 = 2 ** 30
 _LOW_END = np.uint64(1 << 40)
 _WORD = np.uint64(16)
 _TOP = np.uint64(48)
+_WORD_END = np.uint64(1 << 48)
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+# An entry of the order-2 and order-1 tables is an id and how often in a row it was right (up to 7).
+_RUN = np.uint32(7)
+_RUN_BITS = np.uint32(3)
 
 
 class Model:
@@ -59,59 +65,114 @@ class Model:
     def __init__(self, vocabulary: int):
         self.vocabulary = vocabulary
         self.seen = np.zeros(vocabulary, np.int64)
-        self.total = 0
-        self.refresh_at = 0
-        self.next1 = np.zeros(vocabulary, np.int64)
-        self.sure1 = np.zeros(vocabulary, np.int8)
-        self.bits2 = 20
-        self.next2 = np.zeros(1 << self.bits2, np.int64)
-        self.sure2 = np.zeros(1 << self.bits2, np.int8)
+        self.total = self.refresh_at = 0
+        self.recent: list[np.ndarray] = []  # ids that the frequencies do not count yet
+        self.last1 = np.zeros(vocabulary, np.uint32)
+        self.last2 = np.zeros(1 << BITS2, np.uint32)
         self.hits = np.tile(np.array([1, 1, 2], np.int64), (64, 1))
         self._count()
 
     def _count(self) -> None:
         """Order-0 frequencies, renewed whenever a tenth more ids (at most 100,000) have been seen."""
-        spare = ORDER0 - self.vocabulary
-        self.freq = 1 + self.seen * spare // max(1, self.total)
+        if self.recent:
+            self.seen += np.bincount(np.concatenate(self.recent), minlength=self.vocabulary)
+            self.recent = []
+        self.freq = 1 + self.seen * (ORDER0 - self.vocabulary) // max(1, self.total)
         self.freq[self.seen.argmax()] += ORDER0 - int(self.freq.sum())
-        self.upto = np.concatenate([[0], np.cumsum(self.freq)])
+        self.upto = np.concatenate([[0], np.cumsum(self.freq)]).astype(np.uint64)
+        self.held = None  # the id of each of the ORDER0 frequency units, laid out by a decoder only
         self.refresh_at = self.total + min(100_000, self.total // 10 + 1000)
 
-    def predict(self, two: np.ndarray, one: np.ndarray):
+    def predict(self, two: np.ndarray, one: np.ndarray) -> None:
         """Predicted ids of order 2 and 1, and the weights of order 2, 1 and 0, for each lane."""
-        self.slot = ((two * 0x9E3779B1 + one * 0x85EBCA6B) & 0xFFFFFFFF) * 0xC2B2AE35 >> (44 - self.bits2 + 8) & ((1 << self.bits2) - 1)
-        self.one = one
-        self.p2, self.p1 = self.next2[self.slot], self.next1[one]
-        self.kind = self.sure2[self.slot].astype(np.int64) * 8 + self.sure1[one]
+        context = (two << 32 | one).view(np.uint64) * _HASH
+        self.slot, self.one = (context >> np.uint64(64 - BITS2)).view(np.int64), one
+        entry2, entry1 = self.last2.take(self.slot), self.last1.take(one)
+        self.p2, self.p1 = entry2 >> _RUN_BITS, entry1 >> _RUN_BITS
+        self.run2, self.run1 = entry2 & _RUN, entry1 & _RUN
+        self.kind = (self.run2 << _RUN_BITS | self.run1).astype(np.int64)
         weights = 1 + (MIX - 3) * self.hits // self.hits.sum(axis=1, keepdims=True)
         weights[:, 2] += MIX - weights.sum(axis=1)
-        return self.p2, self.p1, weights[self.kind, 0], weights[self.kind, 1], weights[self.kind, 2]
+        weights = weights.astype(np.uint64)
+        self.w2 = (weights[:, 0] * np.uint64(ORDER0)).take(self.kind)  # what order 2 and 1 add to their ids
+        self.w1 = (weights[:, 1] * np.uint64(ORDER0)).take(self.kind)
+        self.w0 = weights[:, 2].take(self.kind)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's id, of 2 ** 30 in all."""
+        self.narrow = ids.astype(np.uint32)
+        self.hit2, self.hit1 = self.narrow == self.p2, self.narrow == self.p1
+        start = self.upto.take(ids)
+        size = (self.upto.take(ids + 1) - start) * self.w0
+        start *= self.w0
+        size += self.w2 * self.hit2
+        size += self.w1 * self.hit1
+        start += self.w2 * (self.p2 < self.narrow)
+        start += self.w1 * (self.p1 < self.narrow)
+        return start, size
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold the places."""
+        p2, p1 = self.p2.astype(np.int64), self.p1.astype(np.int64)
+        same = p1 == p2
+        start2 = self.upto.take(p2)
+        end2 = self.upto.take(p2 + 1) * self.w0 + self.w2
+        start2 *= self.w0
+        start1 = self.upto.take(p1)
+        end1 = self.upto.take(p1 + 1) * self.w0 + self.w1
+        start1 *= self.w0
+        before2, before1 = self.w1 * (p1 < p2), self.w2 * (p2 < p1)
+        start2 += before2
+        end2 += before2 + self.w1 * same
+        start1 += before1
+        end1 += before1 + self.w2 * same
+        after2, after1 = place >= start2, place >= start1
+        hit2, hit1 = after2 & (place < end2), after1 & (place < end1)
+        ids = np.where(hit2, p2, p1)
+        # Neither: what the two add to the ids behind them is taken off.
+        miss = np.flatnonzero(~(hit2 | hit1))
+        rest = place[miss] - self.w2[miss] * after2[miss] - self.w1[miss] * after1[miss]
+        if self.held is None:
+            self.held = np.repeat(np.arange(self.vocabulary), self.freq)
+        ids[miss] = self.held.take(_quotient(rest, self.w0[miss]).view(np.int64))
+        return ids
 
     def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.p2, ids == self.p1
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
+        """Take in the ids last given to :meth:`interval`."""
+        outcome = np.where(self.hit2, 0, np.where(self.hit1, 1, 2))
         self.hits += np.bincount(self.kind * 3 + outcome, minlength=192).reshape(64, 3)
-        self.sure2[self.slot] = np.where(hit2, np.minimum(self.sure2[self.slot] + 1, 7), 0)
-        self.sure1[self.one] = np.where(hit1, np.minimum(self.sure1[self.one] + 1, 7), 0)
-        self.next2[self.slot] = ids
-        self.next1[self.one] = ids
-        np.add.at(self.seen, ids, 1)
+        entry = self.narrow << _RUN_BITS
+        self.last2[self.slot] = entry | np.minimum(self.run2 + np.uint32(1), _RUN) * self.hit2
+        self.last1[self.one] = entry | np.minimum(self.run1 + np.uint32(1), _RUN) * self.hit1
+        self.recent.append(ids)
         self.total += len(ids)
         if self.total >= self.refresh_at:
             self._count()
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a // b`` of uint64 with quotients below 2 ** 31: divided as doubles, which is off by one at most, and set right."""
+    q = (a.astype(np.float64) / b.astype(np.float64)).astype(np.uint64)
+    rest = (a - q * b).view(np.int64)
+    q -= rest < 0
+    q += rest >= b.view(np.int64)
+    return q
+
+
 def _shape(n: int) -> tuple[int, int]:
     """(lanes, steps) for ``n`` ids; only the last lane may be shorter."""
     steps = max(LEAST_STEPS, -(-n // MOST_LANES))
     return -(-n // steps), steps
 
 
-def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes that must give out a word, and their narrowed span (carry-less)."""
-    same = (low ^ (low + span)) >> _TOP == 0
-    tight = ~same & (span < _LOW_END)
-    return same | tight, np.where(tight, (np.uint64(0) - low) & (_LOW_END - np.uint64(1)), span)
+def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Lanes that must give out a word; spans too narrow without a common word are cut (carry-less)."""
+    out = (low ^ (low + span)) < _WORD_END
+    tight = np.flatnonzero((span < _LOW_END) & ~out)
+    if len(tight):
+        span[tight] = (np.uint64(0) - low[tight]) & (_LOW_END - np.uint64(1))
+        out[tight] = True
+    return out
 
 
 def code(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,28 +191,27 @@ def code(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         if not n:
             break
         x = table[t, :n]
-        p2, p1, w2, w1, w0 = model.predict(two[:n], one[:n])
-        size, start = model.freq[x] * w0, model.upto[x] * w0
-        size += ORDER0 * (w2 * (x == p2) + w1 * (x == p1))
-        start += ORDER0 * (w2 * (p2 < x) + w1 * (p1 < x))
+        model.predict(two[:n], one[:n])
+        start, size = model.interval(x)
         unit = span[:n] >> _SHIFT
-        lo, sp = low[:n] + unit * start.astype(np.uint64), unit * size.astype(np.uint64)
-        out, sp = _settled(lo, sp)
-        while out.any():
-            at = np.flatnonzero(out)
-            of.append(at)
-            words.append((lo[at] >> _TOP).astype(np.uint16))
-            lo[at] <<= _WORD
-            sp[at] <<= _WORD
-            more, narrowed = _settled(lo[at], sp[at])
-            sp[at] = narrowed
-            out = np.zeros(n, bool)
-            out[at] = more
-        low[:n], span[:n] = lo, sp
+        start *= unit
+        size *= unit
+        low[:n] += start
+        span[:n] = size
+        at = np.flatnonzero(_settled(low[:n], span[:n]))
+        while len(at):
+            lo, sp = low[at], span[at]
+            of.append(at.astype(np.uint16))
+            words.append((lo >> _TOP).astype(np.uint16))
+            lo <<= _WORD
+            sp <<= _WORD
+            out = _settled(lo, sp)
+            low[at], span[at] = lo, sp
+            at = at[out]
         two, one = one[:n], x
         model.learn(x)
     for k in range(4):  # the rest of each coder
-        of.append(np.arange(lanes))
+        of.append(np.arange(lanes, dtype=np.uint16))
         words.append((low >> np.uint64(48 - 16 * k)).astype(np.uint16))
     of, words = np.concatenate(of), np.concatenate(words)
     order = np.argsort(of, kind="stable")
@@ -178,38 +238,25 @@ def decode(per_lane: np.ndarray, words: np.ndarray, n_ids: int, vocabulary: int)
         n = lanes if t < last else lanes - 1
         if not n:
             break
-        p2, p1, w2, w1, w0 = model.predict(two[:n], one[:n])
+        model.predict(two[:n], one[:n])
         unit = span[:n] >> _SHIFT
-        place = np.minimum((value[:n] - low[:n]) // unit, np.uint64(MIX * ORDER0 - 1)).astype(np.int64)
-        # Either predicted id is hit, or what they add to all ids behind them is taken off.
-        extra2, extra1 = ORDER0 * w2, ORDER0 * w1
-        start2 = model.upto[p2] * w0 + extra1 * (p1 < p2)
-        start1 = model.upto[p1] * w0 + extra2 * (p2 < p1)
-        same = p1 == p2
-        hit2 = (place >= start2) & (place < start2 + model.freq[p2] * w0 + extra2 + extra1 * same)
-        hit1 = (place >= start1) & (place < start1 + model.freq[p1] * w0 + extra1 + extra2 * same)
-        x = np.where(hit2, p2, p1)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        at0 = place[miss]
-        at0 = at0 - extra2[miss] * (at0 >= start2[miss]) - extra1[miss] * (at0 >= start1[miss])
-        x[miss] = np.searchsorted(model.upto, at0 // w0[miss], side="right") - 1
+        x = model.find(np.minimum(_quotient(value[:n] - low[:n], unit), np.uint64(MIX * ORDER0 - 1)))
         table[t, :n] = x
-        size, start = model.freq[x] * w0, model.upto[x] * w0
-        size += ORDER0 * (w2 * (x == p2) + w1 * (x == p1))
-        start += ORDER0 * (w2 * (p2 < x) + w1 * (p1 < x))
-        lo, sp = low[:n] + unit * start.astype(np.uint64), unit * size.astype(np.uint64)
-        out, sp = _settled(lo, sp)
-        while out.any():
-            k = np.flatnonzero(out)
+        start, size = model.interval(x)
+        start *= unit
+        size *= unit
+        low[:n] += start
+        span[:n] = size
+        k = np.flatnonzero(_settled(low[:n], span[:n]))
+        while len(k):
+            lo, sp = low[k], span[k]
             value[k] = value[k] << _WORD | words[np.minimum(at[k], len(words) - 1)]
             at[k] += 1
-            lo[k] <<= _WORD
-            sp[k] <<= _WORD
-            more, narrowed = _settled(lo[k], sp[k])
-            sp[k] = narrowed
-            out = np.zeros(n, bool)
-            out[k] = more
-        low[:n], span[:n] = lo, sp
+            lo <<= _WORD
+            sp <<= _WORD
+            out = _settled(lo, sp)
+            low[k], span[k] = lo, sp
+            k = k[out]
         two, one = one[:n], x
         model.learn(x)
     return table.T.reshape(-1)[:n_ids].astype(np.uint32)
