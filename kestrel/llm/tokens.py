@@ -33,6 +33,7 @@ _RARE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e]")
 # Bytes that such white space contains or begins with: a quick test before the exact one.
 _SUSPECT = bytes(1 if b in (9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3) else 0 for b in range(256))
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_ENDS = (".", ",")
 _WORDS = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -47,24 +48,46 @@ _LETTERS = _byte_letters()
 _ID_BYTES = [i.to_bytes(4, "little") for i in range(1 << 16)]  # a vocabulary of at most 65,536 ids
 
 
+class _Parts(dict):
+    """pre-token -> ids, as bytes; filled on demand."""
+
+    def __init__(self, model):
+        super().__init__()
+        self._bpe = model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        letters = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(_LETTERS)
+        ids = b"".join([_ID_BYTES[t.id] for t in self._bpe(letters)])
+        if len(part) <= LONGEST_KEPT:
+            self[part] = ids
+        return ids
+
+
 class _Pieces(dict):
-    """word -> ids, as bytes, of a blank and the word; filled on demand."""
+    """word -> ids, as bytes, of a blank and the word; filled on demand.
+
+    A word of several pre-tokens (``end.\\nNext,``) is put together from theirs, and only words of one
+    are kept: new compounds of known words cost no BPE."""
 
     def __init__(self, model, known: dict[str, bytes]):
         super().__init__(known)
+        self.parts = _Parts(model)
         self._bpe = model.tokenize
 
     def __missing__(self, word: str) -> bytes:
         if word.isascii():
             if word.isalpha():
-                parts = ("\u0120" + word,)
-            elif word[:-1].isalpha() and word[-1] in ".,":
-                parts = ("\u0120" + word[:-1], word[-1])
-            else:
-                parts = [p.translate(_LETTERS) for p in _WORDS.findall(" " + word)]
-        else:
-            parts = [p.encode().decode("latin-1").translate(_LETTERS) for p in _WORDS.findall(" " + word)]
-        ids = b"".join([_ID_BYTES[t.id] for p in parts for t in self._bpe(p)])
+                return self._new(word, "\u0120" + word)
+            if word[-1:] in _ENDS and word[:-1].isalpha():
+                return self[word[:-1]] + self.parts[word[-1]]
+        first, *rest = _WORDS.findall(" " + word)
+        if not rest:
+            return self._new(word, first.encode().decode("latin-1").translate(_LETTERS))
+        head = self[first[1:]] if len(first) > 1 else self.parts[first]
+        return head + b"".join(map(self.parts.__getitem__, rest))
+
+    def _new(self, word: str, letters: str) -> bytes:
+        ids = b"".join([_ID_BYTES[t.id] for t in self._bpe(letters)])
         if len(word) <= LONGEST_KEPT:
             self[word] = ids
         return ids
@@ -87,14 +110,13 @@ class Encoder:
 
     def _head(self, text: str) -> bytes:
         """Ids of a piece without a blank before it."""
-        parts = [p.encode().decode("latin-1").translate(_LETTERS) for p in _WORDS.findall(text)]
-        return b"".join([_ID_BYTES[t.id] for p in parts for t in self._model.tokenize(p)])
+        return b"".join(map(self._kept.parts.__getitem__, _WORDS.findall(text)))
 
     def encode(self, text: str) -> np.ndarray:
         """uint32 ids of the text."""
         if any(s in text for s in self._special) or 1 in text.encode().translate(_SUSPECT) and _RARE.search(text):
             return np.frombuffer(self._whole(text), "<u4")
-        if len(self._kept) > len(self._known) + KEPT_PIECES:
+        if len(self._kept) + len(self._kept.parts) > len(self._known) + KEPT_PIECES:
             self._kept = _Pieces(self._model, self._known)
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
             head, *rest = _CUT.split(text)
