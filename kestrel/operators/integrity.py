@@ -80,18 +80,28 @@ def fk_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def _fingerprints(df: DataFrame) -> DataFrame:
+    """_h1, _h2 (a 96-bit fingerprint of a row), _n (its rows), _nulls (their null cells), combined map-side."""
+    refs = ", ".join(_q(c) for c in df.columns)
+    nulls = " + ".join(f"CAST({_q(c)} IS NULL AS BIGINT)" for c in df.columns) or "0L"
+    return (df.selectExpr(f"xxhash64({refs}) AS _h1", f"hash({refs}) AS _h2", f"{nulls} AS _nulls")
+            .groupBy("_h1", "_h2").agg(F.expr("count(1) AS _n"), F.expr("sum(_nulls) AS _nulls")))
+
+
+def duplicate_rows(df: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     """One row: full-row duplicates beyond the first, exact.
 
     Phase 1 shuffles only a 96-bit fingerprint per row (a 64-bit and a
     32-bit hash) to find fingerprints seen more than once; phase 2 groups
     the full rows of just those candidates, so hash collisions cannot
-    miscount. With few duplicates, phase 2 touches a sliver of the table."""
+    miscount. With few duplicates, phase 2 touches a sliver of the table.
+    ``prints`` gives the fingerprints of :func:`_fingerprints`, already planned."""
     refs = ", ".join(_q(c) for c in df.columns)
-    fp = df.selectExpr(f"xxhash64({refs}) AS _h1", f"hash({refs}) AS _h2", "*")
-    dup_fp = (fp.groupBy("_h1", "_h2").agg(F.expr("count(1) AS _n"))
-                .filter("_n > 1").select("_h1", "_h2"))
-    candidates = fp.join(dup_fp, ["_h1", "_h2"], "left_semi")
+    prints = _fingerprints(df) if prints is None else prints
+    # Naming _nulls keeps it in this plan, so that Spark reuses the exchange of whoever else reads ``prints``.
+    repeated = prints.filter("_n > 1 AND _nulls >= 0").select("_h1", "_h2")
+    rows = df.selectExpr(f"xxhash64({refs}) AS _h1", f"hash({refs}) AS _h2", "*")
+    candidates = rows.join(repeated, ["_h1", "_h2"], "left_semi")
     # Grouping by one struct of all columns equals grouping by the columns
     # (NULLs compare equal in both).
     return (candidates.groupBy(F.expr(f"struct({refs}) AS _row")).agg(F.expr("count(1) AS _c"))
@@ -101,11 +111,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame, name: str) -> DataFrame:
     """table, rows, cols, null_cells, duplicate_rows (full-row duplicates beyond the first).
 
-    Null cells come from one aggregate pass; duplicates from the fingerprint
-    pass of :func:`duplicate_rows`."""
-    nulls = " + ".join(f"count_if({_q(c)} IS NULL)" for c in df.columns) or "0"
-    base = df.agg(F.expr("count(1) AS rows"), F.expr(f"CAST({nulls} AS BIGINT) AS null_cells"))
-    return one_row(base, duplicate_rows(df)).selectExpr(
+    Rows and null cells are summed from the fingerprint groups that
+    :func:`duplicate_rows` uses, so one scan serves all three; a second one reads
+    the rows of repeated fingerprints."""
+    prints = _fingerprints(df)
+    base = prints.agg(F.expr("CAST(coalesce(sum(_n), 0) AS BIGINT) AS rows"),
+                      F.expr("CAST(coalesce(sum(_nulls), 0) AS BIGINT) AS null_cells"))
+    return one_row(base, duplicate_rows(df, prints)).selectExpr(
         f"{_s(name)} AS table_name", "rows", f"{len(df.columns)} AS cols", "null_cells", "duplicate_rows")
 
 

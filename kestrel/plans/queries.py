@@ -117,6 +117,7 @@ register("sql_audit")(SV.sql_audit)
 register("sql_error_triage")(SV.sql_error_triage)
 register("eval_scores")(SV.eval_scores)
 register("eval_summary")(SV.eval_summary)
+register("eval_report")(SV.eval_report)
 register("trace_shapes")(SV.trace_shapes)
 register("last_sql_steps")(SV.last_sql_steps)
 register("request_log_json")(SV.request_log_json)

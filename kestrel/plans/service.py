@@ -12,7 +12,7 @@ from kestrel.operators import evaluate, guard, shape
 from kestrel.operators.logs import request_metrics
 from kestrel.session import scratch_path
 from kestrel.sources import logs_model as LM
-from kestrel.sources.raw import read_json_log
+from kestrel.sources.raw import read_json_log, write_report
 from kestrel.sources.tables import Tables
 
 # Stand-in SQL log: a statement per conversation turn, so that every verdict occurs.
@@ -81,6 +81,13 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summarize(_scored(spark, sf_dir))
 
 
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation summary written as a JSON report and read back."""
+    summary = eval_summary(spark, sf_dir)
+    path = write_report(summary, scratch_path(spark, f"eval-report-{uuid.uuid4().hex[:12]}"))
+    return spark.read.schema(summary.schema).json(path)
+
+
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace per conversation, a step per turn; observations are row lists of several forms, or prose."""
     steps = Tables(spark, sf_dir).conversations.selectExpr("conv_id", "turn", """struct(
