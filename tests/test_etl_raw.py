@@ -198,3 +198,14 @@ def test_null_revenue_sorts_first_and_null_category_kept(spark, tables):
     got = [(r["category_name_en"], r["revenue_brl"]) for r in business.top_categories_raw(etl.CleanModel(t), 5).collect()]
     assert got[0] == ("beta", None)
     assert (None, Decimal("330.00")) in got
+
+
+def test_report_joins_orders_with_their_items_once(spark, raw_dir):
+    tables = etl.build_all(spark, raw_dir, PREFIX)
+    m = etl.ReportModel(tables)
+    orders = m.orders(with_items_only=True)
+    assert m.orders(with_items_only=True) is orders
+    assert all("report-orders" in f for f in orders.inputFiles()) and orders.inputFiles()
+    key = ["order_id", "n_items", "items_revenue_cents", "is_late", "purchased_at"]
+    plain = etl.CleanModel(tables).orders(with_items_only=True)
+    assert sorted(map(tuple, orders.select(key).collect()), key=repr) == sorted(map(tuple, plain.select(key).collect()), key=repr)
