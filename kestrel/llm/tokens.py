@@ -1,40 +1,53 @@
 """Token ids of whole texts with a public tokenizer file, inside Spark tasks.
 
-A text is cut before every single space between two non-space characters: for
-a byte-level BPE no pre-token crosses such a cut, so the ids of the pieces
-joined are the ids of the text. Texts with a special string of the tokenizer, or with rare
-white space, go through the library uncut.
+Many texts are cut at once: the code points of all of them lie in one array, each has
+a class (letter, number, blank, line feed, other), and the pre-tokens of a byte-level BPE
+(``public_tokenizers.PATTERN``) begin where the classes say so. Arrow lists the distinct pre-tokens,
+each is encoded once, and the ids of all texts are gathered by numpy. Texts with a
+special string of the tokenizer, or with rare white space, go through the library uncut.
 
-Pieces recur. The most frequent ones of a sample of the documents are encoded
+Pre-tokens recur. The most frequent words of a sample of the documents are encoded
 once and shared with all tasks (:func:`frequent_pieces`); each task keeps the ids
-of further pieces in a bounded table of its own, which falls back to the shared one
+of further pre-tokens in a bounded table of its own, which is emptied
 when it is full and ends with the task. Both change only the speed: the BPE of every
-piece is the tokenizers library's.
+pre-token is the tokenizers library's.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-KEPT_PIECES = 150_000
+KEPT_PIECES = 400_000
 FREQUENT_PIECES = 100_000
 SAMPLE_ROWS = 8_000         # about so many documents are sampled for the frequent pieces
 LONGEST_KEPT = 48
+CHARS_AT_ONCE = 4_000_000   # texts are cut together until they have so many code points
 # White space beside blank and line feed, on some of which libraries differ: such a text is encoded uncut.
 _RARE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e]")
-# Bytes that such white space contains or begins with: a quick test before the exact one.
-_SUSPECT = bytes(1 if b in (9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3) else 0 for b in range(256))
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ENDS = (".", ",")
-_WORDS = regex.compile(public_tokenizers.PATTERN)
+_OTHER, _LETTER, _NUMBER, _FEED, _BLANK, _UNCUT = range(6)
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every code point, as the library's pattern and ``_RARE`` see it."""
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    table = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
+    for kind, found in ((_LETTER, regex.finditer(r"\p{L}+", points)), (_NUMBER, regex.finditer(r"\p{N}+", points)),
+                        (_UNCUT, _RARE.finditer(points))):
+        for m in found:
+            table[np.frombuffer(m.group().encode("utf-32-le"), "<u4")] = kind
+    table[ord("\n")], table[ord(" ")] = _FEED, _BLANK
+    return table
 
 
 def _byte_letters() -> dict[int, str]:
@@ -49,48 +62,50 @@ _ID_BYTES = [i.to_bytes(4, "little") for i in range(1 << 16)]  # a vocabulary of
 
 
 class _Parts(dict):
-    """pre-token -> ids, as bytes; filled on demand."""
+    """pre-token -> ids, as bytes; filled on demand, from ``known`` if that has it."""
 
-    def __init__(self, model):
+    def __init__(self, model, known: dict[str, bytes]):
         super().__init__()
-        self._bpe = model.tokenize
+        self._bpe, self._known = model.tokenize, known
 
     def __missing__(self, part: str) -> bytes:
-        letters = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(_LETTERS)
-        ids = b"".join([_ID_BYTES[t.id] for t in self._bpe(letters)])
+        ids = self._known.get(part[1:]) if part[0] == " " else None
+        if ids is None:
+            ids = b"".join([_ID_BYTES[t.id] for t in self._bpe(part.encode().decode("latin-1").translate(_LETTERS))])
         if len(part) <= LONGEST_KEPT:
             self[part] = ids
         return ids
 
 
-class _Pieces(dict):
-    """word -> ids, as bytes, of a blank and the word; filled on demand.
-
-    A word of several pre-tokens (``end.\\nNext,``) is put together from theirs, and only words of one
-    are kept: new compounds of known words cost no BPE."""
-
-    def __init__(self, model, known: dict[str, bytes]):
-        super().__init__(known)
-        self.parts = _Parts(model)
-        self._bpe = model.tokenize
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii():
-            if word.isalpha():
-                return self._new(word, "\u0120" + word)
-            if word[-1:] in _ENDS and word[:-1].isalpha():
-                return self[word[:-1]] + self.parts[word[-1]]
-        first, *rest = _WORDS.findall(" " + word)
-        if not rest:
-            return self._new(word, first.encode().decode("latin-1").translate(_LETTERS))
-        head = self[first[1:]] if len(first) > 1 else self.parts[first]
-        return head + b"".join(map(self.parts.__getitem__, rest))
-
-    def _new(self, word: str, letters: str) -> bytes:
-        ids = b"".join([_ID_BYTES[t.id] for t in self._bpe(letters)])
-        if len(word) <= LONGEST_KEPT:
-            self[word] = ids
-        return ids
+def _starts(points: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where a pre-token begins, by code point; ``first`` marks the first one of every text.
+
+    The last of several white-space characters before a text goes on begins a pre-token; a blank there belongs
+    to what follows it, a line feed does not. An apostrophe with nothing before it in its
+    pre-token takes one of ``s t re ve m ll d`` from the letters behind it."""
+    white = kinds >= _FEED
+    starts = first.copy()
+    starts[1:] |= kinds[1:] != kinds[:-1]
+    after_white = np.zeros_like(starts)
+    after_white[1:] = white[:-1] & ~first[1:]
+    goes_on = np.zeros_like(starts)  # the next one is of the same text and no white space
+    goes_on[:-1] = ~white[1:] & ~first[1:]
+    starts[white] = (~after_white | goes_on)[white]
+    joined = np.zeros_like(starts)   # to the blank before
+    joined[1:] = (kinds[:-1] == _BLANK) & ~first[1:] & ~white[1:]
+    starts &= ~joined
+    at = np.flatnonzero(starts & (points == ord("'")))
+    ends = np.append(first, [True, True, True])
+    wide = np.append(points, np.zeros(3, points.dtype))
+    one, two = wide[at + 1], wide[at + 2]
+    has1 = ~ends[at + 1]
+    has2 = has1 & ~ends[at + 2]
+    short = has1 & np.isin(one, [ord(c) for c in "stmd"])
+    long = has2 & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    starts[at[short | long] + 1] = False
+    behind = np.concatenate([at[short] + 2, at[long] + 3])
+    starts[behind[behind < len(starts)]] = True
+    return starts
 
 
 class Encoder:
@@ -100,34 +115,76 @@ class Encoder:
         self._tok = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values() if t.content]
         self._model = self._tok.model
-        if hasattr(self._model, "_resize_cache"):  # pieces are kept here
+        if hasattr(self._model, "_resize_cache"):  # pre-tokens are kept here
             self._model._resize_cache(0)
         self._known = known or {}
-        self._kept = _Pieces(self._model, self._known)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _head(self, text: str) -> bytes:
-        """Ids of a piece without a blank before it."""
-        return b"".join(map(self._kept.parts.__getitem__, _WORDS.findall(text)))
+        self._kept = _Parts(self._model, self._known)
 
     def encode(self, text: str) -> np.ndarray:
         """uint32 ids of the text."""
-        if any(s in text for s in self._special) or 1 in text.encode().translate(_SUSPECT) and _RARE.search(text):
-            return np.frombuffer(self._whole(text), "<u4")
-        if len(self._kept) + len(self._kept.parts) > len(self._known) + KEPT_PIECES:
-            self._kept = _Pieces(self._model, self._known)
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
-            head, *rest = _CUT.split(text)
-            rest = [w[1:] for w in rest]
-        else:
-            head, *rest = text.split(" ")
-        return np.frombuffer(self._head(head) + b"".join(map(self._kept.__getitem__, rest)), "<u4")
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """uint32 ids of each text in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= CHARS_AT_ONCE:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        out = [np.zeros(0, "<u4")] * len(texts)
+        cut = [k for k, t in enumerate(texts) if t]
+        points = np.frombuffer("".join([texts[k] for k in cut]).encode("utf-32-le"), "<u4")
+        if not len(points):
+            return out
+        ends = np.cumsum([len(texts[k]) for k in cut])
+        first = np.zeros(len(points), bool)
+        first[ends - [len(texts[k]) for k in cut]] = True
+        kinds = _classes().take(points)
+        uncut = {cut[i] for i in np.searchsorted(ends, np.flatnonzero(kinds == _UNCUT), "right").tolist()}
+        uncut |= {k for k in cut if any(s in texts[k] for s in self._special)}
+        if uncut:
+            for k in uncut:
+                out[k] = self._whole(texts[k])
+            for k, ids in zip([k for k in cut if k not in uncut],
+                              self._together([texts[k] for k in cut if k not in uncut]), strict=True):
+                out[k] = ids
+            return out
+        ids, upto = self._cut(points, np.flatnonzero(_starts(points, kinds, first)), "".join([texts[k] for k in cut]).encode(), ends)
+        for k, x in zip(cut, np.split(ids, upto[:-1]), strict=True):
+            out[k] = x
+        return out
+
+    def _cut(self, points: np.ndarray, starts: np.ndarray, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens, number of ids up to each text's end) of the texts whose UTF-8 is ``data``."""
+        raw = np.frombuffer(data, np.uint8)
+        at = starts if len(raw) == len(points) else np.flatnonzero((raw & 0xC0) != 0x80)[starts]
+        offsets = np.append(at, len(raw)).astype(np.int32 if len(raw) < 1 << 31 else np.int64)
+        kind = pa.StringArray if offsets.itemsize == 4 else pa.LargeStringArray
+        parts = kind.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        if len(self._kept) > KEPT_PIECES:
+            self._kept = _Parts(self._model, self._known)
+        of = [self._kept[p] for p in parts.dictionary.to_pylist()]
+        flat = np.frombuffer(b"".join(of), "<u4")
+        counts = np.array([len(x) >> 2 for x in of], np.int64)
+        which = parts.indices.to_numpy()
+        n = counts[which]
+        total = np.cumsum(n)
+        place = np.repeat((np.cumsum(counts) - counts)[which] - total + n, n)
+        place += np.arange(len(place))
+        return flat[place], total[np.searchsorted(starts, ends) - 1]
 
     def table(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of a blank and each word."""
-        return {w: self._kept[w] for w in words if len(w) <= LONGEST_KEPT}
+        words = [w for w in words if len(w) <= LONGEST_KEPT]
+        return dict(zip(words, [x.tobytes() for x in self.encode_all([" " + w for w in words])], strict=True))
 
 
 def frequent_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", rows: int = SAMPLE_ROWS,
@@ -146,4 +203,4 @@ def frequent_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", row
 
 def encoded(texts: Iterable[str | None], encoder: Encoder) -> Iterator[np.ndarray]:
     """Ids of each text (null: empty) in order."""
-    return (encoder.encode(t or "") for t in texts)
+    return encoder.encode_all(t or "" for t in texts)

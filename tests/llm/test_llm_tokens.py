@@ -7,7 +7,7 @@ import pytest
 from llm_cases import docs_frame, odd_rows, prose, write_tables
 from tokenizers import Tokenizer
 
-from kestrel.llm import packing, token_files
+from kestrel.llm import packing, token_files, tokens
 from kestrel.llm.queries import VOCABULARY, llm_queries, tokenizer_path
 from kestrel.llm.tokens import Encoder, frequent_pieces
 
@@ -28,6 +28,20 @@ def test_pieces_encode_like_the_library(text):
     assert Encoder(tokenizer_path(), known).encode(text).tolist() == library_ids(text)
 
 
+def test_texts_cut_together_encode_like_the_library(monkeypatch):
+    rng = np.random.default_rng(3)
+    bits = ["a", "s", "t", "re", "ve", "ll", "m", "d", "'", "\u2019", " ", "  ", "\n", "\n\n", "1", "22", ".", "!?", "\u00e9", "\u0301",
+            "\u4e2d", "\U0001f642", "\u0663", "word", "IT", "'S", "\t", "\xa0", "<|endoftext|>", "x" * 60]
+    texts = ["".join(rng.choice(bits[:26] if k % 10 else bits, rng.integers(0, 25))) for k in range(3000)] + ODD_TEXTS
+    known = Encoder(tokenizer_path()).table(["a", "word", "IT", "x" * 48, "we'll"])
+    for at_once in (1, 500, 10**6):
+        monkeypatch.setattr(tokens, "CHARS_AT_ONCE", at_once)
+        got = list(Encoder(tokenizer_path(), known).encode_all(texts))
+        assert [x.tolist() for x in got] == [x.ids for x in Tokenizer.from_file(tokenizer_path()).encode_batch(
+            texts, add_special_tokens=False)]
+    assert list(Encoder(tokenizer_path()).encode_all([])) == []
+
+
 def test_special_string_is_one_id():
     assert Encoder(tokenizer_path()).encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
