@@ -115,7 +115,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A proof for every document, checked against a text with A-Z lower-cased where 5 divides the crc32 of its id."""
     docs = table(spark, sf_dir, "documents")
     fields = [F.translate("text", UPPER, LOWER) if f == "text" else F.col(f) for f in merkle.FIELDS]
-    manifest = merkle.build_manifest(docs, claimed=F.when(_remainder(5) == 0, merkle.leaf_digest(fields)))
+    chosen = F.col("doc_id").isNotNull() & (_remainder(5) == 0)
+    manifest = merkle.build_manifest(docs, claimed=F.when(chosen, merkle.leaf_digest(fields)))
     return merkle.prove(manifest).select(
         F.col("key").alias("doc_id"), "leaf", "subroot", "root",
         merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
