@@ -10,17 +10,17 @@ probability of an id mixes three predictions: the id that last followed the
 two ids before (order 2, hashed), the id that last followed the id before
 (order 1), and the id frequencies so far (order 0). The mixing weights are
 learnt: they are the hit rates, so far, of the order-2 and order-1 predictions
-given how often either was right before. Each lane has a 64-bit carry-less range
-coder; after a step the model learns the step's ids. The decoder repeats the
+given how often either was right before. Each lane has a 64-bit range coder
+that gives out 32-bit words (a carry is added to the words before at the end); after a step the model learns the step's ids. The decoder repeats the
 same steps.
 
 File layout. A corpus is a Parquet table with one block a row (part, block,
 n_ids, data), written by Spark's committer, so that any store and a retried
 task are safe; ``part`` and ``block`` ascend with doc_id (null first, ties by
 a text hash). Block bytes, little-endian:
-``KTK1``, vocabulary u32, documents u32, ids u64, lanes u32, crc32 of the ids
+``KTK2``, vocabulary u32, documents u32, ids u64, lanes u32, crc32 of the ids
 u32, then per document id i64, null flag u8 and count u64, per lane the number of
-words u32, the words u16, and the crc32 of all that u32.
+words u32, the words u32, and the crc32 of all that u32.
 A null or empty text is a document of the end id alone; an empty table gives a
 table without rows.
 """
@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from kestrel.llm.common import bounded_batches, materialize, releasing
 from kestrel.llm.tokens import Encoder, encoded, frequent_pieces
 
-MAGIC = b"KTK1"
+MAGIC = b"KTK2"
 _HEAD = struct.Struct("<4sIIQII")
 BLOCK_IDS = 2_000_000
 MOST_LANES = 4096
@@ -48,15 +48,15 @@ LEAST_STEPS = 256          # a lane of fewer ids would cost more than it saves
 MIX = 1 << 12              # sum of the mixing weights
 ORDER0 = 1 << 18           # sum of the order-0 frequencies
 BITS2 = 20                 # of the hash of the two ids before
-_SHIFT = np.uint64(30)     # MIX * ORDER0 = 2 ** 30
-_LOW_END = np.uint64(1 << 40)
-_WORD = np.uint64(16)
-_TOP = np.uint64(48)
-_WORD_END = np.uint64(1 << 48)
-_HASH = np.uint64(0x9E3779B97F4A7C15)
+HITS_ALL = 200_000         # beyond so many ids, the hits of every fourth step are counted
+_SHIFT = np.uint64(30)     # MIX * ORDER0 = 2 ** 30: intervals are 32-bit numbers
+_WORD = np.uint64(32)
+_WORD_END = np.uint64(1 << 32)
+_HASH2, _HASH1 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 # An entry of the order-2 and order-1 tables is an id and how often in a row it was right (up to 7).
 _RUN = np.uint32(7)
 _RUN_BITS = np.uint32(3)
+_ONE = np.uint32(1)
 
 
 class Model:
@@ -65,98 +65,107 @@ class Model:
     def __init__(self, vocabulary: int):
         self.vocabulary = vocabulary
         self.seen = np.zeros(vocabulary, np.int64)
-        self.total = self.refresh_at = 0
+        self.total = self.steps = 0
         self.recent: list[np.ndarray] = []  # ids that the frequencies do not count yet
         self.last1 = np.zeros(vocabulary, np.uint32)
         self.last2 = np.zeros(1 << BITS2, np.uint32)
         self.hits = np.tile(np.array([1, 1, 2], np.int64), (64, 1))
+        self.weigh_at = 0
         self._count()
+        self._weigh()
 
     def _count(self) -> None:
-        """Order-0 frequencies, renewed whenever a tenth more ids (at most 100,000) have been seen."""
+        """Order-0 frequencies, renewed whenever a quarter more ids (at most 200,000) have been seen."""
         if self.recent:
             self.seen += np.bincount(np.concatenate(self.recent), minlength=self.vocabulary)
             self.recent = []
-        self.freq = 1 + self.seen * (ORDER0 - self.vocabulary) // max(1, self.total)
-        self.freq[self.seen.argmax()] += ORDER0 - int(self.freq.sum())
-        self.upto = np.concatenate([[0], np.cumsum(self.freq)]).astype(np.uint64)
+        freq = 1 + self.seen * (ORDER0 - self.vocabulary) // max(1, self.total)
+        freq[self.seen.argmax()] += ORDER0 - int(freq.sum())
+        self.freq, self.upto = freq.astype(np.uint32), (np.cumsum(freq) - freq).astype(np.uint32)
         self.held = None  # the id of each of the ORDER0 frequency units, laid out by a decoder only
-        self.refresh_at = self.total + min(100_000, self.total // 10 + 1000)
+        self.refresh_at = self.total + min(200_000, self.total // 4 + 1000)
+
+    def _weigh(self) -> None:
+        """Weights of order 2, 1 and 0, renewed whenever a tenth more ids (at most 20,000) have been seen."""
+        weights = 1 + (MIX - 3) * self.hits // self.hits.sum(axis=1, keepdims=True)
+        weights[:, 2] += MIX - weights.sum(axis=1)
+        # What order 2 and 1 add to their ids, and what each frequency unit counts.
+        self.weights = [w.astype(np.uint32) for w in (weights[:, 0] * ORDER0, weights[:, 1] * ORDER0, weights[:, 2])]
+        self.weigh_at = self.total + min(20_000, self.total // 10 + 1000)
 
     def predict(self, two: np.ndarray, one: np.ndarray) -> None:
         """Predicted ids of order 2 and 1, and the weights of order 2, 1 and 0, for each lane."""
-        context = (two << 32 | one).view(np.uint64) * _HASH
-        self.slot, self.one = (context >> np.uint64(64 - BITS2)).view(np.int64), one
-        entry2, entry1 = self.last2.take(self.slot), self.last1.take(one)
+        self.slot = ((two * _HASH2 ^ one * _HASH1) * _HASH2 >> np.uint32(32 - BITS2)).astype(np.intp)
+        self.one = one.astype(np.intp)
+        entry2, entry1 = self.last2.take(self.slot), self.last1.take(self.one)
         self.p2, self.p1 = entry2 >> _RUN_BITS, entry1 >> _RUN_BITS
         self.run2, self.run1 = entry2 & _RUN, entry1 & _RUN
-        self.kind = (self.run2 << _RUN_BITS | self.run1).astype(np.int64)
-        weights = 1 + (MIX - 3) * self.hits // self.hits.sum(axis=1, keepdims=True)
-        weights[:, 2] += MIX - weights.sum(axis=1)
-        weights = weights.astype(np.uint64)
-        self.w2 = (weights[:, 0] * np.uint64(ORDER0)).take(self.kind)  # what order 2 and 1 add to their ids
-        self.w1 = (weights[:, 1] * np.uint64(ORDER0)).take(self.kind)
-        self.w0 = weights[:, 2].take(self.kind)
+        self.kind = (self.run2 << _RUN_BITS | self.run1).astype(np.intp)
+        self.w2, self.w1, self.w0 = [w.take(self.kind) for w in self.weights]
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's id, of 2 ** 30 in all."""
-        self.narrow = ids.astype(np.uint32)
-        self.hit2, self.hit1 = self.narrow == self.p2, self.narrow == self.p1
-        start = self.upto.take(ids)
-        size = (self.upto.take(ids + 1) - start) * self.w0
+        self.hit2, self.hit1 = ids == self.p2, ids == self.p1
+        at = ids.astype(np.intp)
+        start, size = self.upto.take(at), self.freq.take(at)
         start *= self.w0
+        size *= self.w0
         size += self.w2 * self.hit2
         size += self.w1 * self.hit1
-        start += self.w2 * (self.p2 < self.narrow)
-        start += self.w1 * (self.p1 < self.narrow)
+        start += self.w2 * (self.p2 < ids)
+        start += self.w1 * (self.p1 < ids)
         return start, size
 
-    def find(self, place: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the places."""
-        p2, p1 = self.p2.astype(np.int64), self.p1.astype(np.int64)
-        same = p1 == p2
-        start2 = self.upto.take(p2)
-        end2 = self.upto.take(p2 + 1) * self.w0 + self.w2
-        start2 *= self.w0
-        start1 = self.upto.take(p1)
-        end1 = self.upto.take(p1 + 1) * self.w0 + self.w1
-        start1 *= self.w0
-        before2, before1 = self.w1 * (p1 < p2), self.w2 * (p2 < p1)
-        start2 += before2
-        end2 += before2 + self.w1 * same
-        start1 += before1
-        end1 += before1 + self.w2 * same
-        after2, after1 = place >= start2, place >= start1
-        hit2, hit1 = after2 & (place < end2), after1 & (place < end1)
-        ids = np.where(hit2, p2, p1)
+    def find(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold the places, and the starts and sizes of these."""
+        p2, p1 = self.p2.astype(np.intp), self.p1.astype(np.intp)
+        start2, start1 = self.upto.take(p2), self.upto.take(p1)
+        size2, size1 = self.freq.take(p2), self.freq.take(p1)
+        for x in (start2, start1, size2, size1):
+            x *= self.w0
+        start2 += self.w1 * (self.p1 < self.p2)
+        start1 += self.w2 * (self.p2 < self.p1)
+        same = self.p1 == self.p2
+        size2 += self.w2
+        size2 += self.w1 * same
+        size1 += self.w1
+        size1 += self.w2 * same
+        self.hit2, self.hit1 = place - start2 < size2, place - start1 < size1  # a place before it: far beyond, without a sign
+        ids = np.where(self.hit2, self.p2, self.p1)
+        start, size = np.where(self.hit2, start2, start1), np.where(self.hit2, size2, size1)
         # Neither: what the two add to the ids behind them is taken off.
-        miss = np.flatnonzero(~(hit2 | hit1))
-        rest = place[miss] - self.w2[miss] * after2[miss] - self.w1[miss] * after1[miss]
+        miss = (~(self.hit2 | self.hit1)).nonzero()[0]
+        place, w0 = place.take(miss), self.w0.take(miss)
+        added = self.w2.take(miss) * (place >= start2.take(miss))
+        added += self.w1.take(miss) * (place >= start1.take(miss))
         if self.held is None:
-            self.held = np.repeat(np.arange(self.vocabulary), self.freq)
-        ids[miss] = self.held.take(_quotient(rest, self.w0[miss]).view(np.int64))
-        return ids
+            self.held = np.repeat(np.arange(self.vocabulary, dtype=np.uint32), self.freq)
+        found = self.held.take((place - added) // w0)
+        ids[miss], start[miss], size[miss] = found, self.upto.take(found) * w0 + added, self.freq.take(found) * w0
+        return ids, start, size
 
     def learn(self, ids: np.ndarray) -> None:
-        """Take in the ids last given to :meth:`interval`."""
-        outcome = np.where(self.hit2, 0, np.where(self.hit1, 1, 2))
-        self.hits += np.bincount(self.kind * 3 + outcome, minlength=192).reshape(64, 3)
-        entry = self.narrow << _RUN_BITS
-        self.last2[self.slot] = entry | np.minimum(self.run2 + np.uint32(1), _RUN) * self.hit2
-        self.last1[self.one] = entry | np.minimum(self.run1 + np.uint32(1), _RUN) * self.hit1
+        """Take in the ids last given to :meth:`interval` or got from :meth:`find`."""
+        if self.total < HITS_ALL or not self.steps % 4:
+            outcome = self.hit2.view(np.uint8) * np.uint8(2) | self.hit1.view(np.uint8)
+            seen = np.bincount(self.kind << 2 | outcome, minlength=256).reshape(64, 4)
+            self.hits[:, 0] += seen[:, 2] + seen[:, 3]
+            self.hits[:, 1] += seen[:, 1]
+            self.hits[:, 2] += seen[:, 0]
+        self.steps += 1
+        entry = ids << _RUN_BITS
+        for last, at, run, hit in ((self.last2, self.slot, self.run2, self.hit2), (self.last1, self.one, self.run1, self.hit1)):
+            run += _ONE
+            run -= run >> _RUN_BITS
+            run *= hit
+            run |= entry
+            last[at] = run
         self.recent.append(ids)
         self.total += len(ids)
         if self.total >= self.refresh_at:
             self._count()
-
-
-def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``a // b`` of uint64 with quotients below 2 ** 31: divided as doubles, which is off by one at most, and set right."""
-    q = (a.astype(np.float64) / b.astype(np.float64)).astype(np.uint64)
-    rest = (a - q * b).view(np.int64)
-    q -= rest < 0
-    q += rest >= b.view(np.int64)
-    return q
+        if self.total >= self.weigh_at:
+            self._weigh()
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -165,27 +174,27 @@ def _shape(n: int) -> tuple[int, int]:
     return -(-n // steps), steps
 
 
-def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes that must give out a word; spans too narrow without a common word are cut (carry-less)."""
-    out = (low ^ (low + span)) < _WORD_END
-    tight = np.flatnonzero((span < _LOW_END) & ~out)
-    if len(tight):
-        span[tight] = (np.uint64(0) - low[tight]) & (_LOW_END - np.uint64(1))
-        out[tight] = True
-    return out
+def _carry(words: np.ndarray, over: np.ndarray) -> None:
+    """Add one to the word before each of ``over``, and on to those before where a word is full (32 bits in uint64)."""
+    while len(over):
+        np.add.at(words, over - 1, np.uint64(1))
+        over = np.flatnonzero(words >> _WORD)
+        words[over] -= _WORD_END
 
 
 def code(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(words per lane, words of all lanes one after the other) of the coded ids."""
     lanes, steps = _shape(len(ids))
-    table = np.zeros(lanes * steps, np.int64)
+    table = np.zeros(lanes * steps, np.uint32)
     table[:len(ids)] = ids
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
     last = len(ids) - (lanes - 1) * steps  # ids of the last lane
     model = Model(vocabulary)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
-    one = two = np.zeros(lanes, np.int64)
-    of, words = [], []
+    one = two = np.zeros(lanes, np.uint32)
+    of, words = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)]
+    given = np.zeros(lanes, np.int64)  # words
+    carried, before = [], []           # lanes with a carry, and their words until then
     for t in range(steps if lanes else 0):
         n = lanes if t < last else lanes - 1
         if not n:
@@ -194,28 +203,30 @@ def code(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         model.predict(two[:n], one[:n])
         start, size = model.interval(x)
         unit = span[:n] >> _SHIFT
-        start *= unit
-        size *= unit
+        start = start * unit
+        np.multiply(size, unit, out=span[:n])
         low[:n] += start
-        span[:n] = size
-        at = np.flatnonzero(_settled(low[:n], span[:n]))
-        while len(at):
-            lo, sp = low[at], span[at]
-            of.append(at.astype(np.uint16))
-            words.append((lo >> _TOP).astype(np.uint16))
-            lo <<= _WORD
-            sp <<= _WORD
-            out = _settled(lo, sp)
-            low[at], span[at] = lo, sp
-            at = at[out]
-        two, one = one[:n], x
+        over = (low[:n] < start).nonzero()[0]
+        carried.append(over)
+        before.append(given.take(over))
+        at = (span[:n] < _WORD_END).nonzero()[0]
+        lo = low.take(at)
+        of.append(at.astype(np.uint16))
+        words.append((lo >> _WORD).astype(np.uint32))
+        low[at] = lo << _WORD
+        span[at] <<= _WORD
+        given[at] += 1
+        two, one = one, x
         model.learn(x)
-    for k in range(4):  # the rest of each coder
+    for part in (low >> _WORD, low):  # the rest of each coder
         of.append(np.arange(lanes, dtype=np.uint16))
-        words.append((low >> np.uint64(48 - 16 * k)).astype(np.uint16))
-    of, words = np.concatenate(of), np.concatenate(words)
-    order = np.argsort(of, kind="stable")
-    return np.bincount(of, minlength=lanes).astype(np.uint32), words[order]
+        words.append(part.astype(np.uint32))
+    of = np.concatenate(of)
+    per_lane = np.bincount(of, minlength=lanes)
+    words = np.concatenate(words)[np.argsort(of, kind="stable")].astype(np.uint64)
+    if carried:
+        _carry(words, (np.cumsum(per_lane) - per_lane)[np.concatenate(carried)] + np.concatenate(before))
+    return per_lane.astype(np.uint32), words.astype(np.uint32)
 
 
 def decode(per_lane: np.ndarray, words: np.ndarray, n_ids: int, vocabulary: int) -> np.ndarray:
@@ -224,42 +235,32 @@ def decode(per_lane: np.ndarray, words: np.ndarray, n_ids: int, vocabulary: int)
     if lanes != len(per_lane):
         raise ValueError("number of lanes does not fit the number of ids")
     last = n_ids - (lanes - 1) * steps
-    words = np.concatenate([words.astype(np.uint64), np.zeros(4, np.uint64)])
+    words = np.concatenate([words, np.zeros(2, np.uint32)])
     at = np.cumsum(per_lane, dtype=np.int64) - per_lane
     model = Model(vocabulary)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
-    value = np.zeros(lanes, np.uint64)
-    for _ in range(4 if lanes else 0):
-        value = value << _WORD | words[at]
-        at = at + 1
-    table = np.zeros((steps, lanes), np.int64)
-    one = two = np.zeros(lanes, np.int64)
+    span = np.full(lanes, ~np.uint64(0), np.uint64)
+    rest = words[at].astype(np.uint64) << _WORD | words[at + 1]  # the coded value less the coder's low end
+    at += 2
+    table = np.zeros((steps, lanes), np.uint32)
+    one = two = np.zeros(lanes, np.uint32)
     for t in range(steps if lanes else 0):
         n = lanes if t < last else lanes - 1
         if not n:
             break
         model.predict(two[:n], one[:n])
         unit = span[:n] >> _SHIFT
-        x = model.find(np.minimum(_quotient(value[:n] - low[:n], unit), np.uint64(MIX * ORDER0 - 1)))
+        x, start, size = model.find((rest[:n] // unit).astype(np.uint32))
         table[t, :n] = x
-        start, size = model.interval(x)
-        start *= unit
-        size *= unit
-        low[:n] += start
-        span[:n] = size
-        k = np.flatnonzero(_settled(low[:n], span[:n]))
-        while len(k):
-            lo, sp = low[k], span[k]
-            value[k] = value[k] << _WORD | words[np.minimum(at[k], len(words) - 1)]
-            at[k] += 1
-            lo <<= _WORD
-            sp <<= _WORD
-            out = _settled(lo, sp)
-            low[k], span[k] = lo, sp
-            k = k[out]
-        two, one = one[:n], x
+        rest[:n] -= start * unit
+        np.multiply(size, unit, out=span[:n])
+        k = (span[:n] < _WORD_END).nonzero()[0]
+        next_word = at.take(k)
+        rest[k] = rest.take(k) << _WORD | words.take(next_word, mode="clip")
+        span[k] <<= _WORD
+        at[k] = next_word + 1
+        two, one = one, x
         model.learn(x)
-    return table.T.reshape(-1)[:n_ids].astype(np.uint32)
+    return table.T.reshape(-1)[:n_ids]
 
 
 def write_block(docs: list[tuple[int | None, np.ndarray]], vocabulary: int) -> bytes:
@@ -269,7 +270,7 @@ def write_block(docs: list[tuple[int | None, np.ndarray]], vocabulary: int) -> b
     body = b"".join((
         _HEAD.pack(MAGIC, vocabulary, len(docs), len(ids), len(per_lane), zlib.crc32(ids.tobytes())),
         np.array([d or 0 for d, _ in docs], "<i8").tobytes(), np.array([d is None for d, _ in docs], "u1").tobytes(),
-        np.array([len(x) for _, x in docs], "<u8").tobytes(), per_lane.astype("<u4").tobytes(), words.astype("<u2").tobytes()))
+        np.array([len(x) for _, x in docs], "<u8").tobytes(), per_lane.astype("<u4").tobytes(), words.astype("<u4").tobytes()))
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -285,7 +286,7 @@ def read_block(data: bytes) -> list[tuple[int | None, np.ndarray]]:
         parts.append(np.frombuffer(body, kind, count, at))
         at += parts[-1].nbytes
     doc_ids, null, counts, per_lane = parts
-    ids = decode(per_lane, np.frombuffer(body, "<u2", offset=at), n_ids, vocabulary)
+    ids = decode(per_lane, np.frombuffer(body, "<u4", offset=at), n_ids, vocabulary)
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
         raise ValueError("token block does not decode to its ids")
     cuts = np.cumsum(counts.astype(np.int64))[:-1]
@@ -340,7 +341,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({
                     "doc_id": pd.array([d for d, _ in docs], "Int64"), "part": part, "block": block,
                     "inside": np.cumsum(n) - n, "n_tokens": n,
-                    "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for _, x in docs]})
+                    "ids_crc32": [zlib.crc32(x.astype("<u4", copy=False)) for _, x in docs]})
 
     files = spark.read.schema("part int, block int, n_ids long, data binary").parquet(path)
     # Ids before each part (one row per part) and, inside it, before each block.

@@ -32,6 +32,7 @@ FREQUENT_PIECES = 100_000
 SAMPLE_ROWS = 8_000         # about so many documents are sampled for the frequent pieces
 LONGEST_KEPT = 48
 CHARS_AT_ONCE = 4_000_000   # texts are cut together until they have so many code points
+POINTS_AT_ONCE = 1 << 15    # looked up at a time, so that the indices stay in the cache
 # White space beside blank and line feed, on some of which libraries differ: such a text is encoded uncut.
 _RARE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e]")
 _OTHER, _LETTER, _NUMBER, _FEED, _BLANK, _UNCUT = range(6)
@@ -62,16 +63,17 @@ _ID_BYTES = [i.to_bytes(4, "little") for i in range(1 << 16)]  # a vocabulary of
 
 
 class _Parts(dict):
-    """pre-token -> ids, as bytes; filled on demand, from ``known`` if that has it."""
+    """pre-token -> ids, as bytes; begins with those known and is filled on demand."""
 
     def __init__(self, model, known: dict[str, bytes]):
-        super().__init__()
-        self._bpe, self._known = model.tokenize, known
+        super().__init__(known)
+        self._bpe = model.tokenize
 
     def __missing__(self, part: str) -> bytes:
-        ids = self._known.get(part[1:]) if part[0] == " " else None
-        if ids is None:
-            ids = b"".join([_ID_BYTES[t.id] for t in self._bpe(part.encode().decode("latin-1").translate(_LETTERS))])
+        # Printable ASCII characters but the blank stand for their own bytes.
+        shown = (part.replace(" ", _LETTERS[32]) if part.isascii() and part.isprintable()
+                 else part.encode().decode("latin-1").translate(_LETTERS))
+        ids = b"".join([_ID_BYTES[t.id] for t in self._bpe(shown)])
         if len(part) <= LONGEST_KEPT:
             self[part] = ids
         return ids
@@ -90,14 +92,14 @@ def _starts(points: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.ndar
     after_white[1:] = white[:-1] & ~first[1:]
     goes_on = np.zeros_like(starts)  # the next one is of the same text and no white space
     goes_on[:-1] = ~white[1:] & ~first[1:]
-    starts[white] = (~after_white | goes_on)[white]
+    starts &= ~white
+    starts |= white & (~after_white | goes_on)
     joined = np.zeros_like(starts)   # to the blank before
     joined[1:] = (kinds[:-1] == _BLANK) & ~first[1:] & ~white[1:]
     starts &= ~joined
     at = np.flatnonzero(starts & (points == ord("'")))
     ends = np.append(first, [True, True, True])
-    wide = np.append(points, np.zeros(3, points.dtype))
-    one, two = wide[at + 1], wide[at + 2]
+    one, two = points.take(at + 1, mode="clip"), points.take(at + 2, mode="clip")
     has1 = ~ends[at + 1]
     has2 = has1 & ~ends[at + 2]
     short = has1 & np.isin(one, [ord(c) for c in "stmd"])
@@ -108,16 +110,22 @@ def _starts(points: np.ndarray, kinds: np.ndarray, first: np.ndarray) -> np.ndar
     return starts
 
 
+@functools.cache
+def _library(path: str) -> tuple[Tokenizer, object, list[str]]:
+    """The tokenizer of a file (read once per process), its model, and its special strings."""
+    tok = Tokenizer.from_file(path)
+    model = tok.model
+    if hasattr(model, "_resize_cache"):  # pre-tokens are kept by the encoder
+        model._resize_cache(0)
+    return tok, model, [t.content for t in tok.get_added_tokens_decoder().values() if t.content]
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file, as the library's ``encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str, known: dict[str, bytes] | None = None):
-        self._tok = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._tok.get_added_tokens_decoder().values() if t.content]
-        self._model = self._tok.model
-        if hasattr(self._model, "_resize_cache"):  # pre-tokens are kept here
-            self._model._resize_cache(0)
-        self._known = known or {}
+        self._tok, self._model, self._special = _library(path)
+        self._known = {f" {w}": ids for w, ids in (known or {}).items()}
         self._kept = _Parts(self._model, self._known)
 
     def encode(self, text: str) -> np.ndarray:
@@ -147,7 +155,7 @@ class Encoder:
         ends = np.cumsum([len(texts[k]) for k in cut])
         first = np.zeros(len(points), bool)
         first[ends - [len(texts[k]) for k in cut]] = True
-        kinds = _classes().take(points)
+        kinds = np.concatenate([_classes().take(points[k:k + POINTS_AT_ONCE]) for k in range(0, len(points), POINTS_AT_ONCE)])
         uncut = {cut[i] for i in np.searchsorted(ends, np.flatnonzero(kinds == _UNCUT), "right").tolist()}
         uncut |= {k for k in cut if any(s in texts[k] for s in self._special)}
         if uncut:
@@ -171,9 +179,10 @@ class Encoder:
         parts = kind.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         if len(self._kept) > KEPT_PIECES:
             self._kept = _Parts(self._model, self._known)
-        of = [self._kept[p] for p in parts.dictionary.to_pylist()]
+        kept = self._kept
+        of = [kept[p] for p in parts.dictionary.to_numpy(zero_copy_only=False)]
         flat = np.frombuffer(b"".join(of), "<u4")
-        counts = np.array([len(x) >> 2 for x in of], np.int64)
+        counts = np.fromiter(map(len, of), np.int64, len(of)) >> 2
         which = parts.indices.to_numpy()
         n = counts[which]
         total = np.cumsum(n)

@@ -66,6 +66,50 @@ def test_coder_learns():
     assert 16 * len(token_files.code(ids, 50257)[1]) < 2 * len(ids)
 
 
+@pytest.mark.parametrize("n,vocabulary", [(300_000, 50257), (300_000, 3), (100_001, 300)])
+def test_coder_takes_little_more_than_the_model_says(monkeypatch, n, vocabulary):
+    ids = np.minimum(np.random.default_rng(n).zipf(1.2, n) - 1, vocabulary - 1)
+    told = []
+    interval = token_files.Model.interval
+
+    def heard(model, x):
+        start, size = interval(model, x)
+        told.append(float((30 - np.log2(size.astype(float))).sum()))
+        return start, size
+
+    monkeypatch.setattr(token_files.Model, "interval", heard)
+    per_lane, words = token_files.code(ids, vocabulary)
+    monkeypatch.undo()
+    assert words.nbytes == 4 * per_lane.sum()
+    assert 8 * words.nbytes <= sum(told) + 0.01 * n + 64 * len(per_lane)
+    assert (token_files.decode(per_lane, words, n, vocabulary) == ids).all()
+
+
+def test_carries_go_on_over_full_words():
+    words = np.array([5, 2**32 - 1, 2**32 - 1, 7, 2**32 - 1, 8], np.uint64)
+    token_files._carry(words, np.array([3, 5, 6]))
+    assert words.tolist() == [6, 0, 0, 8, 0, 9]
+
+
+def test_unlikely_ids_carry():
+    # A tiny vocabulary's last id lies at the upper end of the interval, where carries come from.
+    ids = np.where(np.random.default_rng(5).random(400_000) < 0.02, 1, 2)
+    for x in (ids, ids - 1, 3 - ids):
+        per_lane, words = token_files.code(x, 3)
+        assert (token_files.decode(per_lane, words, len(x), 3) == x).all()
+
+
+def test_each_new_piece_is_encoded_once():
+    """Each distinct pre-token is looked up once a cut, and goes through the library once an encoder."""
+    asked = []
+    encoder = Encoder(tokenizer_path(), Encoder(tokenizer_path()).table(["known"]))
+    bpe = encoder._kept._bpe
+    encoder._kept._bpe = lambda part: asked.append(part) or bpe(part)
+    texts = ["known seldom known", " seldom known\nknown", "known seldom"]
+    assert [x.tolist() for x in encoder.encode_all(texts)] == [library_ids(t) for t in texts]
+    assert sorted(asked) == sorted({"known", "\u0120seldom", "\u010a"})
+
+
 def test_block_checksums():
     docs = [(5, np.arange(700, dtype=np.uint32)), (None, np.array([2], np.uint32)), (9, np.array([7, 7, 2], np.uint32))]
     block = token_files.write_block(docs, 50257)
