@@ -21,8 +21,8 @@ hash ranges: one row per (chunk, range) with sorted, distinct hashes as
 bytes. A range is answered by one bit per block (or window) asked, so that a
 passage of a million copies sends one hash per chunk to its range, never a row
 per copy, and no pairs are made. Ranges grow in number with the input. The
-answers, a bit per block, are broadcast while their checked size is at most
-``broadcast_bytes``, and are joined to the chunks by a shuffle beyond it.
+answers, a bit per block, are one string of bytes per chunk. They are broadcast while their checked size is at most
+``broadcast_bytes``, and meet the chunks by a shuffle beyond it, where the answers are hashed and no chunk is sorted.
 
 Step 2 keeps 32 bits of a hash inside its range: a chance agreement there only
 makes a window an extension that step 3 refuses. In step 3 different word
@@ -31,7 +31,7 @@ sequences pass for equal only if both 64-bit hashes agree.
 Defined results: null, empty and shorter texts have no windows and lose
 nothing (null has no words and keeps an empty text); copies and repeated rows
 are repeats of each other; an empty table gives no rows. Other columns are
-ignored. Memory: one chunk, or one hash range, per task.
+ignored. Memory: one chunk, or one hash range, per task; a row group of the chunks' table holds few of them.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ from xxhash import xxh3_64_intdigest
 from kestrel.llm.common import materialize, releasing, small_batches
 
 CHUNK_BYTES = 2 << 20
-ROW_GROUP_BYTES = 16 << 20  # so that a reader holds few chunks at once
+ROW_GROUP_BYTES = 16 << 20  # so that a writer and a reader hold few chunks at once
+ARROW_BYTES = 4 << 20      # of chunks handed to a Python task at once
 RANGE_BYTES = 16 << 20     # of text for each hash range
 BROADCAST_BYTES = 32 << 20
 _PIECE = 4 << 20
@@ -108,6 +109,24 @@ def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
+def _answer(part: int, flags: np.ndarray) -> bytes:
+    """The answer of a hash range to a chunk, which several can follow: the range and a bit per question."""
+    return part.to_bytes(4, "little") + _bits(flags)
+
+
+def _answered(answers: bytes | None, cuts: list[int]) -> np.ndarray:
+    """The flags of all ranges of a chunk; ``cuts``: where the questions of each range begin."""
+    out = np.zeros(cuts[-1], bool)
+    at = 0
+    while answers and at < len(answers):
+        part = int.from_bytes(answers[at:at + 4], "little")
+        n = cuts[part + 1] - cuts[part]
+        end = at + 4 + (n + 7) // 8
+        out[cuts[part]:cuts[part + 1]] = _flags(answers[at + 4:end], n)
+        at = end
+    return out
+
+
 def _sorted_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Whether each value is in a sorted array."""
     if not len(among):
@@ -157,12 +176,9 @@ class Chunk:
             if a[p] < a[p + 1]:
                 yield (p, low[a[p]:a[p + 1]].tobytes(), _bits(self.probe_twice[a[p]:a[p + 1]]), blocks[b[p]:b[p + 1]].tobytes())
 
-    def extend(self, answers: list[tuple[int, bytes]]) -> None:
-        """The windows whose anchor block was hit, with their two hashes; answers: (range, a bit per block)."""
-        cut = self._cuts(self.index_keys)
-        hit = np.zeros(len(self.index_keys), bool)
-        for p, bits in answers:
-            hit[cut[p]:cut[p + 1]] = _flags(bits, cut[p + 1] - cut[p])
+    def extend(self, answers: bytes | None) -> None:
+        """The windows whose anchor block was hit, with their two hashes; answers: a bit per block."""
+        hit = _answered(answers, self._cuts(self.index_keys))
         struck = np.zeros(len(self.words), bool)
         struck[self.blocks] = _sorted_in(self.block_keys, self.index_keys[hit])
         here = np.flatnonzero(self.left >= self.window)
@@ -190,12 +206,9 @@ class Chunk:
             if a < b:
                 yield p, self.pairs[a:b].astype("<u8").tobytes(), _bits(self.twice[a:b])
 
-    def covered(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
-        """Whether each word lies in a repeat; answers: (range, a bit per hash pair)."""
-        again = np.zeros(len(self.pairs), bool)
-        for p, bits in answers:
-            a, b = self.pair_cuts[p], self.pair_cuts[p + 1]
-            again[a:b] = _flags(bits, b - a)
+    def covered(self, answers: bytes | None) -> np.ndarray:
+        """Whether each word lies in a repeat; answers: a bit per hash pair."""
+        again = _answered(answers, self.pair_cuts)
         at = self.open[again[self.which]]
         edge = np.zeros(len(self.words) + self.window + 1, np.int64)
         edge[at] += 1
@@ -209,14 +222,13 @@ def _answer_probes(table: pa.Table) -> pa.Table:
     twice = [p[_flags(b.as_py(), len(p))] for p, b in zip(probes, table["twice"], strict=True)]
     ordered = np.sort(np.concatenate(probes))
     repeated = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], *twice]))
-    chunk, part, bits = [], [], []
+    chunk, bits = [], []
     for c, p, b in zip(table["chunk"].to_pylist(), table["part"].to_pylist(), table["blocks"], strict=True):
         hit = _sorted_in(np.frombuffer(b.as_buffer(), "<u4"), repeated)
         if hit.any():
             chunk.append(c)
-            part.append(p)
-            bits.append(_bits(hit))
-    return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array(part, pa.int32()), "bits": pa.array(bits, pa.binary())})
+            bits.append(_answer(p, hit))
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
 
 def _answer_extensions(table: pa.Table) -> pa.Table:
@@ -224,21 +236,25 @@ def _answer_extensions(table: pa.Table) -> pa.Table:
     pairs = [np.frombuffer(b.as_buffer(), "<u8").reshape(-1, 2) for b in table["pairs"]]
     sizes = [len(p) for p in pairs]
     twice = np.concatenate([_flags(b.as_py(), n) for b, n in zip(table["twice"], sizes, strict=True)])
-    both = np.concatenate(pairs)
-    order = np.lexsort((both[:, 1], both[:, 0]))
-    both, twice = both[order], twice[order]
-    new = np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)])
+    first, second = np.concatenate([p[:, 0] for p in pairs]), np.concatenate([p[:, 1] for p in pairs])
+    order = np.lexsort((second, first))
+    first = first[order]
+    new = np.concatenate([[True], first[1:] != first[:-1]])
+    del first
+    second = second[order]
+    new[1:] |= second[1:] != second[:-1]
+    del second
     at = np.flatnonzero(new)
-    again = (np.diff(np.append(at, len(both))) > 1) | np.logical_or.reduceat(twice, at)
+    times = np.diff(np.append(at, len(order)))
+    again = (times > 1) | np.logical_or.reduceat(twice[order], at)
     flags = np.empty(len(order), bool)
-    flags[order] = again[np.cumsum(new) - 1]
-    chunk, part, bits = [], [], []
+    flags[order] = np.repeat(again, times)
+    chunk, bits = [], []
     for c, p, f in zip(table["chunk"].to_pylist(), table["part"].to_pylist(), np.split(flags, np.cumsum(sizes)[:-1]), strict=True):
         if f.any():
             chunk.append(c)
-            part.append(p)
-            bits.append(_bits(f))
-    return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array(part, pa.int32()), "bits": pa.array(bits, pa.binary())})
+            bits.append(_answer(p, f))
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
@@ -280,30 +296,23 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> D
     return rows.mapInArrow(gather, f"chunk long, ids array<{kind.simpleString()}>, texts array<string>")
 
 
-def _gathered(answers: DataFrame, name: str) -> DataFrame:
-    """One row per chunk: its answers."""
-    return answers.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("part", "bits")).alias(name))
-
-
 def _met(chunks: DataFrame, answers: DataFrame, name: str, broadcast_bytes: int) -> DataFrame:
-    """``chunks`` with the answers of each; small ones (a checked size) are broadcast."""
-    size = answers.agg(F.sum(F.octet_length("bits") + 64)).first()[0] or 0
-    rows = _gathered(answers, name)
-    rows = F.broadcast(rows) if size <= broadcast_bytes else rows
+    """``chunks`` with the answers of each, laid end to end; small ones (a checked size) are broadcast."""
+    size, found = answers.agg(F.sum(F.octet_length("bits")), F.count_distinct("chunk")).first()
+    rows = answers.groupBy(F.col("chunk").alias("of")).agg(F.listagg("bits").alias(name))
+    # Else hashed, not merged: a merge would sort the chunks, megabytes each.
+    rows = rows.hint("broadcast" if (size or 0) + 64 * found <= broadcast_bytes else "shuffle_hash")
     return chunks.join(rows, F.col("chunk") == F.col("of"), "left").drop("of")
 
 
-def _pairs(answers) -> list[tuple[int, bytes]]:
-    return [(a["part"], a["bits"]) for a in answers or ()]
-
-
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text",
                    chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES,
                    broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans (removed words, flat start, end, ...), kept (the
     words that stay, joined by one blank)."""
-    small_batches(docs.sparkSession)
-    chunks = materialize(_chunked(docs, id_col, text_col, chunk_bytes), "chunks", row_group=ROW_GROUP_BYTES)
+    small_batches(docs.sparkSession, ARROW_BYTES)
+    chunks = materialize(_chunked(docs, id_col, text_col, chunk_bytes), "chunks", row_group=ROW_GROUP_BYTES,
+                         group_rows=max(1, ROW_GROUP_BYTES // chunk_bytes))
     size = chunks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // range_bytes + 1)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -322,7 +331,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     asked = chunks.select("chunk", "texts").mapInArrow(
         probes, "chunk long, part int, probes binary, twice binary, blocks binary")
-    hits = materialize(asked.groupBy("part").applyInArrow(_answer_probes, "chunk long, part int, bits binary"), "block-hits")
+    hits = materialize(asked.groupBy("part").applyInArrow(_answer_probes, "chunk long, bits binary"), "block-hits")
     struck = _met(chunks, hits, "hits", broadcast_bytes)
 
     @releasing
@@ -330,7 +339,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         for batch in batches:
             for k, chunk in enumerate(batch["chunk"].to_pylist()):
                 found = Chunk(batch["texts"][k].values, window, parts)
-                found.extend(_pairs(batch["hits"][k].as_py()))
+                found.extend(batch["hits"][k].as_py())
                 rows = list(found.extensions())
                 if rows:
                     part, pairs, twice = zip(*rows, strict=True)
@@ -340,7 +349,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     wide = struck.filter(F.col("hits").isNotNull()).select("chunk", "texts", "hits").mapInArrow(
         extensions, "chunk long, part int, pairs binary, twice binary")
-    repeats = materialize(wide.groupBy("part").applyInArrow(_answer_extensions, "chunk long, part int, bits binary"), "repeats")
+    repeats = materialize(wide.groupBy("part").applyInArrow(_answer_extensions, "chunk long, bits binary"), "repeats")
 
     @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +357,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             for k in range(batch.num_rows):
                 texts = batch["texts"][k].values
                 found = Chunk(texts, window, parts)
-                found.extend(_pairs(batch["hits"][k].as_py()))
-                gone = found.covered(_pairs(batch["repeats"][k].as_py()))
+                found.extend(batch["hits"][k].as_py())
+                gone = found.covered(batch["repeats"][k].as_py())
                 at = dict(zip(found.long.tolist(), found.starts.tolist(), strict=True))
                 ids, counts = batch["ids"][k].values, found.counts
                 removed, spans, kept, first, held = [], [], [], 0, 0

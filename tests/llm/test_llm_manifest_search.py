@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,34 @@ def test_repeats_query_and_empty_table(spark, tmpdir_path):
     assert substring_dedup.remove_repeats(docs_frame(spark, [])).count() == 0
 
 
+def test_few_chunks_are_held_at_once(spark, monkeypatch):
+    rows = repeat_rows()
+    monkeypatch.setattr(substring_dedup, "ROW_GROUP_BYTES", 4 * 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = substring_dedup.remove_repeats(docs_frame(spark, rows).coalesce(1), chunk_bytes=500, broadcast_bytes=0)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, got.select("doc_id", "n_words", "n_removed", "kept").collect())) == sorted(
+            f"Row(doc_id={d!r}, n_words={n!r}, n_removed={k!r}, kept={t!r})" for d, n, k, t in without_repeats(rows, 35))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    groups = [pq.ParquetFile(f).metadata for f in (x.removeprefix("file://") for x in got.inputFiles() if "/chunks-" in x)]
+    held = [g.row_group(k).num_rows for g in groups for k in range(g.num_row_groups)]
+    assert sum(held) > 20 and max(held) <= 4
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan  # a merge sorts the chunks
+
+
+def test_answers_of_ranges_follow_each_other():
+    cuts = [0, 3, 3, 20, 21]
+    flags = np.arange(21) % 3 == 0
+    blob = b"".join(substring_dedup._answer(p, flags[cuts[p]:cuts[p + 1]]) for p in (2, 0))
+    want = flags.copy()
+    want[20] = False
+    assert np.array_equal(substring_dedup._answered(blob, cuts), want) and len(blob) == 4 + 3 + 4 + 1
+    assert not substring_dedup._answered(None, cuts).any()
+
+
 def test_long_text_is_hashed_in_pieces(monkeypatch):
     text = ("  " + prose(2000, 3) + "\n\t").encode()
     whole = substring_dedup.word_hashes(text)
