@@ -209,3 +209,73 @@ def test_report_joins_orders_with_their_items_once(spark, raw_dir):
     key = ["order_id", "n_items", "items_revenue_cents", "is_late", "purchased_at"]
     plain = etl.CleanModel(tables).orders(with_items_only=True)
     assert sorted(map(tuple, orders.select(key).collect()), key=repr) == sorted(map(tuple, plain.select(key).collect()), key=repr)
+
+
+def test_file_rank_orders_as_paths():
+    from kestrel.sources.raw import file_rank
+    parts = [f"file:///d/part-{k:05d}-ab-c000.csv.gz" for k in (0, 7, 123)]
+    assert file_rank(parts) == "substring(_metadata.file_name, 8, 3)"
+    assert file_rank(parts[:1]) == "substring(_metadata.file_name, 26, 0)"
+    for odd in ([], ["file:///d/a.csv", "file:///d/ab.csv"], ["file:///d/a.csv", "file:///e/b.csv"], ["file:///d/a%20b.csv"]):
+        assert file_rank(odd) == "_metadata.file_path"
+
+
+def _driver_dir(spark, d):
+    spark.range(40).selectExpr("id AS c_custkey", "id % 3 AS c_nationkey", "concat('Name ', id) AS c_name", "id / 4 AS c_acctbal",
+                               "'AUTO' AS c_mktsegment").write.parquet(f"{d}/customer.parquet")
+    spark.range(4).selectExpr("id AS s_suppkey", "id AS s_nationkey", "concat('S ', id) AS s_name").write.parquet(f"{d}/supplier.parquet")
+    spark.range(30).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "IF(id % 4 = 0, 'PROMO', 'SMALL') AS p_type",
+                               "CAST(id % 9 AS INT) AS p_size").write.parquet(f"{d}/part.parquet")
+    spark.range(200).selectExpr("id AS o_orderkey", "id % 50 AS o_custkey", "'F' AS o_orderstatus",
+                                "TIMESTAMP'2020-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id AS INT)) AS o_orderdate").write.parquet(f"{d}/orders.parquet")
+    spark.range(900).selectExpr("id * 7 % 210 AS l_orderkey", "CAST(id % 4 AS INT) AS l_linenumber", "id % 33 AS l_partkey", "id % 5 AS l_suppkey",
+                                "id + 0.25D AS l_extendedprice", "0.1D AS l_tax", "TIMESTAMP'2020-02-01 00:00:00' AS l_shipdate",
+                                ).repartition(6).write.parquet(f"{d}/lineitem.parquet")
+    spark.range(60).selectExpr("id AS event_id", "id * 4 AS user_id", "'view' AS event_type", "id + 0.5D AS value",
+                               "TIMESTAMP'2020-03-01 00:00:00' AS ts", "concat('{\"k\": ', id, '}') AS props").write.parquet(f"{d}/events.parquet")
+
+
+def test_raw_files_are_packed_and_give_all_rows(spark, tmpdir_path):
+    from kestrel.sources.raw import read_raw
+    from kestrel.sources.raw_model import raw_frames, write_raw
+    _driver_dir(spark, tmpdir_path)
+    raw = write_raw(spark, tmpdir_path, os.path.join(tmpdir_path, "raw"))
+    for name, want in raw_frames(spark, tmpdir_path).items():
+        parts = [f for f in os.listdir(raw_path(raw, name)) if f.startswith("part-")]
+        assert parts and all(f.endswith(".gz") for f in parts)
+        assert read_raw(spark, raw, name).count() == want.count()
+
+
+def test_etl_leaves_no_staged_tables_nor_shuffles(spark, tmpdir_path):
+    from kestrel.session import scratch_path
+    _driver_dir(spark, tmpdir_path)
+    got = _by(etl.etl_full(spark, tmpdir_path), "table_name")
+    assert {got[n]["status"] for n in etl.LOAD_ORDER} == {"OK"}
+    items = [r for r in spark.read.parquet(f"{tmpdir_path}/lineitem.parquet").collect()]
+    keys = {(r["l_orderkey"], r["l_linenumber"]) for r in items}
+    assert 0 < got["order_items"]["actual"] < len(keys)
+    left = os.listdir(scratch_path(spark, "").removeprefix("file:"))
+    assert not [x for x in left if x.startswith("order_items-")]
+
+
+def test_items_are_shuffled_for_one_key_at_a_time(spark, raw_dir, tmpdir_path, monkeypatch):
+    """Each foreign key of a table with several meets rows that were written, not the plan of the dedupe before."""
+    seen = []
+    plain = etl.semi_filter
+    monkeypatch.setattr(etl, "semi_filter", lambda child, *a: seen.append((a[0], child.inputFiles())) or plain(child, *a))
+    etl.run_etl(spark, raw_dir, os.path.join(tmpdir_path, "clean"), PREFIX, register_views=False)
+    of_items = [files for column, files in seen if column in ("product_id", "seller_id")]
+    assert len(of_items) == 2 and all(files and all("/order_items-" in f for f in files) for files in of_items)
+
+
+def test_only_scratch_is_removed(spark, tmpdir_path):
+    from kestrel.session import remove_scratch, scratch_path
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.mode("overwrite").parquet(path)
+    remove_scratch(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))
+    with pytest.raises(ValueError):
+        remove_scratch(spark, tmpdir_path)
+    for outside in (scratch_path(spark, ""), scratch_path(spark, "../x")):
+        with pytest.raises(ValueError):
+            remove_scratch(spark, outside)
